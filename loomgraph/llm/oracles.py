@@ -65,5 +65,18 @@ from documents d left join joined j on d.doc_id = j.doc_id
 )
 
 
+OP4 = r"""
+with keyed as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+last as (select *, max(page_id) over (partition by hex, payload_bytes) as biggest from keyed)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::int, 5))::int >> (15 - i % 4 * 5)::int) & 31) + 1, 1)), '') as payload_digest,
+       case when page_id = biggest then 'response' else 'revisit' end as record_type,
+       case when page_id = biggest then null else biggest end as refers_to
+from last
+"""
+
+
 def oracle_sql():
-    return {"op5_secret_scan": OP5, "op6_mix_sources": OP6}
+    return {"op4_warc_chains": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6}

@@ -13,6 +13,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_progressive_jpeg(spark, sf_dir):
+    from .media import store_and_read
+
+    out = store_and_read(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb")
+
+
+def op2_arrow_token_files(spark, sf_dir):
+    from .token_files import read, write
+
+    return read(write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
+def op4_warc_chains(spark, sf_dir):
+    from .warc import read, write
+
+    return read(write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secret_scan(spark, sf_dir):
     from .secret_scan import digest
 
