@@ -50,5 +50,11 @@ def op9_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    from .near_join import join
+
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
