@@ -44,6 +44,13 @@ def op6_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
