@@ -277,17 +277,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple =
     def run(batches):
         m, words = Model(terms, stems, weights), Words(Automaton(terms, stems))
         for b in batches:
-            out = {c: b[c] for c in b.columns if c != "_text"}
-            yield pd.DataFrame(out | {"score": [m.score(features(t, words)) for t in b["_text"]]})
+            yield b.drop(columns="_text").assign(_score=[m.score(features(t, words)) for t in b["_text"]])
 
     names = [id_col, *carry]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    got = docs.select(*names, text_col().alias("_text")).mapInPandas(run, f"{kinds}, score double")
-    return got.withColumn("held_out", held_out(id_col)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    got = docs.select(*names, text_col().alias("_text")).mapInPandas(run, f"{kinds}, _score double")
+    made = (held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return got.select(id_col, *made, *[F.col(c) for c in carry])
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic."""
     columns = docs.columns
-    scored = score(docs, fit(docs, labels), carry=tuple(c for c in columns if c != "doc_id"))
-    return scored.where("predicted = 0").select(*columns)
+    # by position and under other names, since columns of docs may be called as those of the score
+    plain = docs.select("doc_id", text_col().alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    scored = score(plain, fit(docs, labels), carry=("_row",))
+    return scored.where("predicted = 0").select(*[F.col(f"_row.`{c}`") for c in columns])
