@@ -51,6 +51,12 @@ def op7_toxicity(spark, sf_dir):
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
