@@ -61,6 +61,16 @@ def drop_stage(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+#: Keys of a semi-join are broadcast up to this many bytes; beyond it both sides are shuffled.
+MOST_BROADCAST = 8 << 20
+
+
+def narrow(rows: DataFrame, keys: DataFrame, on, bytes_each: int = 16) -> DataFrame:
+    """The rows that keys (distinct, few columns of fixed width, cheap to count) name; on is as for join()."""
+    small = keys.count() * bytes_each <= MOST_BROADCAST
+    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
+
+
 def arrow_fs(uri: str):
     """(file system, path inside it) for reading and writing files from tasks."""
     from pyarrow import fs

@@ -26,6 +26,12 @@ def op2_arrow_token_files(spark, sf_dir):
     return read(write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op3_latent_decontamination(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_chains(spark, sf_dir):
     from .warc import read, write
 

@@ -23,15 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, drop_stage, shared_dir, stage, text_col
+from .common import drop_path, drop_stage, narrow, shared_dir, stage, text_col
 
 LENGTH = 400
 GRAM = 32
 BATCHES = 4
 #: A beginning with more suffixes is counted across the cluster.
 HOT = 5000
-#: Ids of texts are broadcast up to this size; beyond it they are joined by shuffling.
-MOST_BROADCAST = 8 << 20
 BUFFER = 4 << 20
 
 KEY = ["k1", "k2"]
@@ -270,8 +268,7 @@ def cover(runs: list, length: int, size: int) -> list[tuple[int, int]]:
 def _texts_of(docs: DataFrame, tids: DataFrame) -> DataFrame:
     """(tid, text) of the given text ids, by way of one document each."""
     rows = docs.select(text_col().alias("text")).select(F.xxhash64("text").alias("tid"), "text")
-    small = tids.count() * 16 <= MOST_BROADCAST
-    return rows.join(F.broadcast(tids) if small else tids, "tid", "left_semi")
+    return narrow(rows, tids, "tid")
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT, family: IndexFamily | None = None):
