@@ -92,12 +92,15 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     A document of no words is neither wanted nor unwanted by the targets: it stays once.
     """
     columns = docs.columns
-    options.setdefault("keep", tuple(c for c in columns if c != "doc_id"))
-    m = mix(docs, **options)
+    # whole rows under one name, since columns of docs may be called as those of the mix
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    m = mix(rows, **(options | {"keep": ("_row",)}))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.col("whole") + (F.col("part") > 0).cast("long")).cast("int"))
     m = m.withColumn("_i", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>"))))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    # pieces begin at words; a text that begins with white space has one piece more, before its first word
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    first = F.slice(F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), (F.greatest(F.col("part"), F.lit(1)) + lead).cast("int"))
     partial = (F.col("_i") > F.col("whole")) & (F.col("part") < F.col("size"))
-    # the split of a text that begins with white space has one piece more, before its first word
-    lead = F.when(text_col().rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    words = F.slice(F.split(text_col(), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), (F.greatest(F.col("part"), F.lit(1)) + lead).cast("int"))
-    return m.withColumn("text", F.when(partial, F.array_join(words, "")).otherwise(F.col("text"))).select(*columns)
+    shown = F.when(partial, F.array_join(first, "")).otherwise(F.col("_row.text"))
+    return m.select(*[shown.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in columns])
