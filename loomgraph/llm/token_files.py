@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -29,48 +28,61 @@ from .common import arrow_fs, shared_dir, stage, text_col
 
 SEQ_LEN = 1024
 BATCH_ROWS = 256
-#: Distinct words that a Python worker remembers.
-MOST_KEPT = 300_000
+#: Distinct words that a Python worker remembers; beyond it, those of more than KEPT_LETTERS letters are forgotten.
+MOST_KEPT = 350_000
+KEPT_LETTERS = 8
 
 #: Characters for which this module's word pattern and lower case are those of the tokenizer; other texts go to the library whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧€]|<\\|")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_LETTERS = "a-zªµºß-öø-ɏ"  # in lower case
+_WORD = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
 class Encoder(dict):
-    """Words to their ids. The tokenizer merges inside a word only, so a text's ids are its words' ids."""
+    """Words to their ids, as bytes. The tokenizer merges inside a word only, so a text's ids are its words' ids.
+
+    New words are encoded many at a time with spaces between them; the ids that
+    end a word, by their vocabulary strings, part them again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.dtype = np.dtype("<u4" if max(vocab.values()) >= 1 << 16 else "<u2")
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         #: The word pattern above is this tokenizer's; any other vocabulary is encoded by the library alone.
-        self.by_words = self.library.normalizer is not None and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in str(self.library.pre_tokenizer).replace("\\\\", "\\") and "ByteLevel(add_prefix_space=False" in str(self.library.pre_tokenizer)
-        self.wide = self.library.get_vocab_size() > 1 << 16
-
-    def batch(self, texts: list[str]) -> list[array]:
-        """The ids of each text, without special tokens."""
-        kind = "I" if self.wide else "H"
-        out: list = [None] * len(texts)
-        plain, rest = {}, []
-        for i, t in enumerate(texts):
-            if self.by_words and not _OTHER.search(t):
-                plain[i] = _WORD.findall(t.lower())
-            else:
-                rest.append(i)
-        new = list(set(chain.from_iterable(plain.values())) - self.keys())
-        if len(self) + len(new) > MOST_KEPT:
+        rule = str(self.library.pre_tokenizer).replace("\\\\", "\\")
+        self.by_words = bool(suffix) and self.library.normalizer is not None and r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in rule and "ByteLevel(add_prefix_space=False" in rule
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, words: list[str]):
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = self._ids(" ".join(part))
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(part):
+                self.update((w, self._ids(w).tobytes()) for w in part)
+                continue
+            cuts = ends.tolist()
+            self.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, without special tokens, as bytes of self.dtype."""
+        if len(self) > MOST_KEPT:
+            kept = {w: x for w, x in self.items() if len(w) <= KEPT_LETTERS}
             self.clear()
-            new = list(set(chain.from_iterable(plain.values())))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.update(zip(part, (x.ids for x in self.library.encode_batch_fast(part, add_special_tokens=False))))
-        for i, words in plain.items():
-            out[i] = array(kind, chain.from_iterable(map(self.__getitem__, words)))
-        for i in rest:
-            out[i] = array(kind, self.library.encode(texts[i], add_special_tokens=False).ids)
-        return out
+            self.update(kept if len(kept) < MOST_KEPT // 2 else {})
+        plain = {i: _WORD.findall(t.lower()) for i, t in enumerate(texts) if self.by_words and not _OTHER.search(t)}
+        self._learn([w for w in set(chain.from_iterable(plain.values())) if w not in self])
+        get = self.__getitem__
+        return [b"".join(map(get, plain[i])) if i in plain else self._ids(t).tobytes() for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=4)
@@ -84,13 +96,13 @@ def encoder(path: str) -> Encoder:
 class ShardWriter:
     """Appends documents; whole record batches go to the file as they fill."""
 
-    def __init__(self, uri: str, wide: bool, seq_len: int, id_type):
+    def __init__(self, uri: str, dtype: np.dtype, seq_len: int, id_type):
         import pyarrow as pa
 
-        self.pa, self.seq_len, self.dtype = pa, seq_len, np.dtype("<u4" if wide else "<u2")
+        self.pa, self.seq_len, self.dtype = pa, seq_len, dtype
         self.fs, self.path = arrow_fs(uri)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        ids = pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)
+        ids = pa.list_(pa.from_numpy_dtype(dtype), seq_len)
         self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.sink = self.fs.open_output_stream(self.path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
@@ -99,11 +111,12 @@ class ShardWriter:
         self.docs_file = pa.ipc.new_file(self.docs_sink, self.docs_schema)
         self.held, self.n_held, self.n_ids, self.n_docs, self.docs = [], 0, 0, 0, []
 
-    def add(self, doc_id, ids: array):
-        self.docs.append((doc_id, self.n_ids, len(ids)))
-        self.held.append(np.frombuffer(ids, self.dtype))
-        self.n_held += len(ids)
-        self.n_ids += len(ids)
+    def add(self, doc_id, raw: bytes):
+        n = len(raw) // self.dtype.itemsize
+        self.docs.append((doc_id, self.n_ids, n))
+        self.held.append(np.frombuffer(raw, self.dtype))
+        self.n_held += n
+        self.n_ids += n
         self.n_docs += 1
         if self.n_held >= BATCH_ROWS * self.seq_len:
             self._flush(False)
@@ -205,15 +218,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_L
 
     def run(batches):
         enc, out, first, uri = encoder(tokenizer), None, None, None
-        end = array("I" if enc.wide else "H", [end_id])
+        end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             n = len(b)
             ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None).tolist()
-            for i in range(0, n, 500):
-                for d, x in zip(ids[i : i + 500], enc.batch(b["text"].iloc[i : i + 500].tolist())):
+            for i in range(0, n, 1000):
+                for d, x in zip(ids[i : i + 1000], enc.batch(b["text"].iloc[i : i + 1000].tolist())):
                     if out is None:
                         uri = f"{to}/{uuid.uuid4().hex}.arrow"
-                        out, first = ShardWriter(uri, enc.wide, seq_len, arrow_kind), d
+                        out, first = ShardWriter(uri, enc.dtype, seq_len, arrow_kind), d
                     out.add(d if d is None or not isinstance(d, float) else int(d), x + end)
         if out is not None:
             out.close()
