@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_stage, stage, text_col
+from .common import WORD, drop_stage, narrow, stage, text_col
 from .components import components
 
 SHINGLE = 5
@@ -228,7 +228,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, targ
     members = grouped.join(classes.drop("prefixes"), "node")
     members = stage(members.select("node", F.col("label").alias("grp"), "copies", F.col("rep.doc_id").alias("_rep"), F.col("rep.text_hash").alias("_hash")), "members")
     rows = docs.select(F.col(id_col).alias("_id"), text_col().alias("text"))
-    texts = rows.withColumn("_h", F.xxhash64("text")).join(members, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_h") == F.col("_hash")))
+    rows = narrow(rows.withColumn("_h", F.xxhash64("text")), members.select(F.col("_hash").alias("_h")).distinct(), "_h")
+    texts = rows.join(members, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_h") == F.col("_hash")))
     texts = stage(texts.select("grp", "node", "copies", "text"), "texts")
     sizes = texts.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum(F.octet_length("text")) / tile_bytes)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -256,7 +257,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class; rows without words all stay."""
     found = join(docs, **options)
     keepers = found.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    keepers = stage(keepers.select(F.col("k.doc_id").alias("_k"), F.col("k.text_hash").alias("_kh")), "keepers")
+    keepers = keepers.select(F.col("k.doc_id").alias("_k"), F.col("k.text_hash").alias("_kh"))
     rows = docs.withColumn("_h", F.xxhash64(text_col()))
     blank = ~text_col().rlike(WORD)
     kept = rows.where(~blank).join(keepers, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh")), "left_semi")
