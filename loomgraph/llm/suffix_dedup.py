@@ -28,9 +28,11 @@ from .common import drop_path, drop_stage, narrow, shared_dir, stage, text_col
 LENGTH = 400
 GRAM = 32
 BATCHES = 4
-#: A beginning with more suffixes is counted across the cluster.
-HOT = 5000
+#: A beginning with more suffixes, which is about 12 MB of windows, is counted across the cluster.
+HOT = 20_000
 BUFFER = 4 << 20
+#: Short texts are hashed together in arrays that stay in a core's cache.
+TOGETHER = 96 << 10
 
 KEY = ["k1", "k2"]
 ENTRY = "k1 bigint, k2 bigint, tid bigint, pos int, first int, last int"
@@ -57,6 +59,19 @@ def rolling(data: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of GRAM bytes, from its four words of eight."""
+    w = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        w = w[:-k] | (w[k:] << np.uint64(8 * k))
+    n = len(data) - GRAM + 1
+    h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for k, m in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
+        h ^= h >> np.uint64(32)
+        h += w[k : k + n] * np.uint64(m)
+    return _mix(h)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     full = np.concatenate([x, np.full(-len(x) % width, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
@@ -65,16 +80,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def suffixes(texts: list[tuple[int, bytes]], length: int = LENGTH, gram: int = GRAM):
+def suffixes(texts: list[tuple[int, bytes]], length: int = LENGTH):
     """Columns (k1, k2, tid, pos, first, last) of the indexed suffixes: pos is the suffix's start, first to last the windows that have it."""
     out = []
     buffer, at = [], 0
 
     def close():
         data = np.frombuffer(b"".join(x[3] for x in buffer), np.uint8)
-        grams = rolling(data, gram)
+        grams = gram_hashes(data)
         place = np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min((grams & ~np.uint64(0xFFFFFF)) | place, length - gram + 1)
+        least = sliding_min((grams & ~np.uint64(0xFFFFFF)) | place, length - GRAM + 1)
         sizes = np.array([len(x[3]) for x in buffer])
         starts = np.cumsum(sizes) - sizes
         count = sizes - length + 1
@@ -96,7 +111,7 @@ def suffixes(texts: list[tuple[int, bytes]], length: int = LENGTH, gram: int = G
             piece = raw[lo : lo + BUFFER + length - 1]
             if len(piece) < length:
                 continue
-            if at and at + len(piece) > 2 * BUFFER:
+            if at and at + len(piece) > TOGETHER:
                 close()
                 buffer, at = [], 0
             buffer.append((tid, None, lo, piece))
@@ -211,11 +226,28 @@ def compare(contexts: DataFrame, length: int) -> DataFrame:
     """Runs of windows that repeat among the suffixes of one beginning; its rows stand together."""
 
     def close(rows):
-        counts = np.array([len(r[4]) - length + 1 for r in rows])
-        h = _window_hashes([r[4] for r in rows], counts, length)
-        begin = np.array([(r[0] * 0x9E3779B9 ^ r[1]) & 0xFFFFFFFFFFFFFFFF for r in rows], np.uint64)
-        flags = repeated(h ^ np.repeat(_mix(begin), counts))
-        return _runs(flags, counts, np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64))
+        """Equal contexts need no look at their windows; of those that differ under one beginning, each is hashed once."""
+        whole, apart, i = [], [], 0
+        while i < len(rows):
+            j, same = i, {}
+            while j < len(rows) and rows[j][0] == rows[i][0] and rows[j][1] == rows[i][1]:
+                same.setdefault(rows[j][4], []).append(rows[j])
+                j += 1
+            for xs in same.values():
+                if len(xs) > 1:
+                    whole += xs
+                if len(same) > 1:
+                    apart.append((xs[0], len(xs) > 1))
+            i = j
+        first = np.array([r[3] for r in whole], np.int64)
+        out = [pd.DataFrame({"tid": np.array([r[2] for r in whole], np.int64), "a": first, "b": first + np.array([len(r[4]) - length for r in whole], np.int64)})]
+        if apart:
+            counts = np.array([len(r[4]) - length + 1 for r, _ in apart])
+            h = _window_hashes([r[4] for r, _ in apart], counts, length)
+            begin = np.array([(r[0] * 0x9E3779B9 ^ r[1]) & 0xFFFFFFFFFFFFFFFF for r, _ in apart], np.uint64)
+            flags = repeated(h ^ np.repeat(_mix(begin), counts)) & ~np.repeat(np.array([done for _, done in apart]), counts)
+            out.append(_runs(flags, counts, np.array([r[2] for r, _ in apart], np.int64), np.array([r[3] for r, _ in apart], np.int64)))
+        return pd.concat(out)
 
     def run(batches):
         rows, held, last = [], 0, None

@@ -40,7 +40,7 @@ def expect(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [5000, 3])
+@pytest.mark.parametrize("hot", [20_000, 3])
 def test_equals_all_windows(spark, hot):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id bigint, text string, tid int").repartition(5)
