@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import catalog, coverage, crosslang, quality, resolution, streams  # noqa: F401
+    from . import catalog, coverage, crosslang, cypher_queries, quality, resolution, streams  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
