@@ -75,11 +75,11 @@ def reachable(edges: DataFrame, low: int, high: int) -> DataFrame:
 
 def closure(edges: DataFrame, start: DataFrame, most: int = 30) -> DataFrame:
     """(id, depth) of what start's ids reach, each node once at its least depth: a level is joined against what is seen."""
-    step = edges.select(F.col("src_id").alias("_s"), F.col("dst_id").alias("id")).distinct()
+    step = edges.select(F.col("src_id").alias("_from"), F.col("dst_id").alias("id")).distinct()
     seen = start.toDF("id").distinct().withColumn("depth", F.lit(0))
     front = seen
     for d in range(1, most + 1):
-        new = front.join(step, front.id == step._s).select(step.id).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        new = front.select(F.col("id").alias("_from")).join(step, "_from").select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if new.isEmpty():
             break
         seen, front = seen.unionByName(new).checkpoint(), new

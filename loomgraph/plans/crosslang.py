@@ -30,12 +30,16 @@ CALLS = (
 
 def _found(rules: tuple, language: Column, content: Column, name: str) -> Column:
     """Array of struct(method, path) for the rules of the row's language."""
+    empty = F.array().cast(f"array<struct<method:string,{name}:string>>")
+
+    def one(method, path, pattern):
+        kind = lambda h: F.upper(F.regexp_extract(h, pattern, method)) if isinstance(method, int) else F.lit(method)
+        return lambda h: F.struct(kind(h).alias("method"), F.regexp_extract(h, pattern, path).alias(name))
+
     parts = []
     for lang, method, path, pattern in rules:
-        hits = F.regexp_extract_all(content, F.lit(pattern), 0)
-        one = lambda h, m=method, p=path, rx=pattern: F.struct((F.upper(F.regexp_extract(h, rx, m)) if isinstance(m, int) else F.lit(m)).alias("method"), F.regexp_extract(h, rx, p).alias(name))
-        same = language == lang if lang != "typescript" else language.isin("typescript", "javascript")
-        parts.append(F.when(same, F.transform(hits, one)).otherwise(F.array().cast(f"array<struct<method:string,{name}:string>>")))
+        same = language.isin("typescript", "javascript") if lang == "typescript" else language == lang
+        parts.append(F.when(same, F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), one(method, path, pattern))).otherwise(empty))
     return F.concat(*parts)
 
 
