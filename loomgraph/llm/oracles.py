@@ -78,5 +78,21 @@ from last
 """
 
 
+OP10 = r"""
+with recursive words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y, k = a.n and k = b.n as same from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 5 * k >= 4 * (a.n + b.n - k)),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on l.x = r.y),
+classes as (select x, min(y) as class_id from reach group by 1),
+counts as (select x, count(*) as n_links, min(case when same then y end) as copy from links group by 1)
+select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links, least(doc_id, coalesce(copy, doc_id)) as copy_id
+from documents join classes c on c.x = doc_id left join counts n on n.x = doc_id
+"""
+
+
 def oracle_sql():
-    return {"op4_warc_chains": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6}
+    return {"op10_jaccard_join": OP10, "op4_warc_chains": OP4, "op5_secret_scan": OP5, "op6_mix_sources": OP6}
