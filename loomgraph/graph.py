@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .schema import EDGE_TYPES, LABELS
+from .schema import EDGE_DDL, EDGE_TYPES, LABELS, NODE_DDL, conform
 
 
 class Graph:
@@ -50,6 +50,32 @@ class Graph:
     def read(spark, path: str) -> Graph:
         return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
+    def add_nodes(self, nodes: DataFrame) -> Graph:
+        """With more nodes; an id that is there keeps its node."""
+        new = conform(nodes, NODE_DDL).dropDuplicates(["id"]).join(self.nodes.select("id"), "id", "left_anti").select(*self.nodes.columns)
+        return Graph(self.nodes.unionByName(new), self.edges)
+
+    def add_edges(self, edges: DataFrame) -> tuple[Graph, DataFrame]:
+        """With more edges between nodes of the graph that the schema allows, and the others with their reason. edges: type, src_id, dst_id and properties."""
+        from .operators.resolve import NO_SCHEMA, NO_SOURCE, NO_TARGET, validate
+
+        end = lambda x: self.nodes.select(F.col("id").alias(f"{x}_id"), F.col("label").alias(f"{x}_label"))
+        given = edges.drop("src_label", "dst_label").join(end("src"), "src_id", "left").join(end("dst"), "dst_id", "left")
+        checked = validate(given, self.spark)
+        reason = F.when(F.col("src_label").isNull(), NO_SOURCE).when(F.col("dst_label").isNull(), NO_TARGET).when(~F.col("allowed"), NO_SCHEMA)
+        checked = checked.withColumn("reason", reason)
+        good = conform(checked.where("reason is null"), EDGE_DDL)
+        return Graph(self.nodes, self.edges.unionByName(good)), checked.where("reason is not null").select(*edges.columns, "reason")
+
+    def without_files(self, paths: DataFrame) -> Graph:
+        """Without the nodes of files (file_path), and the edges that end at them."""
+        gone = self.nodes.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("id")
+        nodes = self.nodes.join(gone, "id", "left_anti").select(*self.nodes.columns)
+        edges = self.edges
+        for end in ("src_id", "dst_id"):
+            edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti").select(*self.edges.columns)
+        return Graph(nodes, edges)
+
     def cypher(self, query: str, **params) -> DataFrame:
         """Runs a query of the supported Cypher subset."""
         from .plans.cypher import run

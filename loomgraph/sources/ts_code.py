@@ -180,6 +180,10 @@ class _Scanner:
                 text = c[m.start("value") : m.end("value")] if m["value"] else None
                 self.out.node("Variable", m["name"], m.start(), m.end(), parent_id=innermost(self.spans, m.start()), type_definition=(m["type"] or "").strip() or None, is_exported=bool(m["export"]), props={"value": text, "kind": m["kind"]})
         self.calls()
+        for m in re.finditer(rf"path\s*:\s*['\"]([^'\"\n]*)['\"]\s*,\s*component\s*:\s*({_ID})", c):
+            self.out.node("Route", m[1], m.start(), m.end(), parent_id=innermost(self.spans, m.start()), props={"path": m[1], "component": m[2], "framework": "angular"})
+        for m in re.finditer(r"\b(?:gql|graphql)\s*`\s*(query|mutation|subscription|fragment)?\s*(\w+)?", c):
+            self.out.node("APICall", m[2] or m[1] or "query", m.start(), m.end(), parent_id=innermost(self.spans, m.start()), props={"library": "graphql", "operation": m[1] or "query"})
         for m in _JSX.finditer(s):
             owner = innermost(self.spans, m.start())
             el = self.out.node("JSXElement", m[1], m.start(), m.end(), parent_id=owner)
@@ -276,6 +280,11 @@ class _Scanner:
             if re.search(r"(?:app|router)\.use$", name):
                 for h in re.findall(rf"[(,]\s*({_ID})\s*(?=[,)(])", args):
                     self.out.node("Middleware", h, start, at + len(args))
+            if last in ("createContext", "useContext"):
+                self.out.node("Hook", last, start, at + len(args), parent_id=owner, props={"kind": "context", "target": args[1:-1].split(",")[0].strip()})
+            if last == "defineComponent" or name == "Vue.extend":
+                assigned = re.search(rf"({_ID})\s*=\s*$", self.masked[:start])
+                self.out.node("Component", assigned[1] if assigned else self.path.rsplit("/", 1)[-1].split(".")[0], start, at + len(args), parent_id=owner, props={"framework": "vue"})
             if owner:
                 ref = name.removeprefix("this.")
                 self.out.edge("CALLS", owner, ref, start)

@@ -233,6 +233,13 @@ def test_typescript():
     assert n["Type", "Maybe"]["props"]["conditional"] == "True"
 
 
+def test_typescript_frameworks():
+    rows = ts_code.extract("web/app.ts", "const Box = defineComponent({});\nconst C = createContext(null);\nconst routes = [{ path: 'home', component: HomePage }];\nconst q = gql`query Users { id }`;\nexport namespace Shapes { }\ndeclare module 'm' { }\n")
+    n = nodes(rows)
+    assert n["Component", "Box"]["props"]["framework"] == "vue" and ("Hook", "createContext") in n and n["Route", "home"]["props"]["component"] == "HomePage"
+    assert n["APICall", "Users"]["props"]["library"] == "graphql" and ("Namespace", "Shapes") in n and n["Module", "m"]["props"]["ambient"] == "True"
+
+
 def test_typescript_tests():
     rows = ts_code.extract("web/util.test.ts", TS_TEST)
     n = nodes(rows)

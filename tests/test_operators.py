@@ -105,6 +105,25 @@ def test_cypher(spark):
             g.cypher(bad)
 
 
+def test_service_and_growth(spark):
+    g = graph(spark)
+    from loomgraph.plans.service import run_cypher
+    from loomgraph.streaming.events import EventBuffer, to_json
+
+    r = run_cypher(g, "MATCH (f:Function) RETURN f.name AS n, f.complexity ORDER BY n")
+    assert r["resultCount"] == 3 and r["result"].startswith("deep\t|\t")
+    assert "error" in run_cypher(g, "MATCH (")
+    more = g.add_nodes(spark.createDataFrame([("f1", "Function", "again"), ("f9", "Function", "new")], "id string, label string, name string"))
+    assert {r.name for r in more.scan("Function").collect()} == {"load", "save", "deep", "new"}
+    grown, bad = more.add_edges(spark.createDataFrame([("CALLS", "f9", "f1"), ("CALLS", "f9", "zz"), ("INHERITS", "f9", "f1"), ("CALLS", "zz", "f1")], "type string, src_id string, dst_id string"))
+    assert grown.rel("CALLS").count() == 3 and sorted(r.reason for r in bad.collect()) == sorted([resolve.NO_TARGET, resolve.NO_SCHEMA, resolve.NO_SOURCE])
+    left = g.without_files(spark.createDataFrame([("src/b.py",)], "file_path string"))
+    assert left.nodes.count() == 5 and left.rel("CALLS").count() == 1
+    b = EventBuffer(1)
+    assert b.offer("Modified", files=1) and not b.offer("Deleted", files=1) and b.dropped == 1
+    assert json.loads(to_json(b.drain()[0]))["data"] == {"files": 1}
+
+
 def test_reports_and_introspection(spark):
     df = spark.createDataFrame([("a", None, True)], "x string, y int, z boolean")
     assert reports.render_text(df) == "a\t|\t\t|\ttrue\n"
