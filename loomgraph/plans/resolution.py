@@ -44,7 +44,7 @@ def j02(spark, d):
 
 @query("j07_rejected_edges", f"""{_SQL}
 select id, 'failed to resolve target' as reason from raw where id not in (select id from good)
-union all select 'w' || n_nationkey, 'schema violation' from nation""")
+union all select 'w' || n_nationkey, case when exists (select 1 from cls where name = 'C2_11') then 'schema violation' else 'failed to resolve target' end from nation""")
 def j07(spark, d):
     g, raw = raw_edges(spark, d)
     return R.resolve(raw, g.nodes)[1].select("id", "reason")
