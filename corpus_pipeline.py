@@ -7,7 +7,7 @@ its operator's docstring says; an empty table passes all stages.
 """
 
 from loomgraph.llm import decontaminate, mixing, near_join, token_files, toxicity
-from loomgraph.llm.common import drop_stage, stage, table
+from loomgraph.llm.common import drop_stage, small_batches, stage, table
 from loomgraph.llm.queries import tokenizer_path
 
 #: SQL can express neither the learned scores, nor the latent retrieval, nor the tokenizer.
@@ -21,6 +21,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies stays: the one of the smallest id."""
+    small_batches(spark)
     return near_join.keep_one(docs)
 
 
@@ -36,6 +37,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def write_tokens(spark, docs, sf_dir):
     """Arrow files of fixed-size lists; a row for each document in them."""
+    small_batches(spark)
     return token_files.read(token_files.write(docs, tokenizer_path("word_bpe_49k.json")))
 
 

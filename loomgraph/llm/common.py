@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -14,9 +15,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; the session is set for large rows."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Whole texts are large rows: batches that go to Python hold at most so many rows, and bytes, as long as the session asks for no fewer."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        digits = re.sub(r"\D", "", now or "")
+        if not digits or int(digits) <= 0 or int(digits) > most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives memory that a step on the driver has freed back to the system, where the C library can."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_col(name: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

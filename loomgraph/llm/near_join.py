@@ -47,7 +47,7 @@ def depth_for(threshold: float = THRESHOLD, trees: int = TREES, target: float =
 
 class WordHashes(dict):
     def __missing__(self, w):
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         return h

@@ -20,14 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_col
+from .common import release, text_col
 
 #: Bounds of the training sample, by label; and the longest text in it, in characters.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 2500, 5000, 50_000
+MOST_TOXIC, MOST_CLEAN, LONGEST = 2000, 4000, 50_000
 MOST_TERMS = 400
 STEM_LENGTHS = range(3, 9)
 WINDOW = 8
 THRESHOLD = 0.3
+#: Rows that go back to the JVM together.
+ROWS_AT_ONCE = 1000
 FUZZY_FROM = 5  # letters of a term that may be misspelled by one edit
 FUZZY_TWO = 9  # by two edits
 QUOTED = 0.3  # what a hit inside quotation marks counts, before anything is learned
@@ -175,10 +177,15 @@ def _forms(text: str, wanted: set | None = None) -> set[str]:
 def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str]]:
     """Terms and stems that mark toxic texts: few forms that cover them, then each form that is frequent and as sure."""
     least = max(3, math.ceil(0.0015 * len(toxic)))
+    # most forms are in one text: those whose bucket is under the least number are never held
+    rough = np.zeros(1 << 21, np.int32)
+    for t in toxic:
+        rough[np.unique(np.fromiter((hash(f) & 0x1FFFFF for f in _forms(t)), np.int64))] += 1
     a: Counter = Counter()
     for t in toxic:
-        a.update(_forms(t))
-    wanted = {f for f, n in a.items() if n >= least}
+        a.update(f for f in _forms(t) if rough[hash(f) & 0x1FFFFF] >= least)
+    a = Counter({f: n for f, n in a.items() if n >= least})
+    wanted = set(a)
     b: Counter = Counter()
     for t in clean:
         b.update(_forms(t, wanted))
@@ -260,12 +267,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         part = rows.where(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
         pick = part if pick is None else pick.unionByName(part)
     texts = docs.select("doc_id", text_col().alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(pick), "doc_id")
-    got = {r.text: bool(r.toxic) for r in texts.orderBy("doc_id", "toxic").collect()}  # equal texts once
+    got = {r.text: bool(r.toxic) for r in texts.orderBy("doc_id", "toxic").toLocalIterator()}  # equal texts once
     toxic, clean = [t for t, y in got.items() if y], [t for t, y in got.items() if not y]
-    return train(toxic, clean, counts.get(True, 0), counts.get(False, 0))
+    del got
+    model = train(toxic, clean, counts.get(True, 0), counts.get(False, 0))
+    del toxic, clean
+    release()
+    return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple = (), text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, and the columns named by carry.
 
     Null, empty and hitless texts get the model's base score; whole texts of any
@@ -277,11 +288,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple =
     def run(batches):
         m, words = Model(terms, stems, weights), Words(Automaton(terms, stems))
         for b in batches:
-            yield b.drop(columns="_text").assign(_score=[m.score(features(t, words)) for t in b["_text"]])
+            for i in range(0, len(b), ROWS_AT_ONCE):
+                part = b.iloc[i : i + ROWS_AT_ONCE]
+                yield part[names].assign(_score=[m.score(features(t or "", words)) for t in part[text]])
 
-    names = [id_col, *carry]
+    names = list(dict.fromkeys((id_col, *carry)))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    got = docs.select(*names, text_col().alias("_text")).mapInPandas(run, f"{kinds}, _score double")
+    got = docs.select(*dict.fromkeys((*names, text))).mapInPandas(run, f"{kinds}, _score double")
     made = (held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
     return got.select(id_col, *made, *[F.col(c) for c in carry])
 
@@ -289,7 +302,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple =
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic."""
     columns = docs.columns
-    # by position and under other names, since columns of docs may be called as those of the score
-    plain = docs.select("doc_id", text_col().alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    scored = score(plain, fit(docs, labels), carry=("_row",))
-    return scored.where("predicted = 0").select(*[F.col(f"_row.`{c}`") for c in columns])
+    # by position, since columns of docs may be called as those of the score
+    plain = [f"c{i}" for i in range(len(columns))]
+    key, text = (plain[columns.index(c)] for c in ("doc_id", "text"))
+    scored = score(docs.toDF(*plain), fit(docs, labels), key, tuple(c for c in plain if c != key), text)
+    return scored.where("predicted = 0").select(*plain).toDF(*columns)
