@@ -221,7 +221,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, targ
     classes = kept.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("prefixes").alias("prefixes"))
     paths = classes.select("node", F.explode("prefixes").alias("prefix"))
     tops = paths.groupBy("prefix").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = paths.join(tops, "prefix").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
+    # a class and its least trie top are joined, and that top with the class's others (one for each tree at most); many classes share these pairs
+    stars = paths.join(tops, "prefix").where("node <> top").groupBy("node").agg(F.min("top").alias("b"), F.collect_set("top").alias("others"))
+    stars = stage(stars, "stars")
+    edges = stars.select(F.col("node").alias("a"), "b").unionByName(stars.select(F.explode("others").alias("a"), "b").where("a <> b").distinct())
     grouped = components(edges)
 
     # the texts of candidate groups, one for each class
