@@ -126,9 +126,11 @@ def sketch(docs: DataFrame, trees: int, depth: int, id_col: str = "doc_id") -> D
     return rows.mapInPandas(run, f"doc_id {kind}, text_hash bigint, node bigint, prefixes array<bigint>")
 
 
-def links_inside(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold, as a matrix; only pairs of different sides where sides differ at all."""
+def links_inside(sets: list[np.ndarray], side: np.ndarray, threshold: float, cross: bool) -> np.ndarray:
+    """Which pairs reach the threshold, as a matrix; cross: only pairs of different sides, as each side's own pairs are another tile's."""
     m = len(sets)
+    if cross and (side == side[0]).all():
+        return np.zeros((m, m), bool)
     sizes = np.array([len(s) for s in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(m), sizes)
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -148,7 +150,7 @@ def links_inside(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
     union = sizes[:, None] + sizes[None, :] - common
     adj = common >= threshold * union - 1e-6
     np.fill_diagonal(adj, False)
-    if len(set(side.tolist())) > 1:
+    if cross:
         adj &= side[:, None] != side[None, :]
     return adj
 
@@ -165,7 +167,7 @@ def roots_of(adj: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def verify(groups: DataFrame, threshold: float) -> DataFrame:
-    """node, links, root, tiled for rows (grp, tile, side, tiled, node, copies, text) whose tile's rows stand together."""
+    """node, links, root, tiled for rows (grp, tile, side, cross, tiled, node, copies, text) whose tile's rows stand together."""
 
     def close(rows):
         seen, keep = set(), []
@@ -175,7 +177,7 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
                 keep.append(r)
         names = np.array([r[0] for r in keep], np.int64)
         copies = np.array([r[1] for r in keep], np.int64)
-        adj = links_inside([r[3] for r in keep], np.array([r[2] for r in keep]), threshold)
+        adj = links_inside([r[3] for r in keep], np.array([r[2] for r in keep]), threshold, rows[0][5])
         root = roots_of(adj, names)
         return names, adj @ copies, root, rows[0][4]
 
@@ -185,7 +187,7 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         at, rows, done, held = None, [], [], 0
         for b in batches:
-            for grp, tile, side, tiled, node, copies, text in b.itertuples(index=False):
+            for grp, tile, side, cross, tiled, node, copies, text in b.itertuples(index=False):
                 if (grp, tile) != at:
                     if rows:
                         done.append(close(rows))
@@ -196,7 +198,7 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
                         done, held = [], 0
                 sh = shingles(text)
                 if node_of(sh) == node:  # another text under the same id is not meant
-                    rows.append((node, copies, side, sh, tiled))
+                    rows.append((node, copies, side, sh, tiled, cross))
         if rows:
             done.append(close(rows))
         if done:
@@ -238,7 +240,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, targ
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiles = texts.join(sizes, "grp").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
-    tiles = tiles.select("grp", tile.alias("tile"), "side", (F.col("blocks") > 1).alias("tiled"), "node", "copies", "text")
+    tiles = tiles.select("grp", tile.alias("tile"), "side", (F.col("side") != F.col("other")).alias("cross"), (F.col("blocks") > 1).alias("tiled"), "node", "copies", "text")
     verified = stage(verify(tiles.repartition("grp", "tile").sortWithinPartitions("grp", "tile"), threshold), "verified")
 
     found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.bool_or("tiled").alias("tiled"))

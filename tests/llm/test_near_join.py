@@ -78,3 +78,17 @@ def test_depth_follows_recall():
     d = near_join.depth_for()
     miss = lambda k: (1 - 0.8**k) ** near_join.TREES
     assert miss(d) <= 1 - near_join.TARGET_RECALL < miss(d + 1)
+
+
+def test_long_texts_in_few_tiles(spark):
+    """Few rows by many blocks: often a side has no row."""
+    for seed in range(4):
+        rnd = random.Random(seed)
+        w = rnd.choices(VOC, k=300)
+        texts = []
+        for i in range(2 + seed):
+            w[rnd.randrange(len(w))] = f"x{i}"
+            texts.append(" ".join(w))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.join(docs, tile_bytes=len(texts[0])).collect()}
+        assert got == expect(texts)
