@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from .common import arrow_fs, shared_dir, stage
 
 MAGIC = b"WARC/1.1\r\n"
+_END = b"\r\n\r\n"
+_LENGTH = re.compile(rb"(?i)\r\nContent-Length:\x20*(\d{1,18})\r\n")
 #: An archive is closed at this size, so what one task joins is bounded.
 FILE_BYTES = 64 << 20
-#: A scanning task reads this much, and what the last header in it needs.
+#: A scanning task reads this much, and what the last header in it needs, in steps of READ_ON at least.
 SPLIT_BYTES = 16 << 20
-MOST_HEADER = 64 << 10
+READ_ON = 64 << 10
 
 
 def sha1_base32(data: bytes) -> str:
@@ -108,31 +110,45 @@ def write(pages: DataFrame, least: int = 0, to: str | None = None, file_bytes: i
 
 
 def candidates(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, size, at, body, next) of each place that looks like a record: its offset, its block's offset and its successor's."""
-    splits = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
+    """(path, size, n_records, at, body, next) of each place that looks like a record: its offset, its block's offset and its successor's.
+
+    A header may have any length: the task reads on to its end. The next header's
+    end and length are searched once for all places before them.
+    """
+    splits = manifest.select("path", "size", "n_records", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
     n = max(1, min(splits.count(), 10_000))
 
     def run(batches):
         for b in batches:
-            for path, size, lo in zip(b["path"], b["size"], b["lo"]):
+            for path, size, n_records, lo in zip(b["path"], b["size"], b["n_records"], b["lo"]):
                 hi = min(size, lo + split_bytes)
                 fs, inner = arrow_fs(path)
                 with fs.open_input_file(inner) as f:
                     f.seek(lo)
-                    data = f.read(min(size, hi + MOST_HEADER) - lo)
-                found = []
-                for m in re.finditer(re.escape(MAGIC), data):
-                    if lo + m.start() >= hi:
-                        break
-                    end = data.find(b"\r\n\r\n", m.end(), m.end() + MOST_HEADER)
-                    length = end >= 0 and re.search(rb"(?i)\r\nContent-Length:\x20*(\d{1,18})\r\n", data[m.end() - 2 : end + 2])
-                    if length:
-                        body = lo + end + 4
-                        found.append((path, size, lo + m.start(), body, body + int(length[1]) + 4))
+                    data = f.read(min(size, hi + READ_ON) - lo)
+                    found, end, length, looked = [], -1, None, -1
+                    for m in re.finditer(re.escape(MAGIC), data):
+                        if lo + m.start() >= hi:
+                            break
+                        if end < m.end():
+                            end = data.find(_END, m.end())
+                        while end < 0 and lo + len(data) < size:
+                            old, data = len(data), data + f.read(min(size - lo - len(data), max(READ_ON, len(data))))
+                            end = data.find(_END, old - len(_END) + 1)
+                        if end < 0:
+                            break  # nor do later places have an end
+                        if looked < m.end() - 2:  # the first length from here on, if it is in a header that ends by `end`
+                            length = _LENGTH.search(data, m.end() - 2, end + 2)
+                            looked = length.start() if length else end - 1
+                        if length and length.start() >= m.end() - 2:
+                            body = lo + end + 4
+                            found.append((path, size, n_records, lo + m.start(), body, body + int(length[1]) + 4))
+                if lo == 0 and not (found and found[0][3] == 0):
+                    raise ValueError(f"no record is at the start of {path}")
                 if found:
-                    yield pd.DataFrame(found, columns=["path", "size", "at", "body", "next"])
+                    yield pd.DataFrame(found, columns=["path", "size", "n_records", "at", "body", "next"])
 
-    return splits.repartition(n).mapInPandas(run, "path string, size bigint, at bigint, body bigint, next bigint")
+    return splits.repartition(n).mapInPandas(run, "path string, size bigint, n_records bigint, at bigint, body bigint, next bigint")
 
 
 def reachable(at: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -157,20 +173,21 @@ READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Page records of the archives with their verified digests. complete: the file's chain ends at its end.
 
-    Candidates of one archive meet in one task, as small rows; the writer bounds an archive's size.
+    An archive whose chain ends elsewhere, or has other than the manifest's
+    number of page records, raises ValueError. Candidates of one archive meet in one task, as small rows; the writer bounds an archive's size.
     """
 
     def run(key, c):
-        path, size = key
+        path, size, n_records = key
         c = c.sort_values("at").drop_duplicates("at")
         keep = c[reachable(c["at"].to_numpy(), c["next"].to_numpy())]
         whole = bool(len(keep)) and int(keep["next"].iloc[-1]) == size
+        if not whole:
+            raise ValueError(f"the chain of {path} doesn't end at the file's end, {size}")
         fs, inner = arrow_fs(path)
         rows = []
         with fs.open_input_file(inner) as f:
             for at, body, after in zip(keep["at"], keep["body"], keep["next"]):
-                if after > size:
-                    continue
                 f.seek(at)
                 data = f.read(after - at)
                 head = dict(x.split(": ", 1) for x in data[len(MAGIC) : body - at - 4].decode().split("\r\n"))
@@ -185,10 +202,12 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                     raise ValueError(f"the payload at {at} of {path} doesn't fit its digest")
                 ident = lambda x: int(y) if (y := x[1:-1].removeprefix("urn:page:")) else None
                 rows.append((ident(head["WARC-Record-ID"]), stated, digest, kind, ident(head["WARC-Refers-To"]) if kind == "revisit" else None, head["WARC-Target-URI"], path, at, whole))
+        if len(rows) != n_records:
+            raise ValueError(f"{path} has {len(rows)} page records and not {n_records}")
         names = [x.split()[0] for x in READ.split(", ")]
         out = pd.DataFrame(rows, columns=names)
         for c in ("page_id", "refers_to"):
             out[c] = out[c].astype("Int64")
         return out
 
-    return candidates(manifest, split_bytes).groupBy("path", "size").applyInPandas(run, READ)
+    return candidates(manifest, split_bytes).groupBy("path", "size", "n_records").applyInPandas(run, READ)

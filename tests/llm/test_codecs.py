@@ -227,3 +227,14 @@ def test_pointer_jumping():
     assert warc.reachable(at, np.array([9, 20, 20, 31, 40, 40])).tolist() == [True, False, True, False, True, False]
     assert warc.reachable(np.array([3, 5]), np.array([5, 9])).tolist() == [False, False]
     assert warc.reachable(np.array([], int), np.array([], int)).tolist() == []
+
+
+def test_warc_long_header_and_broken_chain(spark):
+    rows = [(1, "http://a", "one"), (2, "http://" + "\u65e5" * 9000, "two"), (3, "c", "three")]
+    m = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1))
+    for split in (1000, warc.SPLIT_BYTES):
+        assert sorted(r.page_id for r in warc.read(m, split).collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="page records"):
+        warc.read(m.withColumn("n_records", m["n_records"] + 1)).collect()
+    with pytest.raises(Exception, match="doesn't end"):
+        warc.read(m.withColumn("size", m["size"] - 1)).collect()
