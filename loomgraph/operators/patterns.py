@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,20 +47,35 @@ def optional(df: DataFrame, pattern: DataFrame, on) -> DataFrame:
     return df.join(pattern, on, "left")
 
 
-def walks(edges: DataFrame, low: int, high: int) -> DataFrame:
+#: A level of unbounded walks with more rows is an error; cycles that share nodes make their number grow without measure.
+MOST_WALKS = 50_000_000
+
+
+def walks(edges: DataFrame, low: int, high: int | None) -> DataFrame:
     """(src_id, dst_id, hops, path) for each walk of low to high edges that uses no edge twice; path has the nodes.
 
     edges: distinct (src_id, dst_id). One join a hop; high bounds the plan.
+    Without high, levels are made and checkpointed until one is empty; one of
+    more than MOST_WALKS rows raises OverflowError.
     """
+    if high is None:
+        edges = edges.checkpoint()
     step = edges.select(F.col("src_id").alias("_s"), F.col("dst_id").alias("_d"))
     at = edges.select("src_id", "dst_id", F.lit(1).alias("hops"), F.array("src_id", "dst_id").alias("path"))
     levels = [at]
-    for k in range(2, high + 1):
+    for k in count(2) if high is None else range(2, high + 1):
         nxt = at.join(step, F.col("dst_id") == F.col("_s"))
         used = F.exists(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: (F.element_at("path", i) == F.col("_s")) & (F.element_at("path", i + 1) == F.col("_d")))
         at = nxt.where(~used).select("src_id", F.col("_d").alias("dst_id"), F.lit(k).alias("hops"), F.concat("path", F.array("_d")).alias("path"))
+        if high is None:
+            at = at.limit(MOST_WALKS + 1).checkpoint()
+            n = at.count()
+            if n > MOST_WALKS:
+                raise OverflowError(f"more than {MOST_WALKS} walks of {k} edges: state an upper bound")
+            if not n:
+                break
         levels.append(at)
-    return reduce(DataFrame.unionByName, levels[low - 1 :])
+    return reduce(DataFrame.unionByName, levels[low - 1 :] or [edges.limit(0).select("src_id", "dst_id", F.lit(1).alias("hops"), F.array("src_id", "dst_id").alias("path"))])
 
 
 def reachable(edges: DataFrame, low: int, high: int) -> DataFrame:
@@ -73,15 +89,20 @@ def reachable(edges: DataFrame, low: int, high: int) -> DataFrame:
     return reduce(DataFrame.unionByName, levels[low - 1 :]).distinct()
 
 
-def closure(edges: DataFrame, start: DataFrame, most: int = 30) -> DataFrame:
-    """(id, depth) of what start's ids reach, each node once at its least depth: a level is joined against what is seen."""
+def closure(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, depth) of what start's ids reach, each node once at its least depth: a level is joined against what is seen.
+
+    It goes on until a level has no new node; if there still is one after most levels, it raises OverflowError.
+    """
     step = edges.select(F.col("src_id").alias("_from"), F.col("dst_id").alias("id")).distinct()
     seen = start.toDF("id").distinct().withColumn("depth", F.lit(0))
     front = seen
-    for d in range(1, most + 1):
+    for d in count(1):
         new = front.select(F.col("id").alias("_from")).join(step, "_from").select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if new.isEmpty():
             break
+        if most is not None and d > most:
+            raise OverflowError(f"nodes are more than {most} edges away")
         seen, front = seen.unionByName(new).checkpoint(), new
     return seen
 

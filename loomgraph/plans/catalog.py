@@ -533,7 +533,7 @@ def j17_closure(spark, d, start: str = "fn:0"):
 
     g = graph(spark, d)
     ensure_checkpoint(spark)
-    return closure(pairs(g, ("CALLS",)).checkpoint(), spark.createDataFrame([(start,)], "id string"), 1000).agg(F.count("*").alias("reached"))
+    return closure(pairs(g, ("CALLS",)).checkpoint(), spark.createDataFrame([(start,)], "id string")).agg(F.count("*").alias("reached"))
 
 
 def ensure_checkpoint(spark):

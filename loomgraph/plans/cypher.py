@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.patterns import walks
-
-#: Upper bound of a variable-length relationship that states none.
-MOST_HOPS = 8
+from ..sources.folders import shared_root
 
 _TOKEN = re.compile(r"""\s+|//[^\n]*|(?P<num>\d+\.\d+|\d+(?!\.\d))|(?P<str>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<param>\$\w+)|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<op><>|<=|>=|=~|\.\.|<-|->|[-+*/%=<>(){}\[\],.:|^])""")
 _AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
@@ -127,9 +125,9 @@ class Parser:
                 r.types = tuple(self.alternatives())
             if self.op("*"):
                 low = int(self.name_or_number()) if self.tokens[self.i][0] == "num" else 1
-                high = low if self.tokens[self.i - 1][0] == "num" else MOST_HOPS
+                high = low if self.tokens[self.i - 1][0] == "num" else None
                 if self.op(".."):
-                    high = int(self.name_or_number()) if self.tokens[self.i][0] == "num" else MOST_HOPS
+                    high = int(self.name_or_number()) if self.tokens[self.i][0] == "num" else None  # goes on until no walk is new
                 r.hops = (low, high)
             self.need("]")
         right = self.op("->")
@@ -492,6 +490,8 @@ class Compiler:
             turned = e.select(*[F.col(ends.get(c, c)).alias(c) for c in e.columns])
             e = {"out": lambda: e, "in": lambda: turned, "any": lambda: e.unionByName(turned)}[r.direction]()
             if r.hops:
+                if r.hops[1] is None:
+                    shared_root(e.sparkSession)
                 e = walks(e.select("src_id", "dst_id").distinct(), *r.hops)
                 self.kinds[r.var] = "path"
                 e = e.select(F.col("src_id").alias("_s"), F.col("dst_id").alias("_d"), F.col("path").alias(r.var))

@@ -207,3 +207,21 @@ def test_watched_folder_and_live_update(spark, tmp_path):
     (root / "src/a.py").write_text("def three():\n    return 3\n")
     (root / "src/b.py").unlink()
     assert turn() == {("src/a.py", "three")}
+
+
+def test_walks_and_closure_without_bound(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    e = edges(spark, " ".join(f"n{i}>n{i + 1}" for i in range(35)))
+    start = spark.createDataFrame([("n0",)], "id string")
+    assert patterns.closure(e, start).count() == 36
+    with pytest.raises(OverflowError):
+        patterns.closure(e, start, 30)
+    few = edges(spark, " ".join(f"n{i}>n{i + 1}" for i in range(12)))
+    assert patterns.walks(few, 1, None).count() == 78 and patterns.walks(few, 12, None).count() == 1 and patterns.walks(few, 13, None).count() == 0
+    names = [f"n{i}" for i in range(13)]
+    nodes = conform(spark.createDataFrame([(n, "Function", n) for n in names], "id string, label string, name string"), NODE_DDL)
+    calls = conform(spark.createDataFrame([("CALLS", a, b, "Function", "Function") for a, b in zip(names, names[1:])], "type string, src_id string, dst_id string, src_label string, dst_label string"), EDGE_DDL)
+    assert Graph(nodes, calls).cypher("MATCH (a {name: 'n0'})-[:CALLS*]->(b) RETURN b.name").count() == 12
+    monkeypatch.setattr(patterns, "MOST_WALKS", 10)
+    with pytest.raises(OverflowError):
+        patterns.walks(few, 1, None)
