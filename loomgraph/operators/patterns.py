@@ -112,6 +112,43 @@ def cycles(edges: DataFrame, most: int) -> DataFrame:
     return walks(edges, 1, most).where("src_id = dst_id").select(F.col("src_id").alias("id"), "hops").distinct()
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Distinct id of the nodes on closed walks of any number of edges: those on a loop or in a strong component of several nodes.
+
+    Nodes without edges on both sides go first. Then each node takes the least
+    id that reaches it; edges between different labels are in no cycle, and what
+    reaches a label's own node under that label is that node's component. It
+    leaves, and the rest is done again. Rows stay linear in the edges; rounds
+    follow the longest path of a component.
+    """
+    found = edges.where("src_id = dst_id").select(F.col("src_id").alias("id")).distinct()
+    left = edges.where("src_id <> dst_id").select("src_id", "dst_id").distinct().checkpoint()
+    size = left.count()
+    while size:
+        less = left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
+        less = less.join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id").checkpoint()
+        before, left, size = size, less, less.count()
+        if size < before:
+            continue
+        labels = left.select(F.col("src_id").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
+        while True:
+            low = left.join(labels.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("label").alias("low"))
+            new = labels.join(low, "id", "left").select("id", F.least("label", "low").alias("label"), F.coalesce(F.col("low") < F.col("label"), F.lit(False)).alias("moved")).checkpoint()
+            labels = new.select("id", "label")
+            if new.where("moved").isEmpty():
+                break
+        ends = left.join(labels.toDF("src_id", "_s"), "src_id").join(labels.toDF("dst_id", "_d"), "dst_id")
+        left = ends.where("_s = _d").select("src_id", "dst_id").checkpoint()
+        back = left.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
+        component = closure(back, labels.where("id = label").select("id")).select("id")
+        part = component.join(labels, "id")
+        several = part.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+        found = found.unionByName(part.join(several, "label", "left_semi").select("id")).distinct().checkpoint()
+        left = left.join(component.toDF("src_id"), "src_id", "left_anti").join(component.toDF("dst_id"), "dst_id", "left_anti").select("src_id", "dst_id").checkpoint()
+        size = left.count()
+    return found
+
+
 def count_of(df: DataFrame, pattern: DataFrame, key: str, name: str) -> DataFrame:
     """size() of a pattern: rows of pattern (its only column named key) for each row of df, 0 where there is none."""
     n = pattern.toDF(key).groupBy(key).agg(F.count("*").alias(name))

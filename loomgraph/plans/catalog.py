@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import full_match, percent
-from ..operators.patterns import count_of, cycles, exists, hop, named, not_exists, optional, pairs, reachable
+from ..operators.patterns import count_of, cycles, exists, hop, named, not_exists, on_cycles, optional, pairs, reachable
 from .binding import graph
 from .registry import query
 
@@ -83,6 +83,16 @@ def d08(spark, d, most: int = 3):
     return cycles(pairs(graph(spark, d), ("CALLS",)), most)
 
 
+@query("d08_on_call_cycles", """
+select distinct id from (
+  with recursive r(id, reached) as (select src, dst from calls union select r.id, c.dst from r join calls c on c.src = r.reached) select id from r where id = reached)""")
+def d08_any(spark, d):
+    """The functions on call cycles of any length, as the reference's unbounded pattern has them; d08_circular_calls has the lengths up to 3."""
+    g = graph(spark, d)
+    ensure_checkpoint(spark)
+    return on_cycles(pairs(g, ("CALLS",)))
+
+
 @query("d09_unused_functions", "select id, name, file_path from fn where id not in (select dst from calls) and name <> 'main'")
 def d09(spark, d):
     g = graph(spark, d)

@@ -209,6 +209,14 @@ def test_watched_folder_and_live_update(spark, tmp_path):
     assert turn() == {("src/a.py", "three")}
 
 
+def test_cycles_of_any_length(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    ring = " ".join(f"r{i}>r{(i + 1) % 7}" for i in range(7))
+    e = edges(spark, f"{ring} r3>a a>b b>c c>d d>a a>x x>y s>s t>r0 y>z z>s p>q q>p")
+    assert sorted(r.id for r in patterns.on_cycles(e).collect()) == sorted([*(f"r{i}" for i in range(7)), *"abcdspq"])
+    assert patterns.on_cycles(edges(spark, "a>b b>c")).count() == 0
+
+
 def test_walks_and_closure_without_bound(spark, tmp_path, monkeypatch):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     e = edges(spark, " ".join(f"n{i}>n{i + 1}" for i in range(35)))
