@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with banded MinHash LSH and exact verification.
 
-Documents with equal shingle sets are one class. Each class has, in each of
-TREES prefix tries, a path of minimum hashes; the length of the prefix that two
-paths must share starts at DEEPEST and is shortened until a pair at the
-threshold is found with the target recall. Classes that share a prefix in some
-tree are joined into candidate groups by components over one edge for each
+Documents with equal shingle sets are one class. In place of an LSH forest's
+sorted tries there are TREES bands of one fixed depth: the longest, from DEEPEST
+down, at which a pair at the threshold is found with the target recall. It
+follows from the parameters before any row is read, and is the same for all
+classes. Classes that share a band's minimums, called a trie node below, are joined into candidate groups by components over one edge for each
 member of a trie node, so nothing grows with the square of a node's size. The
 groups' texts then meet once, and all pairs inside a group are verified exactly
 in numpy. A group larger than a tile is verified tile by tile; only counts and
