@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -29,9 +30,20 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def large_batches(spark: SparkSession, rows: int = 20_000):
+    """Steps over narrow rows that run inside take so many rows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release() -> None:
     """Gives memory that a step on the driver has freed back to the system, where the C library can."""
-    import contextlib
     import ctypes
     import gc
 
@@ -72,11 +84,43 @@ def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a stage folder through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared folder, in place of the one that is there."""
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The file's text, or None if there is no file."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    f = fs.open(p)
+    try:
+        return bytes(f.readAllBytes()).decode()
+    finally:
+        f.close()
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_stage(df: DataFrame) -> None:

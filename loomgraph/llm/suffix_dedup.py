@@ -1,41 +1,63 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
-The suffixes that an index holds begin at content-defined places: the place of
-the least hash among the 32-byte grams of each 400-byte window. A window that
-occurs twice has its place at the same offset both times, so nothing is missed,
-and an array has about one suffix for 185 bytes. An array is sorted by the
-suffixes' first eight bytes, then a hash of their first 32.
-
-New batches get arrays of their own. They are merge-scanned against every level
-of the family for suffixes that begin alike; then arrays of equal size merge,
-level by level, so each suffix is rewritten about log2(batches) times.
-Suffixes that matched come with their windows' bytes to one task by their
-beginning, and windows are compared there. Where one beginning has very many
-suffixes, its windows are counted by hash across the cluster instead.
+An array holds the suffixes that begin at content-defined places: the place of
+the least hash among the GRAM-byte grams of each window of SHORT bytes. Equal
+windows have their place at the same offset, so nothing is missed, and an array
+has about one suffix for 109 bytes. Arrays are in the order of the suffixes'
+first GRAM bytes, over range partitions whose bounds go on into what follows
+(context, text), so that a common beginning is dealt to many tasks.
+
+A new batch gets an array of its own and is merge-scanned against every level
+of the family: in the merged order, neighbours that begin alike are candidates,
+and neighbours whose whole contexts are alike match at once. Then arrays of equal
+size merge, level by level, so each suffix is rewritten about log2(batches)
+times. Of the contexts that differ under one beginning, one of each kind is
+compared window by window. Where very many kinds share a beginning they are
+parted by more bytes around it first, and counted across the cluster if they
+are still many.
+
+A family lives in its folder: levels, texts and state can be opened again, and a
+later batch cuts, and is cut by, what earlier ones hold.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, drop_stage, narrow, shared_dir, stage, text_col
+from .common import WORD, clean_up, drop_path, large_batches, read_text, shared_dir, stage, text_col, write_text
 
 LENGTH = 400
-GRAM = 32
-BATCHES = 4
-#: A beginning with more suffixes, which is about 12 MB of windows, is counted across the cluster.
-HOT = 20_000
-BUFFER = 4 << 20
+#: Passages of more words that another document has are told too, if they have at least SHORT bytes.
+PASSAGE_WORDS, SHORT = 50, 240
+GRAM = 24
+BATCHES = 2
+#: A beginning with more kinds of context, which is about 1 MB of windows, is parted by more bytes.
+HOT = 2_000
+#: Windows that are parted together.
+BLOCK = 32
+BUFFER = 1 << 20
+#: Rows that a merge scan looks at together; runs at their edges are put together afterwards.
+CHUNK = 200_000
 #: Short texts are hashed together in arrays that stay in a core's cache.
 TOGETHER = 96 << 10
 
-KEY = ["k1", "k2"]
-ENTRY = "k1 bigint, k2 bigint, tid bigint, pos int, first int, last int"
+KEY = ["s1", "s2", "s3"]
+ORDER = [*KEY, "ctx", "tid", "first"]
+ENTRY = "s1 bigint, s2 bigint, s3 bigint, ctx bigint, tid bigint, pos int, first int, last int"
+SCANNED = f"{ENTRY}, settled boolean, across boolean, lead boolean, multi boolean, edge boolean, head boolean, n bigint, new bigint, low bigint, high bigint, same bigint, tmin bigint, tmax bigint, outer boolean"
+CONTEXT = "s1 bigint, s2 bigint, s3 bigint, tid bigint, pos int, first int, last int, bytes binary"
+RUN = "tid bigint, a bigint, b bigint, short boolean, long boolean"
+
+_WORDS = re.compile(WORD.encode())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -50,7 +72,7 @@ def rolling(data: np.ndarray, length: int) -> np.ndarray:
     rest = length
     while True:
         if rest & 1:
-            out = h if out is None else _mix(out[: len(data) - done - size + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[done : len(data) - size + 1])
+            out = h if out is None else _mix(out[: max(0, len(data) - done - size + 1)] * np.uint64(0xC2B2AE3D27D4EB4F) + h[done : max(done, len(data) - size + 1)])
             done += size
         rest >>= 1
         if not rest:
@@ -59,17 +81,17 @@ def rolling(data: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of GRAM bytes, from its four words of eight."""
+def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of GRAM bytes, and the words of eight bytes (the first byte lowest) that it is made of."""
     w = data.astype(np.uint64)
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << np.uint64(8 * k))
     n = len(data) - GRAM + 1
     h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for k, m in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
+    for k, m in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9)):
         h ^= h >> np.uint64(32)
         h += w[k : k + n] * np.uint64(m)
-    return _mix(h)
+    return _mix(h), w
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,114 +102,284 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def suffixes(texts: list[tuple[int, bytes]], length: int = LENGTH):
-    """Columns (k1, k2, tid, pos, first, last) of the indexed suffixes: pos is the suffix's start, first to last the windows that have it."""
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed."""
+
+    BASE = 0xD6E8FEB86659FD93
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            one = lambda x: np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)))
+            self.up, self.down = one(self.BASE), one(pow(self.BASE, -1, 1 << 64))
+        return self.up, self.down
+
+
+_POWERS = Powers()
+
+
+def suffixes(texts: list[tuple[int, bytes]], short: int = SHORT, length: int = LENGTH):
+    """Columns of ENTRY: s1 to s3, the suffix's first bytes in byte order; ctx, a hash of the bytes of all its windows;
+    pos, its start; first to last, the windows of `short` bytes that have it."""
     out = []
     buffer, at = [], 0
 
     def close():
-        data = np.frombuffer(b"".join(x[3] for x in buffer), np.uint8)
-        grams = gram_hashes(data)
+        data = np.frombuffer(b"".join(x[2] for x in buffer), np.uint8)
+        grams, words = gram_hashes(data)
         place = np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min((grams & ~np.uint64(0xFFFFFF)) | place, length - GRAM + 1)
-        sizes = np.array([len(x[3]) for x in buffer])
+        least = sliding_min((grams & ~np.uint64(0xFFFFFF)) | place, short - GRAM + 1)
+        sizes = np.array([len(x[2]) for x in buffer])
         starts = np.cumsum(sizes) - sizes
-        count = sizes - length + 1
+        count = np.array([x[3] for x in buffer])
         which = np.repeat(np.arange(len(buffer)), count)
         window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[which]
         pos = (least[window] & np.uint64(0xFFFFFF)).astype(np.int64)
         cut = np.flatnonzero((np.diff(pos) != 0) | (np.diff(which) != 0)) + 1
         lo, hi = np.append(0, cut), np.append(cut, len(pos)) - 1
-        doc = which[lo]
-        p = pos[lo]
-        words = np.zeros(len(p), np.uint64)
-        for k in range(8):
-            words = (words << np.uint64(8)) | data[p + k]
-        base = np.array([x[2] for x in buffer])[doc] - starts[doc]
-        out.append(((words ^ np.uint64(1 << 63)).view(np.int64), grams[p].view(np.int64), np.array([x[0] for x in buffer], np.int64)[doc], p + base, window[lo] + base, window[hi] + base))
+        doc, p, first, last = which[lo], pos[lo], window[lo], window[hi]
+        end = np.minimum(starts[doc] + sizes[doc], last + length)
+        up, down = _POWERS.get(len(grams) + 1)
+        total = np.append(np.uint64(0), np.cumsum(grams * up[: len(grams)]))
+        ctx = _mix((total[end - GRAM + 1] - total[first]) * down[first] + (end - first).astype(np.uint64))
+        byte_order = lambda k: (words[p + k].byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+        base = np.array([x[1] for x in buffer])[doc] - starts[doc]
+        out.append((byte_order(0), byte_order(8), byte_order(16), ctx.view(np.int64), np.array([x[0] for x in buffer], np.int64)[doc], p + base, first + base, last + base))
 
     for tid, raw in texts:
-        for lo in range(0, max(1, len(raw) - length + 1), BUFFER):  # a long text in pieces; every window lies in one
+        for lo in range(0, len(raw) - short + 1, BUFFER):  # a long text in pieces; every window begins in one
             piece = raw[lo : lo + BUFFER + length - 1]
-            if len(piece) < length:
-                continue
             if at and at + len(piece) > TOGETHER:
                 close()
                 buffer, at = [], 0
-            buffer.append((tid, None, lo, piece))
+            buffer.append((tid, lo, piece, min(BUFFER, len(raw) - lo - short + 1)))
             at += len(piece)
     if buffer:
         close()
     if not out:
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 8
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def index_entries(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The suffixes of each distinct text; a task leaves out texts that it has just seen."""
+def index_entries(texts: DataFrame, short: int = SHORT, length: int = LENGTH) -> DataFrame:
+    """The suffixes of each text of texts(tid, text)."""
 
     def run(batches):
-        seen: set[int] = set()
         for b in batches:
-            texts = []
-            for tid, t in zip(b["tid"], b["text"]):
-                if tid in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(tid)
-                texts.append((tid, t.encode("utf-8", "surrogatepass")))
-            for i in range(0, len(texts), 2000):
-                k1, k2, tid, pos, first, last = suffixes(texts[i : i + 2000], length)
-                yield pd.DataFrame({"k1": k1, "k2": k2, "tid": tid, "pos": pos, "first": first, "last": last})
+            yield pd.DataFrame(dict(zip(NAMES, suffixes([(tid, t.encode("utf-8", "surrogatepass")) for tid, t in zip(b["tid"], b["text"])], short, length))))
+
+    return texts.select("tid", "text").mapInPandas(run, ENTRY)
+
+
+NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+_SCANNED = [x.split()[0] for x in SCANNED.split(", ")]
+
+
+def scan_chunk(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of entries in order, those that begin as a neighbour does, some of them new; and all in the runs at either edge, which may go on in other chunks."""
+    size = len(c["s1"])
+    change = lambda names: np.append(True, np.logical_or.reduce([c[x][1:] != c[x][:-1] for x in names]))
+    head = change(KEY)
+    lead = head | change(["ctx"])
+    key, kind = np.cumsum(head) - 1, np.cumsum(lead) - 1
+    begin, kind_begin = np.flatnonzero(head), np.flatnonzero(lead)
+    end, kind_end = np.append(begin[1:], size) - 1, np.append(kind_begin[1:], size) - 1
+    n, new = np.bincount(key), np.bincount(key, c["new"]).astype(np.int64)
+    same, kinds = np.bincount(kind), np.bincount(key[kind_begin])
+    tmin, tmax = c["tid"][kind_begin], c["tid"][kind_end]
+    edge, outer = (key == 0) | (key == key[-1]), (kind == 0) | (kind == kind[-1])
+    multi, settled = kinds[key] > 1, same[kind] > 1
+    keep = np.flatnonzero(edge | (new[key] > 0) & (settled | multi & lead))
+    k, j = key[keep], kind[keep]
+    made = {
+        "settled": settled[keep], "across": (tmin != tmax)[j], "lead": lead[keep], "multi": multi[keep], "edge": edge[keep], "head": head[keep], "n": n[k], "new": new[k],
+        "low": c["ctx"][begin][k], "high": c["ctx"][end][k], "same": same[j], "tmin": tmin[j], "tmax": tmax[j], "outer": outer[keep],
+    }
+    for x in ("n", "new", "low", "high", "same", "tmin", "tmax"):  # asked for of edges only
+        made[x] = np.where(made["edge"], made[x], 0)
+    return {x: c[x][keep] for x in NAMES} | made
+
+
+def merge_scan(ordered: DataFrame) -> DataFrame:
+    """SCANNED rows of entries in order with columns new (1 or 0) and part, which changes where rows that follow each other aren't neighbours."""
+
+    def run(batches):
+        held: list = []
 
-    rows = docs.select(text_col().alias("text")).where(F.octet_length("text") >= length)
-    return rows.select(F.xxhash64("text").alias("tid"), "text").mapInPandas(run, ENTRY)
+        def close():
+            c = {x: np.concatenate([h[x] for h in held]) for x in (*NAMES, "new")}
+            return pd.DataFrame({x: v for x, v in scan_chunk(c).items()})[_SCANNED]
+
+        size, at = 0, None
+        for b in batches:
+            part = b["part"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if held and (part[lo] != at or size > CHUNK):
+                    yield close()
+                    held, size = [], 0
+                at = part[lo]
+                held.append({x: b[x].to_numpy()[lo:hi] for x in (*NAMES, "new")})
+                size += hi - lo
+        if held:
+            yield close()
+
+    return ordered.select(*NAMES, "new", "part").mapInPandas(run, SCANNED)
+
+
+def matched(scanned: DataFrame) -> DataFrame:
+    """KEY, tid, pos, first, last, settled, across, rep: entries whose contexts another has (settled; across: another text),
+    and one (rep) of each kind where kinds differ under one beginning. Runs at chunks' edges, two of each chunk, are summed."""
+    shown = [*KEY, "tid", "pos", "first", "last"]
+    inner = scanned.where("not edge").select(*shown, "settled", "across", (F.col("multi") & F.col("lead")).alias("rep"))
+    edge = scanned.where("edge")
+    keys = edge.where("head").groupBy(*KEY).agg(F.sum("n").alias("kn"), F.sum("new").alias("knew"), F.min("low").alias("klow"), F.max("high").alias("khigh")).where("kn > 1 and knew > 0")
+    kinds = edge.where("lead and outer").groupBy(*KEY, "ctx").agg(F.sum("same").alias("ksame"), F.min("tmin").alias("kmin"), F.max("tmax").alias("kmax"))
+    fixed = edge.join(keys, KEY).join(kinds, [*KEY, "ctx"], "left")
+    settled, across = F.coalesce(F.col("ksame") > 1, F.col("settled")), F.coalesce(F.col("kmin") != F.col("kmax"), F.col("across"))
+    fixed = fixed.select(*shown, settled.alias("settled"), across.alias("across"), ((F.col("klow") != F.col("khigh")) & F.col("lead")).alias("rep"))
+    return inner.unionByName(fixed.where("settled or rep"))
 
 
 class IndexFamily:
-    """Levels of sorted suffix arrays; add() takes a batch and gives the beginnings that it shares with itself or the family.
+    """Levels of suffix arrays in byte order, the texts that they index, and what was found; all in one shared folder.
 
-    The levels' paths are all that the driver holds; they outlive the session if they are kept.
+    add() takes a batch; settle() compares what its matches left open; runs() gives all repeats so far, of every batch.
+    IndexFamily(spark, root) opens a family that is there.
     """
 
-    def __init__(self, spark, root: str | None = None):
+    def __init__(self, spark, root: str | None = None, length: int = LENGTH, short: int = SHORT, hot: int = HOT):
         self.spark, self.root = spark, root or shared_dir(spark, "suffixes")
-        self.levels: dict[int, str] = {}
-        self.made = 0
+        state = read_text(spark, f"{self.root}/state.json")
+        state = json.loads(state) if state else {"length": length, "short": min(short, length), "made": 0, "levels": {}, "texts": [], "pending": [], "runs": []}
+        self.hot = hot
+        self.length, self.short, self.made, self.texts_at, self.pending, self.runs_at = (state[x] for x in ("length", "short", "made", "texts", "pending", "runs"))
+        self.levels: dict[int, str] = {int(k): v for k, v in state["levels"].items()}
 
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(path)
+    def save(self):
+        write_text(self.spark, f"{self.root}/state.json", json.dumps({"length": self.length, "short": self.short, "made": self.made, "levels": self.levels, "texts": self.texts_at, "pending": self.pending, "runs": self.runs_at}))
 
-    def _write(self, df: DataFrame) -> str:
-        path = f"{self.root}/{self.made}"
+    def _new(self, tag: str) -> str:
         self.made += 1
-        df.repartition(*KEY).dropDuplicates([*KEY, "tid", "first"]).sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(path)
+        return f"{self.root}/{tag}-{self.made}"
+
+    def _kept(self, df: DataFrame, tag: str) -> str:
+        path = self._new(tag)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return path
 
-    def add(self, entries: DataFrame) -> DataFrame:
-        path = self._write(entries)
-        new = self.read(path)
-        scan = new.select(*KEY, F.lit(1).alias("new"))
-        for level in self.levels.values():
-            scan = scan.unionByName(self.read(level).select(*KEY, F.lit(0).alias("new")))
-        hits = scan.groupBy(*KEY).agg(F.sum("new").alias("new"), F.count("*").alias("n")).where("new > 0 and n > 1").select(*KEY)
-        hits = stage(hits, "hits")
-        level = 0
-        while level in self.levels:  # equal sizes merge, as digits carry
-            old = self.levels.pop(level)
-            merged = self._write(self.read(old).unionByName(self.read(path)))
-            for gone in (old, path):
-                drop_path(self.spark, gone)
-            path, level = merged, level + 1
-        self.levels[level] = path
-        return hits
-
-    def entries(self) -> DataFrame:
-        out = None
-        for path in self.levels.values():
-            out = self.read(path) if out is None else out.unionByName(self.read(path))
-        return out
+    def _read(self, paths: list[str], ddl: str) -> DataFrame:
+        return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+
+    def read(self, path: str) -> DataFrame:
+        return self._read([path], f"{ENTRY}, part int")
+
+    def texts(self) -> DataFrame:
+        """(tid, text, n): each distinct text of at least `short` bytes, and how many rows of a batch have it; text is null where an earlier batch has it."""
+        return self._read(self.texts_at, "tid bigint, text string, n bigint")
+
+    def _sorted(self, entries: DataFrame) -> DataFrame:
+        return entries.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id())
+
+    def add(self, docs: DataFrame) -> None:
+        """Indexes the texts of a batch that the family doesn't have, and scans them against all levels."""
+        rows = docs.select(text_col().alias("text")).where(F.octet_length("text") >= self.short).select(F.xxhash64("text").alias("tid"), "text")
+        rows = rows.groupBy("tid").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
+        if self.texts_at:
+            known = self.texts().select("tid", F.lit(True).alias("known")).distinct()
+            rows = rows.join(known, "tid", "left").select("tid", F.when(F.col("known").isNull(), F.col("text")).alias("text"), "n")
+        path = self._kept(rows.select("tid", "text", "n"), "texts")
+        self.texts_at.append(path)
+        fresh = self._read([path], "tid bigint, text string, n bigint").where("text is not null")
+        unsorted = self._kept(index_entries(fresh, self.short, self.length), "entries")
+        level, old = 0, dict(self.levels)
+        path = self._kept(self._sorted(self._read([unsorted], ENTRY)), "level")
+        drop_path(self.spark, unsorted)
+        fresh = self.read(path).withColumn("new", F.lit(1))
+        merging = []
+        while level in old:
+            merging.append(old.pop(level))
+            level += 1
+        with large_batches(self.spark):
+            if not merging and not old:
+                self.pending.append(self._kept(merge_scan(fresh), "scan"))
+            else:
+                # in one sort: what the family holds and what is new; if all of it merges, the new level is that sort's result
+                every = fresh.select(*NAMES, "new").unionByName(self._read(merging + list(old.values()), ENTRY).withColumn("new", F.lit(0)))
+                if not old:
+                    merged = self._kept(self._sorted(every), "level")
+                    found = merge_scan(self._read([merged], f"{ENTRY}, new int, part int"))
+                else:
+                    found = merge_scan(self._sorted(every))
+                self.pending.append(self._kept(found, "scan"))
+                if merging:
+                    if old:
+                        merged = self._kept(self._sorted(fresh.select(*NAMES).unionByName(self._read(merging, ENTRY))), "level")
+                    for gone in (*merging, path):
+                        drop_path(self.spark, gone)
+                    path = merged
+        self.levels = old | {level: path}
+        self.save()
+        clean_up(self.spark)
+
+    def settle(self) -> None:
+        """Compares the contexts that differ under one beginning, of all batches since the last time; runs go to the family's folder."""
+        if not self.pending:
+            return
+        scans = [matched(self._read([path], SCANNED)) for path in self.pending]
+        found = reduce(DataFrame.unionByName, scans)
+        whole = found.where("settled").select("tid", F.col("first").cast("long").alias("a"), F.col("last").cast("long").alias("b"), F.col("across").alias("short"), F.lit(True).alias("long"))
+        reps = found.where("rep").select(*KEY, "tid", "pos", "first", "last")
+        times = reps.groupBy(*KEY).agg(F.count("*").alias("times")).where(F.col("times") > self.hot).select(*KEY, F.lit(True).alias("hot"))
+        hot = self._read([self._kept(times, "hot")], "s1 bigint, s2 bigint, s3 bigint, hot boolean")
+        spots = reps.groupBy("tid").agg(F.collect_set(F.struct(*KEY, "pos", "first", "last")).alias("spots"))
+        contexts = self._contexts(spots)
+        runs = []
+        if hot.limit(1).count():
+            contexts = stage(contexts, "contexts").join(hot, KEY, "left")
+            deeper = stage(part(contexts.where("hot"), self.short, self.length), "deeper")
+            again = deeper.groupBy(*KEY).agg(F.count("*").alias("times")).where("times > 1")
+            deeper = stage(deeper.join(again, KEY), "again")
+            runs += [compare(deeper.where(F.col("times") <= self.hot), self.short, self.length), compare_hot(deeper.where(F.col("times") > self.hot), self.short, self.length)]
+            contexts = contexts.where("hot is null")
+        runs.append(compare(contexts, self.short, self.length))
+        for r in runs:
+            whole = whole.unionByName(r)
+        self.runs_at.append(self._kept(whole.repartition("tid"), "runs"))
+        for path in self.pending:
+            drop_path(self.spark, path)
+        self.pending = []
+        self.save()
+        clean_up(self.spark)
+
+    def _contexts(self, spots: DataFrame) -> DataFrame:
+        length = self.length
+        names = [x.split()[0] for x in CONTEXT.split(", ")]
+
+        def cut(frames):
+            for b in frames:
+                rows, held = [], 0
+                for tid, text, spots in zip(b["tid"], b["text"], b["spots"]):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for s in spots:
+                        rows.append((s["s1"], s["s2"], s["s3"], tid, s["pos"], s["first"], s["last"], raw[s["first"] : s["last"] + length]))
+                        held += len(rows[-1][-1])
+                    if held > BUFFER:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+        return self.texts().where("text is not null").join(spots, "tid").select("tid", "text", "spots").mapInPandas(cut, CONTEXT)
+
+    def runs(self) -> DataFrame:
+        """(tid, runs): windows a to b of `short` bytes that another text has (short), and of `length` bytes that start anywhere else too (long)."""
+        return self._read(self.runs_at, RUN).groupBy("tid").agg(F.collect_list(F.struct("a", "b", "short", "long")).alias("runs"))
 
 
 def repeated(windows: np.ndarray) -> np.ndarray:
@@ -200,95 +392,130 @@ def repeated(windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window_hashes(parts: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
-    """The hash of every window of every part, in order; part i has counts[i] windows."""
+def repeated_across(windows: np.ndarray, tids: np.ndarray) -> np.ndarray:
+    """Which hashes occur under more than one tid."""
+    order = np.lexsort((tids, windows))
+    x, t = windows[order], tids[order]
+    if not len(x):
+        return np.zeros(0, bool)
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    end = np.append(begin[1:], len(x)) - 1
+    out = np.zeros(len(x), bool)
+    out[order] = np.repeat(t[begin] != t[end], end - begin + 1)
+    return out
+
+
+def _windows(parts: list[bytes], counts: np.ndarray, length: int):
+    """The hash of the first counts[i] windows of each part i, in order, the part of each and its place there."""
     data = np.frombuffer(b"".join(parts), np.uint8)
-    h = rolling(data, length)
     sizes = np.array([len(p) for p in parts])
-    starts = np.cumsum(sizes) - sizes
-    return h[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)]
+    which = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return rolling(data, length)[at + (np.cumsum(sizes) - sizes)[which]], which, at
 
 
-def _runs(flags: np.ndarray, counts: np.ndarray, tids: np.ndarray, firsts: np.ndarray) -> pd.DataFrame:
-    """Runs of marked windows as (tid, a, b)."""
-    which = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(flags)) - np.repeat(np.cumsum(counts) - counts, counts)
+def _runs(flags: np.ndarray, which: np.ndarray, at: np.ndarray, tids: np.ndarray, firsts: np.ndarray, long: bool) -> pd.DataFrame:
+    """Runs of marked windows as RUN rows."""
     k = np.flatnonzero(flags)
-    if not len(k):
-        return pd.DataFrame({"tid": tids[:0], "a": firsts[:0], "b": firsts[:0]})
     cut = np.flatnonzero((np.diff(k) != 1) | (np.diff(which[k]) != 0)) + 1
-    lo, hi = k[np.append(0, cut)], k[np.append(cut, len(k)) - 1]
+    lo, hi = (k[np.append(0, cut)], k[np.append(cut, len(k)) - 1]) if len(k) else (k, k)
     w = which[lo]
-    return pd.DataFrame({"tid": tids[w], "a": firsts[w] + at[lo], "b": firsts[w] + at[hi]})
+    return pd.DataFrame({"tid": tids[w], "a": firsts[w] + at[lo], "b": firsts[w] + at[hi], "short": not long, "long": long})
+
+
+def _counts(parts: list[bytes], first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many short and long windows begin in each part."""
+    sizes = np.array([len(p) for p in parts])
+    return last - first + 1, np.clip(sizes - length + 1, 0, last - first + 1)
 
 
-def compare(contexts: DataFrame, length: int) -> DataFrame:
-    """Runs of windows that repeat among the suffixes of one beginning; its rows stand together."""
+def compare(contexts: DataFrame, short: int, length: int) -> DataFrame:
+    """RUN rows of the windows that repeat among the contexts of one beginning, which meet in one task."""
 
     def close(rows):
-        """Equal contexts need no look at their windows; of those that differ under one beginning, each is hashed once."""
-        whole, apart, i = [], [], 0
-        while i < len(rows):
-            j, same = i, {}
-            while j < len(rows) and rows[j][0] == rows[i][0] and rows[j][1] == rows[i][1]:
-                same.setdefault(rows[j][4], []).append(rows[j])
-                j += 1
-            for xs in same.values():
-                if len(xs) > 1:
-                    whole += xs
-                if len(same) > 1:
-                    apart.append((xs[0], len(xs) > 1))
-            i = j
-        first = np.array([r[3] for r in whole], np.int64)
-        out = [pd.DataFrame({"tid": np.array([r[2] for r in whole], np.int64), "a": first, "b": first + np.array([len(r[4]) - length for r in whole], np.int64)})]
-        if apart:
-            counts = np.array([len(r[4]) - length + 1 for r, _ in apart])
-            h = _window_hashes([r[4] for r, _ in apart], counts, length)
-            begin = np.array([(r[0] * 0x9E3779B9 ^ r[1]) & 0xFFFFFFFFFFFFFFFF for r, _ in apart], np.uint64)
-            flags = repeated(h ^ np.repeat(_mix(begin), counts)) & ~np.repeat(np.array([done for _, done in apart]), counts)
-            out.append(_runs(flags, counts, np.array([r[2] for r, _ in apart], np.int64), np.array([r[3] for r, _ in apart], np.int64)))
+        """Window hashes stand under their beginning's, so that many beginnings are compared together."""
+        tids, first, last = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
+        parts = [r[7] for r in rows]
+        begin = _mix(np.array([hash(r[:3]) & 0xFFFFFFFFFFFFFFFF for r in rows], np.uint64))
+        out = []
+        for size, counts, long in zip((short, length), _counts(parts, first, last, length), (False, True)):
+            h, which, at = _windows(parts, counts, size)
+            h = h ^ begin[which]
+            out.append(_runs(repeated(h) if long else repeated_across(h, tids[which]), which, at, tids, first, long))
         return pd.concat(out)
 
     def run(batches):
-        rows, held, last = [], 0, None
+        done, held, group, last = [], 0, [], None
         for b in batches:
-            for r in b.itertuples(index=False):
-                if held > BUFFER and (r[0], r[1]) != last:
-                    yield close(rows)
+            for r in b.itertuples(index=False, name=None):
+                if r[:3] != last:
+                    if len(group) > 1:
+                        done += group
+                        held += sum(len(x[7]) for x in group)
+                        if held > BUFFER:
+                            yield close(done)
+                            done, held = [], 0
+                    group, last = [], r[:3]
+                group.append(r)
+        if len(group) > 1:
+            done += group
+        if done:
+            yield close(done)
+
+    ordered = contexts.select(*KEY, "tid", "pos", "first", "last", "bytes").repartition(*KEY).sortWithinPartitions(*KEY)
+    return ordered.mapInPandas(run, RUN)
+
+
+def part(contexts: DataFrame, short: int, length: int) -> DataFrame:
+    """Contexts of common beginnings, in blocks of windows, each under a hash of the bytes that all windows of its block have, which are nearly all of theirs."""
+
+    def run(batches):
+        for b in batches:
+            rows, held = [], 0
+            for s1, s2, s3, tid, pos, first, last, raw in b.itertuples(index=False, name=None):
+                for j in range((pos - last) // BLOCK, (pos - first) // BLOCK + 1):
+                    a, z = max(first, pos - BLOCK * j - BLOCK + 1), min(last, pos - BLOCK * j)
+                    core = raw[pos - BLOCK * j - first : pos - BLOCK * j - BLOCK + 1 + short - first]
+                    digest = xxhash.xxh3_128_intdigest(core, j)
+                    signed = lambda x: (x & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                    rows.append((signed(digest), signed(digest >> 64), s1 ^ s2 ^ s3, tid, pos, a, z, raw[a - first : z - first + length]))
+                    held += len(rows[-1][-1])
+                if held > BUFFER:
+                    yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
-                last = (r[0], r[1])
-                rows.append(r)
-                held += len(r[4])
-        if rows:
-            yield close(rows)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
-    return contexts.select(*KEY, "tid", "first", "bytes").mapInPandas(run, "tid bigint, a bigint, b bigint")
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
+    return contexts.select(*names).mapInPandas(run, CONTEXT)
 
 
-def compare_hot(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for beginnings of very many suffixes: windows counted by two hashes, equal ones once for each task before they are sent."""
+def compare_hot(contexts: DataFrame, short: int, length: int) -> DataFrame:
+    """As compare(), for very many contexts that are nearly alike: windows counted by two hashes across the cluster."""
 
     def run(batches):
         for b in batches:
             for i in range(0, len(b), 1000):
-                part = b.iloc[i : i + 1000]
-                parts = list(part["bytes"])
-                counts = np.array([len(p) - length + 1 for p in parts])
-                h = _window_hashes(parts, counts, length)
-                turned = _window_hashes([p[::-1] for p in parts], counts, length)
-                back = np.repeat(np.cumsum(counts), counts) - 1 - (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pd.DataFrame({"h1": h.view(np.int64), "h2": turned[back].view(np.int64), "tid": np.repeat(part["tid"].to_numpy(), counts), "a": np.repeat(part["first"].to_numpy(), counts) + at})
+                some = b.iloc[i : i + 1000]
+                parts, tids = list(some["bytes"]), some["tid"].to_numpy()
+                first, last = some["first"].to_numpy().astype(np.int64), some["last"].to_numpy().astype(np.int64)
+                for size, counts, long in zip((short, length), _counts(parts, first, last, length), (False, True)):
+                    h, which, at = _windows(parts, counts, size)
+                    back, _, _ = _windows([p[: c + size - 1][::-1] for p, c in zip(parts, counts)], counts, size)
+                    turned = back[(np.cumsum(counts) - 1)[which] - at]
+                    yield pd.DataFrame({"h1": h.view(np.int64), "h2": turned.view(np.int64), "long": long, "tid": tids[which], "a": first[which] + at})
 
-    windows = stage(contexts.select("tid", "first", "bytes").mapInPandas(run, "h1 bigint, h2 bigint, tid bigint, a bigint"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return windows.join(twice, ["h1", "h2"]).select("tid", "a", F.col("a").alias("b"))
+    windows = stage(contexts.select("tid", "first", "last", "bytes").mapInPandas(run, "h1 bigint, h2 bigint, long boolean, tid bigint, a bigint").distinct(), "windows")
+    twice = windows.groupBy("h1", "h2", "long").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high")).where("n > 1 and (long or low <> high)").select("h1", "h2", "long")
+    return windows.join(twice, ["h1", "h2", "long"]).select("tid", "a", F.col("a").alias("b"), (~F.col("long")).alias("short"), "long")
 
 
 def cover(runs: list, length: int, size: int) -> list[tuple[int, int]]:
-    """Maximal covered byte runs for runs of window starts (a, b)."""
+    """Maximal covered byte runs for runs of window starts (a, b); windows that would pass the end are none."""
     out: list[list[int]] = []
     for a, b in sorted(runs):
+        if a > size - length:
+            continue
         end = min(size, b + length)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
@@ -297,98 +524,72 @@ def cover(runs: list, length: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _texts_of(docs: DataFrame, tids: DataFrame) -> DataFrame:
-    """(tid, text) of the given text ids, by way of one document each."""
-    rows = docs.select(text_col().alias("text")).select(F.xxhash64("text").alias("tid"), "text")
-    return narrow(rows, tids, "tid")
-
+def passages(raw: bytes, spans: list[tuple[int, int]], words: int = PASSAGE_WORDS) -> int:
+    """How many spans have more than so many whole words."""
+    count = 0
+    for a, z in spans:
+        found = list(_WORDS.finditer(raw, a, z))
+        cut = sum((m.start() == a and a > 0 and not raw[a - 1 : a].isspace()) or (m.end() == z and z < len(raw) and not raw[z : z + 1].isspace()) for m in (found[:1] + found[1:][-1:]))
+        count += len(found) - cut > words
+    return count
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT, family: IndexFamily | None = None):
-    """(tid, runs) of the distinct texts that have a window which starts anywhere else too, other than in an equal text; and their (tid, text)."""
-    spark = docs.sparkSession
-    entries = stage(index_entries(docs, length).withColumn("batch", F.pmod("tid", F.lit(batches)).cast("int")), "entries")
-    family = family or IndexFamily(spark)
-    hits = None
-    for k in range(batches):
-        h = family.add(entries.where(F.col("batch") == k).drop("batch"))
-        hits = h if hits is None else hits.unionByName(h)
-    drop_stage(entries)
-    hits = hits.distinct()
-    matched = family.entries().join(hits, KEY, "left_semi")
-    times = matched.groupBy(*KEY).agg(F.count("*").alias("times"))
-    matched = stage(matched.join(times, KEY), "matched")
-    for path in family.levels.values():
-        drop_path(spark, path)
-
-    spots = matched.groupBy("tid").agg(F.collect_list(F.struct(*KEY, "first", "last", "times")).alias("spots"))
-    texts = stage(_texts_of(docs, matched.select("tid").distinct()).dropDuplicates(["tid"]), "texts")
-
-    def cut(frames):
-        for b in frames:
-            rows, held = [], 0
-            for tid, text, spots in zip(b["tid"], b["text"], b["spots"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                for s in spots:
-                    rows.append((s["k1"], s["k2"], tid, s["first"], raw[s["first"] : s["last"] + length], s["times"]))
-                    held += len(rows[-1][4])
-                if held > BUFFER:
-                    yield pd.DataFrame(rows, columns=["k1", "k2", "tid", "first", "bytes", "times"])
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["k1", "k2", "tid", "first", "bytes", "times"])
 
-    contexts = texts.join(spots, "tid").mapInPandas(cut, "k1 bigint, k2 bigint, tid bigint, first bigint, bytes binary, times bigint")
-    is_hot = bool(matched.where(F.col("times") > hot).limit(1).count())
-    if is_hot:
-        contexts = stage(contexts, "contexts")
-    plain = contexts.where(F.col("times") <= hot)
-    runs = compare(plain.repartition(*KEY).sortWithinPartitions(*KEY), length)
-    if is_hot:
-        runs = runs.unionByName(compare_hot(contexts.where(F.col("times") > hot), length))
-    runs = runs.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    return runs, texts
-
-
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (the removed byte runs).
-
-    Each byte inside a string of length bytes that starts anywhere else too,
-    the same text included, is removed; strings are judged on the input and
-    never cross documents. Null text is empty; a text under length bytes keeps
-    all; rows with equal texts of length bytes or more lose all; an empty table
-    gives no rows; ids may be null or repeated; other columns are not read.
-    Texts are named by 64-bit hashes: among n distinct ones a wrong meeting has
-    odds of about n**2 / 2**65.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text"))
-    plain = rows.select("doc_id", F.xxhash64("text").alias("tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    plain = stage(plain, "digests")
-    runs, texts = find_repeats(docs, length, **options)
+def report(docs: DataFrame, family: IndexFamily, id_col: str = "doc_id") -> DataFrame:
+    """dedup()'s rows for docs, of whichever batch of the family."""
+    length, short = family.length, family.short
+    family.settle()
+    spans_of = "array<struct<start:bigint,end:bigint>>"
 
     def strip(frames):
         for b in frames:
             out = []
-            for tid, text, runs in zip(b["tid"], b["text"], b["runs"]):
+            for tid, text, times, runs in zip(b["tid"], b["text"], b["times"], b["runs"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                spans = cover([(r["a"], r["b"]) for r in runs], length, len(raw))
+                runs = [] if runs is None else runs
+                if times > 1:
+                    spans, shared = [(0, len(raw))] if len(raw) >= length else [], [(0, len(raw))]
+                else:
+                    spans = cover([(r["a"], r["b"]) for r in runs if r["long"]], length, len(raw))
+                    shared = cover([(r["a"], r["b"]) for r in runs if r["short"]], short, len(raw))
                 kept, at = [], 0
                 for a, z in spans:
                     kept.append(raw[at:a])
                     at = z
                 kept = b"".join([*kept, raw[at:]])
-                out.append((tid, sum(z - a for a, z in spans), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": z} for a, z in spans]))
-            yield pd.DataFrame(out, columns=["tid", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    cut = texts.join(runs, "tid").mapInPandas(strip, "tid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
-    times = plain.groupBy("tid").agg(F.count("*").alias("times"))
-    info = times.join(cut, "tid", "left").where("times > 1 or n_removed is not null")
-    out = plain.join(info.withColumnRenamed("tid", "_tid"), F.col("tid") == F.col("_tid"), "left")
-    whole = (F.col("times") > 1) & (F.col("n_bytes") >= length)
-    one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+                out.append((tid, sum(z - a for a, z in spans), len(spans), hashlib.sha256(kept).hexdigest(), passages(raw, shared), [{"start": a, "end": z} for a, z in spans]))
+            yield pd.DataFrame(out, columns=["tid", "n_removed", "n_spans", "kept_sha256", "n_passages", "spans"])
+
+    texts = family.texts()
+    times = texts.groupBy("tid").agg(F.sum("n").alias("times"))
+    rows = texts.where("text is not null").join(times, "tid").join(family.runs(), "tid", "left").where("times > 1 or runs is not null")
+    cut = rows.select("tid", "text", "times", "runs").mapInPandas(strip, f"tid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, spans {spans_of}")
+    plain = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text"))
+    plain = plain.select("doc_id", F.xxhash64("text").alias("_tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_sha"))
+    out = plain.join(cut, F.col("tid") == F.col("_tid"), "left")
+    zero = F.lit(0).cast("long")
+    n_removed = F.coalesce("n_removed", zero)
     return out.select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(whole, one).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+        (F.col("n_bytes") - n_removed).alias("n_kept"), F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("spans", F.array().cast(spans_of)).alias("spans"),
     )
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", batches: int = BATCHES, short: int = SHORT, hot: int = HOT, family: IndexFamily | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, n_passages, spans (the removed byte runs).
+
+    Each byte inside a string of length bytes that starts anywhere else too,
+    the same text included, is removed; strings are judged on the input and
+    never cross documents. n_passages counts the passages of more than
+    PASSAGE_WORDS words, and at least `short` bytes, that another document has;
+    they may be shorter than length and are not removed for that. Null text is
+    empty; a text under length bytes keeps all; rows with equal texts of length
+    bytes or more lose all; an empty table gives no rows; ids may be null or
+    repeated; other columns are not read. The texts are added to the family, if
+    one is given, and judged with all that it holds; report() gives the earlier
+    batches' rows anew. Texts and contexts are named by 64-bit hashes: among n
+    distinct ones a wrong meeting has odds of about n**2 / 2**65.
+    """
+    family = family or IndexFamily(docs.sparkSession, length=length, short=short, hot=hot)
+    for k in range(batches):
+        family.add(docs.where(F.pmod(F.xxhash64(text_col()), F.lit(batches)) == k) if batches > 1 else docs)
+    return report(docs, family, id_col)
