@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -35,7 +36,10 @@ FUZZY_TWO = 9  # by two edits
 QUOTED = 0.3  # what a hit inside quotation marks counts, before anything is learned
 
 _WORDS = re.compile(r"[^\W_]+")
-_QUOTES = re.compile("\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]")
+#: A quotation of any length ends where it is closed, in the same line; the innermost one counts.
+_QUOTES = re.compile("\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|„[^„“”\n]+[“”]")
+#: Longer words are read by the automaton each time.
+LONGEST_KEPT = 64
 
 
 class Automaton:
@@ -129,16 +133,18 @@ class Automaton:
 
 
 class Words(dict):
-    """Lower-case words to their kind of hit, in bounded memory."""
+    """Lower-case words to their kind of hit, in bounded memory. Words may have any length."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
 
     def __missing__(self, w):
-        if len(self) > 400_000:
-            self.clear()
-        v = self[w] = self.automaton.read(w) if len(w) < 64 else 0
+        v = self.automaton.read(w)
+        if len(w) <= LONGEST_KEPT:
+            if len(self) > 400_000:
+                self.clear()
+            self[w] = v
         return v
 
 
@@ -151,11 +157,13 @@ def features(text: str, words: Words) -> list[float] | None:
     kinds = list(map(words.__getitem__, _WORDS.findall(low)))
     if not any(kinds):
         return None
-    quotes = [m.span() for m in _QUOTES.finditer(low)]
+    quotes = [m.span() for m in _QUOTES.finditer(low)]  # in order, apart
+    opened = [a for a, _ in quotes]
     hits = []
     for i, m in enumerate(_WORDS.finditer(low)):
         if k := kinds[i]:
-            quoted = any(a < m.start() < b for a, b in quotes)
+            q = bisect_left(opened, m.start()) - 1
+            quoted = q >= 0 and m.start() < quotes[q][1]
             hits.append((i, k, quoted))
     weight = {1: 1.0, 2: 1.0, 3: 0.5}
     at = np.array([i for i, _, _ in hits])
@@ -258,7 +266,7 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """Learns from labelled rows outside the held-out quarter: at most so many of either label, in the order of a hash of their ids.
 
-    The bounded sample of ids is broadcast, so docs are read once and only the sample's texts come to the driver.
+    The bounded sample of ids is broadcast, so docs are read once and only the sample's texts come to the driver; of rows with one id, the least text.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") != 0).alias("toxic")).where(~held_out()).distinct()
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -267,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         part = rows.where(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
         pick = part if pick is None else pick.unionByName(part)
     texts = docs.select("doc_id", text_col().alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(pick), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = {r.text: bool(r.toxic) for r in texts.orderBy("doc_id", "toxic").toLocalIterator()}  # equal texts once
     toxic, clean = [t for t, y in got.items() if y], [t for t, y in got.items() if not y]
     del got
@@ -300,7 +309,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple =
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted toxic."""
+    """docs without the rows predicted toxic; null, empty and repeated rows are judged as score() says, an empty table stays empty, clashing columns are kept."""
     columns = docs.columns
     # by position, since columns of docs may be called as those of the score
     plain = [f"c{i}" for i in range(len(columns))]

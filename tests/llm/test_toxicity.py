@@ -75,3 +75,20 @@ def test_quotation_counts_less():
     a = toxicity.features("you gruntwit and gruntwit", words)
     b = toxicity.features('they wrote "gruntwit" and “gruntwit”', words)
     assert a[0] > b[0] and b[4] > a[4] == 0
+
+
+def test_words_and_quotations_of_any_length():
+    words = toxicity.Words(toxicity.Automaton(["gruntwit"], ["zorf"]))
+    assert [words["zorf" + "a" * n] for n in (59, 60, 5000)] == [2, 2, 2] and words["b" * 5000] == 0
+    short, long = (toxicity.features(f'they wrote "{"word " * n}gruntwit{" word" * n}" there', words) for n in (3, 300))
+    assert short == long and short[4] > 0
+    many = '"gruntwit" and ' * 3000 + "“" * 20_000 + " gruntwit"
+    assert abs(toxicity.features(many, words)[4] - __import__("math").log1p(3000)) < 1e-9
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows, labels = made(400)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double")
+    truth = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    a, b = toxicity.fit(docs, truth), toxicity.fit(docs.unionByName(docs).unionByName(docs), truth)
+    assert (a.terms, a.stems, a.weights) == (b.terms, b.stems, b.weights)
