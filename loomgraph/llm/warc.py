@@ -53,13 +53,13 @@ def page_record(page_id, url: str | None, payload: bytes, refers_to, revisit: bo
 
 
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages that are written as revisits: those whose payload, of at least so many bytes, a page with a larger id has."""
+    """(page, digest, n, refers_to) of the pages and payloads that are written as revisits: those whose payload, of at least so many bytes, a page with a larger id has."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
     last = keyed.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1 and refers_to is not null").drop("rows")
     # the side with the hot digest is plain rows of an id and a digest, which Spark may split
     out = keyed.join(last, ["digest", "n"]).where("page_id < refers_to or page_id is null")
-    return out.select(F.col("page_id").alias("_page"), "refers_to").distinct()
+    return out.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), "refers_to").distinct()
 
 
 def write(pages: DataFrame, least: int = 0, to: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -67,15 +67,18 @@ def write(pages: DataFrame, least: int = 0, to: str | None = None, file_bytes: i
 
     Payload is the html in UTF-8 (null: empty). Among equal payloads the largest
     page_id is a response, also where its row is repeated; rows with smaller or
-    null ids revisit it. An empty table gives no archives; columns other than
-    page_id, url and html are not read.
+    null ids revisit it. Rows of one id may differ in payload; each is judged by
+    its own. An empty table gives no archives; columns other than page_id, url
+    and html are not read.
     """
     spark = pages.sparkSession
     to = to or shared_dir(spark, "warc")
     # staged, so that the planner knows its size: it is broadcast only where that is under Spark's limit
     again = stage(plan_records(pages, least), "revisits")
-    rows = pages.select("page_id", "url", "html").join(again, F.col("page_id").eqNullSafe(F.col("_page")), "left")
-    rows = rows.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "refers_to")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
+    rows = rows.select("page_id", "url", "html", "refers_to")
 
     def run(batches):
         out, made = None, []
@@ -174,7 +177,9 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Page records of the archives with their verified digests. complete: the file's chain ends at its end.
 
     An archive whose chain ends elsewhere, or has other than the manifest's
-    number of page records, raises ValueError. Candidates of one archive meet in one task, as small rows; the writer bounds an archive's size.
+    number of page records, raises ValueError. An empty manifest gives no rows;
+    null ids come back null; repeated rows are records of their own.
+    Candidates of one archive meet in one task, as small rows; the writer bounds an archive's size.
     """
 
     def run(key, c):
