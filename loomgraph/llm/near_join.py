@@ -1,18 +1,24 @@
-"""N-gram Jaccard self-join with banded MinHash LSH and exact verification.
-
-Documents with equal shingle sets are one class. In place of an LSH forest's
-sorted tries there are TREES bands of one fixed depth: the longest, from DEEPEST
-down, at which a pair at the threshold is found with the target recall. It
-follows from the parameters before any row is read, and is the same for all
-classes. Classes that share a band's minimums, called a trie node below, are joined into candidate groups by components over one edge for each
-member of a trie node, so nothing grows with the square of a node's size. The
-groups' texts then meet once, and all pairs inside a group are verified exactly
-in numpy. A group larger than a tile is verified tile by tile; only counts and
-one edge for each row leave a task.
+"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+
+Documents with equal shingle sets are one class. A class has a label of DEEPEST
+minimums in each of TREES trees; a tree is its labels in order, a sorted prefix
+trie, and one scan of neighbours gives its nodes of every depth. A class's
+prefix is shortened from DEEPEST on, in all trees, until the least similarity
+above the threshold that a set of its size can have with another is found with
+the target recall; what shares that prefix is its candidate. Sets too small to
+have any such partner aren't sought.
+
+Candidates are joined into groups by components over one edge for each member
+of a trie node, so nothing grows with the square of a node's size. A group's
+texts meet once, and all of its pairs are verified exactly in numpy. A larger
+group is dealt into sides by a trie prefix, so that what is alike stands
+together, and only those pairs of sides meet that some trie node joins. Only
+counts and one edge for each row leave a task.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -22,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_stage, narrow, stage, text_col
+from .common import WORD, drop_stage, large_batches, narrow, stage, text_col
 from .components import components
 
 SHINGLE = 5
@@ -30,17 +36,33 @@ THRESHOLD = 0.8
 TREES = 32
 DEEPEST = 8
 TARGET_RECALL = 0.9999
-TILE_ROWS = 1024
+TILE_ROWS = 512
+#: Rows of the tries that a scan looks at together; nodes at their edges are put together afterwards.
+CHUNK = 200_000
+LETTER_BITS = 16  # of a minimum, in a label of two 64-bit words
 TILE_BYTES = 24 << 20
 
 _WORDS = re.compile(WORD)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def depth_for(threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET_RECALL, deepest: int = DEEPEST) -> int:
-    """The longest prefix whose matches in any tree find a pair at the threshold with the target recall."""
+def least_similarity(size: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity, threshold at least, that a set of so many members can have with another set; None if there is none."""
+    if size > 200:  # within a hundredth of the threshold, and never below it
+        return threshold
+    found = []
+    for common in range(max(1, math.ceil(threshold * size - 1e-9)), size + 1):
+        union = math.floor(common / threshold + 1e-9)
+        if union > size or common < size <= union:
+            found.append(common / union)
+    return min(found, default=None)
+
+
+@lru_cache(maxsize=4096)
+def depth_for(similarity: float = THRESHOLD, trees: int = TREES, target: float = TARGET_RECALL, deepest: int = DEEPEST) -> int:
+    """The longest prefix whose matches in any tree find a pair of that similarity with the target recall."""
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < target:
         depth -= 1
     return depth
 
@@ -93,13 +115,13 @@ def signature(sh: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def prefixes(sh: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each tree one 64-bit name of the trie node at the depth."""
-    sig = signature(sh, trees * depth).reshape(trees, depth).astype(np.uint64)
-    h = np.arange(1, trees + 1, dtype=np.uint64)
-    for k in range(depth):
-        h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, k])
-    return h.view(np.int64)
+def labels(sh: np.ndarray, trees: int) -> np.ndarray:
+    """For each tree its DEEPEST minimums, LETTER_BITS of each, as two words whose order is that of the trie."""
+    sig = _mix(signature(sh, trees * DEEPEST).astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - LETTER_BITS)
+    out = np.zeros((trees, 2), np.uint64)
+    for k, x in enumerate(sig.reshape(trees, 2, -1).transpose(2, 0, 1)):
+        out = out << np.uint64(LETTER_BITS) | x
+    return out.ravel().view(np.int64)
 
 
 def node_of(sh: np.ndarray) -> int:
@@ -107,23 +129,87 @@ def node_of(sh: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(sh.tobytes()) - (1 << 63)
 
 
-def sketch(docs: DataFrame, trees: int, depth: int, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, node (null without words), prefixes."""
+def sketch(docs: DataFrame, trees: int, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, text_hash, node (null without words), size of the shingle set, labels."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            for i in range(0, len(b), 2000):
-                part = b.iloc[i : i + 2000]
-                nodes, pre = [], []
-                for t in part["text"]:
-                    sh = shingles(t)
-                    nodes.append(node_of(sh) if len(sh) else None)
-                    pre.append(prefixes(sh, trees, depth) if len(sh) else None)
-                yield pd.DataFrame({"doc_id": part["doc_id"].values, "text_hash": part["text_hash"].values, "node": pd.array(nodes, "Int64"), "prefixes": pre})
+            for i in range(0, len(b), 500):
+                part = b.iloc[i : i + 500]
+                sets = [shingles(t) for t in part["text"]]
+                nodes = pd.array([node_of(x) if len(x) else None for x in sets], "Int64")
+                yield pd.DataFrame({"doc_id": part["doc_id"].values, "text_hash": part["text_hash"].values, "node": nodes, "size": [len(x) for x in sets], "labels": [labels(x, trees) if len(x) else None for x in sets]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, text_hash bigint, node bigint, prefixes array<bigint>")
+    return rows.mapInPandas(run, f"doc_id {kind}, text_hash bigint, node bigint, size bigint, labels array<bigint>")
+
+
+STAR = "node bigint, top bigint, edge boolean, tree int, depth int, hi bigint, lo bigint"
+
+
+def _prefix(x: np.ndarray, letters: int) -> np.ndarray:
+    """The words' first letters, 4 at most, the rest zero."""
+    bits = 64 - LETTER_BITS * min(4, max(0, letters))
+    return x & np.int64(-1 << bits if bits < 64 else 0)
+
+
+def scan_tries(paths: DataFrame, shallowest: int) -> DataFrame:
+    """STAR rows: each class and the least class of a trie node that some class's own prefix names. paths: tree, hi, lo, node, depth, in order.
+
+    A node that touches the edge of a chunk may go on in another: its rows keep its name.
+    """
+
+    def close(c):
+        out = []
+        n = len(c["node"])
+        free = np.ones(n, bool)  # not yet under a node that was given
+        for k in range(shallowest, DEEPEST + 1):
+            hi, lo = _prefix(c["hi"], k), _prefix(c["lo"], k - 4)
+            head = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (c["tree"][1:] != c["tree"][:-1]))
+            begin, run = np.flatnonzero(head), np.cumsum(head) - 1
+            size, top = np.diff(np.append(begin, n)), np.minimum.reduceat(c["node"], begin)
+            wanted = np.bincount(run, c["depth"] == k) > 0
+            edge = np.zeros(len(begin), bool)
+            edge[[0, -1]] = True
+            keep = np.flatnonzero(free & ((wanted & (size > 1) & ~edge)[run] | edge[run]))
+            e = edge[run[keep]]
+            name = lambda x: np.where(e, x, 0)  # noqa: B023, E731
+            out.append(pd.DataFrame({"node": c["node"][keep], "top": top[run[keep]], "edge": e, "tree": name(c["tree"][keep]), "depth": name(k), "hi": name(hi[keep]), "lo": name(lo[keep])}))
+            free &= ~(wanted & (size > 1) & ~edge)[run]
+        out = pd.concat(out)
+        return out[out["edge"] | (out["node"] != out["top"])]
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append({x: b[x].to_numpy() for x in b.columns})
+            size += len(b)
+            if size >= CHUNK:
+                yield close({x: np.concatenate([h[x] for h in held]) for x in held[0]})
+                held, size = [], 0
+        if held:
+            yield close({x: np.concatenate([h[x] for h in held]) for x in held[0]})
+
+    return paths.select("tree", "hi", "lo", "node", "depth").mapInPandas(run, STAR)
+
+
+def stars_of(classes: DataFrame, trees: int, threshold: float, target: float) -> DataFrame:
+    """(node, top): classes(node, size, labels) and the tops of the trie nodes that they are in with others, staged."""
+    spark = classes.sparkSession
+    sizes = [(n, s) for n in range(1, 201) if (s := least_similarity(n, threshold)) is not None]
+    shallowest = depth_for(threshold, trees, target)
+    depths = F.create_map(*[F.lit(x) for n, s in sizes for x in (n, depth_for(s, trees, target))]) if sizes else F.lit(None).cast("map<int,int>")
+    deep = F.when(F.col("size") > 200, F.lit(shallowest)).otherwise(F.try_element_at(depths, F.col("size").cast("int")))
+    paths = classes.select("node", deep.alias("depth"), "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where("depth is not null")
+    paths = paths.select("tree", F.col("labels")[2 * F.col("tree")].alias("hi"), F.col("labels")[2 * F.col("tree") + 1].alias("lo"), "node", "depth")
+    order = ["tree", "hi", "lo", "node"]
+    with large_batches(spark):
+        found = stage(scan_tries(paths.repartitionByRange(*order).sortWithinPartitions(*order), shallowest), "tries")
+    name = ["tree", "depth", "hi", "lo"]
+    tops = found.where("edge").groupBy(*name).agg(F.min("top").alias("whole"))
+    edge = found.where("edge").join(tops, name).where("node <> whole").select("node", F.col("whole").alias("top"))
+    return stage(found.where("not edge").select("node", "top").unionByName(edge).distinct(), "stars")
 
 
 def links_inside(sets: list[np.ndarray], side: np.ndarray, threshold: float, cross: bool) -> np.ndarray:
@@ -167,7 +253,7 @@ def roots_of(adj: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def verify(groups: DataFrame, threshold: float) -> DataFrame:
-    """node, links, root, tiled for rows (grp, tile, side, cross, tiled, node, copies, text) whose tile's rows stand together."""
+    """node, links, root, tiled for rows (grp, i, j, side, tiled, node, copies, text) whose tile's rows (grp, i, j) stand together."""
 
     def close(rows):
         seen, keep = set(), []
@@ -187,18 +273,18 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         at, rows, done, held = None, [], [], 0
         for b in batches:
-            for grp, tile, side, cross, tiled, node, copies, text in b.itertuples(index=False):
-                if (grp, tile) != at:
+            for grp, i, j, side, tiled, node, copies, text in b.itertuples(index=False):
+                if (grp, i, j) != at:
                     if rows:
                         done.append(close(rows))
                         held += len(rows)
-                    at, rows = (grp, tile), []
+                    at, rows = (grp, i, j), []
                     if held > 20_000:
                         yield frame(done)
                         done, held = [], 0
                 sh = shingles(text)
                 if node_of(sh) == node:  # another text under the same id is not meant
-                    rows.append((node, copies, side, sh, tiled, cross))
+                    rows.append((node, copies, side, sh, tiled, i != j))
         if rows:
             done.append(close(rows))
         if done:
@@ -207,50 +293,73 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.mapInPandas(run, "node bigint, links bigint, root bigint, tiled boolean")
 
 
+def tiles_of(texts: DataFrame, stars: DataFrame, tile_rows: int, tile_bytes: int) -> DataFrame:
+    """The rows of each tile: a group that fits is one; of a larger one, each side with itself and each two sides that a trie node has members in.
+
+    texts: grp, node, home, copies, text. Sides are made by home, a prefix that
+    alike texts mostly share, and within one by the node's hash as far as it is too large.
+    """
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("_size") / tile_bytes)).cast("int")
+    sized = texts.withColumn("_size", F.octet_length("text"))
+    large = stage(sized.groupBy("grp").agg(blocks().alias("blocks")).where("blocks > 1"), "large")
+    columns = ["grp", "i", "j", "side", "tiled", "node", "copies", "text"]
+    zero = F.lit(0).cast("long")
+    small = texts.join(large, "grp", "left_anti").select("grp", zero.alias("i"), zero.alias("j"), zero.alias("side"), F.lit(False).alias("tiled"), "node", "copies", "text")
+    if not large.limit(1).count():
+        return small.select(*columns)
+    rows = sized.join(large, "grp").withColumn("bin", F.pmod(F.xxhash64("home"), F.col("blocks")))
+    bins = rows.groupBy("grp", "bin").agg(blocks().alias("parts"))
+    rows = rows.join(bins, ["grp", "bin"]).withColumn("side", (F.col("bin") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("long"))
+    rows = stage(rows.select("grp", "side", "node", "copies", "text"), "sides")
+    places = rows.select("node", "grp", "side")
+    at = stars.join(places, "node").select("grp", "top", "side").unionByName(places.select("grp", F.col("node").alias("top"), "side"))
+    at = stage(at.distinct(), "places")
+    met = at.join(at.withColumnRenamed("side", "other"), ["grp", "top"]).where("side <= other").select("grp", F.col("side").alias("i"), F.col("other").alias("j")).distinct()
+    met = stage(met.unionByName(rows.select("grp", F.col("side").alias("i"), F.col("side").alias("j")).distinct()).distinct(), "met")
+    ends = met.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side"))
+    return rows.join(ends, ["grp", "side"]).withColumn("tiled", F.lit(True)).select(*columns).unionByName(small.select(*columns))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET_RECALL, id_col: str = "doc_id", tile_rows: int = TILE_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, n_links, copy_id, text_hash, node.
+    """One row for each row of docs: doc_id, class_id, n_links, copy_id, text_hash, class_node.
 
     class_id is the smallest doc_id that links connect to the document, copy_id
     the smallest among equal shingle sets, n_links the number of other rows
     whose sets have a Jaccard similarity of at least threshold. Words are cut
     at ASCII white space; a text of fewer than five words is one shingle. A
-    null, empty or blank text has no shingle: it is alone in its class (node
-    null). Repeated rows are copies of each other; null ids are kept and never
-    name a class that has another id; an empty table gives no rows.
+    null, empty or blank text has no shingle: it is alone in its class
+    (class_node null). Repeated rows are copies of each other; null ids are kept
+    and never name a class that has another id; an empty table gives no rows.
     """
-    depth = depth_for(threshold, trees, target)
-    kept = stage(sketch(docs, trees, depth, id_col), "sketch")
-    classes = kept.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("prefixes").alias("prefixes"))
-    paths = classes.select("node", F.explode("prefixes").alias("prefix"))
-    tops = paths.groupBy("prefix").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = stage(sketch(docs, trees, id_col), "sketch")
+    classes = kept.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels"))
+    classes = stage(classes, "classes")
+    stars = stars_of(classes, trees, threshold, target)
     # a class and its least trie top are joined, and that top with the class's others (one for each tree at most); many classes share these pairs
-    stars = paths.join(tops, "prefix").where("node <> top").groupBy("node").agg(F.min("top").alias("b"), F.collect_set("top").alias("others"))
-    stars = stage(stars, "stars")
-    edges = stars.select(F.col("node").alias("a"), "b").unionByName(stars.select(F.explode("others").alias("a"), "b").where("a <> b").distinct())
-    grouped = components(edges)
+    tops = stage(stars.groupBy("node").agg(F.min("top").alias("b"), F.collect_set("top").alias("others")), "tops")
+    grouped = components(tops.select(F.col("node").alias("a"), "b").unionByName(tops.select(F.explode("others").alias("a"), "b").where("a <> b").distinct()))
 
     # the texts of candidate groups, one for each class
-    members = grouped.join(classes.drop("prefixes"), "node")
-    members = stage(members.select("node", F.col("label").alias("grp"), "copies", F.col("rep.doc_id").alias("_rep"), F.col("rep.text_hash").alias("_hash")), "members")
+    home = F.col("labels")[0].bitwiseAND(F.lit(-1 << (64 - 3 * LETTER_BITS)))
+    members = grouped.join(classes, "node").select("node", F.col("label").alias("grp"), "copies", home.alias("home"), F.col("rep.doc_id").alias("_rep"), F.col("rep.text_hash").alias("_hash"))
+    members = stage(members, "members")
     rows = docs.select(F.col(id_col).alias("_id"), text_col().alias("text"))
     rows = narrow(rows.withColumn("_h", F.xxhash64("text")), members.select(F.col("_hash").alias("_h")).distinct(), "_h")
     texts = rows.join(members, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_h") == F.col("_hash")))
-    texts = stage(texts.select("grp", "node", "copies", "text"), "texts")
-    sizes = texts.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum(F.octet_length("text")) / tile_bytes)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = texts.join(sizes, "grp").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tile = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
-    tiles = tiles.select("grp", tile.alias("tile"), "side", (F.col("side") != F.col("other")).alias("cross"), (F.col("blocks") > 1).alias("tiled"), "node", "copies", "text")
-    verified = stage(verify(tiles.repartition("grp", "tile").sortWithinPartitions("grp", "tile"), threshold), "verified")
-
-    found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.bool_or("tiled").alias("tiled"))
+    texts = stage(texts.select("grp", "node", "home", "copies", "text"), "texts")
+    tiles = tiles_of(texts, stars, tile_rows, tile_bytes)
+    verified = stage(verify(tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), threshold), "verified")
+    drop_stage(texts)
+
+    found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     split = verified.where("tiled").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if split.limit(1).count():
         found = found.join(components(split).withColumnRenamed("label", "whole"), "node", "left").withColumn("root", F.coalesce("whole", "root"))
-    info = classes.drop("prefixes", "rep").join(found.select("node", "links", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = info.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = info.join(names, "root").select(F.col("node").alias("_node"), "copy_id", "class_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    drop_stage(texts)
+    info = classes.select("node", "copy_id", "copies").join(found.select("node", "links", "root"), "node", "left")
+    info = stage(info.select("node", "copy_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "info")
+    # staged, so that a class of very many members meets its name in a join that may be split
+    names = stage(info.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("many")).where("many > 1").drop("many"), "names")
+    info = info.join(names, "root", "left").select(F.col("node").alias("_node"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), "root", "n_links")
     out = kept.select("doc_id", "text_hash", "node").join(info, F.col("node") == F.col("_node"), "left")
     return out.select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -259,7 +368,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, targ
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class; rows without words all stay."""
+    """docs with one row of each class, that of the smallest id; rows without words (null, empty, blank) all stay.
+
+    Of repeated rows one stays; a null id is the smallest; an empty table stays empty; other columns, whatever they are called, are kept.
+    """
     found = join(docs, **options)
     keepers = found.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     keepers = keepers.select(F.col("k.doc_id").alias("_k"), F.col("k.text_hash").alias("_kh"))

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from loomgraph.llm import near_join
 
 RND = random.Random(11)
@@ -53,7 +56,9 @@ def check(spark, **options):
     assert got == expect(texts)
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("chunk", [200_000, 40])
+def test_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_join, "CHUNK", chunk)
     check(spark)
 
 
@@ -76,8 +81,46 @@ def test_keep_one(spark):
 
 def test_depth_follows_recall():
     d = near_join.depth_for()
-    miss = lambda k: (1 - 0.8**k) ** near_join.TREES
+    miss = lambda k, x=0.8: (1 - x**k) ** near_join.TREES
     assert miss(d) <= 1 - near_join.TARGET_RECALL < miss(d + 1)
+    for n in range(1, 60):  # the least similarity of a set of n members, over all partners
+        every = [i / u for i in range(1, n + 1) for u in range(n, 2 * n + 2) if 5 * i >= 4 * u and i < u]
+        least = near_join.least_similarity(n)
+        assert (least is None) == (not every) and (not every or abs(least - min(every)) < 1e-9)
+
+
+def test_labels_are_tries():
+    """Equal prefixes of labels are equal first minimums, at each depth."""
+    sets = [near_join.shingles(t) for t in corpus() if (t or "").strip()]
+    sig = [near_join.signature(x, 4 * near_join.DEEPEST).reshape(4, -1) for x in sets]
+    lab = [near_join.labels(x, 4).reshape(4, 2) for x in sets]
+    chance = 0
+    for a in range(0, len(sets), 3):
+        for b in range(len(sets)):
+            for t in range(4):
+                same = (sig[a][t] != sig[b][t]).argmax() if (sig[a][t] != sig[b][t]).any() else near_join.DEEPEST
+                for k in range(1, near_join.DEEPEST + 1):
+                    p = lambda x: (near_join._prefix(x[t][:1], k)[0], near_join._prefix(x[t][1:], k - 4)[0])  # noqa: B023, E731
+                    assert p(lab[a]) == p(lab[b]) or k > same
+                    chance += p(lab[a]) == p(lab[b]) and k > same
+    assert chance < 60  # letters of 16 bits
+
+
+def test_recall_of_the_forest(spark):
+    """Of pairs just at the threshold, what the tries join; without verification."""
+    rnd = np.random.default_rng(5)
+    rows, pairs = [], []
+    for i in range(300):
+        w = [f"w{x}" for x in rnd.integers(0, 10**6, 104)]
+        v = list(w)
+        v[3], v[90] = "x", "y"  # 10 of 100 shingles go and 10 come: 90 / 110
+        pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    kept = near_join.sketch(spark.createDataFrame(rows, "doc_id bigint, text string"), near_join.TREES)
+    stars = near_join.stars_of(kept.select("node", "size", "labels"), near_join.TREES, 0.8, near_join.TARGET_RECALL)
+    by = {r.doc_id: r.node for r in kept.select("doc_id", "node").collect()}
+    joined = {frozenset((r.node, r.top)) for r in stars.collect()}
+    assert sum(frozenset((by[a], by[b])) in joined for a, b in pairs) >= 299
 
 
 def test_long_texts_in_few_tiles(spark):
