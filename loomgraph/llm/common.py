@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,22 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed: sums of letters times powers hash all runs of an array at once."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            one = lambda x: np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)))
+            self.up, self.down = one(self.BASE), one(pow(self.BASE, -1, 1 << 64))
+        return self.up, self.down
+
+
 def text_col(name: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

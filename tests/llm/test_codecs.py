@@ -22,13 +22,27 @@ def test_sentencepiece_counts_equal_the_library():
     assert [c.count(t) for t in TEXTS] == [len(x) for x in c.model.encode(TEXTS)]
 
 
-def test_ids_by_words_equal_the_library():
+def test_ids_by_words_equal_the_library(monkeypatch):
     e = token_files.encoder(P.path("word_bpe_49k.json"))
     assert e.by_words
     want = [x.ids for x in e.library.encode_batch(TEXTS, add_special_tokens=False)]
-    got = lambda: [np.frombuffer(x, e.dtype).tolist() for x in e.batch(TEXTS)]
+    more = ["'", "it's 'the' we'Re you'lless ''s !'s 'd'd 'v 've", "x" * 5000 + "'s", "a'" * 300, "word " * 100_000, "<|" + "b " * 50, ("y" * 60 + " ") * 9000 + "日本"]
+    more += ["".join(RND.choice("abst'' 1!é\n") for _ in range(RND.randint(0, 60))) for _ in range(3000)]
+    want += [x.ids for x in e.library.encode_batch(more, add_special_tokens=False)]
+    got = lambda: [x.tolist() for x in e.batch(TEXTS + more)]
     assert got() == want
     assert got() == want  # from memory
+    monkeypatch.setattr(token_files, "MOST_KEPT", 300)
+    monkeypatch.setattr(token_files, "TOGETHER", 500)
+    assert got() == want  # from little memory
+
+
+def test_tables_hold_what_they_were_given():
+    t, rng = token_files.Table(4), np.random.default_rng(1)
+    h = np.unique(rng.integers(1, 1 << 63, 5000).astype(np.uint64) & np.uint64(0xF00000000000FFFF))  # many meet in a slot
+    for i in range(0, len(h), 700):
+        t.add(h[i : i + 700], np.arange(i, min(i + 700, len(h)), dtype=np.int32))
+    assert (t.find(h) == np.arange(len(h))).all() and (t.find(h + np.uint64(1 << 40)) == -1).all()
 
 
 @pytest.mark.parametrize("text", TEXTS[:60])
@@ -238,3 +252,127 @@ def test_warc_long_header_and_broken_chain(spark):
         warc.read(m.withColumn("n_records", m["n_records"] + 1)).collect()
     with pytest.raises(Exception, match="doesn't end"):
         warc.read(m.withColumn("size", m["size"] - 1)).collect()
+
+
+def test_warc_repeated_ids_with_other_payloads(spark):
+    """A page revisits only a payload that it has itself."""
+    rows = [(1, "a", "same"), (1, "a", "own"), (2, "b", "same"), (None, "n", "same"), (None, "n", "alone"), (3, "c", "own"), (3, "c", "own")]
+    m = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3))
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    got = sorted((str(r.page_id), r.payload_digest, r.record_type, r.refers_to) for r in warc.read(m).collect())
+    want = [(1, "same", "revisit", 2), (1, "own", "revisit", 3), (2, "same", "response", None), (None, "same", "revisit", 2), (None, "alone", "response", None), (3, "own", "response", None), (3, "own", "response", None)]
+    assert got == sorted((str(i), digest(t), k, r) for i, t, k, r in want)
+
+
+def test_bits_are_read_through_a_window():
+    raw = bytes(RND.randrange(256) for _ in range(400))
+    text, bits, at = "".join(format(x, "08b") for x in raw), jpeg.Bits(raw), 0
+    while at < len(text) - 32:
+        k = RND.randint(0, 16)
+        assert bits.take(k) == (int(text[at : at + k], 2) if k else 0)
+        at += k
+    with pytest.raises(ValueError, match="too early"):
+        for _ in range(40):
+            bits.take(16)
+
+
+def interleaved_file(blocks, restart):
+    """Three components, the first sampled twice as finely both ways; DC interleaved, with restart intervals, then refined; AC by component with runs of ended bands."""
+    h, w = blocks[0].shape[0] // 2, blocks[0].shape[1] // 2
+    dc, ac = list(range(12)), [r << 4 | s for r in range(16) for s in range(0, 9)][:200]
+    out = [b"\xff\xd8", jpeg._segment(0xDB, b"\0" + b"\1" * 64), jpeg._segment(0xC4, b"\x00" + Writer(dc).raw) + jpeg._segment(0xC4, b"\x10" + Writer(ac).raw)]
+    out.append(jpeg._segment(0xC2, b"\x08" + (16 * h).to_bytes(2, "big") + (16 * w).to_bytes(2, "big") + b"\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00"))
+    out.append(jpeg._segment(0xDD, restart.to_bytes(2, "big")))
+    units = [[(0, 2 * y + a, 2 * x + b) for a in (0, 1) for b in (0, 1)] + [(1, y, x), (2, y, x)] for y in range(h) for x in range(w)]
+
+    def joined(parts):
+        return b"".join(p + (b"\xff" + bytes([0xD0 + k % 8]) if k < len(parts) - 1 else b"") for k, p in enumerate(parts))
+
+    parts, later = [], []
+    for i in range(0, len(units), restart):
+        d, e, last = Writer(dc), Writer(dc), [0, 0, 0]
+        for k, y, x in (b for u in units[i : i + restart] for b in u):
+            v = int(blocks[k][y, x, 0]) >> 1
+            s = abs(v - last[k]).bit_length()
+            d.sym(s)
+            d.value(v - last[k]) if s else None
+            last[k] = v
+            e.put(int(blocks[k][y, x, 0]) & 1, 1)
+        parts.append(d.done())
+        later.append(e.done())
+    out.append(b"\xff\xda\x00\x0c\x03\x01\x00\x02\x00\x03\x00\x00\x00\x01" + joined(parts))
+    out.append(b"\xff\xda\x00\x0c\x03\x01\x00\x02\x00\x03\x00\x00\x00\x10" + joined(later))
+    for k, c in enumerate(blocks):
+        flat, parts = c.reshape(-1, 64), []
+        for i in range(0, len(flat), restart):
+            e, ended = Writer(ac), 0
+
+            def end(e=e):
+                nonlocal ended
+                if ended:
+                    r = ended.bit_length() - 1
+                    e.sym(r << 4)
+                    e.put(ended - (1 << r), r)
+                ended = 0
+
+            for block in flat[i : i + restart].tolist():
+                nz = [j for j in range(1, 64) if block[j]]
+                if nz:
+                    end()
+                run = 0
+                for j in range(1, (nz or [0])[-1] + 1):
+                    if not block[j]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        e.sym(0xF0)
+                        run -= 16
+                    e.sym(run << 4 | abs(block[j]).bit_length())
+                    e.value(block[j])
+                    run = 0
+                if not nz or nz[-1] < 63:
+                    ended += 1
+            end()
+            parts.append(e.done())
+        out.append(b"\xff\xda\x00\x08\x01" + bytes([k + 1, 0, 1, 63, 0]) + joined(parts))
+    return b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [2, 3, 100])
+def test_interleaved_scans_restarts_and_chroma(restart):
+    """Coefficients exactly, and RGB against a plain transform, block by block and sample by sample."""
+    rng = np.random.default_rng(restart)
+    blocks = [rng.integers(-40, 40, (n, m, 64)) * (rng.random((n, m, 64)) < 0.05) for n, m in ((4, 6), (2, 3), (2, 3))]
+    for b in blocks:
+        b[..., 0] = rng.integers(-300, 300, b.shape[:2])
+    image = jpeg.Image(interleaved_file(blocks, restart))
+    for c, b in zip(image.components, blocks):
+        assert (c.coef == b).all()
+    rgb = image.rgb()
+    cos = [[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for u in range(8)] for x in range(8)]
+
+    def sample(k, y, x):
+        natural = np.zeros(64)
+        natural[jpeg.ZIGZAG] = blocks[k][y // 8, x // 8]
+        return sum(natural[8 * u + v] * cos[y % 8][u] * cos[x % 8][v] for u in range(8) for v in range(8))
+
+    for _ in range(60):
+        y, x = RND.randrange(image.height), RND.randrange(image.width)
+        lum, cb, cr = sample(0, y, x) + 128, sample(1, y // 2, x // 2), sample(2, y // 2, x // 2)
+        want = (lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb)
+        assert all(abs(min(255, max(0, a)) - b) <= 1 for a, b in zip(want, rgb[y, x].tolist()))
+    grid = media.feature(rgb)
+    h, w = image.height // 4, image.width // 4
+    assert grid == "".join("%02x%02x%02x" % tuple(int(rgb[y * h : (y + 1) * h, x * w : (x + 1) * w, k].astype(int).sum()) // (h * w) for k in range(3)) for y in range(4) for x in range(4))
+
+
+def test_slow_scans_take_time_in_proportion(monkeypatch):
+    import time
+
+    monkeypatch.setattr(jpeg.Image, "_fast", lambda *a: False)
+    took = []
+    for n in (200, 1600):
+        data, t = jpeg.from_payload(bytes(RND.randrange(256) for _ in range(192 * n))), time.process_time()
+        jpeg.Image(data)
+        took.append(time.process_time() - t)
+    assert took[1] < 25 * took[0]
