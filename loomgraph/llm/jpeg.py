@@ -76,24 +76,30 @@ def huffman(counts: bytes, symbols: bytes) -> Huffman:
 
 
 class Bits:
-    """Bits of one restart interval, stuffing removed; past the end it reads zeros."""
+    """Bits of one restart interval, stuffing removed, seen through a window of eight bytes; a few bytes past the end it reads zeros."""
 
     def __init__(self, data: bytes):
-        self.data, self.n = int.from_bytes(data + b"\0\0\0\0", "big"), 8 * (len(data) + 4)
-        self.at, self.size = 0, 8 * len(data)
+        self.data, self.most = data + bytes(16), 8 * (len(data) + 4)
+        self.at, self.low, self.window = 0, -64, 0
+
+    def _look(self, k: int) -> int:
+        """The next k bits, 32 at most."""
+        if self.at - self.low + k > 64:
+            if self.at > self.most:
+                raise ValueError("the scan's data end too early")
+            byte = self.at >> 3
+            self.low, self.window = byte << 3, int.from_bytes(self.data[byte : byte + 8], "big")
+        return (self.window >> (64 + self.low - self.at - k)) & ((1 << k) - 1)
 
     def take(self, k: int) -> int:
         if k == 0:
             return 0
+        v = self._look(k)
         self.at += k
-        if self.at > self.n:
-            raise ValueError("the scan's data end too early")
-        return (self.data >> (self.n - self.at)) & ((1 << k) - 1)
+        return v
 
     def symbol(self, table: Huffman) -> int:
-        left = self.n - self.at
-        word = (self.data >> (left - 16)) & 0xFFFF if left >= 16 else (self.data << (16 - left)) & 0xFFFF
-        x = table.look[word]
+        x = table.look[self._look(16)]
         if not x:
             raise ValueError("a code that the table doesn't have")
         self.at += x & 31
@@ -329,14 +335,15 @@ class Image:
         return x.reshape(c.bh, c.bw, 8, 8).transpose(0, 2, 1, 3).reshape(c.bh * 8, c.bw * 8)
 
     def rgb(self) -> np.ndarray:
-        """height x width x 3, uint8; chroma is repeated up to the full resolution."""
+        """height x width x 3, uint8; chroma is repeated up to the full resolution, also where sampling factors don't divide."""
         planes = []
         for c in self.components:
             p = self.plane(c)
-            if self.vmax != c.v:
-                p = np.repeat(p, self.vmax // c.v, axis=0)
-            if self.hmax != c.h:
-                p = np.repeat(p, self.hmax // c.h, axis=1)
+            for axis, most, own, size in ((0, self.vmax, c.v, self.height), (1, self.hmax, c.h, self.width)):
+                if most % own:
+                    p = np.take(p, np.arange(size) * own // most, axis=axis)
+                elif most != own:
+                    p = np.repeat(p, most // own, axis=axis)
             planes.append(p[: self.height, : self.width])
         out = np.empty((self.height, self.width, 3), np.uint8)
         y = planes[0] + np.float32(128.5)
