@@ -16,84 +16,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, dirname
-from ..schema import EDGE_TYPES, EXPECTED, edge_schema, label_ranks
+from ..schema import EDGE_TYPES, EXPECTED, edge_schema
+from ..sources.folders import staged
 
 NO_SOURCE, NO_TARGET, NO_SCHEMA = "failed to resolve source", "failed to resolve target", "schema violation"
 
 
-def qualified_names(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """id, qualified: the names of the parents, at most so many, before a node's own; a root is named by its folder.
+def qualified_names(nodes: DataFrame) -> DataFrame:
+    """id, qualified: the names of all parents before a node's own; a root is named by its folder.
 
-    Parents are found by joins, one for each level.
+    A node takes its parent's name so far and then that one's parent, so the
+    rounds are the logarithm of the depth; each is written, and the last is the
+    one without a node that has further to go. Parents in a circle raise ValueError.
     """
-    at = nodes.select("id", F.col("name").alias("qualified"), F.col("parent_id").alias("up"), "file_path")
-    parents = nodes.select(F.col("id").alias("up"), F.col("name").alias("_name"), F.col("parent_id").alias("_up")).where("id is not null")
-    for _ in range(depth):
-        at = at.join(parents, "up", "left").select("id", F.when(F.col("_name").isNotNull(), F.concat("_name", F.lit("."), "qualified")).otherwise(F.col("qualified")).alias("qualified"), F.col("_up").alias("up"), "file_path")
     folder = basename(dirname(F.col("file_path")))
-    return at.select("id", F.when(F.coalesce(folder, F.lit("")).isin("", "."), F.col("qualified")).otherwise(F.concat(folder, F.lit("."), "qualified")).alias("qualified"))
-
-
-def _first(candidates: DataFrame, *keys: str) -> DataFrame:
-    """One node for each key and label: the least by (file_path, start_byte, id)."""
-    best = F.min(F.struct("file_path", F.coalesce("start_byte", F.lit(0)).alias("start_byte"), "id")).alias("best")
-    return candidates.groupBy(*keys, "label").agg(best)
-
-
-def resolve(raw: DataFrame, nodes: DataFrame, cross_file: bool = True, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+    named = lambda at: at.select("id", F.when(F.coalesce(folder, F.lit("")).isin("", "."), F.col("qualified")).otherwise(F.concat(folder, F.lit("."), "qualified")).alias("qualified"))
+    at = nodes.select("id", F.col("name").alias("qualified"), F.col("parent_id").alias("up"), "file_path")
+    if at.where("up is not null").isEmpty():
+        return named(at)
+    for _ in range(40):  # paths of 2**40 nodes
+        parents = at.where("id is not null").select(F.col("id").alias("up"), F.col("qualified").alias("_q"), F.col("up").alias("_up"))
+        at = staged(at.join(parents, "up", "left").select("id", F.when(F.col("_q").isNotNull(), F.concat("_q", F.lit("."), "qualified")).otherwise(F.col("qualified")).alias("qualified"), F.col("_up").alias("up"), "file_path"), "qualified")
+        if at.where("up is not null").isEmpty():
+            return named(at)
+        if not at.where("up = id").isEmpty():
+            break
+    raise ValueError("a node is among its own parents")
+
+
+def _candidates(n: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, scope, ref, label, best): the least node by (file_path, start_byte, id) of each name, scope and label."""
+    place = F.struct("file_path", F.coalesce("start_byte", F.lit(0)).alias("start_byte"), "id")
+    row = lambda df, kind, scope, ref: df.select(F.lit(kind).alias("kind"), scope.alias("scope"), ref.alias("ref"), "label", place.alias("best"))
+    anywhere, name = F.lit(""), F.col("name")
+    # recv.method: a method by its parent's or receiver's name
+    owner = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("owner")).where("parent_id is not null")
+    method = n.where(F.col("label").isin("Method", "Function", "TestFunction"))
+    owned = method.join(owner, "parent_id").select("id", "label", "name", "file_path", "start_byte", "owner")
+    owned = owned.unionByName(method.where("receiver_type <> ''").select("id", "label", "name", "file_path", "start_byte", F.col("receiver_type").alias("owner")))
+    # one row for each scope of a node, from one reading of the nodes
+    by_name = n.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), scope.alias("scope")) for k, scope in (("file", F.col("file_path")), ("package", F.col("package")), ("global", anywhere))])).alias("s"))
+    by_name = by_name.select("s.kind", "s.scope", name.alias("ref"), "label", place.alias("best"))
+    by_owner = owned.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), scope.alias("scope")) for k, scope in (("method in file", F.col("file_path")), ("method", anywhere))])).alias("s"))
+    by_owner = by_owner.select("s.kind", "s.scope", F.concat("owner", F.lit("."), "name").alias("ref"), "label", place.alias("best"))
+    rows = [row(n, "id", anywhere, F.col("id")), row(n.join(qualified_names(nodes), "id"), "qualified", anywhere, F.col("qualified")), by_name, by_owner]
+    return reduce(DataFrame.unionByName, rows).where("ref is not null and scope is not null").groupBy("kind", "scope", "ref", "label").agg(F.min("best").alias("best"))
+
+
+def resolve(raw: DataFrame, nodes: DataFrame, cross_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """(resolved, rejected) for raw(id, type, src_id, dst_ref, ...); id names an edge and is unique.
 
     resolved has raw's columns with dst_id, src_label, dst_label, strategy and
     cross_file_edge; rejected has raw's columns with reason. A null or unknown
-    reference is rejected, never lost.
+    reference is rejected, never lost. Each edge is looked up under its scopes,
+    eight at most, in one join with one table of candidates.
     """
     spark = raw.sparkSession
     columns = raw.columns
     n = nodes.where("id is not null").dropDuplicates(["id"]).select("id", "label", "name", "file_path", "start_byte", "receiver_type", "parent_id", dirname(F.col("file_path")).alias("package"))
+    n = staged(n, "nodes")
     src = n.select(F.col("id").alias("src_id"), F.col("label").alias("src_label"), F.col("file_path").alias("src_file"), F.col("package").alias("src_package"))
-    edges = raw.select(F.col("id").alias("edge"), "type", "src_id", "dst_ref").join(src, "src_id")
-    ranks = label_ranks(spark)  # a few rows for each edge type
-    typed = edges.join(F.broadcast(ranks), "type").unionByName(edges.where(~F.col("type").isin(*EXPECTED)).withColumn("label", F.lit(None).cast("string")).withColumn("label_rank", F.lit(0)))
-    fits = lambda best: F.col("want").isNull() | (F.col("want") == F.col(best))
-    typed = typed.withColumnRenamed("label", "want")
-
-    def found(candidates: DataFrame, on: list, rank: int, strategy: str, edges_in: DataFrame = None, any_label: bool = False) -> DataFrame:
-        c = candidates.withColumnRenamed("label", "got")
-        x = (typed if edges_in is None else edges_in).join(c, on)
-        x = x if any_label else x.where(fits("got"))
-        if not cross_file and rank > 2:
-            x = x.where(F.col("best.file_path") == F.col("src_file"))
-        return x.select("edge", F.struct(F.lit(rank).alias("rank"), F.col("label_rank").alias("label_rank"), F.col("best.file_path").alias("file_path"), F.col("best.start_byte").alias("start_byte"), F.col("best.id").alias("id"), F.col("got").alias("label"), F.lit(strategy).alias("strategy")).alias("c"))
-
-    key = lambda c: F.col(c).alias("dst_ref")
-    by_id = n.select(F.col("id").alias("dst_ref"), "label", F.struct("file_path", F.coalesce("start_byte", F.lit(0)).alias("start_byte"), "id").alias("best"))
-    any_label = edges.withColumn("want", F.lit(None).cast("string")).withColumn("label_rank", F.lit(0))
-    full = n.join(qualified_names(nodes, depth), "id").withColumn("name", F.col("qualified"))
-    parts = [
-        found(by_id, ["dst_ref"], 0, "id", any_label, True),
-        found(_first(full.select(key("qualified"), "label", "file_path", "start_byte", "id"), "dst_ref"), ["dst_ref"], 1, "qualified"),
-        found(_first(n.select(key("name"), F.col("file_path").alias("src_file"), "label", "file_path", "start_byte", "id"), "dst_ref", "src_file"), ["dst_ref", "src_file"], 2, "file"),
-        found(_first(n.select(key("name"), F.col("package").alias("src_package"), "label", "file_path", "start_byte", "id"), "dst_ref", "src_package"), ["dst_ref", "src_package"], 3, "package"),
-        found(_first(n.select(key("name"), "label", "file_path", "start_byte", "id"), "dst_ref"), ["dst_ref"], 4, "global"),
-    ]
-    # recv.method: a method by its receiver or parent first, then the qualified name whatever its label
-    dotted = any_label.where(F.size(F.split("dst_ref", "\\.")) == 2)
-    owner = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("owner")).where("parent_id is not null")
-    method = n.where(F.col("label").isin("Method", "Function", "TestFunction"))
-    owned = method.join(owner, "parent_id").select(F.concat("owner", F.lit("."), "name").alias("dst_ref"), "label", "file_path", "start_byte", "id")
-    received = method.where("receiver_type <> ''").select(F.concat("receiver_type", F.lit("."), "name").alias("dst_ref"), "label", "file_path", "start_byte", "id")
-    owned = owned.unionByName(received)
-    parts += [
-        found(_first(owned.withColumn("src_file", F.col("file_path")), "dst_ref", "src_file"), ["dst_ref", "src_file"], 5, "method", dotted, True),
-        found(_first(owned, "dst_ref"), ["dst_ref"], 6, "method", dotted, True),
-        found(_first(full.select(key("qualified"), "label", "file_path", "start_byte", "id"), "dst_ref"), ["dst_ref"], 7, "qualified", dotted, True),
-    ]
-    best = reduce(DataFrame.unionByName, parts).groupBy("edge").agg(F.min("c").alias("c"))
-    out = raw.join(src.select("src_id", "src_label", "src_file"), "src_id", "left").join(best.withColumnRenamed("edge", "id"), "id", "left")
+    edges = staged(raw.join(src, "src_id", "left").select(*columns, "src_label", "src_file", "src_package"), "edges")
+    anywhere = F.lit("")
+    looks = [(0, "id", anywhere, "id"), (1, "qualified", anywhere, "qualified"), (2, "file", F.col("src_file"), "file"), (3, "package", F.col("src_package"), "package"), (4, "global", anywhere, "global")]
+    dotted = [(5, "method in file", F.col("src_file"), "method"), (6, "method", anywhere, "method"), (7, "qualified", anywhere, "qualified")]
+    row = lambda rank, kind, scope, strategy: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), scope.alias("scope"), F.lit(strategy).alias("strategy"))
+    plain, more = F.array(*[row(*x) for x in looks]), F.array(*[row(*x) for x in dotted])
+    asked = edges.where("src_label is not null and dst_ref is not null").select("id", "type", F.col("dst_ref").alias("ref"), "src_file", "src_package")
+    asked = asked.select("id", "type", "ref", "src_file", F.explode(F.when(F.size(F.split("ref", "\\.")) == 2, F.concat(plain, more)).otherwise(plain)).alias("l"))
+    asked = asked.select(F.col("id").alias("edge"), "type", "ref", "src_file", "l.*")
+    found = asked.join(_candidates(n, nodes), ["kind", "scope", "ref"])
+    # ids and dotted references take any label; the others those that the type expects, in their order
+    order = F.create_map(*[F.lit(x) for t, labels in EXPECTED.items() for i, label in enumerate(labels) for x in (f"{t} {label}", i)])
+    any_label = F.col("rank").isin(0, 5, 6, 7) | ~F.col("type").isin(*EXPECTED)
+    found = found.withColumn("label_rank", F.when(any_label, F.lit(0)).otherwise(F.try_element_at(order, F.concat("type", F.lit(" "), "label")))).where("label_rank is not null")
+    if not cross_file:
+        found = found.where(~F.col("rank").isin(3, 4, 6, 7) | (F.col("best.file_path") == F.col("src_file")))
+    best = found.groupBy("edge").agg(F.min(F.struct("rank", "label_rank", "best.file_path", "best.start_byte", "best.id", "label", "strategy")).alias("c"))
+    out = edges.join(best.withColumnRenamed("edge", "id"), "id", "left")
     out = out.select(*columns, F.col("c.id").alias("dst_id"), "src_label", F.col("c.label").alias("dst_label"), F.col("c.strategy").alias("strategy"), "src_file", (F.col("src_file") != F.col("c.file_path")).alias("cross_file_edge"))
-    checked = validate(out, spark)
     reason = F.when(F.col("src_label").isNull(), NO_SOURCE).when(F.col("dst_id").isNull(), NO_TARGET).when(~F.col("allowed"), NO_SCHEMA)
-    checked = checked.withColumn("reason", reason)
+    checked = staged(validate(out, spark).withColumn("reason", reason), "resolved")
     good = checked.where("reason is null").drop("reason", "allowed", "src_file")
     return good, checked.where("reason is not null").select(*columns, "reason")
 

@@ -9,37 +9,45 @@ from ..functions.scalars import percent, url_path
 from .binding import graph, load
 from .registry import query
 
-# ---- fixed values: (language, method group or method, path group, pattern); groups are named by their numbers
+# What an endpoint's or a call's text says: (language, path group, method, pattern). The method is the number of a group, a
+# word, or a word and the pattern that states another inside the text; a text may state several.
 ENDPOINTS = (
-    ("python", "GET", 1, r"@\w+\.route\(\s*['\"]([^'\"]+)['\"]"),
-    ("python", 1, 2, r"@\w+\.(get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]"),
-    ("go", "GET", 1, r"\.HandleFunc\(\s*\"([^\"]+)\""),
-    ("go", "GET", 1, r"\.Handle\(\s*\"([^\"]+)\""),
-    ("go", 1, 2, r"\.(GET|POST|PUT|DELETE|PATCH)\(\s*\"([^\"]+)\""),
-    ("typescript", 1, 2, r"(?:app|router)\.(get|post|put|delete|patch)\(\s*['\"`]([^'\"`]+)['\"`]"),
-    ("typescript", 1, 2, r"@(Get|Post|Put|Delete|Patch)\(\s*['\"`]([^'\"`]*)['\"`]"),
+    ("python", 1, ("GET", r"methods\s*=\s*[\[(]([^\])]*)"), r"@\w+\.route\s*\(\s*['\"]([^'\"]+)['\"][^\n]*"),
+    ("python", 2, 1, r"@\w+\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("go", 1, "ANY", r"\.Handle(?:Func)?\s*\(\s*[\"`]([^\"`]+)[\"`]\s*,"),
+    ("go", 2, 1, r"\.(GET|POST|PUT|DELETE|PATCH)\s*\(\s*[\"`]([^\"`]+)[\"`]\s*,"),
+    ("typescript", 2, 1, r"(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]"),
+    ("typescript", 2, 1, r"@(Get|Post|Put|Delete|Patch)\s*\(\s*['\"`]([^'\"`]*)['\"`]"),
 )
 CALLS = (
-    ("python", 1, 2, r"requests\.(get|post|put|delete|patch)\(\s*f?['\"]([^'\"]+)['\"]"),
-    ("go", 1, 2, r"http\.(Get|Post|Head)\(\s*\"([^\"]+)\""),
-    ("typescript", "GET", 1, r"fetch\(\s*['\"`]([^'\"`]+)['\"`]"),
-    ("typescript", 1, 2, r"axios\.(get|post|put|delete|patch)\(\s*['\"`]([^'\"`]+)['\"`]"),
+    ("python", 2, 1, r"requests\.(get|post|put|delete|patch)\s*\(\s*f?['\"]([^'\"]+)['\"]"),
+    ("go", 2, 1, r"http\.(Get|Post|Put|Delete|Head)\s*\(\s*[\"`]([^\"`]+)[\"`]"),
+    ("typescript", 1, ("GET", r"\bmethod\s*:\s*(['\"`]\w+)"), r"\bfetch\s*\(\s*['\"`]([^'\"`]+)['\"`](?:\s*,\s*\{[^}]*\})?"),
+    ("typescript", 2, 1, r"axios\.(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]"),
 )
-# ---- end of fixed values
 
 
 def _found(rules: tuple, language: Column, content: Column, name: str) -> Column:
-    """Array of struct(method, path) for the rules of the row's language."""
+    """Array of struct(method, path) for the rules of the row's language; null content has none."""
     empty = F.array().cast(f"array<struct<method:string,{name}:string>>")
 
-    def one(method, path, pattern):
-        kind = lambda h: F.upper(F.regexp_extract(h, pattern, method)) if isinstance(method, int) else F.lit(method)
-        return lambda h: F.struct(kind(h).alias("method"), F.regexp_extract(h, pattern, path).alias(name))
+    def methods(hit, method, pattern):
+        if isinstance(method, int):
+            return F.array(F.upper(F.regexp_extract(hit, pattern, method)))
+        word, stated = (method, None) if isinstance(method, str) else method
+        if stated is None:
+            return F.array(F.lit(word))
+        found = F.regexp_extract_all(F.regexp_extract(hit, stated, 1), F.lit(r"\w+"), 0)
+        return F.when(F.size(found) > 0, F.transform(found, F.upper)).otherwise(F.array(F.lit(word)))
+
+    def each(path, method, pattern):
+        return lambda h: F.transform(methods(h, method, pattern), lambda m: F.struct(m.alias("method"), F.regexp_extract(h, pattern, path).alias(name)))
 
     parts = []
-    for lang, method, path, pattern in rules:
+    for lang, path, method, pattern in rules:
         same = language.isin("typescript", "javascript") if lang == "typescript" else language == lang
-        parts.append(F.when(same, F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), one(method, path, pattern))).otherwise(empty))
+        hits = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), each(path, method, pattern)))
+        parts.append(F.when(same & content.isNotNull(), hits).otherwise(empty))
     return F.concat(*parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from ..graph import Graph
-from ..schema import EDGE_TYPES, LABELS, NODE_DDL, _columns
+from ..schema import EDGE_TYPES, LABELS, NODE_DDL, _columns, connections
 
 
 def show_tables(g: Graph):
@@ -25,11 +25,10 @@ def table_info(g: Graph, name: str):
 
 def show_connection(g: Graph, name: str):
     """(source, target): every allowed pair of a relationship, not the first alone."""
-    rows = [(s, t) for p in EDGE_TYPES[name][0] for s in p.split(" > ")[0].split() for t in p.split(" > ")[1].split()]
-    return g.spark.createDataFrame(rows, "source string, target string")
+    return g.spark.createDataFrame(connections(name), "source string, target string")
 
 
 def schema_json() -> str:
     nodes = [{"label": x, "properties": [{"name": n, "type": t.replace(";", ",")} for n, t in _columns(NODE_DDL) if n != "label"]} for x in LABELS]
-    edges = [{"type": t, "connections": [{"from": s, "to": e} for p in pairs for s in p.split(" > ")[0].split() for e in p.split(" > ")[1].split()], "properties": props} for t, (pairs, props) in EDGE_TYPES.items()]
+    edges = [{"type": t, "connections": [{"from": s, "to": e} for s, e in connections(t)], "properties": list(props)} for t, (_, props) in EDGE_TYPES.items()]
     return json.dumps({"nodes": nodes, "relationships": edges}, indent=2)

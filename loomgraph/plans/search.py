@@ -33,6 +33,20 @@ def glob_to_regex(glob: str) -> str:
     return f"(^|/){out}$"
 
 
+def read_file(files: DataFrame, path: str, encoding: str = "utf8") -> DataFrame:
+    """(path, content, size, modified, error) of one file of files(path, content, length, modified); a missing one gives its error.
+
+    base64 gives the bytes of the content so encoded. The path is compared at the scan.
+    """
+    if encoding not in ("utf8", "base64"):
+        raise ValueError("encoding is utf8 or base64")
+    content = F.col("content") if encoding == "utf8" else F.base64(F.encode("content", "UTF-8"))
+    one = files.where(F.col("path") == path).select(F.lit(path).alias("path"), content.alias("content"), F.col("length").alias("size"), "modified")
+    asked = files.sparkSession.createDataFrame([(path,)], "path string")
+    error = F.when(F.col("size").isNull(), F.concat(F.lit("no such file: "), "path"))
+    return asked.join(one, "path", "left").withColumn("error", error)
+
+
 def list_files(files: DataFrame, folder: str = "", recursive: bool = True, skip: tuple = SKIPPED_FOLDERS) -> DataFrame:
     """(name, path, type) below a folder of files(path); folders themselves only where not recursive."""
     prefix = folder.rstrip("/") + "/" if folder.strip("/.") else ""

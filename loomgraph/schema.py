@@ -14,44 +14,44 @@ LABELS = (
 )
 TEST_LABELS = ("TestFunction", "TestCase", "TestSuite", "Assertion", "Mock", "Fixture")
 
-_CODE = "Function Method"
-_TESTS = "TestFunction TestCase"
-#: type: (pairs of "sources > targets", properties)
+_CODE = ("Function", "Method")
+_TESTS = ("TestFunction", "TestCase")
+#: type: (allowed (sources, targets), properties)
 EDGE_TYPES = {
-    "Contains": (["File > Function Class Method Struct Interface Import Variable TestFunction TestCase TestSuite Assertion Mock Fixture"], []),
-    "CALLS": ([f"{_CODE} > {_CODE}", f"{_TESTS} > {_CODE}"], []),
-    "IMPORTS": (["File > File"], []),
-    "INHERITS": (["Class > Class"], []),
-    "EMBEDS": (["Struct > Struct"], ["source_id", "target_id"]),
-    "IMPLEMENTS": (["Struct > Interface"], ["source_id", "target_id"]),
-    "DEFINES": (["Struct Interface > Method"], []),
-    "USES": ([f"{_CODE} > Struct Interface"], []),
-    "TESTS": ([f"{_TESTS} > {_CODE} Class"], ["confidence_score"]),
-    "COVERS": ([f"{_TESTS} > {_CODE}"], ["coverage_type"]),
-    "MOCKS": ([f"{_TESTS} Mock > {_CODE}"], ["mock_type"]),
-    "SETUP_FOR": (["TestFunction > TestCase", f"Fixture > {_TESTS}"], []),
-    "TEARDOWN_FOR": (["TestFunction > TestCase"], []),
-    "ASSERTS": ([f"{_TESTS} > Assertion"], ["assertion_type"]),
-    "VERIFIES": ([f"{_TESTS} > {_CODE}"], ["verification_type"]),
-    "SPIES": ([f"{_TESTS} > {_CODE}"], ["spy_type"]),
-    "STUBS": ([f"{_TESTS} > {_CODE}"], ["stub_type"]),
-    "FIXTURES": ([f"{_TESTS} > Fixture"], ["fixture_type"]),
-    "RUNS_TEST": ([f"TestSuite > {_TESTS}"], []),
-    "GROUPS_TESTS": ([f"TestSuite > {_TESTS}"], ["group_type"]),
-    "SKIPS": (["TestFunction > TestFunction", "TestCase > TestCase"], ["skip_condition"]),
-    "DEPENDS": (["TestFunction > TestFunction", "TestCase > TestCase", f"{_TESTS} > Fixture"], ["dependency_type"]),
-    "RE_EXPORTS": (["File > File", "Function > Function", "Class > Class"], ["export_name", "export_alias"]),
-    "DECORATES": (["Function > Class Method Function"], ["decorator_name", "decorator_params"]),
-    "CONSTRAINS": (["Interface > Class Function"], ["constraint_type"]),
-    "DYNAMIC_IMPORT": ([f"{_CODE} > File"], ["import_type"]),
-    "HAS_PROPS": (["Class Interface > Variable"], ["prop_type", "is_required"]),
-    "RENDERS_JSX": ([f"{_CODE} > Class"], ["jsx_type"]),
-    "INJECTS": (["Class > Class", "Function > Variable"], ["injection_type"]),
-    "CONSUMES_SERVICE": (["Class Function > Class"], ["service_type"]),
-    "HANDLES_ROUTE": ([f"{_CODE} > Variable"], ["route_path", "http_method"]),
-    "CALLS_API": ([f"{_CODE} > Function"], ["api_endpoint", "http_method"]),
-    "EXPOSES_ENDPOINT": ([f"{_CODE} > Variable"], ["endpoint_path", "endpoint_type"]),
-    "USES_MIDDLEWARE": (["Function Class > Function"], ["middleware_type"]),
+    "Contains": (((("File",), ("Function", "Class", "Method", "Struct", "Interface", "Import", "Variable", "TestFunction", "TestCase", "TestSuite", "Assertion", "Mock", "Fixture")),), ()),
+    "CALLS": (((_CODE, _CODE), (_TESTS, _CODE)), ()),
+    "IMPORTS": (((("File",), ("File",)),), ()),
+    "INHERITS": (((("Class",), ("Class",)),), ()),
+    "EMBEDS": (((("Struct",), ("Struct",)),), ("source_id", "target_id")),
+    "IMPLEMENTS": (((("Struct",), ("Interface",)),), ("source_id", "target_id")),
+    "DEFINES": (((("Struct", "Interface"), ("Method",)),), ()),
+    "USES": (((_CODE, ("Struct", "Interface")),), ()),
+    "TESTS": (((_TESTS, (*_CODE, "Class")),), ("confidence_score",)),
+    "COVERS": (((_TESTS, _CODE),), ("coverage_type",)),
+    "MOCKS": ((((*_TESTS, "Mock"), _CODE),), ("mock_type",)),
+    "SETUP_FOR": (((("TestFunction",), ("TestCase",)), (("Fixture",), _TESTS)), ()),
+    "TEARDOWN_FOR": (((("TestFunction",), ("TestCase",)),), ()),
+    "ASSERTS": (((_TESTS, ("Assertion",)),), ("assertion_type",)),
+    "VERIFIES": (((_TESTS, _CODE),), ("verification_type",)),
+    "SPIES": (((_TESTS, _CODE),), ("spy_type",)),
+    "STUBS": (((_TESTS, _CODE),), ("stub_type",)),
+    "FIXTURES": (((_TESTS, ("Fixture",)),), ("fixture_type",)),
+    "RUNS_TEST": (((("TestSuite",), _TESTS),), ()),
+    "GROUPS_TESTS": (((("TestSuite",), _TESTS),), ("group_type",)),
+    "SKIPS": (((("TestFunction",), ("TestFunction",)), (("TestCase",), ("TestCase",))), ("skip_condition",)),
+    "DEPENDS": (((("TestFunction",), ("TestFunction",)), (("TestCase",), ("TestCase",)), (_TESTS, ("Fixture",))), ("dependency_type",)),
+    "RE_EXPORTS": (((("File",), ("File",)), (("Function",), ("Function",)), (("Class",), ("Class",))), ("export_name", "export_alias")),
+    "DECORATES": (((("Function",), ("Class", "Method", "Function")),), ("decorator_name", "decorator_params")),
+    "CONSTRAINS": (((("Interface",), ("Class", "Function")),), ("constraint_type",)),
+    "DYNAMIC_IMPORT": (((_CODE, ("File",)),), ("import_type",)),
+    "HAS_PROPS": (((("Class", "Interface"), ("Variable",)),), ("prop_type", "is_required")),
+    "RENDERS_JSX": (((_CODE, ("Class",)),), ("jsx_type",)),
+    "INJECTS": (((("Class",), ("Class",)), (("Function",), ("Variable",))), ("injection_type",)),
+    "CONSUMES_SERVICE": (((("Class", "Function"), ("Class",)),), ("service_type",)),
+    "HANDLES_ROUTE": (((_CODE, ("Variable",)),), ("route_path", "http_method")),
+    "CALLS_API": (((_CODE, ("Function",)),), ("api_endpoint", "http_method")),
+    "EXPOSES_ENDPOINT": (((_CODE, ("Variable",)),), ("endpoint_path", "endpoint_type")),
+    "USES_MIDDLEWARE": (((("Function", "Class"), ("Function",)),), ("middleware_type",)),
 }
 #: Labels that a name may resolve to, by edge type, in order of preference; types not named take any label.
 EXPECTED = {
@@ -100,10 +100,14 @@ def conform(df: DataFrame, ddl: str, **values: Column) -> DataFrame:
     return df.select(*out)
 
 
+def connections(kind: str) -> list[tuple[str, str]]:
+    """The allowed (source, target) labels of an edge type."""
+    return [(s, d) for sources, targets in EDGE_TYPES[kind][0] for s in sources for d in targets]
+
+
 def edge_schema(spark: SparkSession) -> DataFrame:
     """(type, src_label, dst_label, props): one row for each allowed pair; bounded by the fixed schema above."""
-    rows = [(t, s, d, props) for t, (pairs, props) in EDGE_TYPES.items() for p in pairs for s in p.split(" > ")[0].split() for d in p.split(" > ")[1].split()]
-    return spark.createDataFrame(rows, "type string, src_label string, dst_label string, props array<string>")
+    return spark.createDataFrame([(t, s, d, list(EDGE_TYPES[t][1])) for t in EDGE_TYPES for s, d in connections(t)], "type string, src_label string, dst_label string, props array<string>")
 
 
 def label_ranks(spark: SparkSession) -> DataFrame:

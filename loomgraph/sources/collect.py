@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from bisect import bisect_left, bisect_right
+from math import isqrt
+
+import numpy as np
+
+
+def _bytes_before(text: str) -> np.ndarray:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.append(0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
 
 
 class Rows:
@@ -12,16 +22,15 @@ class Rows:
     def __init__(self, path: str, content: str, language: str, is_test_file: bool):
         self.path, self.content, self.language, self.is_test_file = path, content, language, is_test_file
         self.rows: list[dict] = []
-        self.plain = content.isascii()
+        #: Bytes before each character, where they differ.
+        self.before = None if content.isascii() else _bytes_before(content)
         self.lines = [m.start() for m in re.finditer("\n", content)]
 
     def byte(self, at: int) -> int:
-        return at if self.plain else len(self.content[:at].encode("utf-8", "surrogatepass"))
+        return at if self.before is None else int(self.before[at])
 
     def line(self, at: int) -> int:
-        import bisect
-
-        return bisect.bisect_left(self.lines, at) + 1
+        return bisect_left(self.lines, at) + 1
 
     def node(self, label: str, name: str, start: int, end: int, **more) -> str:
         a, b = self.byte(start), self.byte(end)
@@ -80,10 +89,43 @@ def doc_comment(content: str, start: int) -> str:
     return "\n".join(reversed(out))
 
 
-def innermost(spans: list[tuple[int, int, str]], at: int) -> str | None:
-    """Id of the smallest span around a place."""
-    best = None
-    for a, b, ident in spans:
-        if a <= at < b and (best is None or b - a < best[0]):
-            best = (b - a, ident)
-    return best and best[1]
+class Spans:
+    """Places (start, end, id) that lie apart or inside each other; the innermost around a place is found by a sorted search
+    and a look at the latest few, which are sorted in when they are more than about the root of all."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, str]] = []
+        self.made, self.cuts, self.owner = 0, [], []
+
+    def add(self, start: int, end: int, ident: str) -> None:
+        self.rows.append((start, end, ident))
+
+    def _settle(self):
+        """Boundaries, and the innermost span from each on. Of two that cross, the shorter counts where both are."""
+        self.made, self.cuts, self.owner = len(self.rows), [], []
+        events = sorted([(a, 1, k) for k, (a, z, _) in enumerate(self.rows) if z > a] + [(z, 0, k) for k, (a, z, _) in enumerate(self.rows) if z > a])
+        heap: list = []
+        gone = set()
+        for at, opens, k in events:
+            if opens:
+                heapq.heappush(heap, (self.rows[k][1] - self.rows[k][0], k))
+            else:
+                gone.add(k)
+            while heap and heap[0][1] in gone:
+                heapq.heappop(heap)
+            if self.cuts and self.cuts[-1] == at:
+                self.owner[-1] = heap[0][1] if heap else None
+            else:
+                self.cuts.append(at)
+                self.owner.append(heap[0][1] if heap else None)
+
+    def innermost(self, at: int) -> str | None:
+        """Id of the smallest span around a place."""
+        if len(self.rows) - self.made > 64 + 4 * isqrt(len(self.rows)):
+            self._settle()
+        k = bisect_right(self.cuts, at) - 1
+        best = self.rows[self.owner[k]] if k >= 0 and self.owner[k] is not None else None
+        for x in self.rows[self.made :]:
+            if x[0] <= at < x[1] and (best is None or x[1] - x[0] < best[1] - best[0]):
+                best = x
+        return best and best[2]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
+
 
 def shared_root(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, where it is unset, a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     kept = getattr(spark.sparkContext, "_loom_root", None)
     if kept is None:
         kept = "file://" + tempfile.mkdtemp(prefix="loom-")
@@ -21,3 +26,10 @@ def shared_root(spark) -> str:
 
 def shared_dir(spark, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: made once, however often it is used."""
+    path = shared_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

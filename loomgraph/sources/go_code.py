@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import test_rules as T
-from .collect import Rows, closing, doc_comment, innermost, mask
+from .collect import Rows, Spans, closing, doc_comment, mask
 
 _PACKAGE = re.compile(r"^\s*package\s+(\w+)", re.M)
 _FUNC = re.compile(r"^func\s*(\([^)]*\))?\s*(\w+)\s*(\[[^\]]*\])?\s*\(", re.M)
@@ -16,6 +16,8 @@ _RECEIVER = re.compile(r"\(\s*\*?\w+\s+\*?(\w+)(?:\[[^\]]*\])?\s*\)")
 _KEYWORDS = {"if", "for", "switch", "select", "func", "return", "go", "defer", "range", "case", "else", "type", "var", "const", "struct", "interface", "map", "chan"}
 _CHANNEL = re.compile(r"(<-\s*chan|chan\s*<-|chan)\s+([\w.*\[\]{}]+)")
 _MAKE = re.compile(r"(\w+)\s*(?::=|=)\s*make\(\s*chan\s+([\w.*\[\]{}]+)\s*(?:,\s*([\w.]+))?\s*\)")
+#: A generic type or function with its type arguments; an index is told by its lower-case or numeric place.
+_INSTANCE = re.compile(r"\b([A-Z]\w*)\[((?:[\[\]*]*(?:string|bool|byte|rune|error|any|u?int(?:8|16|32|64)?|float(?:32|64)|(?:\w+\.)?[A-Z]\w*)(?:\s*,\s*)?)+)\]\s*[({]")
 _BRANCH = re.compile(r"\b(if|for|case|select)\b|&&|\|\|")
 
 
@@ -41,7 +43,8 @@ def _signature_end(masked: str, at: int) -> int:
 def extract(path: str, content: str) -> list[dict]:
     masked = mask(content)
     out = Rows(path, content, "go", path.endswith("_test.go"))
-    spans: list[tuple[int, int, str]] = []
+    spans = Spans()
+    methods: dict[str, list] = {}
     tests: dict[str, bool] = {}
     sends, receives, routines = {}, {}, []
     for m in _FUNC.finditer(masked):
@@ -62,7 +65,9 @@ def extract(path: str, content: str) -> list[dict]:
             props |= T.flags(body, T.GO_FLAGS)
         label = "TestFunction" if test else "Method" if receiver else "Function"
         ident = out.node(label, name, m.start(), end, signature=signature, body=body, doc_string=doc_comment(content, m.start()), is_exported=name[0].isupper(), complexity=1 + len(_BRANCH.findall(code)), props=props, **more)
-        spans.append((m.start(), end, ident))
+        spans.add(m.start(), end, ident)
+        if receiver and not test:
+            methods.setdefault(more["receiver_type"], []).append((ident, m.start()))
         tests[ident] = test
         for g in re.finditer(r"\[?(\w+)\s+((?:~?[\w.*\[\]]+\s*\|?\s*)+)", (generic or "").strip("[]")):
             out.node("Generic", g[1], m.start(), m.end(), parent_id=ident, type_definition=g[2].strip(), props={"constraint": g[2].strip(), "union": "|" in g[2], "approximate": "~" in g[2]})
@@ -87,10 +92,12 @@ def extract(path: str, content: str) -> list[dict]:
             if name_ != "chan":
                 receives.setdefault(name_, []).append(ident)
                 out.edge("USES", ident, name_, open_body + g.start(), props={"usage": "receive"})
+        for g in _INSTANCE.finditer(code):
+            out.edge("USES", ident, g[1], open_body + g.start(), props={"usage": "instantiation", "type_arguments": g[2].strip()})
         for g in re.finditer(r"\bselect\s*\{", code):
             out.edge("USES", ident, "select", open_body + g.start(), props={"usage": "select"})
     for m in _TYPE.finditer(masked):
-        if innermost(spans, m.start()):
+        if spans.innermost(m.start()):
             continue
         if m[4]:
             name, kind, opened = m[1], m[4], masked.index("{", m.end() - 1)
@@ -98,6 +105,10 @@ def extract(path: str, content: str) -> list[dict]:
             label = "Struct" if kind == "struct" else "Interface"
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             ident = out.node(label, name, start, end, type_definition=content[opened - len(kind) - 1 : end].strip(), doc_string=doc_comment(content, start), is_exported=name[0].isupper(), props={"type_parameters": m[2]})
+            for own, at in methods.get(name, []) if kind == "struct" else []:
+                out.edge("DEFINES", ident, own, at)
+            for g in re.finditer(r"(\w+)\s+((?:~?[\w.*]+\s*\|?\s*)+)", (m[2] or "").strip("[]")):
+                out.node("Generic", g[1], start, end, parent_id=ident, type_definition=g[2].strip(), props={"constraint": g[2].strip(), "union": "|" in g[2], "approximate": "~" in g[2]})
             for line_at, line in _lines(masked, content, opened + 1, end - 1):
                 if kind == "struct" and (e := re.fullmatch(r"\*?(?:\w+\.)?(\w+)(?:\[[^\]]*\])?(?:\s*`.*`)?", line)):
                     out.edge("EMBEDS", ident, e[1], line_at)
@@ -105,7 +116,8 @@ def extract(path: str, content: str) -> list[dict]:
                     for field in f[1].split(","):
                         out.node("Property", field.strip(), line_at, line_at + len(line), parent_id=ident, type_definition=f[2].split("`")[0].strip(), is_exported=field.strip()[:1].isupper())
                 elif kind == "interface" and (f := re.match(r"(\w+)\s*(\(.*)", line)):
-                    out.node("Method", f[1], line_at, line_at + len(line), parent_id=ident, signature=f[2], receiver_type=name, is_exported=f[1][0].isupper(), props={"abstract": True})
+                    own = out.node("Method", f[1], line_at, line_at + len(line), parent_id=ident, signature=f[2], receiver_type=name, is_exported=f[1][0].isupper(), props={"abstract": True})
+                    out.edge("DEFINES", ident, own, line_at)
                 elif kind == "interface" and (e := re.fullmatch(r"(?:\w+\.)?(\w+)", line)):
                     out.edge("EMBEDS", ident, e[1], line_at)
         elif m[5] and not m[7].strip().startswith(("struct", "interface")):
@@ -117,7 +129,7 @@ def extract(path: str, content: str) -> list[dict]:
     for m in _CHANNEL.finditer(masked):
         direction = "receive" if m[1].startswith("<-") else "send" if "<-" in m[1] else "both"
         if masked[max(0, m.start() - 5) : m.start()] != "make(":
-            out.node("Type", f"chan {m[2]}", m.start(), m.end(), parent_id=innermost(spans, m.start()), props={"kind": "channel", "direction": direction, "element": m[2]})
+            out.node("Type", f"chan {m[2]}", m.start(), m.end(), parent_id=spans.innermost(m.start()), props={"kind": "channel", "direction": direction, "element": m[2]})
     for name, on in _patterns(sends, receives, routines):
         out.node("Type", name, 0, 0, props={"kind": "concurrency_pattern", "evidence": on})
     package = _PACKAGE.search(masked)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
 import fnmatch
+import os
 import re
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import test_rules as T
-from ..functions.scalars import basename, extension, language
+from ..functions.scalars import basename, dirname, extension, language
 from ..graph import Graph
 from ..operators import resolve as R
 from ..schema import EDGE_DDL, NODE_DDL, RAW_EDGE_DDL, conform
 from .derive import indirect_covers, satisfied
+from .folders import shared_dir, staged
 
 
 def ignored(path, patterns: tuple = T.IGNORED):
@@ -25,12 +29,52 @@ def ignored(path, patterns: tuple = T.IGNORED):
     return out
 
 
+def _listing(spark: SparkSession, root: str):
+    """(path, length, seconds) of all files below root, as the driver lists them."""
+    if urlparse(root).scheme in ("", "file"):
+        for folder, _, names in os.walk(urlparse(root).path):
+            for name in names:
+                full = os.path.join(folder, name)
+                with contextlib.suppress(OSError):
+                    if os.path.isfile(full):
+                        yield full, os.path.getsize(full), os.path.getmtime(full)
+        return
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    each = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    while each.hasNext():
+        f = each.next()
+        yield f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000
+
+
+def passed_over(spark: SparkSession, root: str, most_bytes: int) -> DataFrame:
+    """What Spark's reader of files leaves out, of the known extensions: tasks read them; the driver holds their names."""
+    rows = [(p, n, t) for p, n, t in _listing(spark, root) if (n == 0 or p.rsplit("/", 1)[-1].startswith(("_", "."))) and n <= most_bytes and p.endswith(T.EXTENSIONS)]
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            content = []
+            for p in b["path"]:
+                at, inner = (fs.LocalFileSystem(), urlparse(p).path) if urlparse(p).scheme in ("", "file") else fs.FileSystem.from_uri(p)
+                with at.open_input_stream(inner) as f:
+                    content.append(f.read())
+            if content:
+                yield b.assign(content=content)
+
+    names = spark.createDataFrame(rows, "path string, length bigint, seconds double")
+    read = names.mapInPandas(run, "path string, length bigint, seconds double, content binary")
+    return read.select("path", "content", "length", F.timestamp_seconds("seconds").alias("modificationTime"))
+
+
 def scan(spark: SparkSession, root: str, patterns: tuple = T.IGNORED, most_bytes: int = T.MOST_BYTES) -> DataFrame:
     """files(path, content, language, length, modified) of the known extensions below root; content is null for what isn't UTF-8.
 
-    Size and times are pushed to the listing; a file's content is read only if it passes.
+    Size and times are pushed to the listing; a file's content is read only if it passes. Spark's reader passes over files
+    without bytes and those whose names begin with _ or a dot; they are listed and read besides.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length", "modificationTime")
+    raw = raw.unionByName(passed_over(spark, root, most_bytes))
     base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")
     full = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     rel = F.when(F.startswith(full, F.lit(base + "/")), F.substr(full, F.lit(len(base) + 2))).otherwise(full)
@@ -80,10 +124,58 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _OUT)
 
 
+def imports_of(nodes: DataFrame) -> DataFrame:
+    """(src_id, dst_id): the files of the tree that a file's imports name, found by equal paths.
+
+    Python: the module's path, or a name in it, below the importing file's folder or the nearest folder around it; dots
+    go up. TypeScript: relative paths with the known extensions or as a folder's index. Go: all files of the folder that
+    the longest end of the import's path names. Imports of what isn't in the tree give nothing.
+    """
+    files = nodes.where("label = 'File'").select(F.col("id").alias("dst_id"), "language", dirname(F.col("file_path")).alias("folder"))
+    i = nodes.where("label = 'Import'").select(F.col("file_path").alias("src_id"), "language", F.col("props")["path"].alias("module"), F.col("props")["names"].alias("names"), dirname(F.col("file_path")).alias("folder"))
+    i = i.where("module is not null").withColumn("folder", F.when(F.col("folder") == ".", "").otherwise(F.coalesce("folder", F.lit(""))))
+    parts = F.filter(F.split("folder", "/"), lambda x: x != "")
+    depth = F.size("parts")
+    up = lambda k: F.array_join(F.slice("parts", F.lit(1), F.greatest(k, F.lit(0))), "/")
+    below = lambda base, rest: F.when(base == "", rest).otherwise(F.concat(base, F.lit("/"), rest))
+
+    def first(asked: DataFrame) -> DataFrame:
+        """Of each import's candidates (rank, path), the first that is a file."""
+        found = asked.join(files.select(F.col("dst_id").alias("path"), "dst_id"), "path")
+        return found.groupBy("src_id", "module", "name").agg(F.min(F.struct("rank", "dst_id")).alias("f")).select("src_id", F.col("f.dst_id").alias("dst_id"))
+
+    py = i.where("language = 'python'").withColumn("parts", parts).withColumn("dots", F.length(F.regexp_extract("module", r"^\.*", 0)))
+    py = py.withColumn("inner", F.replace(F.substr("module", F.col("dots") + 1), F.lit("."), F.lit("/")))
+    py = py.withColumn("name", F.explode_outer(F.split("names", ",")))
+    bases = F.when(F.col("dots") > 0, F.array(up(depth - F.col("dots") + 1))).otherwise(F.transform(F.sequence(depth, F.lit(0)), up))
+    py = py.select("src_id", "module", F.coalesce("name", F.lit("")).alias("name"), "inner", F.posexplode(bases).alias("near", "base"))
+    own = F.when(F.col("inner") == "", F.col("name")).otherwise(F.concat_ws("/", "inner", "name"))
+    forms = F.array(F.when(F.col("name") != "", F.concat(own, F.lit(".py"))), F.when(F.col("inner") != "", F.concat("inner", F.lit(".py"))), F.when(F.col("name") != "", F.concat(own, F.lit("/__init__.py"))), F.concat_ws("/", F.nullif("inner", F.lit("")), F.lit("__init__.py")))
+    py = py.select("src_id", "module", "name", "near", "base", F.posexplode(forms).alias("k", "form")).where("form is not null")
+    py = py.select("src_id", "module", "name", (F.col("near") * 4 + F.col("k")).alias("rank"), below(F.col("base"), F.col("form")).alias("path"))
+
+    ts = i.where("language in ('typescript', 'javascript') and module like '.%'").withColumn("parts", F.concat(parts, F.split("module", "/")))
+    # . stays, .. goes up
+    seen = F.aggregate("parts", F.array().cast("array<string>"), lambda acc, x: F.when(x.isin(".", ""), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    ts = ts.withColumn("path", F.array_join(seen, "/"))
+    ends = F.array(*[F.lit(x) for x in ("", *T.EXTENSIONS[2:], *(f"/index{x}" for x in T.EXTENSIONS[2:]))])
+    ts = ts.select("src_id", "module", F.lit("").alias("name"), F.posexplode(ends).alias("rank", "end"), F.col("path").alias("_p")).select("src_id", "module", "name", "rank", F.concat("_p", "end").alias("path"))
+
+    go = i.where("language = 'go'").withColumn("parts", F.split("module", "/"))
+    go = go.select("src_id", "module", F.posexplode(F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice("parts", k, depth), "/"))).alias("rank", "folder"))
+    go = go.join(files.where("language = 'go'").select("folder", "dst_id"), "folder")
+    nearest = go.groupBy("src_id", "module").agg(F.min("rank").alias("rank"))
+    go = go.join(nearest, ["src_id", "module", "rank"]).select("src_id", "dst_id")
+    return first(py).unionByName(first(ts)).unionByName(go).where("src_id <> dst_id").distinct()
+
+
 def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
-    """(graph, rejected edges, errors) of extracted rows: names resolved, containment, interface satisfaction and indirect coverage derived."""
+    """(graph, rejected edges, errors) of extracted rows: names resolved, containment, imports, interface satisfaction and indirect coverage derived.
+
+    Nodes and edges are written once, so what is asked of the graph doesn't resolve it again.
+    """
     nodes = rows.where("tag = 'node'").select(*[x for x in _NAMES if x in {c.split(" ")[0] for c in re.sub(r"map<string,string>", "map", NODE_DDL).split(", ")}])
-    nodes = conform(nodes.dropDuplicates(["id"]), NODE_DDL)
+    nodes = staged(conform(nodes.dropDuplicates(["id"]), NODE_DDL), "nodes")
     raw = conform(rows.where("tag = 'edge'"), RAW_EDGE_DDL).dropDuplicates(["id"])
     held = nodes.where("label <> 'File'").select("id", "label", "file_path")
     in_file = conform(held, EDGE_DDL, id=F.concat(F.lit("f:"), "id"), type=F.lit("Contains"), src_id=F.col("file_path"), dst_id=F.col("id"), src_label=F.lit("File"), dst_label=F.col("label"))
@@ -91,7 +183,8 @@ def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     in_parent = nodes.where("parent_id is not null").select("id", "label", "parent_id", "file_path").join(parents, "parent_id")
     in_parent = conform(in_parent, EDGE_DDL, id=F.concat(F.lit("p:"), "id"), type=F.lit("Contains"), src_id=F.col("parent_id"), dst_id=F.col("id"), src_label=F.col("src_label"), dst_label=F.col("label"))
     resolved, rejected = R.resolve(raw, nodes)
-    edges = conform(resolved, EDGE_DDL).unionByName(in_file).unionByName(in_parent)
+    imported = conform(imports_of(nodes), EDGE_DDL, id=F.concat(F.lit("m:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("IMPORTS"), src_label=F.lit("File"), dst_label=F.lit("File"), file_path=F.col("src_id"))
+    edges = staged(conform(resolved, EDGE_DDL).unionByName(in_file).unionByName(in_parent).unionByName(imported), "edges")
     own = nodes.where("label = 'Method' and receiver_type is not null and language = 'go'")
     structs = nodes.where("label = 'Struct'").select(F.col("name").alias("receiver_type"), F.col("id").alias("struct"))
     interfaces = nodes.where("label = 'Interface' and language = 'go'").select(F.col("id").alias("parent_id"), F.col("id").alias("interface"))
@@ -102,13 +195,11 @@ def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     sources = nodes.select(F.col("id").alias("src_id"), F.col("label").alias("src_label"))
     through = indirect_covers(tests, calls).join(labels, "dst_id").join(sources, "src_id")
     through = conform(through, EDGE_DDL, id=F.concat(F.lit("c:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("COVERS"), coverage_type=F.lit("indirect"))
-    return Graph(nodes, edges.unionByName(implements).unionByName(through)), rejected, rows.where("tag = 'error'").select("file_path", "error")
+    return Graph(nodes, staged(edges.unionByName(implements).unionByName(through), "edges")), rejected, rows.where("tag = 'error'").select("file_path", "error")
 
 
 def build_graph(spark: SparkSession, root: str, to: str | None = None) -> tuple[Graph, DataFrame, DataFrame]:
     """Scans, extracts once (the rows are written to the shared folder, or to `to`), resolves."""
-    from .folders import shared_dir
-
     path = to or shared_dir(spark, "extracted")
     extract(scan(spark, root)).write.mode("overwrite").parquet(path)
     return graph_of(spark.read.parquet(path))

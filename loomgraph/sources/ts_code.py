@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import test_rules as T
-from .collect import Rows, closing, innermost, mask
+from .collect import Rows, Spans, closing, mask
 
 _ID = r"[A-Za-z_$][\w$]*"
 _FUNCTION = re.compile(rf"(?P<export>export\s+)?(?:default\s+)?(?P<async>async\s+)?function\s*\*?\s*(?P<name>{_ID})\s*(?P<generic><[^>(]*>)?\s*\(")
@@ -31,6 +31,8 @@ _HOOKS = {"beforeEach", "afterEach", "beforeAll", "afterAll", "before", "after",
 _MOCKS = (("function", ("jest.fn", "vi.fn")), ("module", ("jest.mock", "vi.mock")), ("stub", ("sinon.stub",)), ("spy", ("spyOn", "sinon.spy")))
 _RENDERS = (("render", "testing-library"), ("mount", "enzyme"), ("shallow", "enzyme"))
 _API = ("fetch", "axios", "http.", "$http", "$.ajax", "$.get", "$.post")
+#: In a service's method, what tells that it calls an API.
+_API_WORDS = ("http", "fetch", "axios")
 _ROUTE = re.compile(r"(?:app|router)\.(get|post|put|delete|patch|all)$")
 _BRANCH = re.compile(r"\b(if|for|while|case|catch)\b|&&|\|\||\?\?")
 
@@ -40,6 +42,20 @@ def _string(content: str, at: int) -> str:
     return m[2] if m else ""
 
 
+def _outermost(masked: str, keep: str = "") -> str:
+    """Arguments without what is in brackets; keep: opening brackets that stay as marks."""
+    out, depth = [], 0
+    for c in masked:
+        if c in "([{":
+            out.append(c if depth == 0 and c in keep else " ")
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif depth == 0:
+            out.append(c)
+    return "".join(out)
+
+
 class _Scanner:
     def __init__(self, path: str, content: str):
         lang = "javascript" if re.search(r"\.jsx?$", path) else "typescript"
@@ -47,8 +63,9 @@ class _Scanner:
         self.test_file = T.ts_is_test_file(path, content)
         self.framework = T.first(content, T.TS_FRAMEWORKS, "unknown") if self.test_file else ""
         self.out = Rows(path, content, lang, self.test_file)
-        self.spans: list[tuple[int, int, str]] = []
-        self.classes: list[tuple[int, int, str]] = []
+        self.spans = Spans()
+        self.classes = Spans()
+        self.handlers: list[tuple] = []
         self.names: dict[str, str] = {}
         self.decorated = [(m.start(), m[1], closing(self.masked, m.end() - 1) + 1 if m[2] else m.end()) for m in _DECORATOR.finditer(self.masked)]
 
@@ -84,7 +101,7 @@ class _Scanner:
         decorators = self.decorators(start)
         ident = self.out.node(label, name, start, end, parent_id=parent, decorators=decorators, **more)
         if calls:
-            self.spans.append((start, end, ident))
+            self.spans.add(start, end, ident)
         self.names.setdefault(name, ident)
         for d in decorators:
             self.out.node("Decorator", d[1:], start, start, parent_id=ident)
@@ -112,7 +129,17 @@ class _Scanner:
             self.out.node("Component", name, start, end, parent_id=ident, props={"framework": "react"})
         for p in re.finditer(rf"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*({_ID})\??\s*:\s*([^,()=]+)", params):
             if name == "constructor" and parent:
-                self.out.edge("INJECTS", parent, p[2].strip().split("<")[0], start, props={"injection_type": "constructor"})
+                kind = p[2].strip().split("<")[0]
+                self.out.edge("INJECTS", parent, kind, start, props={"injection_type": "constructor"})
+                if "Service" in kind or "API" in kind:
+                    self.out.edge("CONSUMES_SERVICE", parent, kind, start, props={"service_type": "injected"})
+            elif name[:1].isupper() and jsx:
+                self.out.edge("USES", ident, p[2].strip().split("<")[0], start, props={"usage": "props"})
+        for p in re.finditer(r"\(\s*\{[^}]*\}\s*:\s*([A-Z]\w*)", params):
+            if jsx:
+                self.out.edge("USES", ident, p[1], start, props={"usage": "props"})
+        for p in re.finditer(r"\bnew\s+([A-Z]\w*(?:Service|API)\w*)\s*\(|\binject\(\s*([A-Z]\w*)\s*\)", code):
+            self.out.edge("CONSUMES_SERVICE", ident, p[1] or p[2], max(opened, 0) + p.start(), props={"service_type": "created" if p[1] else "injected"})
         return ident
 
     def run(self) -> list[dict]:
@@ -127,7 +154,7 @@ class _Scanner:
             ext = re.search(r"extends\s+([\w$.]+)", heritage)
             impl = re.search(r"implements\s+(.+)", heritage, re.S)
             ident = self.add("Class", m["name"], m.start(), end, calls=False, signature=heritage.strip(), body=c[m.start() : end], is_exported=bool(m["export"]), props={"type_parameters": m["generic"]})
-            self.classes.append((m.start(), end, ident))
+            self.classes.add(m.start(), end, ident)
             self.generics(ident, m["generic"], m.start())
             if ext:
                 self.out.edge("INHERITS", ident, ext[1].rsplit(".", 1)[-1], m.start())
@@ -138,23 +165,34 @@ class _Scanner:
             marks = self.decorators(m.start())
             if "@Component" in marks:
                 self.out.node("Component", m["name"], m.start(), end, parent_id=ident, props={"framework": "angular"})
-            if "@Injectable" in marks or m["name"].endswith("Service"):
-                self.out.node("Service", m["name"], m.start(), end, parent_id=ident)
             if "@NgModule" in marks:
                 self.out.node("Module", m["name"], m.start(), end, parent_id=ident, props={"framework": "angular"})
-            depth_at = m.end()
-            for f in _METHOD.finditer(s, depth_at, end - 1):
-                if f["name"] in _KEYWORDS - {"constructor"} or innermost([x for x in self.spans if x[0] >= m.start()], f.start("name")) or s[depth_at : f.start("name")].count("{") != s[depth_at : f.start("name")].count("}"):
+            service = "Service" in m["name"] or "API" in m["name"] or "@Injectable" in marks
+            at, depth, api = m.end(), 0, []
+            for f in _METHOD.finditer(s, m.end(), end - 1):
+                depth += s.count("{", at, f.start("name")) - s.count("}", at, f.start("name"))
+                at = f.start("name")
+                if depth or f["name"] in _KEYWORDS - {"constructor"}:
                     continue
-                self.code(f["name"], f, f.end() - 1, "Method", ident, class_name=m["name"])
-                self.out.rows[-1].setdefault("receiver_type", m["name"])
+                own = self.code(f["name"], f, f.end() - 1, "Method", ident, class_name=m["name"])
+                body = next(r for r in reversed(self.out.rows) if r["id"] == own)
+                body.setdefault("receiver_type", m["name"])
+                if service and T.has(body["body"], _API_WORDS):
+                    body["props"]["calls_api"] = "True"
+                    api.append(f["name"])
+            if service:
+                row = next((r for r in self.out.rows if r.get("label") == "Service" and r["parent_id"] == ident), None)
+                if row is None:
+                    self.out.node("Service", m["name"], m.start(), end, parent_id=ident)
+                    row = self.out.rows[-1]
+                row["props"] |= {"api_service": "True"} | ({"api_methods": ",".join(api)} if api else {})
         for m in _FUNCTION.finditer(s):
-            ident = self.code(m["name"], m, m.end() - 1, "Function", innermost(self.spans, m.start()))
+            ident = self.code(m["name"], m, m.end() - 1, "Function", self.spans.innermost(m.start()))
             self.generics(ident, m["generic"], m.start())
         for m in _ARROW.finditer(s):
             after = closing(s, m.start("open")) + 1
             if re.match(r"\s*(?::[^=;]+?)?=>", s[after:]):
-                self.code(m["name"], m, m.start("open"), "Function", innermost(self.spans, m.start()), arrow=True)
+                self.code(m["name"], m, m.start("open"), "Function", self.spans.innermost(m.start()), arrow=True)
         for m in _INTERFACE.finditer(s):
             end = closing(s, m.end() - 1) + 1
             ident = self.add("Interface", m["name"], m.start(), end, calls=False, type_definition=c[m.start() : end], is_exported=bool(m["export"]), props={"props_of": m["name"][:-5] if m["name"].endswith("Props") else None})
@@ -178,14 +216,16 @@ class _Scanner:
         for m in _VARIABLE.finditer(s):
             if not re.match(r"(?:async\s*)?(?:<[^>]*>\s*)?\([^)]*\)\s*(?::[^=]+)?=>|(?:async\s+)?function\b", (m["value"] or "")):
                 text = c[m.start("value") : m.end("value")] if m["value"] else None
-                self.out.node("Variable", m["name"], m.start(), m.end(), parent_id=innermost(self.spans, m.start()), type_definition=(m["type"] or "").strip() or None, is_exported=bool(m["export"]), props={"value": text, "kind": m["kind"]})
+                self.out.node("Variable", m["name"], m.start(), m.end(), parent_id=self.spans.innermost(m.start()), type_definition=(m["type"] or "").strip() or None, is_exported=bool(m["export"]), props={"value": text, "kind": m["kind"]})
         self.calls()
         for m in re.finditer(rf"path\s*:\s*['\"]([^'\"\n]*)['\"]\s*,\s*component\s*:\s*({_ID})", c):
-            self.out.node("Route", m[1], m.start(), m.end(), parent_id=innermost(self.spans, m.start()), props={"path": m[1], "component": m[2], "framework": "angular"})
+            route = self.out.node("Route", m[1], m.start(), m.end(), parent_id=self.spans.innermost(m.start()), props={"path": m[1], "component": m[2], "framework": "angular"})
+            if m[2] in self.names:
+                self.out.edge("HANDLES_ROUTE", self.names[m[2]], route, m.start(), props={"route_path": m[1], "http_method": "GET"})
         for m in re.finditer(r"\b(?:gql|graphql)\s*`\s*(query|mutation|subscription|fragment)?\s*(\w+)?", c):
-            self.out.node("APICall", m[2] or m[1] or "query", m.start(), m.end(), parent_id=innermost(self.spans, m.start()), props={"library": "graphql", "operation": m[1] or "query"})
+            self.out.node("APICall", m[2] or m[1] or "query", m.start(), m.end(), parent_id=self.spans.innermost(m.start()), props={"library": "graphql", "operation": m[1] or "query"})
         for m in _JSX.finditer(s):
-            owner = innermost(self.spans, m.start())
+            owner = self.spans.innermost(m.start())
             el = self.out.node("JSXElement", m[1], m.start(), m.end(), parent_id=owner)
             if owner:
                 self.out.edge("RENDERS_JSX", owner, m[1].rsplit(".", 1)[-1], m.start(), props={"jsx_type": "component"})
@@ -210,10 +250,10 @@ class _Scanner:
                 if n.strip():
                     self.out.node("Export", n.strip().split(" as ")[-1].strip(), m.start(), m.end(), props={"default": bool(m["default"])})
         for m in _DYNAMIC.finditer(comments):
-            self.out.edge("DYNAMIC_IMPORT", innermost(self.spans, m.start()) or self.path, m[1], m.start(), props={"import_type": "dynamic"})
+            self.out.edge("DYNAMIC_IMPORT", self.spans.innermost(m.start()) or self.path, m[1], m.start(), props={"import_type": "dynamic"})
 
     def calls(self):
-        suites, cases = [], []
+        suites, cases = Spans(), Spans()
         found = []
         for m in _CALL.finditer(self.masked):
             name = m[1].replace("?.", ".")
@@ -233,20 +273,20 @@ class _Scanner:
                     pass  # an ordinary call
                 elif root in _HOOKS:
                     kind = "setup" if root.startswith(("before", "setup", "suiteSetup")) else "teardown"
-                    self.out.node("Fixture", root, m.start(), close, parent_id=innermost(suites, m.start()), test_framework=self.framework, props={"fixture_type": kind})
+                    self.out.node("Fixture", root, m.start(), close, parent_id=suites.innermost(m.start()), test_framework=self.framework, props={"fixture_type": kind})
                 elif title:
                     label = "TestSuite" if root in _SUITES else "TestCase"
                     body = self.masked[at:close]
                     counted = {"test_count": len(re.findall(r"\b(?:it|test|specify)(?:\.\w+)*\s*\(", body))} if root in _SUITES else {"assertion_count": len(re.findall(r"\b(?:expect|assert(?:\.\w+)?)\s*\(", body))}
-                    ident = self.out.node(label, title, m.start(), close, parent_id=innermost(suites, m.start()), body=self.content[m.start() : close], is_test=True, test_framework=self.framework, test_type=T.first(title.lower(), T.TS_TYPES, "unit"), props=flags, **counted)
-                    if (outer := innermost(suites, m.start())):
+                    ident = self.out.node(label, title, m.start(), close, parent_id=suites.innermost(m.start()), body=self.content[m.start() : close], is_test=True, test_framework=self.framework, test_type=T.first(title.lower(), T.TS_TYPES, "unit"), props=flags, **counted)
+                    if (outer := suites.innermost(m.start())):
                         self.out.edge("GROUPS_TESTS" if label == "TestSuite" else "RUNS_TEST", outer, ident, m.start())
-                    (suites if root in _SUITES else cases).append((m.start(), close, ident))
+                    (suites if root in _SUITES else cases).add(m.start(), close, ident)
                     continue
             found.append((m.start(), at, name))
         for start, at, name in found:
-            case = innermost(cases, start)
-            owner = case or innermost(self.spans, start)
+            case = cases.innermost(start)
+            owner = case or self.spans.innermost(start)
             root, last = name.split(".")[0], name.rsplit(".", 1)[-1]
             args = self.content[at : closing(self.masked, at) + 1]
             if self.test_file and root in ("expect", "assert"):
@@ -267,7 +307,8 @@ class _Scanner:
                     self.out.edge("TESTS_COMPONENT", case, jsx[1], start, props={"render_method": last, "framework": render})
             if root in ("fetch",) or T.has(name, _API):
                 url = _string(self.content, at + 1)
-                method = last.upper() if last in ("get", "post", "put", "delete", "patch") else "GET"
+                stated = re.search(r"\bmethod\s*:\s*['\"`](\w+)['\"`]", args)
+                method = last.upper() if last in ("get", "post", "put", "delete", "patch") else stated[1].upper() if stated else "GET"
                 self.out.node("APICall", name, start, at + len(args), parent_id=owner, props={"url": url, "method": method, "library": root})
                 if owner:
                     self.out.edge("CALLS_API", owner, url, start, props={"api_endpoint": url, "http_method": method})
@@ -275,11 +316,17 @@ class _Scanner:
                 url = _string(self.content, at + 1)
                 if url:
                     ep = self.out.node("Endpoint", url, start, at + len(args), parent_id=owner, signature=r[1].upper(), props={"http_method": r[1].upper(), "path": url})
-                    for h in re.findall(rf",\s*({_ID})\s*(?=[,)])", args):
-                        self.out.edge("EXPOSES_ENDPOINT", self.names.get(h, ep), ep, start, props={"endpoint_path": url, "endpoint_type": r[1].upper()})
+                    outer = _outermost(self.masked[at + 1 : at + len(args) - 1])
+                    named = re.findall(rf",\s*({_ID})\s*(?=,|$)", outer)
+                    inline = re.search(r"=>|\bfunction\b", outer)
+                    for k, h in enumerate(named):
+                        last_one = k == len(named) - 1 and not inline
+                        self.handlers.append((h, ep, start, url, r[1].upper(), last_one))
             if re.search(r"(?:app|router)\.use$", name):
-                for h in re.findall(rf"[(,]\s*({_ID})\s*(?=[,)(])", args):
+                for h in re.findall(rf"(?:^|,)\s*({_ID})\s*(?=,|$|\()", re.sub(r"\)\s*$", "", _outermost(self.masked[at + 1 : at + len(args) - 1], "("))):
                     self.out.node("Middleware", h, start, at + len(args))
+                    if owner:
+                        self.out.edge("USES_MIDDLEWARE", owner, h, start, props={"middleware_type": "application"})
             if last in ("createContext", "useContext"):
                 self.out.node("Hook", last, start, at + len(args), parent_id=owner, props={"kind": "context", "target": args[1:-1].split(",")[0].strip()})
             if last == "defineComponent" or name == "Vue.extend":
@@ -291,6 +338,15 @@ class _Scanner:
                 if case and root not in _SUITES | _CASES | _HOOKS and not T.has(name, ("jest.", "vi.", "console.", "screen.", "sinon.")):
                     self.out.edge("TESTS", case, last, start, confidence_score=T.TEST_CONFIDENCE)
                     self.out.edge("COVERS", case, last, start, coverage_type="direct")
+        # a route's last name is its handler, those before it are middleware
+        for h, ep, start, url, method, is_handler in self.handlers:
+            source = self.names.get(h)
+            if is_handler:
+                self.out.edge("EXPOSES_ENDPOINT", source or ep, ep, start, props={"endpoint_path": url, "endpoint_type": method})
+                if source:
+                    self.out.edge("HANDLES_ROUTE", source, ep, start, props={"route_path": url, "http_method": method})
+            else:
+                self.out.edge("USES_MIDDLEWARE", ep, h, start, props={"middleware_type": "route"})
 
 
 def extract(path: str, content: str) -> list[dict]:

@@ -291,3 +291,105 @@ def test_graph_at_rest_and_views(spark, built, tmp_path):
 def test_containment(spark):
     c = spark.createDataFrame([("a", "f", 5, 9), ("b", "f", 0, 20), ("c", "g", 5, 9)], "id string, file_path string, start_byte int, end_byte int")
     assert {tuple(r) for r in ingest.contained(c, c).collect()} == {("a", "b")}
+
+
+def test_imports_are_found_by_path(spark, tmp_path):
+    tree = {
+        "app/main.py": "import app.util\nfrom . import helper\nfrom .sub import thing, other\nimport os\nfrom lib import deep\n", "app/util.py": "", "app/helper.py": "", "app/sub/__init__.py": "", "app/sub/thing.py": "", "lib/__init__.py": "", "app/lib/deep.py": "",
+        "web/a.ts": "import x from './b';\nimport { y } from '../shared';\nimport z from 'react';\n", "web/b.tsx": "", "shared/index.js": "", "go/main.go": 'package main\nimport (\n\t"fmt"\n\t"example.com/proj/go/store"\n)\n', "go/store/a.go": "package store\n", "go/store/b.go": "package store\n",
+    }
+    for path, content in tree.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(content or "\n")
+    g, _, _ = ingest.build_graph(spark, str(tmp_path))
+    got = {(r.src_id, r.dst_id) for r in g.rel("IMPORTS").collect()}
+    assert got == {
+        ("app/main.py", "app/util.py"), ("app/main.py", "app/helper.py"), ("app/main.py", "app/sub/thing.py"), ("app/main.py", "app/sub/__init__.py"), ("app/main.py", "app/lib/deep.py"),
+        ("web/a.ts", "web/b.tsx"), ("web/a.ts", "shared/index.js"), ("go/main.go", "go/store/a.go"), ("go/main.go", "go/store/b.go"),
+    }
+
+
+def test_innermost_spans():
+    import random
+
+    from loomgraph.sources.collect import Spans
+
+    rnd = random.Random(4)
+    spans, rows = Spans(), []
+
+    def nest(a, z, depth):
+        if z - a > 3 and depth < 7:
+            rows.append((a, z, f"{a}:{z}:{depth}"))
+            m = rnd.randint(a + 1, z - 1)
+            nest(a + 1, m, depth + 1)
+            nest(m, z - 1, depth + 1)
+
+    nest(0, 4000, 0)
+    rnd.shuffle(rows)
+    for k, r in enumerate(rows):
+        spans.add(*r)
+        at = rnd.randrange(4100)
+        around = [x for x in rows[: k + 1] if x[0] <= at < x[1]]
+        assert spans.innermost(at) == (min(around, key=lambda x: x[1] - x[0])[2] if around else None)
+
+
+def test_bytes_of_other_alphabets():
+    text = "a = 'é日🙂'\ndef f():\n    pass\n"
+    f = next(r for r in python_code.extract("x.py", text) if r.get("name") == "f")
+    assert text.encode()[f["start_byte"] : f["end_byte"]].decode() == "def f():\n    pass"
+
+
+def test_long_parent_chains_and_circles(spark):
+    from loomgraph.operators import resolve
+
+    rows = [(f"n{i}", f"x{i}", f"n{i - 1}" if i else None, "d/f.py") for i in range(41)]
+    nodes = spark.createDataFrame(rows, "id string, name string, parent_id string, file_path string")
+    got = {r.id: r.qualified for r in resolve.qualified_names(nodes).collect()}
+    assert got["n40"] == "d." + ".".join(f"x{i}" for i in range(41)) and got["n0"] == "d.x0"
+    with pytest.raises(ValueError, match="own parents"):
+        resolve.qualified_names(spark.createDataFrame([("a", "a", "b", "f"), ("b", "b", "a", "f")], nodes.schema)).collect()
+
+
+TS_SERVER = """
+import express from 'express';
+const app = express();
+export function listUsers(req, res) { return res.json(1); }
+export function requireLogin(req, res, next) { next(); }
+function setup() {
+  app.use(requireLogin);
+  app.get('/users', requireLogin, listUsers);
+  app.post('/users', requireLogin, (req, res) => res.json(2));
+}
+export class UserService {
+  load() { return fetch('/users', { method: 'POST' }); }
+  plain() { return 1; }
+}
+export class Page {
+  constructor(private users: UserService) {}
+  render() { return new AuditAPI(); }
+}
+export function Card({ title }: CardProps) { return <Box/>; }
+const routes = [{ path: 'home', component: Page }];
+"""
+
+
+def test_routes_middleware_and_services():
+    rows = ts_code.extract("server.tsx", TS_SERVER)
+    name = {r["id"]: r["name"] for r in rows if r["tag"] == "node"}
+    edges = {(r["type"], name.get(r["src_id"]), name.get(r["dst_ref"], r["dst_ref"])) for r in rows if r["tag"] == "edge"}
+    assert {e for e in edges if e[0] in ("HANDLES_ROUTE", "USES_MIDDLEWARE", "CONSUMES_SERVICE", "EXPOSES_ENDPOINT")} == {
+        ("HANDLES_ROUTE", "listUsers", "/users"), ("EXPOSES_ENDPOINT", "listUsers", "/users"), ("HANDLES_ROUTE", "Page", "home"), ("USES_MIDDLEWARE", "/users", "requireLogin"), ("USES_MIDDLEWARE", "setup", "requireLogin"),
+        ("CONSUMES_SERVICE", "Page", "UserService"), ("CONSUMES_SERVICE", "render", "AuditAPI"),
+    }
+    assert ("USES", "Card", "CardProps") in edges
+    service = next(r for r in rows if r.get("label") == "Service")
+    assert service["props"]["api_methods"] == "load"
+    assert next(r for r in rows if r.get("label") == "APICall")["props"]["method"] == "POST"
+
+
+def test_go_methods_and_instances():
+    rows = go_code.extract("s.go", "package s\n\ntype Box[T any] struct{ v T }\n\nfunc (b *Box[T]) Get() T { return b.v }\n\ntype Getter interface {\n\tGet() int\n}\n\nfunc Make() {\n\tb := Box[int]{v: 1}\n\tc := Pair[string, *Box]()\n\t_ = xs[i]\n}\n")
+    name = {r["id"]: r["name"] for r in rows if r["tag"] == "node"}
+    edges = [(r["type"], name.get(r["src_id"]), name.get(r["dst_ref"], r["dst_ref"]), r["props"].get("type_arguments")) for r in rows if r["tag"] == "edge"]
+    assert {e[:3] for e in edges if e[0] == "DEFINES"} == {("DEFINES", "Box", "Get"), ("DEFINES", "Getter", "Get")}
+    assert {e for e in edges if e[3]} == {("USES", "Make", "Box", "int"), ("USES", "Make", "Pair", "string, *Box")}

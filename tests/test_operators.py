@@ -136,11 +136,20 @@ def test_reports_and_introspection(spark):
     assert len(s["nodes"]) == 33 and len(s["relationships"]) == 34
 
 
+def test_stated_methods(spark):
+    files = spark.createDataFrame([
+        ("a.py", "python", "@bp.route ('/a', methods=['PUT', \"delete\"])\n@app.route('/b')\n@api.patch( '/c')"), ("b.go", "go", 'r.PUT ("/d", f)\nhttp.Put("https://h/e")\nr.Handle(`/f`, g)'),
+        ("c.ts", "typescript", "fetch('/g', { method: 'POST', body })\nfetch ('/h')\nrouter.delete (`/i`)\n@Patch ('j')"), ("d.py", "python", None), ("e.rb", "ruby", "@app.route('/k')"),
+    ], "path string, language string, content string")
+    assert {(r.method, r.path) for r in crosslang.endpoints(files).collect()} == {("PUT", "/a"), ("DELETE", "/a"), ("GET", "/b"), ("PATCH", "/c"), ("PUT", "/d"), ("ANY", "/f"), ("DELETE", "/i"), ("PATCH", "j")}
+    assert {(r.method, r.target) for r in crosslang.api_calls(files).collect()} == {("PUT", "https://h/e"), ("POST", "/g"), ("GET", "/h")}
+
+
 def test_cross_language(spark):
     files = spark.createDataFrame([
         ("a.py", "python", "@app.route('/users')\n@app.post(\"/login\")\nrequests.get('http://h/api/items?x=1')"), ("b.go", "go", 'r.GET("/items", f)\nhttp.HandleFunc("/", root)\nhttp.Get("https://h/users/")'), ("c.ts", "typescript", "fetch('/v1/users/7')\naxios.post(`/login`)\napp.get('/', x)"),
     ], "path string, language string, content string")
-    assert {(r.method, r.path, r.file) for r in crosslang.endpoints(files).collect()} == {("GET", "/users", "a.py"), ("POST", "/login", "a.py"), ("GET", "/items", "b.go"), ("GET", "/", "b.go"), ("GET", "/", "c.ts")}
+    assert {(r.method, r.path, r.file) for r in crosslang.endpoints(files).collect()} == {("GET", "/users", "a.py"), ("POST", "/login", "a.py"), ("GET", "/items", "b.go"), ("ANY", "/", "b.go"), ("GET", "/", "c.ts")}
     links = crosslang.match_paths(crosslang.api_calls(files), crosslang.endpoints(files))
     assert {(r.target, r.endpoint_path) for r in links.collect()} == {("http://h/api/items?x=1", "/items"), ("https://h/users/", "/users"), ("/v1/users/7", "/users"), ("/login", "/login")}
     r = crosslang.analyze_project(files).first()
