@@ -137,10 +137,3 @@ select page_id, case when p = '' then '/' else p end as path from (
   select page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') as p from pages)""")
 def f17(spark, d):
     return load(spark, d, "pages").select("page_id", url_path(F.col("url")).alias("path"))
-
-
-@query("f19_links_in_pages", r"""
-select page_id, split_part(h, '"', 2) as target from (select page_id, unnest(regexp_extract_all(html, 'href="/[^"]*"')) as h from pages)""")
-def f19(spark, d):
-    """The extraction shape of the endpoint rules, on the pages' links."""
-    return load(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), 1)).alias("target"))

@@ -45,16 +45,15 @@ def st07(spark, d):
     return S.totals(S.update_stats_batch(file_changes(spark, d)))
 
 
-@query("st02_relevant_changes", f"{_SQL} select change_type, count(*) as n from ch where path not like '%tmp%' group by 1")
+@query("st02_relevant_changes", f"""{_SQL}
+select change_type, count(*) as n from (select *, user_id % 6 as k, case when event_type = 'signup' then 'Added' when event_type in ('click', 'view') then 'Modified' when event_type = 'error' then 'Deleted' else 'Renamed' end as change_type from events)
+where k in (0, 4) or k = 2 and change_type = 'Deleted' group by 1""")
 def st02(spark, d):
-    return S.relevant(file_changes(spark, d)).groupBy("change_type").agg(F.count("*").alias("n"))
-
-
-@query("sc11_table_columns", """select 'nodes' as kind, count(*)::bigint as n from (select unnest(['File', 'Function', 'Class', 'TestFunction', 'Endpoint']))
-union all select 'edge_pairs', 103""")
-def sc11(spark, d):
-    from ..schema import edge_schema
-    from .binding import graph
-
-    n = graph(spark, d).nodes.select("label").distinct().agg(F.lit("nodes").alias("kind"), F.count("*").alias("n"))
-    return n.unionByName(edge_schema(spark).agg(F.lit("edge_pairs").alias("kind"), F.count("*").alias("n")))
+    """By user: known files, a folder that is ignored, an extension that isn't known (asked for unless the file is deleted), a path too deep, and a change of no known type."""
+    e = load(spark, d, "events")
+    kind, k, u = F.col("event_type"), F.col("user_id") % 6, F.col("user_id").cast("string")
+    change = F.when(kind == "signup", "Added").when(kind.isin("click", "view"), "Modified").when(kind == "error", "Deleted").otherwise("Renamed")
+    deep = F.concat(F.lit("a/b/c/d/e/f/g/h/i/j/u"), u, F.lit(".py"))
+    path = F.when(k == 1, F.concat(F.lit("web/node_modules/u"), u, F.lit(".js"))).when(k == 2, F.concat(F.lit("src/u"), u, F.lit(".txt"))).when(k == 3, deep).when(k == 4, F.concat(F.lit("src/u"), u, F.lit(".ts"))).otherwise(F.concat(F.lit("src/u"), u, F.lit(".py")))
+    changes = e.select(path.alias("path"), F.when(k == 5, "Touched").otherwise(change).alias("change_type"), "ts")
+    return S.relevant(changes).groupBy("change_type").agg(F.count("*").alias("n"))

@@ -89,7 +89,9 @@ def extract(path: str, content: str) -> list[dict]:
             out.edge("USES", ident, g[1], open_body + g.start(), props={"usage": "send"})
         for g in re.finditer(r"<-\s*(\w+)(?!\s*chan)|range\s+(\w+)\s*\{", code):
             name_ = g[1] or g[2]
-            if name_ != "chan":
+            before = code[: g.start()].rstrip()
+            sent = g[1] and re.search(r"[\w)\]]$", before) and not re.search(r"\b(?:return|case)$", before)  # the value of a send
+            if name_ != "chan" and not sent:
                 receives.setdefault(name_, []).append(ident)
                 out.edge("USES", ident, name_, open_body + g.start(), props={"usage": "receive"})
         for g in _INSTANCE.finditer(code):
@@ -112,7 +114,7 @@ def extract(path: str, content: str) -> list[dict]:
             for line_at, line in _lines(masked, content, opened + 1, end - 1):
                 if kind == "struct" and (e := re.fullmatch(r"\*?(?:\w+\.)?(\w+)(?:\[[^\]]*\])?(?:\s*`.*`)?", line)):
                     out.edge("EMBEDS", ident, e[1], line_at)
-                elif kind == "struct" and (f := re.match(r"([\w, ]+?)\s+(\S.*)", line)):
+                elif kind == "struct" and (f := re.match(r"(\w+(?:\s*,\s*\w+)*)\s+(\S.*)", line)):
                     for field in f[1].split(","):
                         out.node("Property", field.strip(), line_at, line_at + len(line), parent_id=ident, type_definition=f[2].split("`")[0].strip(), is_exported=field.strip()[:1].isupper())
                 elif kind == "interface" and (f := re.match(r"(\w+)\s*(\(.*)", line)):

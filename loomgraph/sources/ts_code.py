@@ -66,6 +66,7 @@ class _Scanner:
         self.spans = Spans()
         self.classes = Spans()
         self.handlers: list[tuple] = []
+        self.defined: set[int] = set()  # where methods are named, which is no call
         self.names: dict[str, str] = {}
         self.decorated = [(m.start(), m[1], closing(self.masked, m.end() - 1) + 1 if m[2] else m.end()) for m in _DECORATOR.finditer(self.masked)]
 
@@ -172,6 +173,7 @@ class _Scanner:
             for f in _METHOD.finditer(s, m.end(), end - 1):
                 depth += s.count("{", at, f.start("name")) - s.count("}", at, f.start("name"))
                 at = f.start("name")
+                self.defined.add(at)
                 if depth or f["name"] in _KEYWORDS - {"constructor"}:
                     continue
                 own = self.code(f["name"], f, f.end() - 1, "Method", ident, class_name=m["name"])
@@ -258,7 +260,7 @@ class _Scanner:
         for m in _CALL.finditer(self.masked):
             name = m[1].replace("?.", ".")
             root = name.split(".")[0]
-            if root in _KEYWORDS or re.search(r"(?:function|class|new)\s*\*?\s*$", self.masked[max(0, m.start() - 12) : m.start()]):
+            if root in _KEYWORDS or m.start() in self.defined or re.search(r"(?:function|class|new)\s*\*?\s*$", self.masked[max(0, m.start() - 12) : m.start()]):
                 continue
             at, close = m.end() - 1, None
             if self.test_file and root in _SUITES | _CASES | _HOOKS:
