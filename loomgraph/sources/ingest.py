@@ -84,7 +84,7 @@ def scan(spark: SparkSession, root: str, patterns: tuple = T.IGNORED, most_bytes
     return files.select("path", text.alias("content"), language(F.col("path")).alias("language"), "length", F.col("modificationTime").alias("modified"))
 
 
-_OUT = f"tag string, {NODE_DDL}, type string, src_id string, dst_ref string, confidence_score double, coverage_type string, error string"
+ROW_DDL = _OUT = f"tag string, {NODE_DDL}, type string, src_id string, dst_ref string, confidence_score double, coverage_type string, error string"
 _NAMES = [x.strip().split(" ")[0] for x in re.sub(r"map<string,string>", "map", _OUT).split(",")]
 _INTS = {"start_byte", "end_byte", "line_number", "assertion_count", "test_count", "complexity"}
 

@@ -6,6 +6,7 @@ Deleted or Renamed. The same transformations run on a batch.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -104,24 +105,82 @@ def replace_files(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFra
     return old.join(paths, "file_path", "left_anti").unionByName(new.join(changes.where(~F.col("change_type").isin("Deleted", "Renamed")).select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi"))
 
 
+#: Folders that a stored graph's rows are dealt to by their file's path; an update rewrites those of the changed files.
+BUCKETS = 64
+
+
+def _bucket(path):
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def _file(spark, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _manifest(spark, graph_path: str, before: int | None = None) -> tuple[int, dict[str, int]]:
+    """(number, bucket: version that has it) of the last update, or of the last before a number."""
+    fs, p = _file(spark, graph_path)
+    if not fs.exists(p):
+        return -1, {}
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    numbers = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+    number = max((n for n in numbers if before is None or n < before), default=-1)
+    if number < 0:
+        return -1, {}
+    f = fs.open(_file(spark, f"{graph_path}/manifest-{number}.json")[1])
+    try:
+        return number, json.loads(bytes(f.readAllBytes()).decode())
+    finally:
+        f.close()
+
+
+def stored_rows(spark, graph_path: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
+    """The extracted rows that live_update() keeps, of all buckets or some."""
+    from ..sources.ingest import ROW_DDL
+
+    _, held = _manifest(spark, graph_path, before)
+    paths = [f"{graph_path}/v{version}/bucket={b}" for b, version in held.items() if version >= 0 and (buckets is None or int(b) in buckets)]
+    return spark.read.schema(ROW_DDL).parquet(*paths) if paths else spark.createDataFrame([], ROW_DDL)
+
+
 def live_update(changes: DataFrame, read_files, graph_path: str, checkpoint: str, on_update=None):
     """A query that keeps extracted rows under graph_path up to date: each batch of changes re-extracts its files and replaces their rows.
 
-    read_files(paths) gives files(path, content). Versions are written beside
-    each other, so a repeated batch overwrites its own. on_update(batch, version path) is called after each.
+    read_files(paths) gives files(path, content). Only the buckets of changed
+    paths are read and written, into a folder of the batch's number; a manifest
+    says which version of each bucket stands, so a repeated batch overwrites
+    its own and a reader sees whole updates. Versions that neither this update
+    nor the one before needs are deleted. on_update(batch, graph_path) is called after each.
     """
+    from ..sources.folders import staged
     from ..sources.ingest import extract
 
     def each(batch: DataFrame, number: int):
         spark = batch.sparkSession
-        last = batch.groupBy("path").agg(F.max_by("change_type", "ts").alias("change_type"))
+        last = staged(batch.groupBy("path").agg(F.max_by("change_type", "ts").alias("change_type")), "changes")
+        touched = [r[0] for r in last.select(_bucket(F.col("path"))).distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
         fresh = extract(read_files(last.where(~F.col("change_type").isin("Deleted", "Renamed"))))
-        target, before = f"{graph_path}/v{number}", f"{graph_path}/v{number - 1}"
-        if number > 0:
-            fresh = replace_files(spark.read.parquet(before), fresh, last)
-        fresh.write.mode("overwrite").parquet(target)
+        rows = staged(replace_files(stored_rows(spark, graph_path, touched, number), fresh, last).withColumn("bucket", _bucket(F.col("file_path"))), "rows")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{graph_path}/v{number}")
+        left = {r[0] for r in rows.select("bucket").distinct().collect()}
+        _, held = _manifest(spark, graph_path, number)
+        now = held | {str(b): number if b in left else -1 for b in touched}
+        fs, p = _file(spark, f"{graph_path}/.manifest-{number}")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        target = _file(spark, f"{graph_path}/manifest-{number}.json")[1]
+        fs.delete(target, False)
+        fs.rename(p, target)
+        needed = {f"v{x}" for x in [*held.values(), *now.values(), number]}
+        for x in fs.listStatus(_file(spark, graph_path)[1]):
+            if x.isDirectory() and x.getPath().getName().startswith("v") and x.getPath().getName() not in needed:
+                fs.delete(x.getPath(), True)
         if on_update:
-            on_update(batch, target)
+            on_update(batch, graph_path)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
@@ -143,10 +202,32 @@ class _Slice(InputPartition):
 
 
 class FolderWatchReader(DataSourceStreamReader):
-    """Compares the folder's listing with the one of the last offset; offsets carry the listing, so a restart goes on from it."""
+    """Compares the folder's listing with the one of the last offset. The folder is one that the driver sees.
+
+    With option state, a folder that outlives the query, listings are files there and offsets carry their names;
+    without it offsets carry the listing itself. Either way a restart goes on from the last.
+    """
 
     def __init__(self, options):
-        self.root, self.depth = options["path"], int(options.get("depth", MOST_DEPTH))
+        self.root, self.depth, self.state = options["path"], int(options.get("depth", MOST_DEPTH)), options.get("state")
+
+    def _kept(self, listing: str) -> dict:
+        if not self.state:
+            return {"listing": listing}
+        name = hashlib.sha256(listing.encode()).hexdigest()[:32]
+        full = os.path.join(self.state, name)
+        if not os.path.exists(full):
+            os.makedirs(self.state, exist_ok=True)
+            with open(f"{full}.new", "w") as f:
+                f.write(listing)
+            os.replace(f"{full}.new", full)
+        return {"at": name}
+
+    def _back(self, offset: dict) -> dict:
+        if "listing" in offset:
+            return json.loads(offset["listing"])
+        with open(os.path.join(self.state, offset["at"])) as f:
+            return json.loads(f.read())
 
     def _listing(self) -> dict:
         out = {}
@@ -163,13 +244,13 @@ class FolderWatchReader(DataSourceStreamReader):
         return out
 
     def initialOffset(self) -> dict:
-        return {"listing": "{}"}
+        return self._kept("{}")
 
     def latestOffset(self) -> dict:
-        return {"listing": json.dumps(self._listing(), sort_keys=True)}
+        return self._kept(json.dumps(self._listing(), sort_keys=True))
 
     def partitions(self, start: dict, end: dict):
-        a, b = json.loads(start["listing"]), json.loads(end["listing"])
+        a, b = self._back(start), self._back(end)
         now = time.time_ns()
         rows = [(p, "Added" if p not in a else "Modified", t) for p, t in b.items() if a.get(p) != t] + [(p, "Deleted", now) for p in a if p not in b]
         return [_Slice(rows[i : i + 1000]) for i in range(0, len(rows), 1000)] or [_Slice([])]

@@ -207,15 +207,18 @@ def test_watched_folder_and_live_update(spark, tmp_path):
         return scan(spark, str(root)).join(paths.select("path"), "path", "left_semi")
 
     def turn():
-        stream = S.relevant(spark.readStream.format("folder_watch").option("path", str(root)).load())
+        stream = S.relevant(spark.readStream.format("folder_watch").option("path", str(root)).option("state", str(tmp_path / "listings")).load())
         S.live_update(stream, read_files, str(tmp_path / "g"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-        last = max((tmp_path / "g").iterdir(), key=lambda p: int(p.name[1:]))
-        return {(r.file_path, r.name) for r in spark.read.parquet(str(last)).where("tag = 'node' and label = 'Function'").collect()}
+        return {(r.file_path, r.name) for r in S.stored_rows(spark, str(tmp_path / "g")).where("tag = 'node' and label = 'Function'").collect()}
 
     assert turn() == {("src/a.py", "one"), ("src/b.py", "two")}
     (root / "src/a.py").write_text("def three():\n    return 3\n")
     (root / "src/b.py").unlink()
     assert turn() == {("src/a.py", "three")}
+    assert len(list((tmp_path / "listings").iterdir())) == 3  # none, two files, one
+    (root / "src/a.py").write_text("def four():\n    return 4\n")
+    assert turn() == {("src/a.py", "four")}
+    assert len([p for p in (tmp_path / "g").iterdir() if p.is_dir()]) <= 3
 
 
 def test_cycles_of_any_length(spark, tmp_path):
