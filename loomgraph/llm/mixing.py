@@ -54,8 +54,9 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epo
     (source, hash bin), then inside one bin, so no source is sorted whole.
 
     Null text has size 0, null source is a source of its own (last), an empty
-    table gives no rows, repeated rows are mixed each for itself, and a source
-    of size 0 takes nothing. Columns of docs that clash with the names made
+    table gives no rows, repeated rows are mixed each for itself (rows of one
+    id, or of none, in the order of size and text), and a source of size 0
+    takes nothing. Columns of docs that clash with the names made
     here are left out unless they are in keep.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -66,6 +67,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epo
         digest.alias("_h"),
         F.substring(digest, 1, BIN_DIGITS).alias("_bin"),
         source_key().alias("_key"),
+        F.xxhash64(text_col()).alias("_text"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
     bins = docs.select(source_key().alias("_key"), F.col("source").alias("_source"), F.substring(digest, 1, BIN_DIGITS).alias("_bin"), F.regexp_count(text_col(), F.lit(WORD)).cast("long").alias("_size"))
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epo
     whole = F.when(F.col("source_size") > 0, F.floor(need / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.select("_key", "source_size", "target", whole.alias("_whole"), (need - whole * F.col("source_size")).cast("long").alias("_rest"))
     starts = bins.join(targets, "_key").withColumn("_before", F.sum("_bin_size").over(Window.partitionBy("_key").orderBy("_bin")) - F.col("_bin_size")).drop("_bin_size", "_source")
-    inside = Window.partitionBy("_key", "_bin").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_key", "_bin").orderBy("_h", "_id", "_size", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sized.join(starts, ["_key", "_bin"]).withColumn("_at", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_rest") - F.col("_at")))
     return out.select(
@@ -89,7 +91,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epo
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; the last repetition of a document at the cut holds its first words.
 
-    A document of no words is neither wanted nor unwanted by the targets: it stays once.
+    A document of no words, null text among them, is neither wanted nor unwanted by the targets: it stays once. Repeated
+    rows, null ids, an empty table and ties are as in mix(); all columns are kept, whatever they are called.
     """
     columns = docs.columns
     # whole rows under one name, since columns of docs may be called as those of the mix
