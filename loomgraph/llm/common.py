@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -43,16 +46,29 @@ def large_batches(spark: SparkSession, rows: int = 20_000):
         spark.conf.set(key, before)
 
 
-def release() -> None:
-    """Gives memory that a step on the driver has freed back to the system, where the C library can."""
-    import ctypes
-    import gc
-
-    gc.collect()
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def release() -> None:
+    """The same after the driver's garbage is collected."""
+    gc.collect()
+    trim()
+
+
+def tidy(run):
+    """A task's function over batches that gives its worker's memory back at the end: workers live on and stand side by side."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 class Powers:
     """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed: sums of letters times powers hash all runs of an array at once."""
 
@@ -75,10 +91,12 @@ def text_col(name: str = "text"):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, where it is unset, a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     kept = getattr(spark.sparkContext, "_loom_root", None)
     if kept is None:
         kept = "file://" + tempfile.mkdtemp(prefix="loom-")
@@ -134,8 +152,6 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 def clean_up(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of steps whose results are written."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_col
+from .common import stage, text_col, tidy
 
 UNIT = 192
 #: Output rows go back to the JVM in pieces of about this many bytes.
@@ -44,7 +44,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[start:].values, "n_bytes": sizes, "media": media})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text")).mapInPandas(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text")).mapInPandas(tidy(run), f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -107,7 +107,7 @@ def decode(media: DataFrame, carry: tuple = ("doc_id", "n_bytes"), tensors: bool
                 yield frame(len(b))
 
     kinds = ", ".join(f"{c} {media.schema[c].dataType.simpleString()}" for c in carry)
-    return media.select(*carry, "media").mapInPandas(run, f"{kinds}, {DECODED}")
+    return media.select(*carry, "media").mapInPandas(tidy(run), f"{kinds}, {DECODED}")
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_stage, large_batches, narrow, stage, text_col
+from .common import WORD, drop_stage, large_batches, narrow, stage, text_col, tidy
 from .components import components
 
 SHINGLE = 5
@@ -142,7 +142,7 @@ def sketch(docs: DataFrame, trees: int, id_col: str = "doc_id") -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].values, "text_hash": part["text_hash"].values, "node": nodes, "size": [len(x) for x in sets], "labels": [labels(x, trees) if len(x) else None for x in sets]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, text_hash bigint, node bigint, size bigint, labels array<bigint>")
+    return rows.mapInPandas(tidy(run), f"doc_id {kind}, text_hash bigint, node bigint, size bigint, labels array<bigint>")
 
 
 STAR = "node bigint, top bigint, edge boolean, tree int, depth int, hi bigint, lo bigint"
@@ -191,7 +191,7 @@ def scan_tries(paths: DataFrame, shallowest: int) -> DataFrame:
         if held:
             yield close({x: np.concatenate([h[x] for h in held]) for x in held[0]})
 
-    return paths.select("tree", "hi", "lo", "node", "depth").mapInPandas(run, STAR)
+    return paths.select("tree", "hi", "lo", "node", "depth").mapInPandas(tidy(run), STAR)
 
 
 def stars_of(classes: DataFrame, trees: int, threshold: float, target: float) -> DataFrame:
@@ -290,7 +290,7 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
         if done:
             yield frame(done)
 
-    return groups.mapInPandas(run, "node bigint, links bigint, root bigint, tiled boolean")
+    return groups.mapInPandas(tidy(run), "node bigint, links bigint, root bigint, tiled boolean")
 
 
 def tiles_of(texts: DataFrame, stars: DataFrame, tile_rows: int, tile_bytes: int) -> DataFrame:

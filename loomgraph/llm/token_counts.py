@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACE = "▁"
 #: Distinct pre-tokens that a Python worker remembers besides the proven ones.
 MOST_KEPT = 300_000
@@ -97,5 +99,5 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", limit
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = rows.mapInPandas(tidy(run), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, arrow_fs, shared_dir, stage, text_col
+from .common import Powers, arrow_fs, shared_dir, stage, text_col, tidy
 
 _POWERS = Powers()
 SEQ_LEN = 1024
 BATCH_ROWS = 256
 #: Distinct words that a Python worker remembers; beyond it all are forgotten.
-MOST_KEPT = 1_500_000
+MOST_KEPT = 700_000
 #: Characters that are looked at together, in arrays that stay in a core's cache.
 TOGETHER = 96 << 10
 #: A longer word's hash is taken from its string, not from sums.
@@ -400,7 +400,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_L
             out.close()
             yield pd.DataFrame({"path": [uri], "first_id": pd.Series([first], dtype=object), "n_ids": [out.n_ids], "n_docs": [out.n_docs], "n_sequences": [-(-out.n_ids // seq_len)]})
 
-    made = rows.mapInPandas(run, f"path string, first_id {kind.simpleString()}, n_ids bigint, n_docs bigint, n_sequences bigint")
+    made = rows.mapInPandas(tidy(run), f"path string, first_id {kind.simpleString()}, n_ids bigint, n_docs bigint, n_sequences bigint")
     made = stage(made, "manifest")
     # one row for each shard
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
@@ -434,4 +434,4 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     kind = manifest.schema["first_id"].dataType.simpleString()
     shape = f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
     dealt = manifest.select("path", "base").repartition(min(shards, max(shards // 4, spark.sparkContext.defaultParallelism)))
-    return dealt.mapInPandas(run, shape)
+    return dealt.mapInPandas(tidy(run), shape)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_col
+from .common import release, text_col, tidy
 
 #: Bounds of the training sample, by label; and the longest text in it, in characters.
 MOST_TOXIC, MOST_CLEAN, LONGEST = 2000, 4000, 50_000
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", carry: tuple =
 
     names = list(dict.fromkeys((id_col, *carry)))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    got = docs.select(*dict.fromkeys((*names, text))).mapInPandas(run, f"{kinds}, _score double")
+    got = docs.select(*dict.fromkeys((*names, text))).mapInPandas(tidy(run), f"{kinds}, _score double")
     made = (held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
     return got.select(id_col, *made, *[F.col(c) for c in carry])
 
