@@ -209,7 +209,9 @@ def stars_of(classes: DataFrame, trees: int, threshold: float, target: float) ->
     name = ["tree", "depth", "hi", "lo"]
     tops = found.where("edge").groupBy(*name).agg(F.min("top").alias("whole"))
     edge = found.where("edge").join(tops, name).where("node <> whole").select("node", F.col("whole").alias("top"))
-    return stage(found.where("not edge").select("node", "top").unionByName(edge).distinct(), "stars")
+    out = stage(found.where("not edge").select("node", "top").unionByName(edge).distinct(), "stars")
+    drop_stage(found)
+    return out
 
 
 def links_inside(sets: list[np.ndarray], side: np.ndarray, threshold: float, cross: bool) -> np.ndarray:
@@ -293,8 +295,8 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.mapInPandas(tidy(run), "node bigint, links bigint, root bigint, tiled boolean")
 
 
-def tiles_of(texts: DataFrame, stars: DataFrame, tile_rows: int, tile_bytes: int) -> DataFrame:
-    """The rows of each tile: a group that fits is one; of a larger one, each side with itself and each two sides that a trie node has members in.
+def tiles_of(texts: DataFrame, stars: DataFrame, tile_rows: int, tile_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, staged tables that they are read from): the rows of each tile: a group that fits is one; of a larger one, each side with itself and each two sides that a trie node has members in.
 
     texts: grp, node, home, copies, text. Sides are made by home, a prefix that
     alike texts mostly share, and within one by the node's hash as far as it is too large.
@@ -306,7 +308,7 @@ def tiles_of(texts: DataFrame, stars: DataFrame, tile_rows: int, tile_bytes: int
     zero = F.lit(0).cast("long")
     small = texts.join(large, "grp", "left_anti").select("grp", zero.alias("i"), zero.alias("j"), zero.alias("side"), F.lit(False).alias("tiled"), "node", "copies", "text")
     if not large.limit(1).count():
-        return small.select(*columns)
+        return small.select(*columns), [large]
     rows = sized.join(large, "grp").withColumn("bin", F.pmod(F.xxhash64("home"), F.col("blocks")))
     bins = rows.groupBy("grp", "bin").agg(blocks().alias("parts"))
     rows = rows.join(bins, ["grp", "bin"]).withColumn("side", (F.col("bin") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("long"))
@@ -317,7 +319,8 @@ def tiles_of(texts: DataFrame, stars: DataFrame, tile_rows: int, tile_bytes: int
     met = at.join(at.withColumnRenamed("side", "other"), ["grp", "top"]).where("side <= other").select("grp", F.col("side").alias("i"), F.col("other").alias("j")).distinct()
     met = stage(met.unionByName(rows.select("grp", F.col("side").alias("i"), F.col("side").alias("j")).distinct()).distinct(), "met")
     ends = met.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side"))
-    return rows.join(ends, ["grp", "side"]).withColumn("tiled", F.lit(True)).select(*columns).unionByName(small.select(*columns))
+    drop_stage(at)
+    return rows.join(ends, ["grp", "side"]).withColumn("tiled", F.lit(True)).select(*columns).unionByName(small.select(*columns)), [large, rows, met]
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET_RECALL, id_col: str = "doc_id", tile_rows: int = TILE_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -338,18 +341,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, targ
     # a class and its least trie top are joined, and that top with the class's others (one for each tree at most); many classes share these pairs
     tops = stage(stars.groupBy("node").agg(F.min("top").alias("b"), F.collect_set("top").alias("others")), "tops")
     grouped = components(tops.select(F.col("node").alias("a"), "b").unionByName(tops.select(F.explode("others").alias("a"), "b").where("a <> b").distinct()))
+    drop_stage(tops)
 
     # the texts of candidate groups, one for each class
     home = F.col("labels")[0].bitwiseAND(F.lit(-1 << (64 - 3 * LETTER_BITS)))
     members = grouped.join(classes, "node").select("node", F.col("label").alias("grp"), "copies", home.alias("home"), F.col("rep.doc_id").alias("_rep"), F.col("rep.text_hash").alias("_hash"))
     members = stage(members, "members")
+    drop_stage(grouped)
     rows = docs.select(F.col(id_col).alias("_id"), text_col().alias("text"))
     rows = narrow(rows.withColumn("_h", F.xxhash64("text")), members.select(F.col("_hash").alias("_h")).distinct(), "_h")
     texts = rows.join(members, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_h") == F.col("_hash")))
     texts = stage(texts.select("grp", "node", "home", "copies", "text"), "texts")
-    tiles = tiles_of(texts, stars, tile_rows, tile_bytes)
+    drop_stage(members)
+    tiles, held = tiles_of(texts, stars, tile_rows, tile_bytes)
     verified = stage(verify(tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), threshold), "verified")
-    drop_stage(texts)
+    for gone in (*held, texts, stars):
+        drop_stage(gone)
 
     found = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     split = verified.where("tiled").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -357,6 +364,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, targ
         found = found.join(components(split).withColumnRenamed("label", "whole"), "node", "left").withColumn("root", F.coalesce("whole", "root"))
     info = classes.select("node", "copy_id", "copies").join(found.select("node", "links", "root"), "node", "left")
     info = stage(info.select("node", "copy_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "info")
+    drop_stage(verified)
+    drop_stage(classes)
     # staged, so that a class of very many members meets its name in a join that may be split
     names = stage(info.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("many")).where("many > 1").drop("many"), "names")
     info = info.join(names, "root", "left").select(F.col("node").alias("_node"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), "root", "n_links")

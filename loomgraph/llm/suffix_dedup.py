@@ -12,9 +12,9 @@ of the family: in the merged order, neighbours that begin alike are candidates,
 and neighbours whose whole contexts are alike match at once. Then arrays of equal
 size merge, level by level, so each suffix is rewritten about log2(batches)
 times. Of the contexts that differ under one beginning, one of each kind is
-compared window by window. Where very many kinds share a beginning they are
-parted by more bytes around it first, and counted across the cluster if they
-are still many.
+compared window by window. Where very many kinds share a beginning they go
+through the same scan again under names made of more bytes; if they are still
+many, their windows are counted across the cluster.
 
 A family lives in its folder: levels, texts and state can be opened again, and a
 later batch cuts, and is cut by, what earlier ones hold.
@@ -33,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, clean_up, drop_path, large_batches, read_text, shared_dir, stage, text_col, write_text
+from .common import WORD, Powers, clean_up, drop_path, drop_stage, large_batches, read_text, shared_dir, stage, text_col, tidy, write_text
 
 LENGTH = 400
 #: Passages of more words that another document has are told too, if they have at least SHORT bytes.
 PASSAGE_WORDS, SHORT = 50, 240
 GRAM = 24
 BATCHES = 2
-#: A beginning with more kinds of context, which is about 1 MB of windows, is parted by more bytes.
-HOT = 2_000
+#: A beginning with more kinds of context, which is about 2 MB of windows, is parted by more bytes.
+HOT = 4_000
 #: Windows that are parted together.
 BLOCK = 32
 BUFFER = 1 << 20
@@ -65,19 +65,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def rolling(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of length bytes, by doubling; the mixing between steps leaves no algebra to collide in."""
+def window_hashes(data: np.ndarray, lengths: tuple) -> list[np.ndarray]:
+    """For each length a 64-bit hash of each run of so many bytes, by doubling; the mixing between steps leaves no algebra to collide in.
+
+    A run is hashed from the two runs, of the largest power of two below it, that begin and end it.
+    """
     h = _mix((data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    out, done, size = None, 0, 1
-    rest = length
+    out: list = [h[:0]] * len(lengths)
+    size = 1
     while True:
-        if rest & 1:
-            out = h if out is None else _mix(out[: max(0, len(data) - done - size + 1)] * np.uint64(0xC2B2AE3D27D4EB4F) + h[done : max(done, len(data) - size + 1)])
-            done += size
-        rest >>= 1
-        if not rest:
-            return out[: max(0, len(data) - length + 1)]
-        h = _mix(h[: len(h) - size] * np.uint64(0x165667B19E3779F9) + h[size:]) if len(h) > size else h[:0]
+        for k, n in enumerate(lengths):
+            if size <= n < 2 * size and len(data) >= n:
+                end = len(data) - n + 1
+                out[k] = _mix(h[:end] * np.uint64(0xC2B2AE3D27D4EB4F) + h[n - size : n - size + end])
+        if 2 * size > max(lengths) or len(h) <= size:
+            return out
+        h = _mix(h[: len(h) - size] * np.uint64(0x165667B19E3779F9) + h[size:])
         size *= 2
 
 
@@ -102,22 +105,6 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed."""
-
-    BASE = 0xD6E8FEB86659FD93
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            one = lambda x: np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)))
-            self.up, self.down = one(self.BASE), one(pow(self.BASE, -1, 1 << 64))
-        return self.up, self.down
-
-
 _POWERS = Powers()
 
 
@@ -171,7 +158,7 @@ def index_entries(texts: DataFrame, short: int = SHORT, length: int = LENGTH) ->
         for b in batches:
             yield pd.DataFrame(dict(zip(NAMES, suffixes([(tid, t.encode("utf-8", "surrogatepass")) for tid, t in zip(b["tid"], b["text"])], short, length))))
 
-    return texts.select("tid", "text").mapInPandas(run, ENTRY)
+    return texts.select("tid", "text").mapInPandas(tidy(run), ENTRY)
 
 
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
@@ -179,7 +166,7 @@ _SCANNED = [x.split()[0] for x in SCANNED.split(", ")]
 
 
 def scan_chunk(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Of entries in order, those that begin as a neighbour does, some of them new; and all in the runs at either edge, which may go on in other chunks."""
+    """Of entries in order, those that begin as a neighbour does, some of them new. What other chunks may still decide, and a summary of either edge's run, is marked edge."""
     size = len(c["s1"])
     change = lambda names: np.append(True, np.logical_or.reduce([c[x][1:] != c[x][:-1] for x in names]))
     head = change(KEY)
@@ -191,16 +178,19 @@ def scan_chunk(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     same, kinds = np.bincount(kind), np.bincount(key[kind_begin])
     tmin, tmax = c["tid"][kind_begin], c["tid"][kind_end]
     edge, outer = (key == 0) | (key == key[-1]), (kind == 0) | (kind == kind[-1])
-    multi, settled = kinds[key] > 1, same[kind] > 1
+    multi, settled, across = kinds[key] > 1, same[kind] > 1, (tmin != tmax)[kind]
+    known = (n[key] > 1) & (new[key] > 0) & (multi | ~lead) & (~outer | settled & across)
+    edge &= head | lead & outer | ~known
     keep = np.flatnonzero(edge | (new[key] > 0) & (settled | multi & lead))
     k, j = key[keep], kind[keep]
+    shown = edge[keep] | (multi & lead)[keep]  # a match that is settled needs no name
     made = {
-        "settled": settled[keep], "across": (tmin != tmax)[j], "lead": lead[keep], "multi": multi[keep], "edge": edge[keep], "head": head[keep], "n": n[k], "new": new[k],
+        "settled": settled[keep], "across": across[keep], "lead": lead[keep], "multi": multi[keep], "edge": edge[keep], "head": head[keep], "n": n[k], "new": new[k],
         "low": c["ctx"][begin][k], "high": c["ctx"][end][k], "same": same[j], "tmin": tmin[j], "tmax": tmax[j], "outer": outer[keep],
     }
     for x in ("n", "new", "low", "high", "same", "tmin", "tmax"):  # asked for of edges only
         made[x] = np.where(made["edge"], made[x], 0)
-    return {x: c[x][keep] for x in NAMES} | made
+    return {x: np.where(shown, c[x][keep], 0) if x in (*KEY, "ctx", "pos") else c[x][keep] for x in NAMES} | made
 
 
 def merge_scan(ordered: DataFrame) -> DataFrame:
@@ -229,7 +219,7 @@ def merge_scan(ordered: DataFrame) -> DataFrame:
         if held:
             yield close()
 
-    return ordered.select(*NAMES, "new", "part").mapInPandas(run, SCANNED)
+    return ordered.select(*NAMES, "new", "part").mapInPandas(tidy(run), SCANNED)
 
 
 def matched(scanned: DataFrame) -> DataFrame:
@@ -331,51 +321,86 @@ class IndexFamily:
         """Compares the contexts that differ under one beginning, of all batches since the last time; runs go to the family's folder."""
         if not self.pending:
             return
-        scans = [matched(self._read([path], SCANNED)) for path in self.pending]
-        found = reduce(DataFrame.unionByName, scans)
-        whole = found.where("settled").select("tid", F.col("first").cast("long").alias("a"), F.col("last").cast("long").alias("b"), F.col("across").alias("short"), F.lit(True).alias("long"))
-        reps = found.where("rep").select(*KEY, "tid", "pos", "first", "last")
-        times = reps.groupBy(*KEY).agg(F.count("*").alias("times")).where(F.col("times") > self.hot).select(*KEY, F.lit(True).alias("hot"))
-        hot = self._read([self._kept(times, "hot")], "s1 bigint, s2 bigint, s3 bigint, hot boolean")
-        spots = reps.groupBy("tid").agg(F.collect_set(F.struct(*KEY, "pos", "first", "last")).alias("spots"))
-        contexts = self._contexts(spots)
-        runs = []
-        if hot.limit(1).count():
-            contexts = stage(contexts, "contexts").join(hot, KEY, "left")
-            deeper = stage(part(contexts.where("hot"), self.short, self.length), "deeper")
-            again = deeper.groupBy(*KEY).agg(F.count("*").alias("times")).where("times > 1")
-            deeper = stage(deeper.join(again, KEY), "again")
-            runs += [compare(deeper.where(F.col("times") <= self.hot), self.short, self.length), compare_hot(deeper.where(F.col("times") > self.hot), self.short, self.length)]
-            contexts = contexts.where("hot is null")
+        whole, reps = self._matched(self.pending)
+        runs = [whole]
+        contexts = stage(self._contexts(reps), "contexts")
+        drop_stage(reps)
+        done = [contexts]
+        times = self._many(contexts)
+        clean_up(self.spark)
+        if times.limit(1).count():
+            # what begins alike in very many ways goes through the same scan again, under names that are made of more bytes
+            contexts = contexts.join(times, KEY, "left")
+            hot = stage(contexts.where("many").drop("many"), "contexts")
+            path = self._kept(part(hot, self.short, self.length), "deeper")
+            with large_batches(self.spark):
+                deeper = self._kept(merge_scan(self._sorted(self._read([path], ENTRY).withColumn("new", F.lit(1)))), "scan")
+            drop_path(self.spark, path)
+            more, kinds = self._matched([deeper])
+            own = hot.select("tid", "pos", F.col("first").alias("_first"), F.col("last").alias("_last"), "bytes")
+            kinds = kinds.join(own, ["tid", "pos"]).where("first >= _first and last <= _last")
+            kinds = kinds.withColumn("bytes", F.substr("bytes", F.col("first") - F.col("_first") + 1, F.col("last") - F.col("first") + self.length))
+            kinds = stage(kinds.select(*contexts.drop("many").columns), "kinds")
+            done += [hot, kinds]
+            still = kinds.join(self._many(kinds), KEY, "left")
+            runs += [more, compare(still.where("many is null"), self.short, self.length), compare_hot(still.where("many"), self.short, self.length)]
+            contexts = contexts.where("many is null")
         runs.append(compare(contexts, self.short, self.length))
-        for r in runs:
-            whole = whole.unionByName(r)
-        self.runs_at.append(self._kept(whole.repartition("tid"), "runs"))
+        self.runs_at.append(self._kept(reduce(DataFrame.unionByName, runs), "runs"))
         for path in self.pending:
             drop_path(self.spark, path)
+        for gone in done:
+            drop_stage(gone)
         self.pending = []
         self.save()
         clean_up(self.spark)
 
-    def _contexts(self, spots: DataFrame) -> DataFrame:
+    def forget_levels(self) -> None:
+        """For a family that takes no more batches."""
+        for path in self.levels.values():
+            drop_path(self.spark, path)
+        self.levels = {}
+        self.save()
+
+    def _many(self, contexts: DataFrame) -> DataFrame:
+        """KEY, many (true) of the beginnings with more than `hot` contexts, staged."""
+        times = contexts.groupBy(*KEY).agg(F.count("*").alias("times")).where(F.col("times") > self.hot)
+        return stage(times.select(*KEY, F.lit(True).alias("many")), "many")
+
+    def _matched(self, scans: list[str]) -> tuple[DataFrame, DataFrame]:
+        """RUN rows of what is settled in the scans, and what is to be compared, staged."""
+        found = [matched(self._read([path], SCANNED)) for path in scans]
+        whole = reduce(DataFrame.unionByName, found).where("settled").select("tid", F.col("first").cast("long").alias("a"), F.col("last").cast("long").alias("b"), F.col("across").alias("short"), F.lit(True).alias("long"))
+        reps = reduce(DataFrame.unionByName, found).where("rep").select(*KEY, "tid", "pos", "first", "last")
+        return whole, stage(reps, "reps")
+
+    def _contexts(self, reps: DataFrame) -> DataFrame:
+        """CONTEXT rows: the bytes of the windows of KEY, tid, pos, first, last. A text's places are fewer than its bytes, and come to it together."""
         length = self.length
+        spots = reps.groupBy("tid").agg(F.collect_set(F.array(*[F.col(c).cast("long") for c in (*KEY, "pos", "first", "last")])).alias("spots"))
         names = [x.split()[0] for x in CONTEXT.split(", ")]
 
         def cut(frames):
             for b in frames:
-                rows, held = [], 0
+                parts, held = [], 0
                 for tid, text, spots in zip(b["tid"], b["text"], b["spots"]):
                     raw = text.encode("utf-8", "surrogatepass")
-                    for s in spots:
-                        rows.append((s["s1"], s["s2"], s["s3"], tid, s["pos"], s["first"], s["last"], raw[s["first"] : s["last"] + length]))
-                        held += len(rows[-1][-1])
+                    c = np.stack(spots)
+                    parts.append((c, tid, [raw[x : y + length] for x, y in zip(c[:, 4].tolist(), c[:, 5].tolist())]))
+                    held += sum(map(len, parts[-1][2]))
                     if held > BUFFER:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                        yield frame(parts)
+                        parts, held = [], 0
+                if parts:
+                    yield frame(parts)
+
+        def frame(parts):
+            c = np.concatenate([c for c, _, _ in parts])
+            tids = np.repeat([t for _, t, _ in parts], [len(c) for c, _, _ in parts])
+            columns = [*c[:, :3].T, tids, *c[:, 3:].T, [x for _, _, xs in parts for x in xs]]
+            return pd.DataFrame(dict(zip(names, columns)))
 
-        return self.texts().where("text is not null").join(spots, "tid").select("tid", "text", "spots").mapInPandas(cut, CONTEXT)
+        return self.texts().where("text is not null").join(spots, "tid").select("tid", "text", "spots").mapInPandas(tidy(cut), CONTEXT)
 
     def runs(self) -> DataFrame:
         """(tid, runs): windows a to b of `short` bytes that another text has (short), and of `length` bytes that start anywhere else too (long)."""
@@ -405,13 +430,14 @@ def repeated_across(windows: np.ndarray, tids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(parts: list[bytes], counts: np.ndarray, length: int):
-    """The hash of the first counts[i] windows of each part i, in order, the part of each and its place there."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
+def _windows(parts: list[bytes], counts: list[np.ndarray], lengths: tuple):
+    """For each length the hash of the first counts[i] windows of each part i, in order, the part of each and its place there."""
     sizes = np.array([len(p) for p in parts])
-    which = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return rolling(data, length)[at + (np.cumsum(sizes) - sizes)[which]], which, at
+    begin = np.cumsum(sizes) - sizes
+    for h, n in zip(window_hashes(np.frombuffer(b"".join(parts), np.uint8), lengths), counts):
+        which = np.repeat(np.arange(len(n)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield h[at + begin[which]], which, at
 
 
 def _runs(flags: np.ndarray, which: np.ndarray, at: np.ndarray, tids: np.ndarray, firsts: np.ndarray, long: bool) -> pd.DataFrame:
@@ -438,8 +464,7 @@ def compare(contexts: DataFrame, short: int, length: int) -> DataFrame:
         parts = [r[7] for r in rows]
         begin = _mix(np.array([hash(r[:3]) & 0xFFFFFFFFFFFFFFFF for r in rows], np.uint64))
         out = []
-        for size, counts, long in zip((short, length), _counts(parts, first, last, length), (False, True)):
-            h, which, at = _windows(parts, counts, size)
+        for (h, which, at), long in zip(_windows(parts, _counts(parts, first, last, length), (short, length)), (False, True)):
             h = h ^ begin[which]
             out.append(_runs(repeated(h) if long else repeated_across(h, tids[which]), which, at, tids, first, long))
         return pd.concat(out)
@@ -452,7 +477,7 @@ def compare(contexts: DataFrame, short: int, length: int) -> DataFrame:
                     if len(group) > 1:
                         done += group
                         held += sum(len(x[7]) for x in group)
-                        if held > BUFFER:
+                        if held > TOGETHER:
                             yield close(done)
                             done, held = [], 0
                     group, last = [], r[:3]
@@ -463,31 +488,27 @@ def compare(contexts: DataFrame, short: int, length: int) -> DataFrame:
             yield close(done)
 
     ordered = contexts.select(*KEY, "tid", "pos", "first", "last", "bytes").repartition(*KEY).sortWithinPartitions(*KEY)
-    return ordered.mapInPandas(run, RUN)
+    return ordered.mapInPandas(tidy(run), RUN)
 
 
 def part(contexts: DataFrame, short: int, length: int) -> DataFrame:
-    """Contexts of common beginnings, in blocks of windows, each under a hash of the bytes that all windows of its block have, which are nearly all of theirs."""
+    """Entries anew for contexts of common beginnings: in blocks of windows, each under a hash of the bytes that all windows of its block have, which are nearly all of theirs."""
 
     def run(batches):
         for b in batches:
-            rows, held = [], 0
-            for s1, s2, s3, tid, pos, first, last, raw in b.itertuples(index=False, name=None):
+            rows = []
+            for tid, pos, first, last, raw in zip(*(b[x].tolist() for x in ("tid", "pos", "first", "last", "bytes"))):
                 for j in range((pos - last) // BLOCK, (pos - first) // BLOCK + 1):
                     a, z = max(first, pos - BLOCK * j - BLOCK + 1), min(last, pos - BLOCK * j)
-                    core = raw[pos - BLOCK * j - first : pos - BLOCK * j - BLOCK + 1 + short - first]
-                    digest = xxhash.xxh3_128_intdigest(core, j)
-                    signed = lambda x: (x & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                    rows.append((signed(digest), signed(digest >> 64), s1 ^ s2 ^ s3, tid, pos, a, z, raw[a - first : z - first + length]))
-                    held += len(rows[-1][-1])
-                if held > BUFFER:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
+                    core = xxhash.xxh3_128_intdigest(raw[pos - BLOCK * j - first : pos - BLOCK * j - BLOCK + 1 + short - first], j)
+                    rows.append((signed(core), signed(core >> 64), j, signed(xxhash.xxh3_64_intdigest(raw[a - first : z - first + length], z - a)), tid, pos, a, z))
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=NAMES)
 
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
-    return contexts.select(*names).mapInPandas(run, CONTEXT)
+    def signed(x):
+        return (x & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+    return contexts.select("tid", "pos", "first", "last", "bytes").mapInPandas(tidy(run), ENTRY)
 
 
 def compare_hot(contexts: DataFrame, short: int, length: int) -> DataFrame:
@@ -499,13 +520,14 @@ def compare_hot(contexts: DataFrame, short: int, length: int) -> DataFrame:
                 some = b.iloc[i : i + 1000]
                 parts, tids = list(some["bytes"]), some["tid"].to_numpy()
                 first, last = some["first"].to_numpy().astype(np.int64), some["last"].to_numpy().astype(np.int64)
-                for size, counts, long in zip((short, length), _counts(parts, first, last, length), (False, True)):
-                    h, which, at = _windows(parts, counts, size)
-                    back, _, _ = _windows([p[: c + size - 1][::-1] for p, c in zip(parts, counts)], counts, size)
-                    turned = back[(np.cumsum(counts) - 1)[which] - at]
+                counts = _counts(parts, first, last, length)
+                # the second hash is of the windows read backwards
+                back = [h for size, n in zip((short, length), counts) for h, _, _ in _windows([p[: c + size - 1][::-1] for p, c in zip(parts, n)], [n], (size,))]
+                for (h, which, at), n, turned, long in zip(_windows(parts, counts, (short, length)), counts, back, (False, True)):
+                    turned = turned[(np.cumsum(n) - 1)[which] - at]
                     yield pd.DataFrame({"h1": h.view(np.int64), "h2": turned.view(np.int64), "long": long, "tid": tids[which], "a": first[which] + at})
 
-    windows = stage(contexts.select("tid", "first", "last", "bytes").mapInPandas(run, "h1 bigint, h2 bigint, long boolean, tid bigint, a bigint").distinct(), "windows")
+    windows = stage(contexts.select("tid", "first", "last", "bytes").mapInPandas(tidy(run), "h1 bigint, h2 bigint, long boolean, tid bigint, a bigint").distinct(), "windows")
     twice = windows.groupBy("h1", "h2", "long").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high")).where("n > 1 and (long or low <> high)").select("h1", "h2", "long")
     return windows.join(twice, ["h1", "h2", "long"]).select("tid", "a", F.col("a").alias("b"), (~F.col("long")).alias("short"), "long")
 
@@ -562,7 +584,7 @@ def report(docs: DataFrame, family: IndexFamily, id_col: str = "doc_id") -> Data
     texts = family.texts()
     times = texts.groupBy("tid").agg(F.sum("n").alias("times"))
     rows = texts.where("text is not null").join(times, "tid").join(family.runs(), "tid", "left").where("times > 1 or runs is not null")
-    cut = rows.select("tid", "text", "times", "runs").mapInPandas(strip, f"tid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, spans {spans_of}")
+    cut = rows.select("tid", "text", "times", "runs").mapInPandas(tidy(strip), f"tid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, spans {spans_of}")
     plain = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("text"))
     plain = plain.select("doc_id", F.xxhash64("text").alias("_tid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_sha"))
     out = plain.join(cut, F.col("tid") == F.col("_tid"), "left")
@@ -589,7 +611,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", batches
     batches' rows anew. Texts and contexts are named by 64-bit hashes: among n
     distinct ones a wrong meeting has odds of about n**2 / 2**65.
     """
+    given = family is not None
     family = family or IndexFamily(docs.sparkSession, length=length, short=short, hot=hot)
     for k in range(batches):
         family.add(docs.where(F.pmod(F.xxhash64(text_col()), F.lit(batches)) == k) if batches > 1 else docs)
+    family.settle()
+    if not given:
+        family.forget_levels()
     return report(docs, family, id_col)
