@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .schema import EDGE_DDL, EDGE_TYPES, LABELS, NODE_DDL, conform
+from .schema import EDGE_DDL, EDGE_TYPES, LABELS, NODE_DDL, _columns, conform
 
 
 class Graph:
@@ -22,9 +24,15 @@ class Graph:
         """Nodes of the labels, or all."""
         return self.nodes.where(F.col("label").isin(*labels)) if labels else self.nodes
 
+    def edges_of(self, *types: str) -> DataFrame:
+        return self.edges.where(F.col("type").isin(*types)) if types else self.edges
+
+    def columns(self) -> tuple[list[str], list[str]]:
+        return self.nodes.columns, self.edges.columns
+
     def rel(self, *types: str, direction: str = "out") -> DataFrame:
         """Edges of the types, or all. in: source and target swapped; any: both ways."""
-        e = self.edges.where(F.col("type").isin(*types)) if types else self.edges
+        e = self.edges_of(*types)
         if direction == "out":
             return e
         ends = {"src_id": "dst_id", "dst_id": "src_id", "src_label": "dst_label", "dst_label": "src_label"}
@@ -81,3 +89,35 @@ class Graph:
         from .plans.cypher import run
 
         return run(self, query, params)
+
+
+class PartedGraph(Graph):
+    """A graph of which each label and each type is made when it is asked for, so a plan has the parts that it needs and no others.
+
+    nodes: label to a function that gives its DataFrame; edges: type to several such functions.
+    """
+
+    def __init__(self, spark, nodes: dict, edges: dict):
+        self.spark = spark
+        self._nodes = {k: functools.cache(f) for k, f in nodes.items()}
+        self._edges = {k: [functools.cache(f) for f in fs] for k, fs in edges.items()}
+
+    def _united(self, parts: list, ddl: str) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [f() for f in parts]) if parts else self.spark.createDataFrame([], ddl)
+
+    def columns(self) -> tuple[list[str], list[str]]:
+        return [n for n, _ in _columns(NODE_DDL)], [n for n, _ in _columns(EDGE_DDL)]
+
+    @functools.cached_property
+    def nodes(self) -> DataFrame:
+        return self.scan()
+
+    @functools.cached_property
+    def edges(self) -> DataFrame:
+        return self.edges_of()
+
+    def scan(self, *labels: str) -> DataFrame:
+        return self._united([f for k, f in self._nodes.items() if not labels or k in labels], NODE_DDL)
+
+    def edges_of(self, *types: str) -> DataFrame:
+        return self._united([f for k, fs in self._edges.items() if not types or k in types for f in fs], EDGE_DDL)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename
-from ..graph import Graph
+from ..graph import PartedGraph
 from ..schema import EDGE_DDL, NODE_DDL, conform
 
 _EXT = {0: (".go", "go"), 1: (".py", "python"), 2: (".ts", "typescript")}
@@ -22,64 +22,92 @@ def load(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graph(spark, sf_dir: str) -> Graph:
+def graph(spark, sf_dir: str) -> PartedGraph:
     """part: functions in files by brand, classes by brand and size; customer: tests; orders and lineitem: edges; nation: endpoints."""
-    part = load(spark, sf_dir, "part").withColumn("bn", F.substring("p_brand", 7, 5).cast("int"))
-    path = F.concat(F.lit("src/m"), F.col("bn") % 5, F.lit("/f"), F.col("bn"), _by_rest(F.col("bn"), 0))
-    part = part.select(
-        F.concat(F.lit("fn:"), "p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), path.alias("file_path"), _by_rest(F.col("bn"), 1).alias("language"),
-        F.concat("p_type", F.lit("("), "p_size", F.lit(")")).alias("signature"), F.concat("p_name", F.lit(" "), "p_type").alias("body"),
-        F.col("p_size").alias("complexity"), (F.col("p_partkey") % 500).alias("line_number"), (F.col("p_partkey") % 2 == 0).alias("is_exported"),
-        F.concat(F.lit("class:"), "bn", F.lit(":"), "p_size").alias("parent_id"), F.concat(F.lit("C"), "bn", F.lit("_"), "p_size").alias("class_name"), "p_partkey",
-    )
-    functions = conform(part, NODE_DDL, label=F.lit("Function"))
-    classes = conform(part.select(F.col("parent_id").alias("id"), F.col("class_name").alias("name"), "file_path", "language", "complexity").distinct(), NODE_DDL, label=F.lit("Class"))
-    customer = load(spark, sf_dir, "customer")
-    names = part.select(F.col("p_partkey").alias("c_custkey"), F.col("name").alias("test_target"))
-    tests = conform(
-        customer.join(names, "c_custkey", "left"), NODE_DDL,
-        id=F.concat(F.lit("test:"), "c_custkey"), label=F.lit("TestFunction"), name=F.concat(F.lit("Test"), "c_custkey"),
-        file_path=F.concat(F.lit("tests/t"), "c_nationkey", F.lit("_test"), _by_rest(F.col("c_custkey"), 0)), language=_by_rest(F.col("c_custkey"), 1),
-        is_test=F.lit(True), is_test_file=F.lit(True), test_framework=F.col("c_mktsegment"), assertion_count=F.col("c_custkey") % 6,
-        test_type=F.when(F.col("c_nationkey") % 3 == 0, "unit").when(F.col("c_nationkey") % 3 == 1, "integration").otherwise("e2e"),
-    )
-    files = functions.select("file_path", "language").distinct().withColumn("is_test_file", F.lit(False)).unionByName(tests.select("file_path", "language").distinct().withColumn("is_test_file", F.lit(True)))
-    files = conform(files, NODE_DDL, id=F.col("file_path"), label=F.lit("File"), name=basename(F.col("file_path")))
-    nation = load(spark, sf_dir, "nation")
-    endpoints = conform(
-        nation, NODE_DDL, id=F.concat(F.lit("ep:"), "n_nationkey"), label=F.lit("Endpoint"), name=F.concat(F.lit("/api/"), F.lower("n_name")),
-        signature=F.when(F.col("n_regionkey") % 2 == 0, "GET").otherwise("POST"), file_path=F.concat(F.lit("api/r"), "n_regionkey", _by_rest(F.col("n_regionkey"), 0)), language=_by_rest(F.col("n_regionkey"), 1),
-    )
-
-    orders, items = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
-    sold = orders.where("o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')").join(items.where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"))
-    sold = sold.groupBy("o_orderpriority", "o_custkey", "l_partkey").agg((1 - F.max("l_discount")).alias("confidence"), F.min("l_linestatus").alias("status"))
-    src, dst = F.concat(F.lit("test:"), "o_custkey"), F.concat(F.lit("fn:"), "l_partkey")
+    table = cache(lambda name: load(spark, sf_dir, name))
+
+    @cache
+    def part():
+        df = table("part").withColumn("bn", F.substring("p_brand", 7, 5).cast("int"))
+        path = F.concat(F.lit("src/m"), F.col("bn") % 5, F.lit("/f"), F.col("bn"), _by_rest(F.col("bn"), 0))
+        return df.select(
+            F.concat(F.lit("fn:"), "p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), path.alias("file_path"), _by_rest(F.col("bn"), 1).alias("language"),
+            F.concat("p_type", F.lit("("), "p_size", F.lit(")")).alias("signature"), F.concat("p_name", F.lit(" "), "p_type").alias("body"),
+            F.col("p_size").alias("complexity"), (F.col("p_partkey") % 500).alias("line_number"), (F.col("p_partkey") % 2 == 0).alias("is_exported"),
+            F.concat(F.lit("class:"), "bn", F.lit(":"), "p_size").alias("parent_id"), F.concat(F.lit("C"), "bn", F.lit("_"), "p_size").alias("class_name"), "p_partkey",
+        )
+
+    @cache
+    def functions():
+        return conform(part(), NODE_DDL, label=F.lit("Function"))
+
+    @cache
+    def classes():
+        return conform(part().select(F.col("parent_id").alias("id"), F.col("class_name").alias("name"), "file_path", "language", "complexity").distinct(), NODE_DDL, label=F.lit("Class"))
+
+    @cache
+    def tests():
+        names = part().select(F.col("p_partkey").alias("c_custkey"), F.col("name").alias("test_target"))
+        return conform(
+            table("customer").join(names, "c_custkey", "left"), NODE_DDL,
+            id=F.concat(F.lit("test:"), "c_custkey"), label=F.lit("TestFunction"), name=F.concat(F.lit("Test"), "c_custkey"),
+            file_path=F.concat(F.lit("tests/t"), "c_nationkey", F.lit("_test"), _by_rest(F.col("c_custkey"), 0)), language=_by_rest(F.col("c_custkey"), 1),
+            is_test=F.lit(True), is_test_file=F.lit(True), test_framework=F.col("c_mktsegment"), assertion_count=F.col("c_custkey") % 6,
+            test_type=F.when(F.col("c_nationkey") % 3 == 0, "unit").when(F.col("c_nationkey") % 3 == 1, "integration").otherwise("e2e"),
+        )
+
+    def files():
+        own = functions().select("file_path", "language").distinct().withColumn("is_test_file", F.lit(False))
+        own = own.unionByName(tests().select("file_path", "language").distinct().withColumn("is_test_file", F.lit(True)))
+        return conform(own, NODE_DDL, id=F.col("file_path"), label=F.lit("File"), name=basename(F.col("file_path")))
+
+    def endpoints():
+        return conform(
+            table("nation"), NODE_DDL, id=F.concat(F.lit("ep:"), "n_nationkey"), label=F.lit("Endpoint"), name=F.concat(F.lit("/api/"), F.lower("n_name")),
+            signature=F.when(F.col("n_regionkey") % 2 == 0, "GET").otherwise("POST"), file_path=F.concat(F.lit("api/r"), "n_regionkey", _by_rest(F.col("n_regionkey"), 0)), language=_by_rest(F.col("n_regionkey"), 1),
+        )
 
     def tested(priority, kind, **more):
-        return conform(sold.where(F.col("o_orderpriority") == priority), EDGE_DDL, type=F.lit(kind), src_id=src, dst_id=dst, src_label=F.lit("TestFunction"), dst_label=F.lit("Function"), **more)
+        def made():
+            rows = table("orders").where(f"o_orderstatus = 'F' and o_orderpriority = '{priority}'").join(table("lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"))
+            rows = rows.groupBy("o_custkey", "l_partkey").agg((1 - F.max("l_discount")).alias("confidence"), F.min("l_linestatus").alias("status"))
+            return conform(rows, EDGE_DDL, type=F.lit(kind), src_id=F.concat(F.lit("test:"), "o_custkey"), dst_id=F.concat(F.lit("fn:"), "l_partkey"), src_label=F.lit("TestFunction"), dst_label=F.lit("Function"), **more)
+
+        return made
 
-    returned = items.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
-    following = returned.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to_part"))
-    calls = returned.join(following, ["l_orderkey", "l_linenumber"]).select("l_partkey", "to_part").distinct()
-    calls = conform(calls, EDGE_DDL, type=F.lit("CALLS"), src_id=F.concat(F.lit("fn:"), "l_partkey"), dst_id=F.concat(F.lit("fn:"), "to_part"), src_label=F.lit("Function"), dst_label=F.lit("Function"))
+    def calls():
+        returned = table("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
+        following = returned.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to_part"))
+        both = returned.join(following, ["l_orderkey", "l_linenumber"]).select("l_partkey", "to_part").distinct()
+        return conform(both, EDGE_DDL, type=F.lit("CALLS"), src_id=F.concat(F.lit("fn:"), "l_partkey"), dst_id=F.concat(F.lit("fn:"), "to_part"), src_label=F.lit("Function"), dst_label=F.lit("Function"))
 
     def inside(nodes, label):
-        return conform(nodes.select("id", F.col("file_path").alias("_f")), EDGE_DDL, id=F.lit(None), type=F.lit("Contains"), src_id=F.col("_f"), dst_id=F.col("id"), src_label=F.lit("File"), dst_label=F.lit(label))
-
-    members = conform(part.select("id", "parent_id"), EDGE_DDL, id=F.lit(None), type=F.lit("Contains"), src_id=F.col("parent_id"), dst_id=F.col("id"), src_label=F.lit("Class"), dst_label=F.lit("Function"))
-    smaller = classes.select(F.col("file_path").alias("_f"), (F.col("complexity") + 1).alias("_c"), F.col("id").alias("_id"))
-    inherits = classes.select("id", "file_path", "complexity").join(smaller, (F.col("file_path") == F.col("_f")) & (F.col("complexity") == F.col("_c")))
-    inherits = conform(inherits, EDGE_DDL, type=F.lit("INHERITS"), src_id=F.col("id"), dst_id=F.col("_id"), src_label=F.lit("Class"), dst_label=F.lit("Class"), id=F.lit(None), file_path=F.lit(None))
-    served = part.where("p_partkey % 10 = 0").join(nation, F.expr("p_partkey div 10 % 25 = n_nationkey"))
-    served = conform(served.select("id", "n_nationkey"), EDGE_DDL, id=F.lit(None), type=F.lit("EXPOSES_ENDPOINT"), src_id=F.col("id"), dst_id=F.concat(F.lit("ep:"), "n_nationkey"), src_label=F.lit("Function"), dst_label=F.lit("Endpoint"))
-    api = conform(customer.where("c_nationkey % 3 = 1 and c_custkey % 4 = 0"), EDGE_DDL, type=F.lit("TESTS_API"), src_id=F.concat(F.lit("test:"), "c_custkey"), dst_id=F.concat(F.lit("ep:"), "c_nationkey"), src_label=F.lit("TestFunction"), dst_label=F.lit("Endpoint"))
-    edges = [
-        tested("1-URGENT", "TESTS", confidence_score=F.col("confidence")),
-        tested("2-HIGH", "COVERS", coverage_type=F.when(F.col("status") == "O", "indirect").otherwise("direct")),
-        tested("3-MEDIUM", "MOCKS"), calls, inside(functions, "Function"), inside(classes, "Class"), inside(tests, "TestFunction"), members, inherits, served, api,
-    ]
-    return Graph(reduce(DataFrame.unionByName, [functions, classes, tests, files, endpoints]), reduce(DataFrame.unionByName, edges))
+        return lambda: conform(nodes().select("id", F.col("file_path").alias("_f")), EDGE_DDL, id=F.lit(None), type=F.lit("Contains"), src_id=F.col("_f"), dst_id=F.col("id"), src_label=F.lit("File"), dst_label=F.lit(label))
+
+    def members():
+        return conform(part().select("id", "parent_id"), EDGE_DDL, id=F.lit(None), type=F.lit("Contains"), src_id=F.col("parent_id"), dst_id=F.col("id"), src_label=F.lit("Class"), dst_label=F.lit("Function"))
+
+    def inherits():
+        smaller = classes().select(F.col("file_path").alias("_f"), (F.col("complexity") + 1).alias("_c"), F.col("id").alias("_id"))
+        both = classes().select("id", "file_path", "complexity").join(smaller, (F.col("file_path") == F.col("_f")) & (F.col("complexity") == F.col("_c")))
+        return conform(both, EDGE_DDL, type=F.lit("INHERITS"), src_id=F.col("id"), dst_id=F.col("_id"), src_label=F.lit("Class"), dst_label=F.lit("Class"), id=F.lit(None), file_path=F.lit(None))
+
+    def served():
+        rows = part().where("p_partkey % 10 = 0").join(table("nation"), F.expr("p_partkey div 10 % 25 = n_nationkey"))
+        return conform(rows.select("id", "n_nationkey"), EDGE_DDL, id=F.lit(None), type=F.lit("EXPOSES_ENDPOINT"), src_id=F.col("id"), dst_id=F.concat(F.lit("ep:"), "n_nationkey"), src_label=F.lit("Function"), dst_label=F.lit("Endpoint"))
+
+    def api():
+        return conform(table("customer").where("c_nationkey % 3 = 1 and c_custkey % 4 = 0"), EDGE_DDL, type=F.lit("TESTS_API"), src_id=F.concat(F.lit("test:"), "c_custkey"), dst_id=F.concat(F.lit("ep:"), "c_nationkey"), src_label=F.lit("TestFunction"), dst_label=F.lit("Endpoint"))
+
+    return PartedGraph(
+        spark, {"Function": functions, "Class": classes, "TestFunction": tests, "File": files, "Endpoint": endpoints},
+        {
+            "TESTS": [tested("1-URGENT", "TESTS", confidence_score=F.col("confidence"))],
+            "COVERS": [tested("2-HIGH", "COVERS", coverage_type=F.when(F.col("status") == "O", "indirect").otherwise("direct"))],
+            "MOCKS": [tested("3-MEDIUM", "MOCKS")], "CALLS": [calls], "INHERITS": [inherits], "EXPOSES_ENDPOINT": [served], "TESTS_API": [api],
+            "Contains": [inside(functions, "Function"), inside(classes, "Class"), inside(tests, "TestFunction"), members],
+        },
+    )
 
 
 _SQL_EXT = "case {0} % 3 when 0 then '.go' when 1 then '.py' else '.ts' end"

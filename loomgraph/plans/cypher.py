@@ -339,10 +339,9 @@ def _text(x) -> str:
 class Compiler:
     def __init__(self, g, params: dict):
         self.g, self.params = g, params
-        nodes = g.nodes.withColumn("props", F.to_json("props")) if "props" in g.nodes.columns else g.nodes
-        self.node_columns = nodes.columns
-        self.nodes = nodes
-        self.edges = g.edges.withColumn("props", F.to_json("props")) if "props" in g.edges.columns else g.edges
+        # maps can't be compared or grouped
+        self.plain = lambda df: df.withColumn("props", F.to_json("props")) if "props" in df.columns else df
+        self.node_columns, self.edge_columns = g.columns()
         self.kinds: dict[str, str] = {}  # variables that are nodes, relationships or paths
 
     # ---- expressions
@@ -425,7 +424,7 @@ class Compiler:
         kind = self.kinds.get(x[1][1]) if x[1][0] == "var" else None
         if kind is None:
             return owner[name]
-        columns = self.node_columns if kind == "node" else self.edges.columns
+        columns = self.node_columns if kind == "node" else self.edge_columns
         if kind == "node" and name == "path" and "path" not in columns:
             return owner["file_path"]
         return owner[name] if name in columns else F.get_json_object(owner["props"], f"$.{name}")
@@ -474,7 +473,7 @@ class Compiler:
 
     # ---- patterns
     def node_frame(self, n: Node) -> DataFrame:
-        df = self.nodes.where(F.col("label").isin(*n.labels)) if n.labels else self.nodes
+        df = self.plain(self.g.scan(*n.labels))
         for k, v in n.props.items():
             name = "file_path" if k == "path" and "path" not in self.node_columns else k
             df = df.where(F.col(name) == self.col(v) if name in self.node_columns else F.get_json_object("props", f"$.{k}") == self.col(v))
@@ -485,7 +484,7 @@ class Compiler:
         df = self.node_frame(chain[0])
         here, seen = chain[0].var, {chain[0].var}
         for r, n in zip(chain[1::2], chain[2::2]):
-            e = self.edges.where(F.col("type").isin(*r.types)) if r.types else self.edges
+            e = self.plain(self.g.edges_of(*r.types))
             ends = {"src_id": "dst_id", "dst_id": "src_id", "src_label": "dst_label", "dst_label": "src_label"}
             turned = e.select(*[F.col(ends.get(c, c)).alias(c) for c in e.columns])
             e = {"out": lambda: e, "in": lambda: turned, "any": lambda: e.unionByName(turned)}[r.direction]()
