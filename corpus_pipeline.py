@@ -15,28 +15,35 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents that the model trained on `labels` predicts toxic go."""
+    """Documents that the model trained on `labels` predicts toxic go.
+
+    Null, empty and hitless texts have the base score and stay where that is low; repeated rows are judged alike; null ids
+    and all columns are kept; without labels of both kinds nothing is learned.
+    """
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies stays: the one of the smallest id."""
+    """One document of each group of near copies stays: the one of the smallest id (null first), once if its row is repeated.
+
+    Null, empty and blank texts are in no group and all stay; texts of under five words are compared whole.
+    """
     small_batches(spark)
     return near_join.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark, docs, sf_dir):
-    """Documents that hold an item of `benchmark` go."""
+    """Documents that hold an item of `benchmark` go; null and empty texts and items hold and are nothing; whole texts are searched."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Documents as often as the mix takes them; at a source's cut, one in part."""
+    """Documents as often as the mix takes them; at a source's cut, one in part. Texts without words stay once; null is a source of its own."""
     return mixing.mixed_rows(docs)
 
 
 def write_tokens(spark, docs, sf_dir):
-    """Arrow files of fixed-size lists; a row for each document in them."""
+    """Arrow files of fixed-size lists; a row for each document in them. Null and empty texts are their end id; repeats stand beside each other."""
     small_batches(spark)
     return token_files.read(token_files.write(docs, tokenizer_path("word_bpe_49k.json")))
 
