@@ -111,5 +111,11 @@ def decode(media: DataFrame, carry: tuple = ("doc_id", "n_bytes"), tensors: bool
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """Files of all texts written to a table in the shared folder, then read back and decoded with their tensors."""
+    """Files of all texts written to a table in the shared folder, then read back and decoded with their tensors.
+
+    One row for each row of docs, repeated and null ids included; null and empty
+    texts are payloads of spaces; a text's length is bounded by the format's
+    65,500 samples a side, about 4 GB; an empty table gives no rows; other
+    columns, whatever they are called, are not read.
+    """
     return decode(stage(encode(docs), "media"))

@@ -2,8 +2,8 @@
 
 Each rule's regular expression is turned, when the plan is built, into a
 Boolean query over trigrams that every match must contain. The index holds
-postings (trigram, doc_id) of the trigrams that some rule asks for; postings
-are intersected by document, and only documents that satisfy a rule's query are
+postings (trigram, row) of the trigrams that some rule asks for; postings
+are intersected by row, and only rows that satisfy a rule's query are
 verified with its expression. A rule without mandatory trigrams scans all.
 """
 
@@ -114,22 +114,26 @@ def trigram_query(pattern: str) -> list[frozenset[frozenset[str]]]:
     return demands
 
 
-def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Postings (trigram, doc_id) of the given lower-case trigrams over whole texts."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col()).alias("_low"))
+#: What a row is told by in the index: rows of one id and one text have the same spans.
+ROW = ["doc_id", "_row"]
+
+
+def build_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """Postings (trigram, doc_id, _row) of the given lower-case trigrams over the whole texts of rows(doc_id, _row, _text)."""
+    low = rows.select(*ROW, F.lower("_text").alias("_low"))
     found = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.select("doc_id", F.explode(found).alias("trigram"))
+    return low.select(*ROW, F.explode(found).alias("trigram"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, list]) -> DataFrame:
-    """(doc_id, a flag for each rule): postings intersected by document."""
+    """(doc_id, _row, a flag for each rule): postings intersected by row; a row that no rule wants is left out."""
     names = sorted({t for q in queries.values() for d in q for a in d for t in a})
-    has = postings.groupBy("doc_id").agg(*[F.bool_or(F.col("trigram") == t).alias(f"t{i}") for i, t in enumerate(names)])
+    has = postings.groupBy(*ROW).agg(*[F.bool_or(F.col("trigram") == t).alias(f"t{i}") for i, t in enumerate(names)])
     at = {t: F.col(f"t{i}") for i, t in enumerate(names)}
     every = lambda xs: reduce(lambda a, b: a & b, xs)
     some = lambda xs: reduce(lambda a, b: a | b, xs)
-    flags = [every([some([every([at[t] for t in sorted(a)]) for a in sorted(d, key=sorted)]) for d in q]).alias(f"_{n}") for n, q in queries.items() if q]
-    return has.select("doc_id", *flags)
+    flags = {n: every([some([every([at[t] for t in sorted(a)]) for a in sorted(d, key=sorted)]) for d in q]) for n, q in queries.items() if q}
+    return has.where(some(list(flags.values()))).select(*ROW, *[c.alias(f"_{n}") for n, c in flags.items()])
 
 
 #: Cut mark and its stand-in where a text has it; no rule's expression takes either, and each is one code point.
@@ -153,22 +157,25 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
 def scan(docs: DataFrame, rules: tuple = RULES, id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id and, for each rule, the array of its spans.
 
-    Null text is an empty one and has no spans; an empty table gives no rows; a
-    null or repeated doc_id keeps every row (candidates are found by id, then
-    each row is verified by itself). Other columns are not read.
+    Rules with a trigram query are verified in the rows that the index gives,
+    and only their texts are moved; the others run over all texts where they
+    are read. Null text is an empty one and has no spans; an empty table gives
+    no rows; a null or repeated doc_id keeps every row. Other columns are not read.
     """
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for q in queries.values() for d in q for a in d for t in a})
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("_text"))
-    if trigrams:
-        chosen = candidates(build_index(docs, trigrams, id_col), queries).withColumnRenamed("doc_id", "_cand")
-        rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_cand")), "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_col().alias("_text")).withColumn("_row", F.xxhash64("_text"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    out = []
-    for k, r in enumerate(rules):
-        found = spans(F.col("_text"), r, k)
-        out.append((F.when(F.col(f"_{r.name}"), found).otherwise(none) if queries[r.name] else found).alias(r.name))
-    return rows.select("doc_id", *out)
+    found = {r.name: spans(F.col("_text"), r, k) for k, r in enumerate(rules)}
+    out = rows.select(*ROW, *[found[r.name].alias(r.name) for r in rules if not queries[r.name]])
+    asked = [r.name for r in rules if queries[r.name]]
+    if asked:
+        both = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
+        chosen = candidates(build_index(rows, trigrams), queries).withColumnsRenamed({"doc_id": "_id", "_row": "_hash"})
+        seen = rows.join(chosen, both).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), *[F.when(F.col(f"_{n}"), found[n]).otherwise(none).alias(n) for n in asked])
+        seen = seen.dropDuplicates(["_id", "_hash"])
+        out = out.join(seen, both, "left").withColumns({n: F.coalesce(n, none) for n in asked})
+    return out.select("doc_id", *[r.name for r in rules])
 
 
 def render(parts: list[Column], names: list[str]) -> Column:
@@ -179,6 +186,7 @@ def render(parts: list[Column], names: list[str]) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, the numbers of spans by rule, their hash and their list, for each row of docs; nulls, repeats and empty tables as in scan()."""
     found = scan(docs)
     joined = render([F.col(r.name) for r in RULES], [r.name for r in RULES])
     found = found.withColumn("spans", joined)

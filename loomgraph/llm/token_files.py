@@ -408,7 +408,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_L
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document, from the files alone.
+
+    A document of null or empty text has its end id; null and repeated ids come
+    back as they were written, each row by itself; long documents go over as
+    many sequences and record batches as they need; an empty manifest gives no
+    rows; only path and base of the manifest are read. A missing or cut file is an error.
+    """
     spark = manifest.sparkSession
     shards = max(1, manifest.count())
 
