@@ -39,14 +39,21 @@ class Graph:
         turned = e.select(*[F.col(ends.get(c, c)).alias(c) for c in e.columns])
         return turned if direction == "in" else e.unionByName(turned)
 
+    def table(self, kind: str) -> DataFrame:
+        """The edges of a type with the type's properties as columns."""
+        e = self.edges_of(kind)
+        kinds = {"confidence_score": "double", "is_required": "boolean"}
+        own = {p: F.col(p) if p in e.columns else F.col("props")[p].cast(kinds.get(p, "string")) for p in EDGE_TYPES[kind][1]}
+        return e.select("src_id", "dst_id", "src_label", "dst_label", *[c.alias(p) for p, c in own.items()])
+
     def create_views(self, prefix: str = "") -> None:
-        """nodes, edges, a view for each label and one for each edge type."""
+        """nodes, edges, a view for each label and one for each edge type, with its properties."""
         self.nodes.createOrReplaceTempView(f"{prefix}nodes")
         self.edges.createOrReplaceTempView(f"{prefix}edges")
         for label in LABELS:
             self.scan(label).createOrReplaceTempView(f"{prefix}{label}")
         for kind in EDGE_TYPES:
-            self.rel(kind).createOrReplaceTempView(f"{prefix}rel_{kind}")
+            self.table(kind).createOrReplaceTempView(f"{prefix}rel_{kind}")
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Parquet folders by label and type, ids once."""

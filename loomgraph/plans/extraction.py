@@ -112,6 +112,26 @@ func Routes{n}(r Router) {
 	r.GET("/go/{n}", list)
 	http.Post("http://ts.example/ts/{n}", "text/plain", nil)
 }
+'''),
+    "go_pool": ("src/go/s{r}/pool{n}.go", '''package pool{r}
+
+func feed{n}(in chan int, out chan int) {
+	go left{n}(in)
+	go right{n}(in)
+	in <- {n}
+	v := <-out
+	extra <- v
+}
+
+func left{n}(in chan int) {
+	x := <-in
+	out <- x
+}
+
+func right{n}(in chan int) {
+	y := <-in
+	out <- y
+}
 '''),
     "go_test": ("src/go/s{r}/disk{n}_test.go", '''package store{r}
 
@@ -268,6 +288,10 @@ register("ex17_go_instances", "go", "source dst_ref arguments", edges("USES", wh
 register("ex18_go_packages", "go go_test", "name package", nodes("File", package="props['package']"), ("go", [("disk{n}.go", "store{r}")]), ("go_test", [("disk{n}_test.go", "store{r}")]))
 
 
+register("ex19_concurrency_patterns", "go_pool", "name evidence", lambda rows: nodes("Type", evidence="props['evidence']")(rows).where("props['kind'] = 'concurrency_pattern'"),
+    ("go_pool", [("worker_pool", "in"), ("pipeline", "in,out"), ("fan_out_fan_in", "2")]))
+
+
 def _defined(rows):
     target = rows.where("tag = 'node'").select(F.col("id").alias("dst_ref"), F.col("name").alias("target"))
     return edges("DEFINES")(rows).join(target, "dst_ref")
