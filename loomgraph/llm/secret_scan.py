@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_col
+from .common import MOST_BROADCAST, stage, text_col
 
 try:
     from re import _constants as sre
@@ -171,7 +171,9 @@ def scan(docs: DataFrame, rules: tuple = RULES, id_col: str = "doc_id") -> DataF
     asked = [r.name for r in rules if queries[r.name]]
     if asked:
         both = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
-        chosen = candidates(build_index(rows, trigrams), queries).withColumnsRenamed({"doc_id": "_id", "_row": "_hash"})
+        # written first, so that its size is known before any text moves
+        chosen = stage(candidates(build_index(rows, trigrams), queries).withColumnsRenamed({"doc_id": "_id", "_row": "_hash"}), "candidates")
+        chosen = F.broadcast(chosen) if chosen.count() * 32 <= MOST_BROADCAST else chosen
         seen = rows.join(chosen, both).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), *[F.when(F.col(f"_{n}"), found[n]).otherwise(none).alias(n) for n in asked])
         seen = seen.dropDuplicates(["_id", "_hash"])
         out = out.join(seen, both, "left").withColumns({n: F.coalesce(n, none) for n in asked})
