@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from loomgraph.llm import toxicity
 
 RND = random.Random(3)
@@ -92,3 +94,46 @@ def test_repeated_ids_are_learned_from_once(spark):
     truth = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     a, b = toxicity.fit(docs, truth), toxicity.fit(docs.unionByName(docs).unionByName(docs), truth)
     assert (a.terms, a.stems, a.weights) == (b.terms, b.stems, b.weights)
+
+
+def plain_features(text, terms, stems):
+    """The same from every word, every quotation and every window looked at in turn."""
+    import math
+    import re
+
+    low = text.lower()
+    kinds = {'"': ('"', '"'), "“": ("”", "“”"), "«": ("»", "«»"), "„": ("“”", "„“”")}
+    quotes, i = [], 0
+    while i < len(low):  # from left to right, none inside another
+        if low[i] in kinds:
+            closed, ends = kinds[low[i]]
+            j = i + 1
+            while j < len(low) and low[j] not in ends and low[j] != "\n":
+                j += 1
+            if j < len(low) and low[j] in closed and j > i + 1:
+                quotes.append((i, j + 1))
+                i = j
+        i += 1
+    words = [(m.start(), m.group()) for m in re.finditer(r"[^\W_]+", low)]
+    hits = [(n, kind(w, terms, stems), any(a < at < b for a, b in quotes)) for n, (at, w) in enumerate(words)]
+    hits = [h for h in hits if h[1]]
+    if not hits:
+        return None
+    weight = lambda h: (0.5 if h[1] == 3 else 1.0) * (toxicity.QUOTED if h[2] else 1.0)
+    best = max(sum(weight(h) for h in hits if abs(h[0] - n) <= toxicity.WINDOW) for n, _, _ in hits)
+    count = lambda f: math.log1p(sum(map(f, hits)))
+    return [math.log1p(best), *[count(lambda h, k=k: h[1] == k and not h[2]) for k in (1, 2, 3)], count(lambda h: h[2])]
+
+
+def test_features_equal_plain_ones():
+    terms, stems = ["gruntwit", "bozzle"], ["zorf"]
+    words = toxicity.Words(toxicity.Automaton(terms, stems))
+    pieces = ["gruntwit", "Gruntwot", "zorfly", "bozzle", "bozle", "some", "words", "here", '"', '"', "“", "”", "«", "»", "\n", "_", "é"]
+    for _ in range(400):
+        text = " ".join(RND.choice(pieces) for _ in range(RND.randint(0, 60)))
+        got, want = toxicity.features(text, words), plain_features(text, terms, stems)
+        assert (got is None) == (want is None) and (got is None or all(abs(a - b) < 1e-9 for a, b in zip(got, want))), text
+    model = toxicity.Model(terms, stems, [-1.0, 2.0, 0.5, 0.5, 0.5, -0.5])
+    x = toxicity.features("a gruntwit", words)
+    z = -1.0 + 2.0 * x[0] + 0.5 * x[1]
+    assert abs(model.score(x) - 1 / (1 + np.exp(-z))) < 1e-12 and abs(model.score(None) - 1 / (1 + np.exp(1.0))) < 1e-12
