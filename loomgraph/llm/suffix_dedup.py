@@ -291,7 +291,7 @@ class IndexFamily:
         path = self._kept(self._sorted(self._read([unsorted], ENTRY)), "level")
         drop_path(self.spark, unsorted)
         fresh = self.read(path).withColumn("new", F.lit(1))
-        merging = []
+        merging, gone = [], []
         while level in old:
             merging.append(old.pop(level))
             level += 1
@@ -310,12 +310,10 @@ class IndexFamily:
                 if merging:
                     if old:
                         merged = self._kept(self._sorted(fresh.select(*NAMES).unionByName(self._read(merging, ENTRY))), "level")
-                    for gone in (*merging, path):
-                        drop_path(self.spark, gone)
+                    gone = [*merging, path]
                     path = merged
         self.levels = old | {level: path}
-        self.save()
-        clean_up(self.spark)
+        self._saved(gone)
 
     def settle(self) -> None:
         """Compares the contexts that differ under one beginning, of all batches since the last time; runs go to the family's folder."""
@@ -325,7 +323,7 @@ class IndexFamily:
         runs = [whole]
         contexts = stage(self._contexts(reps), "contexts")
         drop_stage(reps)
-        done = [contexts]
+        done, gone = [contexts], self.pending
         times = self._many(contexts)
         clean_up(self.spark)
         if times.limit(1).count():
@@ -335,7 +333,7 @@ class IndexFamily:
             path = self._kept(part(hot, self.short, self.length), "deeper")
             with large_batches(self.spark):
                 deeper = self._kept(merge_scan(self._sorted(self._read([path], ENTRY).withColumn("new", F.lit(1)))), "scan")
-            drop_path(self.spark, path)
+            gone = [*gone, path, deeper]
             more, kinds = self._matched([deeper])
             own = hot.select("tid", "pos", F.col("first").alias("_first"), F.col("last").alias("_last"), "bytes")
             kinds = kinds.join(own, ["tid", "pos"]).where("first >= _first and last <= _last")
@@ -347,20 +345,22 @@ class IndexFamily:
             contexts = contexts.where("many is null")
         runs.append(compare(contexts, self.short, self.length))
         self.runs_at.append(self._kept(reduce(DataFrame.unionByName, runs), "runs"))
-        for path in self.pending:
-            drop_path(self.spark, path)
-        for gone in done:
-            drop_stage(gone)
         self.pending = []
-        self.save()
-        clean_up(self.spark)
+        self._saved(gone)
+        for x in done:
+            drop_stage(x)
 
     def forget_levels(self) -> None:
         """For a family that takes no more batches."""
-        for path in self.levels.values():
-            drop_path(self.spark, path)
-        self.levels = {}
+        gone, self.levels = list(self.levels.values()), {}
+        self._saved(gone)
+
+    def _saved(self, gone: list[str]) -> None:
+        """The state first, then the folders that it no longer names: what breaks off between leaves folders over and none missing."""
         self.save()
+        for path in gone:
+            drop_path(self.spark, path)
+        clean_up(self.spark)
 
     def _many(self, contexts: DataFrame) -> DataFrame:
         """KEY, many (true) of the beginnings with more than `hot` contexts, staged."""
