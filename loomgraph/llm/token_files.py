@@ -371,10 +371,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_L
     """Writes all documents in ascending id order (null ids first) and returns the manifest:
     path, first_id, part, n_ids, n_docs, n_sequences, base (ids of all shards before).
 
-    Null and empty texts have the end id alone; repeated ids stand beside each
-    other; an empty table gives an empty manifest; texts of any length are
-    encoded whole; other columns are not read.
+    A shard is what one task wrote; range partitions are in order, so part, the
+    task's partition number, orders the shards, also where rows of one id fill
+    several. Null and empty texts have the end id alone; repeated ids stand
+    beside each other, in the order of a hash of their texts; an empty table
+    gives an empty manifest; texts of any length are encoded whole; other
+    columns are not read.
     """
+    from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
@@ -398,12 +402,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_L
                     out.add(d if d is None or not isinstance(d, float) else int(d), x, end)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [uri], "first_id": pd.Series([first], dtype=object), "n_ids": [out.n_ids], "n_docs": [out.n_docs], "n_sequences": [-(-out.n_ids // seq_len)]})
+            yield pd.DataFrame({"path": [uri], "first_id": pd.Series([first], dtype=object), "part": [TaskContext.get().partitionId()], "n_ids": [out.n_ids], "n_docs": [out.n_docs], "n_sequences": [-(-out.n_ids // seq_len)]})
 
-    made = rows.mapInPandas(tidy(run), f"path string, first_id {kind.simpleString()}, n_ids bigint, n_docs bigint, n_sequences bigint")
+    made = rows.mapInPandas(tidy(run), f"path string, first_id {kind.simpleString()}, part bigint, n_ids bigint, n_docs bigint, n_sequences bigint")
     made = stage(made, "manifest")
     # one row for each shard
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

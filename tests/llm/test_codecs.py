@@ -218,6 +218,28 @@ def test_token_files_round_trip(spark):
     assert token_files.read(token_files.write(docs.limit(0), path)).count() == 0
 
 
+def test_token_files_of_one_id_over_several_partitions(spark):
+    path, key = P.path("word_bpe_49k.json"), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = [(None, f"none {i}") for i in range(1500)] + [(7, f"seven {i} of many") for i in range(4000)] + [(8, f"eight {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        runs = []
+        for _ in range(2):
+            manifest = token_files.write(docs, path)
+            assert manifest.count() > 2
+            runs.append([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(manifest).orderBy("start").collect()])
+    finally:
+        spark.conf.set(key, before)
+    assert runs[0] == runs[1]
+    assert [r[0] for r in runs[0]] == [None] * 1500 + [7] * 4000 + [8] * 100
+    at = 0
+    for _, start, n, _ in runs[0]:
+        assert start == at
+        at += n
+
+
 def test_warc_chain_rejects_magic_inside_payloads(spark):
     trap = warc.page_record(99, "http://trap", b"trap", None, False).decode()
     rows = [(1, "http://a", "same"), (2, "http://b\r\n", "same"), (3, None, trap * 3), (4, "ü", None), (5, "u", ""), (5, "u", "é" + trap), (None, "n", "same"), (6, "v", warc.MAGIC.decode() * 50)]
