@@ -75,5 +75,25 @@ def op10_jaccard_join(spark, sf_dir):
     return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id")
 
 
+def op11_line_runs(spark, sf_dir):
+    from .line_runs import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_fill_middle(spark, sf_dir):
+    from .fill_middle import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    from .hard_negatives import mine, quantised
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(quantised(rows.withColumn("label", label), scale=256), anchor=F.col("id") % 100 == 0)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
