@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percent
 from ..graph import Graph
-from ..operators.patterns import pairs, reachable
+from ..operators.patterns import pairs
 from ..schema import TEST_LABELS
+from ..sources.derive import indirect_covers
 from .binding import graph
 from .registry import query
 
@@ -40,11 +41,8 @@ def indirect_tests(g: Graph) -> DataFrame:
 
 def derived_indirect(g: Graph, hops: int = 3) -> DataFrame:
     """Test t covers f indirectly if t TESTS h, h calls f within so many hops, f is not h, and t doesn't TEST f."""
-    tests = pairs(g, ("TESTS",))
-    reach = reachable(pairs(g, ("CALLS",)), 1, hops).where("src_id <> dst_id").select(F.col("src_id").alias("h"), F.col("dst_id").alias("entity_id"))
-    found = tests.join(reach, F.col("dst_id") == F.col("h")).select("entity_id", F.col("src_id").alias("test_id")).distinct()
-    known = tests.select(F.col("dst_id").alias("entity_id"), F.col("src_id").alias("test_id"))
-    return found.join(known, ["entity_id", "test_id"], "left_anti").withColumn("confidence", F.lit(INDIRECT_CONFIDENCE))
+    found = indirect_covers(pairs(g, ("TESTS",)), pairs(g, ("CALLS",)), hops)
+    return found.select(F.col("dst_id").alias("entity_id"), F.col("src_id").alias("test_id"), F.lit(INDIRECT_CONFIDENCE).alias("confidence"))
 
 
 def entity_coverage(g: Graph) -> DataFrame:

@@ -61,35 +61,58 @@ def api_calls(files: DataFrame) -> DataFrame:
     return files.select(F.explode(_found(CALLS, F.col("language"), F.col("content"), "t")).alias("e"), "language", F.col("path").alias("file")).select("e.method", F.col("e.t").alias("target"), "language", "file")
 
 
-def segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda s: s != "")
+def call_path(target: Column) -> Column:
+    """The path of a call's target, without host, query and fragment."""
+    return url_path(target)
 
 
-def match_paths(calls: DataFrame, ends: DataFrame) -> DataFrame:
-    """Calls with the endpoints of other languages whose path their target's path equals, ends with or contains at segment borders.
+def endpoint_key(path: Column) -> Column:
+    """The path of an endpoint as it is sought in calls: without a slash at its end; the root is one slash."""
+    key = F.rtrim(url_path(path), F.lit("/"))
+    return F.when(key == "", "/").otherwise(key)
+
+
+#: Runs of so many characters index the endpoints' paths.
+GRAM = 3
+
+
+def _grams(text: Column, sizes) -> Column:
+    """The distinct runs of a text of each of the sizes."""
+    runs = lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+
 
-    calls need target and language, ends path and language. A target's runs of
-    whole segments are listed, so the match is an equi-join on the endpoint's
-    path; the number of runs is quadratic in a path's few segments. The root
-    path matches itself alone.
+def path_matches(calls: DataFrame, ends: DataFrame) -> DataFrame:
+    """calls(target, ...) with every one of ends(path, ...) whose path stands anywhere in the target's: the whole, its end or inside.
+
+    Each distinct endpoint path is posted under one run of GRAM characters, the
+    one that fewest endpoint paths have (shorter paths under themselves). A
+    call's distinct path is looked up under all its runs, in one equi-join, and
+    what is found is compared; so a call meets the endpoints that share a rare
+    run with it and not all. A null target or path matches nothing.
     """
-    c = calls.withColumn("_path", F.rtrim(url_path(F.col("target")), F.lit("/")))
-    seg = segments(F.col("_path"))
-    n = F.size(seg)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(seg, i, k), "/")))))
-    c = c.withColumn("_run", F.explode(F.array_distinct(F.when(n > 0, runs).otherwise(F.array(F.lit("/"))))))
-    e = ends.withColumnsRenamed({x: f"endpoint_{x}" for x in ends.columns})
-    key = F.rtrim(url_path(F.col("endpoint_path")), F.lit("/"))
-    e = e.withColumn("_key", F.when(key == "", "/").otherwise(key))
-    return c.join(e, F.col("_run") == F.col("_key")).where(F.col("language") != F.col("endpoint_language")).drop("_path", "_run", "_key")
+    c = calls.withColumn("_path", call_path(F.col("target")))
+    e = ends.withColumn("_key", endpoint_key(F.col("path")))
+    keys = e.select("_key").where("_key is not null").distinct()
+    posted = keys.select("_key", F.explode(F.when(F.char_length("_key") < GRAM, F.array("_key")).otherwise(_grams(F.col("_key"), (GRAM,)))).alias("gram"))
+    common = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = posted.join(common, "gram").groupBy("_key").agg(F.min(F.struct("n", "gram")).alias("g")).select("_key", F.col("g.gram").alias("gram"))
+    paths = c.select("_path").where("_path is not null").distinct()
+    asked = paths.select("_path", F.explode(_grams(F.col("_path"), range(1, GRAM + 1))).alias("gram"))
+    found = asked.join(rarest, "gram").where(F.contains("_path", F.col("_key"))).select("_path", "_key")
+    return c.join(found, "_path").join(e, "_key").drop("_path", "_key")
+
+
+def match_paths(calls: DataFrame, ends: DataFrame) -> DataFrame:
+    """path_matches() between different languages; calls need target and language, ends path and language, which come back as endpoint_path and so on."""
+    e = ends.withColumnsRenamed({x: f"endpoint_{x}" for x in ends.columns if x != "path"}).withColumn("endpoint_path", F.col("path"))
+    return path_matches(calls, e).where(F.col("language") != F.col("endpoint_language")).drop("path")
 
 
 @query("j20_api_links", """
 , c as (select page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') as p, case when page_id % 2 = 0 then 'python' else 'go' end as language from pages),
-segs as (select page_id, language, list_filter(string_split(p, '/'), lambda s: s <> '') as s from c),
-e as (select distinct '/' || split_part(substr(href, 8), '"', 1) as path from (select unnest(regexp_extract_all(html, 'href="/[a-z]{2}"')) as href from pages)),
-known as (select path, 'typescript' as language from (select '/en' as path union select '/fr' union select '/de' union select '/es'))
-select page_id, path as endpoint_path from segs join known on list_contains(s, substr(path, 2))""")
+known as (select unnest(['/en', '/fr', '/de', '/es']) as path)
+select page_id, path as endpoint_path from c join known on contains(p, path)""")
 def j20(spark, d):
     """Pages' addresses as calls; their language folders as endpoints of another language."""
     calls = load(spark, d, "pages").select("page_id", F.col("url").alias("target"), F.when(F.col("page_id") % 2 == 0, "python").otherwise("go").alias("language"))
@@ -97,6 +120,22 @@ def j20(spark, d):
     return match_paths(calls, ends).select("page_id", F.rtrim(F.col("endpoint_path"), F.lit("/")).alias("endpoint_path"))
 
 
+@query("j20_paths_of_pages", r"""
+, c as (select page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') as p from pages),
+shown as (select page_id, case when p = '' then '/' else p end as p from c),
+cut as (select page_id as endpoint, case page_id % 3 when 0 then p when 1 then substr(p, 1, length(p) - 1) else substr(p, 1 + length(p) // 2) end as path from shown where page_id % 5 = 0),
+e as (select endpoint, case when rtrim(path, '/') = '' then '/' else rtrim(path, '/') end as k from cut)
+select page_id, endpoint from shown join e on contains(p, k)""")
+def j20_pages(spark, d):
+    """Pages' addresses as calls; every fifth page's path as an endpoint: the whole, all but its last character, or its second half."""
+    pages = load(spark, d, "pages")
+    p = url_path(F.col("url"))
+    n = F.char_length(p)
+    part = F.when(F.col("page_id") % 3 == 0, p).when(F.col("page_id") % 3 == 1, F.substring(p, F.lit(1), n - 1)).otherwise(F.substring(p, (F.floor(n / 2) + 1).cast("int"), n))
+    ends = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("endpoint"), part.alias("path"))
+    return path_matches(pages.select("page_id", F.col("url").alias("target")), ends).select("page_id", "endpoint")
+
+
 @query("j21_tests_by_target_name", "select t.id as test_id, f.id as target_id from test t join fn f on f.name = t.test_target where f.language <> t.language")
 def j21(spark, d):
     g = graph(spark, d)

@@ -69,6 +69,23 @@ EXPECTED = {
 }
 # ---- end of fixed values
 
+#: Pairs that the fixed ones leave out though the relation is documented between these kinds of entities: what a scanner
+#: finds for them is an element, a property, an endpoint or a decorator's mark with a node of its own, or a file for code
+#: outside of functions. type: allowed (sources, targets).
+ADDED_PAIRS = {
+    "DECORATES": (("Decorator",), ("Class", "Method", "Function")),
+    "HAS_PROPS": (("Interface",), ("Property", "Prop")),
+    "RENDERS_JSX": (_CODE, ("JSXElement", "Function")),
+    "EXPOSES_ENDPOINT": ((*_CODE, "File"), ("Endpoint",)),
+    "HANDLES_ROUTE": ((*_CODE, "Class"), ("Endpoint", "Route")),
+    "USES_MIDDLEWARE": ((*_CODE, "Class", "File", "Endpoint"), ("Middleware", "Function")),
+    "CALLS_API": ((*_CODE, *_TESTS), ("APICall", "Endpoint")),
+    "INJECTS": (("Class",), ("Interface",)),
+    "CONSUMES_SERVICE": (("Method",), ("Class",)),
+}
+#: Labels that a name may resolve to for these types, in order of preference, besides EXPECTED.
+ADDED_EXPECTED = {"RENDERS_JSX": ("Function", "Class"), "USES_MIDDLEWARE": ("Function", "Method"), "DECORATES": ("Function",), "INJECTS": ("Class", "Interface"), "CONSUMES_SERVICE": ("Class",), "DECORATED_BY": ("Function",), "EXPOSED_BY": ("Function", "Method")}
+
 NODE_DDL = (
     "id string, label string, name string, file_path string, signature string, body string, doc_string string, start_byte bigint, end_byte bigint, line_number int, "
     "language string, is_test boolean, is_test_file boolean, receiver_type string, type_definition string, test_type string, test_target string, test_framework string, "
@@ -110,6 +127,12 @@ def edge_schema(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, s, d, list(EDGE_TYPES[t][1])) for t in EDGE_TYPES for s, d in connections(t)], "type string, src_label string, dst_label string, props array<string>")
 
 
+def allowed_pairs(spark: SparkSession) -> DataFrame:
+    """(type, src_label, dst_label): the fixed pairs and the added ones; bounded by the tables above."""
+    added = {(t, s, d) for t, (sources, targets) in ADDED_PAIRS.items() for s in sources for d in targets}
+    return spark.createDataFrame(sorted(added | {(t, s, d) for t in EDGE_TYPES for s, d in connections(t)}), "type string, src_label string, dst_label string")
+
+
 def label_ranks(spark: SparkSession) -> DataFrame:
     """(type, label, label_rank) for the edge types that expect labels."""
     return spark.createDataFrame([(t, x, i) for t, xs in EXPECTED.items() for i, x in enumerate(xs)], "type string, label string, label_rank int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.patterns import reachable
+
 
 def satisfied(methods: DataFrame, wanted: DataFrame) -> DataFrame:
     """(struct, interface) where methods(struct, method) hold every one of wanted(interface, method); an interface has at least one."""
@@ -14,7 +16,8 @@ def satisfied(methods: DataFrame, wanted: DataFrame) -> DataFrame:
     return have.join(need, "interface").where("have = need").select("struct", "interface")
 
 
-def indirect_covers(tests: DataFrame, calls: DataFrame) -> DataFrame:
-    """(src_id, dst_id) of tests whose target calls another function that they don't test themselves."""
-    t, c = tests.select("src_id", "dst_id").distinct(), calls.select(F.col("src_id").alias("_s"), F.col("dst_id").alias("_d")).where("src_id <> dst_id").distinct()
-    return t.join(c, t.dst_id == c._s).select("src_id", F.col("_d").alias("dst_id")).distinct().join(t, ["src_id", "dst_id"], "left_anti")
+def indirect_covers(tests: DataFrame, calls: DataFrame, hops: int = 3) -> DataFrame:
+    """(src_id, dst_id) of tests whose target calls, within so many hops, another function that they don't test themselves."""
+    t = tests.select("src_id", "dst_id").distinct()
+    reach = reachable(calls.select("src_id", "dst_id"), 1, hops).where("src_id <> dst_id").select(F.col("src_id").alias("_s"), F.col("dst_id").alias("_d"))
+    return t.join(reach, t.dst_id == reach._s).select("src_id", F.col("_d").alias("dst_id")).distinct().join(t, ["src_id", "dst_id"], "left_anti")

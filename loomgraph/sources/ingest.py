@@ -17,6 +17,7 @@ from ..functions.scalars import basename, dirname, extension, language
 from ..graph import Graph
 from ..operators import resolve as R
 from ..schema import EDGE_DDL, NODE_DDL, RAW_EDGE_DDL, conform
+from . import linking as L
 from .derive import indirect_covers, satisfied
 from .folders import shared_dir, staged
 
@@ -154,23 +155,19 @@ def imports_of(nodes: DataFrame) -> DataFrame:
     py = py.select("src_id", "module", "name", "near", "base", F.posexplode(forms).alias("k", "form")).where("form is not null")
     py = py.select("src_id", "module", "name", (F.col("near") * 4 + F.col("k")).alias("rank"), below(F.col("base"), F.col("form")).alias("path"))
 
-    ts = i.where("language in ('typescript', 'javascript') and module like '.%'").withColumn("parts", F.concat(parts, F.split("module", "/")))
-    # . stays, .. goes up
-    seen = F.aggregate("parts", F.array().cast("array<string>"), lambda acc, x: F.when(x.isin(".", ""), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
-    ts = ts.withColumn("path", F.array_join(seen, "/"))
-    ends = F.array(*[F.lit(x) for x in ("", *T.EXTENSIONS[2:], *(f"/index{x}" for x in T.EXTENSIONS[2:]))])
-    ts = ts.select("src_id", "module", F.lit("").alias("name"), F.posexplode(ends).alias("rank", "end"), F.col("path").alias("_p")).select("src_id", "module", "name", "rank", F.concat("_p", "end").alias("path"))
+    ts = i.where("language in ('typescript', 'javascript')").select(F.col("src_id").alias("file_path"), "module")
+    ts = L.modules(ts, files.select(F.col("dst_id").alias("file_path"))).select(F.col("file_path").alias("src_id"), F.col("to").alias("dst_id"))
 
     go = i.where("language = 'go'").withColumn("parts", F.split("module", "/"))
     go = go.select("src_id", "module", F.posexplode(F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice("parts", k, depth), "/"))).alias("rank", "folder"))
     go = go.join(files.where("language = 'go'").select("folder", "dst_id"), "folder")
     nearest = go.groupBy("src_id", "module").agg(F.min("rank").alias("rank"))
     go = go.join(nearest, ["src_id", "module", "rank"]).select("src_id", "dst_id")
-    return first(py).unionByName(first(ts)).unionByName(go).where("src_id <> dst_id").distinct()
+    return first(py).unionByName(ts).unionByName(go).where("src_id <> dst_id").distinct()
 
 
 def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
-    """(graph, rejected edges, errors) of extracted rows: names resolved, containment, imports, interface satisfaction and indirect coverage derived.
+    """(graph, rejected edges, errors) of extracted rows: names resolved, also through imports and re-exports; containment, imports, API calls to endpoints, interface satisfaction and indirect coverage derived.
 
     Nodes and edges are written once, so what is asked of the graph doesn't resolve it again.
     """
@@ -182,9 +179,14 @@ def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     parents = nodes.select(F.col("id").alias("parent_id"), F.col("label").alias("src_label"))
     in_parent = nodes.where("parent_id is not null").select("id", "label", "parent_id", "file_path").join(parents, "parent_id")
     in_parent = conform(in_parent, EDGE_DDL, id=F.concat(F.lit("p:"), "id"), type=F.lit("Contains"), src_id=F.col("parent_id"), dst_id=F.col("id"), src_label=F.col("src_label"), dst_label=F.col("label"))
-    resolved, rejected = R.resolve(raw, nodes)
+    linked = staged(L.placed(L.re_exports(raw, nodes), nodes), "references")
+    importing = nodes.where("label = 'Import' and language in ('typescript', 'javascript') and name like '.%'")
+    resolved, rejected = R.resolve(linked, nodes, bound=None if importing.isEmpty() else L.bindings(nodes, raw))
+    resolved, rejected = L.turned(resolved), rejected.where("not optional").drop("optional")
     imported = conform(imports_of(nodes), EDGE_DDL, id=F.concat(F.lit("m:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("IMPORTS"), src_label=F.lit("File"), dst_label=F.lit("File"), file_path=F.col("src_id"))
     edges = staged(conform(resolved, EDGE_DDL).unionByName(in_file).unionByName(in_parent).unionByName(imported), "edges")
+    asked = L.endpoint_calls(nodes, edges)
+    asked = conform(asked, EDGE_DDL, id=F.concat_ws(":", F.lit("e"), "src_id", "dst_id", "method"), type=F.lit("CALLS_API"), dst_label=F.lit("Endpoint"), props=F.create_map(F.lit("api_endpoint"), F.col("url"), F.lit("http_method"), F.col("method")))
     own = nodes.where("label = 'Method' and receiver_type is not null and language = 'go'")
     structs = nodes.where("label = 'Struct'").select(F.col("name").alias("receiver_type"), F.col("id").alias("struct"))
     interfaces = nodes.where("label = 'Interface' and language = 'go'").select(F.col("id").alias("parent_id"), F.col("id").alias("interface"))
@@ -195,7 +197,7 @@ def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     sources = nodes.select(F.col("id").alias("src_id"), F.col("label").alias("src_label"))
     through = indirect_covers(tests, calls).join(labels, "dst_id").join(sources, "src_id")
     through = conform(through, EDGE_DDL, id=F.concat(F.lit("c:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("COVERS"), coverage_type=F.lit("indirect"))
-    return Graph(nodes, staged(edges.unionByName(implements).unionByName(through), "edges")), rejected, rows.where("tag = 'error'").select("file_path", "error")
+    return Graph(nodes, staged(edges.unionByName(implements).unionByName(through).unionByName(asked), "edges")), rejected, rows.where("tag = 'error'").select("file_path", "error")
 
 
 def build_graph(spark: SparkSession, root: str, to: str | None = None) -> tuple[Graph, DataFrame, DataFrame]:

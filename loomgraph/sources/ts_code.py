@@ -123,7 +123,7 @@ class _Scanner:
         returns = re.match(r"\s*:\s*(.+?)\s*(?:=>)?\s*$", rest, re.S)
         jsx = bool(_JSX.search(code)) or bool(re.search(r"return\s*\(?\s*<\w", code))
         start = m.start() + len(m.group()) - len(m.group().lstrip())
-        ident = self.add(label, name, start, end, parent, signature=params, body=body, is_exported=bool(m.groupdict().get("export")), complexity=1 + len(_BRANCH.findall(code)), props={"return_type": returns and returns[1], "async": bool(m.groupdict().get("async")), "jsx": jsx, **props})
+        ident = self.add(label, name, start, end, parent, signature=params, body=body, is_exported=bool(m.groupdict().get("export")), complexity=1 + len(_BRANCH.findall(code)), props={"default": bool(re.match(r"\s*export\s+default\b", m.group())), "return_type": returns and returns[1], "async": bool(m.groupdict().get("async")), "jsx": jsx, **props})
         if re.match(r"use[A-Z]", name):
             self.out.node("Hook", name, start, end, parent_id=ident)
         elif jsx and name[:1].isupper():
@@ -154,7 +154,7 @@ class _Scanner:
             heritage = m["heritage"] or ""
             ext = re.search(r"extends\s+([\w$.]+)", heritage)
             impl = re.search(r"implements\s+(.+)", heritage, re.S)
-            ident = self.add("Class", m["name"], m.start(), end, calls=False, signature=heritage.strip(), body=c[m.start() : end], is_exported=bool(m["export"]), props={"type_parameters": m["generic"]})
+            ident = self.add("Class", m["name"], m.start(), end, calls=False, signature=heritage.strip(), body=c[m.start() : end], is_exported=bool(m["export"]), props={"type_parameters": m["generic"], "default": bool(re.match(r"export\s+default\b", m.group()))})
             self.classes.add(m.start(), end, ident)
             self.generics(ident, m["generic"], m.start())
             if ext:
@@ -250,7 +250,9 @@ class _Scanner:
         for m in _EXPORT.finditer(self.masked):
             for n in [m["default"]] if m["default"] else m["names"].split(","):
                 if n.strip():
-                    self.out.node("Export", n.strip().split(" as ")[-1].strip(), m.start(), m.end(), props={"default": bool(m["default"])})
+                    local, _, alias = n.strip().removeprefix("type ").partition(" as ")
+                    alias = alias.strip() or local.strip()
+                    self.out.node("Export", alias, m.start(), m.end(), props={"default": bool(m["default"]) or alias == "default", "local": local.strip() if local.strip() != alias else None})
         for m in _DYNAMIC.finditer(comments):
             self.out.edge("DYNAMIC_IMPORT", self.spans.innermost(m.start()) or self.path, m[1], m.start(), props={"import_type": "dynamic"})
 
@@ -323,12 +325,15 @@ class _Scanner:
                     inline = re.search(r"=>|\bfunction\b", outer)
                     for k, h in enumerate(named):
                         last_one = k == len(named) - 1 and not inline
+                        if not last_one:
+                            self.out.node("Middleware", h, start, at + len(args), parent_id=ep)
                         self.handlers.append((h, ep, start, url, r[1].upper(), last_one))
+                    if inline:
+                        self.out.edge("EXPOSES_ENDPOINT", self.path, ep, start, props={"endpoint_path": url, "endpoint_type": r[1].upper()})
             if re.search(r"(?:app|router)\.use$", name):
                 for h in re.findall(rf"(?:^|,)\s*({_ID})\s*(?=,|$|\()", re.sub(r"\)\s*$", "", _outermost(self.masked[at + 1 : at + len(args) - 1], "("))):
                     self.out.node("Middleware", h, start, at + len(args))
-                    if owner:
-                        self.out.edge("USES_MIDDLEWARE", owner, h, start, props={"middleware_type": "application"})
+                    self.out.edge("USES_MIDDLEWARE", owner or self.path, h, start, props={"middleware_type": "application"})
             if last in ("createContext", "useContext"):
                 self.out.node("Hook", last, start, at + len(args), parent_id=owner, props={"kind": "context", "target": args[1:-1].split(",")[0].strip()})
             if last == "defineComponent" or name == "Vue.extend":
@@ -344,7 +349,7 @@ class _Scanner:
         for h, ep, start, url, method, is_handler in self.handlers:
             source = self.names.get(h)
             if is_handler:
-                self.out.edge("EXPOSES_ENDPOINT", source or ep, ep, start, props={"endpoint_path": url, "endpoint_type": method})
+                self.out.edge("EXPOSES_ENDPOINT", source or self.path, ep, start, props={"endpoint_path": url, "endpoint_type": method} | ({} if source else {"handler": h}))
                 if source:
                     self.out.edge("HANDLES_ROUTE", source, ep, start, props={"route_path": url, "http_method": method})
             else:

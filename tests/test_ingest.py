@@ -378,7 +378,7 @@ def test_routes_middleware_and_services():
     name = {r["id"]: r["name"] for r in rows if r["tag"] == "node"}
     edges = {(r["type"], name.get(r["src_id"]), name.get(r["dst_ref"], r["dst_ref"])) for r in rows if r["tag"] == "edge"}
     assert {e for e in edges if e[0] in ("HANDLES_ROUTE", "USES_MIDDLEWARE", "CONSUMES_SERVICE", "EXPOSES_ENDPOINT")} == {
-        ("HANDLES_ROUTE", "listUsers", "/users"), ("EXPOSES_ENDPOINT", "listUsers", "/users"), ("HANDLES_ROUTE", "Page", "home"), ("USES_MIDDLEWARE", "/users", "requireLogin"), ("USES_MIDDLEWARE", "setup", "requireLogin"),
+        ("HANDLES_ROUTE", "listUsers", "/users"), ("EXPOSES_ENDPOINT", "listUsers", "/users"), ("EXPOSES_ENDPOINT", "server.tsx", "/users"), ("HANDLES_ROUTE", "Page", "home"), ("USES_MIDDLEWARE", "/users", "requireLogin"), ("USES_MIDDLEWARE", "setup", "requireLogin"),
         ("CONSUMES_SERVICE", "Page", "UserService"), ("CONSUMES_SERVICE", "render", "AuditAPI"),
     }
     assert ("USES", "Card", "CardProps") in edges
