@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import catalog, coverage, crosslang, cypher_queries, extraction, quality, resolution, streams, workings  # noqa: F401
+    from . import catalog, coverage, crosslang, cypher_queries, extraction, live, quality, resolution, streams, workings  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
