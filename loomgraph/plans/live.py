@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_dir
-from ..streaming import derived, live_graph
+from ..streaming import derived, keyed_state, live_graph
 from ..streaming.store import BucketStore, latest
 from .binding import graph, load
 from .registry import query
+from .streams import _SQL as CHANGES
+from .streams import file_changes
 
 BUCKETS = 16
 
@@ -90,3 +92,56 @@ def maintained_satisfaction(spark, d):
         derived.satisfaction_changed(store, methods, wants)
         store.commit()
     return derived.satisfaction_of(spark, path)
+
+
+GAP = 20 * 60 * 1000
+#: What is known before the first change: every third user's file, with five entities.
+KNOWN = "select 'src/u' || user_id || '.py' as path, 5 as n from (select distinct user_id from events where user_id % 3 = 0)"
+_KEYED = f"""{CHANGES},
+ended as (select path, run, arg_max(change_type, (ts, change_type, entities)) as change_type, arg_max(entities, (ts, change_type, entities)) as n, max(ts) as ts, count(*) as events from runs group by path, run),
+given as (select *, change_type in ('Deleted', 'Renamed') as gone, ts + interval 20 minute <= date_trunc('milliseconds', (select max(ts) from ch)) as passed from ended),
+known as ({KNOWN}),
+steps as (
+  select g.*, case when row_number() over w = 1 then k.n else lag(case when gone then null else g.n end) over w end as before
+  from given g left join known k on k.path = g.path window w as (partition by g.path order by g.ts))"""
+
+
+def _streamed(spark, d, to_the_end: bool) -> tuple[DataFrame, str]:
+    """(updates, checkpoint): events as a stream in three parts, by a query that starts from a snapshot and is stopped and started again before the last part."""
+    changes = file_changes(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = (changes.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")))).first()
+    snapshot = load(spark, d, "events").where("user_id % 3 = 0").select(F.concat(F.lit("src/u"), "user_id", F.lit(".py")).alias("path"), F.lit(5).cast("bigint").alias("entities")).distinct()
+    at = shared_dir(spark, "changes")
+    before = None
+    with keyed_state.state_store(spark):
+        for k, part in enumerate((0.5, 0.8, 1.0)):
+            until = low + int((high - low) * part)
+            us = F.unix_micros("ts")
+            rows = changes.where(us <= until) if before is None else changes.where((us > before) & (us <= until))
+            before = until
+            if part == 1.0 and to_the_end:  # a change far behind the last, so that all runs end
+                rows = rows.unionByName(spark.createDataFrame([("~", "Added", 0)], "path string, change_type string, entities bigint").withColumn("ts", F.timestamp_micros(F.lit(high + 10 * GAP * 1000))))
+            rows.write.parquet(f"{at}/in/{k}")
+            if k:
+                stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+                out = keyed_state.keyed_updates(stream, GAP, "0 seconds", snapshot)
+                out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out"), f"{at}/checkpoint"
+
+
+@query("st04_keyed_state", f"""{_KEYED}
+select path, ts, change_type, events, case when gone or before is not null then 0 else n end as entities_added, coalesce(before, 0)::bigint as entities_removed, case when gone or before is null then 0 else n end as entities_modified from steps""")
+def st04_keyed(spark, d):
+    """Debounce and statistics in one keyed state of a stream with timers, from a snapshot, over a restart."""
+    return _streamed(spark, d, True)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("st07_state_statistics", f"""{_KEYED},
+stands as (
+  select k.path, case when s.path is null then k.n when s.gone then null else s.n end as n from known k left join (select * from steps where passed qualify row_number() over (partition by path order by ts desc) = 1) s on s.path = k.path
+  union all select path, case when gone then null else n end from (select * from steps where passed qualify row_number() over (partition by path order by ts desc) = 1) where path not in (select path from known))
+select (select count(*) from stands where n is not null) as files, (select coalesce(sum(n), 0)::bigint from stands) as entities,
+       (select count(distinct path) from steps where not passed) as pending_files, (select coalesce(sum(events), 0)::bigint from steps where not passed) as pending_changes""")
+def st07_state(spark, d):
+    """Files, entities and waiting changes as the checkpoint of a stopped query has them."""
+    return keyed_state.state_statistics(spark, _streamed(spark, d, False)[1])
