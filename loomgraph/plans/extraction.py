@@ -574,6 +574,57 @@ def scanned(spark, d):
     return ingest.scan(spark, root, most_bytes=1000).select("path", "language", "length")
 
 
+def sections(path, content):
+    """A language of a user's own: the sections of an ini file as modules, and what they include."""
+    import re
+
+    from ..sources.collect import Rows
+
+    out, last = Rows(path, content, "ini", False), None
+    for m in re.finditer(r"^(?:\[(\w+)\]|include\s*=\s*(\w+))", content, re.M):
+        if m[1]:
+            last = out.node("Module", m[1], m.start(), m.end())
+        elif last:
+            out.edge("USES", last, m[2], m.start())
+    out.file()
+    return out.rows
+
+
+@query("ex_sql_table_function", f"""{", one as (select 1) "}{found("py", "label name", [("Class", "Base{n}"), ("Method", "area"), ("Method", "scale"), ("Function", "run_{n}"), ("Function", "put_{n}")])}
+union all select 'conf/s' || s_suppkey || '.ini', 'Module', 'main' || s_suppkey from supplier union all select 'conf/s' || s_suppkey || '.ini', 'USES', 'base' || (s_suppkey % 3) from supplier""")
+def table_function(spark, d):
+    """Extraction in SQL, side by side for a known language and a user's own."""
+    from ..sources.table_function import register as register_function
+
+    register_function(spark, "extract_code", {".ini": sections})
+    n = load(spark, d, "supplier").select(F.col("s_suppkey").alias("n"))
+    own = n.select(F.concat(F.lit("conf/s"), "n", F.lit(".ini")).alias("path"), F.concat(F.lit("[main"), "n", F.lit("]\ninclude = base"), F.col("n") % 3, F.lit("\n")).alias("content"), F.lit("ini").alias("language"))
+    sources(spark, d, "py").unionByName(own).createOrReplaceTempView("files_to_extract")
+    return spark.sql("""select t.file_path, t.label, t.name from files_to_extract f, lateral extract_code(f.path, f.content, what => 'nodes') t where t.label in ('Class', 'Method', 'Function', 'Module')
+    union all select t.file_path, t.type, t.dst_ref from files_to_extract f, lateral extract_code(f.path, f.content, what => 'edges') t where t.type = 'USES' and f.path like '%.ini'""")
+
+
+@query("sc02_listed_by_tasks", """
+select 'src/py/m' || (s_suppkey % 3) || '/mod' || s_suppkey || '.py' as path, '.py' as extension, length('x = ' || s_suppkey || chr(10))::bigint as length from supplier where s_suppkey % 10 <> 0
+union all select 'src/web/_card' || s_suppkey || '.tsx', '.tsx', 0::bigint from supplier""")
+def listed_by_tasks(spark, d):
+    """A tree that tasks write and tasks list: ignored folders aren't entered, extensions and sizes are asked of the source."""
+    from ..sources.folders import shared_dir
+    from ..sources.tree import listing, write_tree
+
+    n = load(spark, d, "supplier").select(F.col("s_suppkey").alias("n"))
+    row = lambda path, content: n.select(F.concat(*path).alias("path"), content.alias("content"))
+    text = F.concat(F.lit("x = "), F.col("n"), F.lit("\n"))
+    large = F.when(F.col("n") % 10 == 0, F.repeat(F.lit("#"), 5000)).otherwise(text)
+    files = reduce(DataFrame.unionByName, [
+        row((F.lit("src/py/m"), F.col("n") % 3, F.lit("/mod"), "n", F.lit(".py")), large), row((F.lit("src/web/_card"), "n", F.lit(".tsx")), F.lit("")), row((F.lit("web/node_modules/lib"), "n", F.lit("/index.js")), text),
+        row((F.lit("build/out"), "n", F.lit(".py")), text), row((F.lit("docs/page"), "n", F.lit(".md")), text),
+    ])
+    root = shared_dir(spark, "tree")
+    write_tree(files, root).write.format("noop").mode("overwrite").save()
+    return listing(spark, root).where("extension in ('.py', '.tsx', '.js') and length <= 4000").select("path", "extension", "length")
+
+
 @query("sf3_read_file", "select replace('src/web/card{n}.tsx', '{n}', '1') as path, 'aW1wb3J0' as head, null::varchar as error union all select 'src/none.go', null, 'no such file: src/none.go'")
 def read_one(spark, d):
     from .search import read_file

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import contextlib
 import fnmatch
-import os
 import re
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import test_rules as T
-from ..functions.scalars import basename, dirname, extension, language
+from ..functions.scalars import basename, dirname, language
 from ..graph import Graph
 from ..operators import resolve as R
 from ..schema import EDGE_DDL, NODE_DDL, RAW_EDGE_DDL, conform
 from . import linking as L
 from .derive import indirect_covers, satisfied
 from .folders import shared_dir, staged
+from .tree import listing, with_content
 
 
 def ignored(path, patterns: tuple = T.IGNORED):
@@ -30,59 +28,16 @@ def ignored(path, patterns: tuple = T.IGNORED):
     return out
 
 
-def _listing(spark: SparkSession, root: str):
-    """(path, length, seconds) of all files below root, as the driver lists them."""
-    if urlparse(root).scheme in ("", "file"):
-        for folder, _, names in os.walk(urlparse(root).path):
-            for name in names:
-                full = os.path.join(folder, name)
-                with contextlib.suppress(OSError):
-                    if os.path.isfile(full):
-                        yield full, os.path.getsize(full), os.path.getmtime(full)
-        return
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    each = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
-    while each.hasNext():
-        f = each.next()
-        yield f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000
-
-
-def passed_over(spark: SparkSession, root: str, most_bytes: int) -> DataFrame:
-    """What Spark's reader of files leaves out, of the known extensions: tasks read them; the driver holds their names."""
-    rows = [(p, n, t) for p, n, t in _listing(spark, root) if (n == 0 or p.rsplit("/", 1)[-1].startswith(("_", "."))) and n <= most_bytes and p.endswith(T.EXTENSIONS)]
-
-    def run(batches):
-        from pyarrow import fs
-
-        for b in batches:
-            content = []
-            for p in b["path"]:
-                at, inner = (fs.LocalFileSystem(), urlparse(p).path) if urlparse(p).scheme in ("", "file") else fs.FileSystem.from_uri(p)
-                with at.open_input_stream(inner) as f:
-                    content.append(f.read())
-            if content:
-                yield b.assign(content=content)
-
-    names = spark.createDataFrame(rows, "path string, length bigint, seconds double")
-    read = names.mapInPandas(run, "path string, length bigint, seconds double, content binary")
-    return read.select("path", "content", "length", F.timestamp_seconds("seconds").alias("modificationTime"))
-
-
 def scan(spark: SparkSession, root: str, patterns: tuple = T.IGNORED, most_bytes: int = T.MOST_BYTES) -> DataFrame:
     """files(path, content, language, length, modified) of the known extensions below root; content is null for what isn't UTF-8.
 
-    Size and times are pushed to the listing; a file's content is read only if it passes. Spark's reader passes over files
-    without bytes and those whose names begin with _ or a dot; they are listed and read besides.
+    Tasks list the folders and enter no ignored one; extension and size are pushed to the listing, and a file's content is
+    read only if it passes.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length", "modificationTime")
-    raw = raw.unionByName(passed_over(spark, root, most_bytes))
-    base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")
-    full = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    rel = F.when(F.startswith(full, F.lit(base + "/")), F.substr(full, F.lit(len(base) + 2))).otherwise(full)
-    files = raw.where(F.col("length") <= most_bytes).withColumn("path", rel)
-    files = files.where(extension(F.col("path")).isin(*T.EXTENSIONS) & ~ignored(F.col("path"), patterns))
+    files = listing(spark, root, patterns).where(F.col("extension").isin(*T.EXTENSIONS) & (F.col("length") <= most_bytes))
+    read = with_content(files, root)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select("path", text.alias("content"), language(F.col("path")).alias("language"), "length", F.col("modificationTime").alias("modified"))
+    return read.select("path", text.alias("content"), language(F.col("path")).alias("language"), "length", "modified")
 
 
 ROW_DDL = _OUT = f"tag string, {NODE_DDL}, type string, src_id string, dst_ref string, confidence_score double, coverage_type string, error string"
@@ -90,11 +45,11 @@ _NAMES = [x.strip().split(" ")[0] for x in re.sub(r"map<string,string>", "map",
 _INTS = {"start_byte", "end_byte", "line_number", "assertion_count", "test_count", "complexity"}
 
 
-def _extract_one(path: str, content: str | None) -> list[dict]:
+def _extract_one(path: str, content: str | None, own=None) -> list[dict]:
     from . import go_code, python_code, ts_code
 
     ext = path.rsplit(".", 1)[-1].lower()
-    f = {"py": python_code.extract, "go": go_code.extract}.get(ext, ts_code.extract)
+    f = own or {"py": python_code.extract, "go": go_code.extract}.get(ext, ts_code.extract)
     try:
         if content is None:
             raise ValueError("not UTF-8 text")
