@@ -574,6 +574,60 @@ def scanned(spark, d):
     return ingest.scan(spark, root, most_bytes=1000).select("path", "language", "length")
 
 
+#: Statements of which a file has those whose bit is set in its number, so files differ in kind: (text, rows of label and name).
+VARIED = {
+    "py": (("src/vary/p{n}.py", ""), [
+        ("import a.b as c{n}\nfrom . import (d{n},\n    e{n})\n\n", [("Import", "a.b"), ("Import", ".")]),
+        ("@decor(1)\n@other\nasync def f{n}(x, /, y=1, *z, **k) -> 'T':\n    async with x as q:\n        return await g(q)\n\n", [("Function", "f{n}")]),
+        ("class A{n}(B[int], metaclass=M):\n    x: int = 1\n\n    class In{n}:\n        def m{n}(self):\n            return [lambda v: v for v in self]\n\n", [("Class", "A{n}"), ("Class", "In{n}"), ("Method", "m{n}")]),
+        ("def gen{n}():\n    def inner{n}():\n        yield from ()\n    return inner{n}\n\n", [("Function", "gen{n}"), ("Function", "inner{n}")]),
+        ("TEXT{n} = \"\"\"def no{n}(): pass\nclass No: pass\n\"\"\"\n\n", [("Variable", "TEXT{n}")]),
+        ("if True:\n    def when{n}(): return 1\nelse:\n    def other{n}(): return 2\n\n", [("Function", "when{n}"), ("Function", "other{n}")]),
+    ]),
+    "go": (("src/vary/g{n}.go", "package vary\n\n"), [
+        ("type (\n\tPair{n}[K comparable, V any] struct {\n\t\tKey K\n\t}\n\tNum{n} int\n)\n\n", [("Struct", "Pair{n}"), ("Generic", "K"), ("Generic", "V"), ("Type", "Num{n}")]),
+        ("type Shape{n} interface {\n\tArea() float64\n}\n\n", [("Interface", "Shape{n}"), ("Method", "Area")]),
+        ("func (p Box{n}) Get() (int, error) { return 0, nil }\n\n", [("Method", "Get")]),
+        ("func Map{n}[T any](xs []T, f func(T) T) []T {\n\tgo func() { f(xs[0]) }()\n\treturn xs\n}\n\n", [("Function", "Map{n}"), ("Generic", "T")]),
+        ("// func Not{n}() {}\nvar s{n} = `func Nor{n}() {}`\n\n", []),
+    ]),
+    "ts": (("src/vary/t{n}.ts", ""), [
+        ("declare module 'lib{n}' {\n  const z: number;\n}\n\n", [("Module", "lib{n}")]),
+        ("export namespace Space{n} {\n  export const inner = 1;\n}\n\n", [("Namespace", "Space{n}")]),
+        ("export type Maybe{n}<T> = T extends string ? T : never;\n\n", [("Type", "Maybe{n}")]),
+        ("type Keys{n} = { [K in keyof Base]?: Base[K] };\n\n", [("Type", "Keys{n}")]),
+        ("export abstract class Repo{n}<T extends Item> {\n  private async find{n}(id: string): Promise<T> { return this.get(id); }\n}\n\n", [("Class", "Repo{n}"), ("Method", "find{n}"), ("Generic", "T")]),
+        ("const text{n} = 'function no{n}() {}'; // class No{n} {}\n\n", []),
+        ("export default async function main{n}() { await import('./lazy{n}'); }\n\n", [("Function", "main{n}")]),
+        ("declare enum Level{n} { Low = 1, High }\n\n", [("Enum", "Level{n}")]),
+    ]),
+}
+_VARIED_LABELS = ("Import", "Function", "Class", "Method", "Struct", "Interface", "Type", "Module", "Namespace", "Enum", "Generic")
+
+
+def varied(spark, d) -> DataFrame:
+    """files(path, content) of VARIED for each part's number."""
+    n = load(spark, d, "part").select(F.col("p_partkey").alias("n"))
+    filled = lambda text: F.replace(F.lit(text), F.lit("{n}"), F.col("n").cast("string"))
+    one = lambda path, head, parts: n.select(filled(path).alias("path"), F.concat(F.lit(head), *[F.when(F.col("n").bitwiseAND(1 << k) > 0, filled(text)).otherwise("") for k, (text, _) in enumerate(parts)]).alias("content"))
+    return reduce(DataFrame.unionByName, [one(path, head, parts) for (path, head), parts in VARIED.values()])
+
+
+_VARIED_SQL = " union all ".join(
+    f"select replace('{path}', '{{n}}', p_partkey::varchar) as file_path, '{label}' as label, replace('{name}', '{{n}}', p_partkey::varchar) as name from part where p_partkey & {1 << k} > 0"
+    for (path, _), parts in VARIED.values()
+    for k, (_, rows) in enumerate(parts)
+    for label, name in rows
+    if label in _VARIED_LABELS
+)
+
+
+@query("ex_varied_constructs", f", one as (select 1) {_VARIED_SQL}")
+def varied_constructs(spark, d):
+    """What each file's own set of statements declares, in three languages; text that only looks like a declaration declares nothing."""
+    return ingest.extract(varied(spark, d)).where(F.col("label").isin(*_VARIED_LABELS)).select("file_path", "label", "name")
+
+
 def sections(path, content):
     """A language of a user's own: the sections of an ini file as modules, and what they include."""
     import re

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_dir
-from ..streaming import derived, keyed_state, live_graph
+from ..streaming import derived, event_log, keyed_state, live_graph
 from ..streaming.store import BucketStore, latest
 from .binding import graph, load
 from .registry import query
+from .text_index import search, update_index
 from .streams import _SQL as CHANGES
 from .streams import file_changes
 
@@ -145,3 +146,40 @@ select (select count(*) from stands where n is not null) as files, (select coale
 def st07_state(spark, d):
     """Files, entities and waiting changes as the checkpoint of a stopped query has them."""
     return keyed_state.state_statistics(spark, _streamed(spark, d, False)[1])
+
+
+@query("st08_events_once", """
+, cut as (select epoch_us(min(ts)) as low, epoch_us(max(ts)) as high from events),
+parted as (select case when epoch_us(ts) <= low + (high - low) // 2 then 0 else 1 end as batch, * from events, cut),
+counted as (select batch, event_type, event_id, row_number() over (partition by batch order by ts, event_id) as sequence, count(*) over (partition by batch) as n from parted)
+select batch::bigint as batch, event_type as type, 'kept' as what, count(*) as n, sum(sequence * (event_id % 1000))::bigint as weight from counted where sequence * 5 <= n * 4 group by all
+union all select batch::bigint, event_type, 'dropped', count(*), 0 from counted where sequence * 5 > n * 4 group by all""")
+def events_once(spark, d):
+    """Two batches of events in the log, one of them delivered a second time with the room for four fifths of it: what is kept, under which number, and what was dropped."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = load(spark, d, "events").select(F.col("event_type").alias("type"), "event_id", "ts", us.alias("us"))
+    low, high = e.agg(F.min("us"), F.max("us")).first()
+    middle = low + (high - low) // 2
+    path = shared_dir(spark, "log")
+    for number, part in enumerate((e.where(F.col("us") <= middle), e.where(F.col("us") > middle))):
+        room = part.count() * 4 // 5
+        for _ in range(1 + number):
+            event_log.deliver(part.select("type", "event_id", "ts"), number, path, ("ts", "event_id"), room)
+    kept = event_log.events_of(spark, path).withColumn("k", F.get_json_object("event", "$.event_id").cast("bigint"))
+    kept = kept.groupBy("batch", "type").agg(F.lit("kept").alias("what"), F.count("*").alias("n"), F.sum(F.col("sequence") * (F.col("k") % 1000)).alias("weight"))
+    return kept.unionByName(event_log.dropped(spark, path).select("batch", "type", F.lit("dropped").alias("what"), F.col("dropped").alias("n"), F.lit(0).cast("bigint").alias("weight")))
+
+
+@query("sf1_indexed_search", r"""
+, kept as (select doc_id, case when doc_id % 10 = 3 then text || chr(10) || 'No Rights  Reserved here' else text end as text from documents where doc_id % 10 <> 4),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_number from kept)
+select 'd' || doc_id as path, line_number::int as line_number, trim(line) as line from lines where regexp_matches(line, '(?i)(rights\s+reserved|licen[cs]e)')""".replace(chr(92) * 2, chr(92)))
+def indexed_search(spark, d):
+    """Documents as stored files with trigram postings; some change, some go; then a search by the pattern's trigrams."""
+    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content"))
+    path = shared_dir(spark, "index")
+    update_index(spark, path, 0, docs, docs, BUCKETS)
+    changed = docs.where("doc_id % 10 in (3, 4)")
+    now = changed.where("doc_id % 10 = 3").withColumn("content", F.concat("content", F.lit("\nNo Rights  Reserved here")))
+    update_index(spark, path, 1, changed, now, BUCKETS)
+    return search(spark, path, r"(rights\s+reserved|licen[cs]e)", regex=True, most=None)

@@ -98,6 +98,16 @@ def extract(path: str, content: str) -> list[dict]:
             out.edge("USES", ident, g[1], open_body + g.start(), props={"usage": "instantiation", "type_arguments": g[2].strip()})
         for g in re.finditer(r"\bselect\s*\{", code):
             out.edge("USES", ident, "select", open_body + g.start(), props={"usage": "select"})
+
+    def named(name, definition, start, end):
+        out.node("Class" if definition.startswith("=") else "Type", name, start, end, type_definition=definition.lstrip("= "), is_exported=name[0].isupper(), props={"alias": definition.startswith("=")})
+
+    # types in brackets, besides the structs and interfaces there, which are found with the others
+    for m in re.finditer(r"^type\s*\(", masked, re.M):
+        for line_at, line in _lines(masked, content, m.end(), closing(masked, m.end() - 1)):
+            t = re.match(r"(\w+)(?:\[[^\]]*\])?\s+(=?\s*[^\s(){}][^\n]*)", line)
+            if t and masked.count("{", m.end(), line_at) == masked.count("}", m.end(), line_at) and not re.match(r"=?\s*(struct|interface)\b", t[2]):
+                named(t[1], t[2].strip(), line_at, line_at + len(line))
     for m in _TYPE.finditer(masked):
         if spans.innermost(m.start()):
             continue
@@ -124,7 +134,7 @@ def extract(path: str, content: str) -> list[dict]:
                     out.edge("EMBEDS", ident, e[1], line_at)
         elif m[5] and not m[7].strip().startswith(("struct", "interface")):
             definition = m[7].strip()
-            out.node("Class" if definition.startswith("=") else "Type", m[5], m.start(), m.end(), type_definition=definition.lstrip("= "), is_exported=m[5][0].isupper(), props={"alias": definition.startswith("=")})
+            named(m[5], definition, m.start(), m.end())
     for m in _IMPORT.finditer(re.sub(r"//[^\n]*", lambda x: " " * len(x.group()), content)):
         for i in re.finditer(r"(?:([\w.]+)[ \t]+)?\"([^\"\n]*)\"", m[1] or m[2]):
             out.node("Import", i[2], m.start(), m.start() + i.end(), signature=i.group(), props={"path": i[2], "alias": i[1]})

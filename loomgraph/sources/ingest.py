@@ -163,10 +163,27 @@ def build_graph(spark: SparkSession, root: str, to: str | None = None) -> tuple[
 
 
 def contained(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """(child, parent) of spans inside spans of the same file: equal files, then both ends; columns id, file_path, start_byte, end_byte."""
-    p = parents.select(F.col("id").alias("parent"), "file_path", F.col("start_byte").alias("_a"), F.col("end_byte").alias("_b"))
-    x = children.select(F.col("id").alias("child"), "file_path", "start_byte", "end_byte").join(p, "file_path")
-    return x.where((F.col("start_byte") >= F.col("_a")) & (F.col("end_byte") <= F.col("_b")) & (F.col("child") != F.col("parent"))).select("child", "parent")
+    """(child, parent) of spans inside spans of the same file; columns id, file_path, start_byte, end_byte.
+
+    A file's spans are swept in the order of their beginnings: a child is
+    compared with the parents that have begun and not ended, which are as many
+    as it has around it, and not with all of its file.
+    """
+    some = lambda df, k: df.where("id is not null and file_path is not null and start_byte <= end_byte").select("id", "file_path", "start_byte", "end_byte", F.lit(k).alias("inner"))
+
+    def sweep(spans: pd.DataFrame) -> pd.DataFrame:
+        # parents before children of one beginning, the longer first
+        spans = spans.sort_values(["start_byte", "inner", "end_byte"], ascending=[True, True, False])
+        open_, out = [], []
+        for ident, a, b, inner in zip(spans["id"], spans["start_byte"].tolist(), spans["end_byte"].tolist(), spans["inner"].tolist()):
+            open_ = [x for x in open_ if x[0] >= a]
+            if inner:
+                out += [(ident, p) for end, p in open_ if end >= b and p != ident]
+            else:
+                open_.append((b, ident))
+        return pd.DataFrame(out, columns=["child", "parent"])
+
+    return some(parents, 0).unionByName(some(children, 1)).groupBy("file_path").applyInPandas(sweep, "child string, parent string")
 
 
 def clone(url: str, to: str) -> str:
