@@ -628,6 +628,33 @@ def varied_constructs(spark, d):
     return ingest.extract(varied(spark, d)).where(F.col("label").isin(*_VARIED_LABELS)).select("file_path", "label", "name")
 
 
+_BITS = "from part where p_partkey & {0} > 0"
+
+
+@query("ex28_ts_namespaces", f""", one as (select 1)
+select 'src/vary/t' || p_partkey || '.ts' as file_path, 'Module' as label, 'lib' || p_partkey as name, true as ambient, false as is_exported {_BITS.format(1)}
+union all select 'src/vary/t' || p_partkey || '.ts', 'Namespace', 'Space' || p_partkey, false, true {_BITS.format(2)}""")
+def ts_namespaces(spark, d):
+    rows = ingest.extract(varied(spark, d)).where("label in ('Module', 'Namespace')")
+    return rows.select("file_path", "label", "name", (F.coalesce(F.col("props")["ambient"], F.lit("")) == "True").alias("ambient"), "is_exported")
+
+
+@query("ex29_ts_generics", f""", one as (select 1)
+select 'src/vary/t' || p_partkey || '.ts' as file_path, 'conditional type' as what, 'Maybe' || p_partkey as name, 'never' as detail {_BITS.format(4)}
+union all select 'src/vary/t' || p_partkey || '.ts', 'mapped type', 'Keys' || p_partkey, null {_BITS.format(8)}
+union all select 'src/vary/t' || p_partkey || '.ts', 'parameter', 'T', 'Item' {_BITS.format(16)}
+union all select 'src/vary/t' || p_partkey || '.ts', 'constraint', 'Repo' || p_partkey, 'Item' {_BITS.format(16)}""")
+def ts_generics(spark, d):
+    """Type parameters with their constraints, conditional and mapped types."""
+    rows = ingest.extract(varied(spark, d)).where("file_path like '%.ts'")
+    p = F.col("props")
+    types = rows.where("label = 'Type'").withColumn("what", F.when(p["conditional"] == "True", "conditional type").when(p["mapped"] == "True", "mapped type")).where("what is not null")
+    types = types.select("file_path", "what", "name", F.when(F.col("what") == "conditional type", F.regexp_extract("type_definition", r"(\w+)\s*$", 1)).alias("detail"))
+    parameters = rows.where("label = 'Generic'").select("file_path", F.lit("parameter").alias("what"), "name", F.col("type_definition").alias("detail"))
+    constraints = edges("CONSTRAINS")(rows).select("file_path", F.lit("constraint").alias("what"), F.col("source").alias("name"), F.col("dst_ref").alias("detail"))
+    return types.unionByName(parameters).unionByName(constraints)
+
+
 def sections(path, content):
     """A language of a user's own: the sections of an ini file as modules, and what they include."""
     import re
