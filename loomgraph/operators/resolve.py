@@ -26,17 +26,19 @@ def qualified_names(nodes: DataFrame) -> DataFrame:
     """id, qualified: the names of all parents before a node's own; a root is named by its folder.
 
     A node takes its parent's name so far and then that one's parent, so the
-    rounds are the logarithm of the depth; each is written, and the last is the
-    one without a node that has further to go. Parents in a circle raise ValueError.
+    rounds are the logarithm of the depth; each but the first is written, and the
+    last is the one without a node that has further to go. Parents in a circle raise ValueError.
     """
     folder = basename(dirname(F.col("file_path")))
     named = lambda at: at.select("id", F.when(F.coalesce(folder, F.lit("")).isin("", "."), F.col("qualified")).otherwise(F.concat(folder, F.lit("."), "qualified")).alias("qualified"))
     at = nodes.select("id", F.col("name").alias("qualified"), F.col("parent_id").alias("up"), "file_path")
     if at.where("up is not null").isEmpty():
         return named(at)
-    for _ in range(40):  # paths of 2**40 nodes
+    for k in range(40):  # paths of 2**40 nodes
         parents = at.where("id is not null").select(F.col("id").alias("up"), F.col("qualified").alias("_q"), F.col("up").alias("_up"))
-        at = staged(at.join(parents, "up", "left").select("id", F.when(F.col("_q").isNotNull(), F.concat("_q", F.lit("."), "qualified")).otherwise(F.col("qualified")).alias("qualified"), F.col("_up").alias("up"), "file_path"), "qualified")
+        at = at.join(parents, "up", "left").select("id", F.when(F.col("_q").isNotNull(), F.concat("_q", F.lit("."), "qualified")).otherwise(F.col("qualified")).alias("qualified"), F.col("_up").alias("up"), "file_path")
+        if k:  # most parents have none of their own, and then nothing is written
+            at = staged(at, "qualified")
         if at.where("up is not null").isEmpty():
             return named(at)
         if not at.where("up = id").isEmpty():

@@ -140,3 +140,17 @@ def inside(spark, d):
     """Resolution that doesn't leave the file, but for ids."""
     g, raw = raw_edges(spark, d)
     return R.resolve(raw, g.nodes, cross_file=False)[0].select("id", "dst_id", "strategy")
+
+
+@query("td20_test_files", """
+, paths as (select file_path as p from fn union select file_path from test union select 'web/__tests__/c' || c_custkey || '.js' from customer where c_custkey % 3 = 0 union select 'pkg/test_m' || c_custkey || '.py' from customer where c_custkey % 3 = 1 union select 'pkg/latest' || c_custkey || '.py' from customer where c_custkey % 3 = 2)
+select p as file_path, regexp_matches(p, '(_test[.]go|/test_[^/]*[.]py|_test[.]py|[.](test|spec)[.][jt]sx?)$') or regexp_matches(p, '(^|/)(tests?|__tests__|spec)/') as is_test from paths""")
+def test_files(spark, d):
+    """Which paths are test files, by each language's rules."""
+    from ..functions.scalars import is_test_path
+
+    g, c = graph(spark, d), load(spark, d, "customer")
+    k = F.col("c_custkey")
+    made = c.select(F.when(k % 3 == 0, F.concat(F.lit("web/__tests__/c"), k, F.lit(".js"))).when(k % 3 == 1, F.concat(F.lit("pkg/test_m"), k, F.lit(".py"))).otherwise(F.concat(F.lit("pkg/latest"), k, F.lit(".py"))).alias("file_path"))
+    paths = g.scan("Function", "TestFunction").select("file_path").unionByName(made).distinct()
+    return paths.select("file_path", is_test_path(F.col("file_path")).alias("is_test"))
