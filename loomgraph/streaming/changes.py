@@ -204,16 +204,16 @@ class _Slice(InputPartition):
 class FolderWatchReader(DataSourceStreamReader):
     """Compares the folder's listing with the one of the last offset. The folder is one that the driver sees.
 
-    With option state, a folder that outlives the query, listings are files there and offsets carry their names;
-    without it offsets carry the listing itself. Either way a restart goes on from the last.
+    Option state names a folder that outlives the query: listings are files there, offsets carry their names, and a
+    restart goes on from the last.
     """
 
     def __init__(self, options):
-        self.root, self.depth, self.state = options["path"], int(options.get("depth", MOST_DEPTH)), options.get("state")
+        if not options.get("state"):
+            raise ValueError("option state: a folder for listings that outlives the query")
+        self.root, self.depth, self.state = options["path"], int(options.get("depth", MOST_DEPTH)), options["state"]
 
     def _kept(self, listing: str) -> dict:
-        if not self.state:
-            return {"listing": listing}
         name = hashlib.sha256(listing.encode()).hexdigest()[:32]
         full = os.path.join(self.state, name)
         if not os.path.exists(full):
@@ -224,8 +224,6 @@ class FolderWatchReader(DataSourceStreamReader):
         return {"at": name}
 
     def _back(self, offset: dict) -> dict:
-        if "listing" in offset:
-            return json.loads(offset["listing"])
         with open(os.path.join(self.state, offset["at"])) as f:
             return json.loads(f.read())
 
@@ -266,7 +264,7 @@ class FolderWatchReader(DataSourceStreamReader):
 
 
 class FolderWatch(DataSource):
-    """spark.dataSource.register(FolderWatch); spark.readStream.format("folder_watch").load(root)"""
+    """spark.dataSource.register(FolderWatch); spark.readStream.format("folder_watch").option("state", folder).load(root)"""
 
     @classmethod
     def name(cls):

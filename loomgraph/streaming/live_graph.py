@@ -19,6 +19,7 @@ from ..graph import Graph
 from ..operators import resolve as R
 from ..schema import EDGE_DDL, NODE_DDL, RAW_EDGE_DDL, conform
 from ..sources.folders import staged
+from . import derived
 from .store import BucketStore, latest
 
 REF_DDL = f"{RAW_EDGE_DDL}, src_label string, src_file string, src_package string"
@@ -84,6 +85,12 @@ def update(store: BucketStore, changed: DataFrame, nodes: DataFrame, raw: DataFr
     answers = staged(R.judged(asked, R.chosen(wanted, best)).select(*_names(ANSWER_DDL)), "answers")
     at = sorted({*files, *others})
     gone = asked.select("id").unionByName(old_refs.select("id")).distinct()
+    # tests and calls that come and go, for the coverage that follows from them
+    met = lambda df, n: df.where("reason is null and type in ('TESTS', 'CALLS')").select("type", "src_id", "dst_id", F.lit(n).cast("bigint").alias("n"))
+    before = store.read("answers", ANSWER_DDL, at).join(gone, "id", "left_semi")
+    signed = staged(met(before, -1).unionByName(met(answers, 1)).groupBy("type", "src_id", "dst_id").agg(F.sum("n").alias("n")).where("n <> 0"), "signed")
+    if not signed.isEmpty():
+        derived.coverage_changed(store, signed.where("type = 'TESTS'"), signed.where("type = 'CALLS'"))
     store.put("answers", store.read("answers", ANSWER_DDL, at).join(gone, "id", "left_anti").select(*_names(ANSWER_DDL)).unionByName(answers), at, "file_path")
 
     rest = lambda table, ddl: kept(table, ddl).join(changed, "file_path", "left_anti").select(*_names(ddl))
@@ -103,9 +110,13 @@ def rejected(spark, path: str) -> DataFrame:
 
 
 def read(spark, path: str) -> Graph:
-    """The stored graph: nodes, and the edges that were resolved."""
+    """The stored graph: nodes, the edges that were resolved, and the indirect coverage that follows from them."""
     s = latest(spark, path)
-    return Graph(s.read("nodes", NODE_DDL), conform(answers(spark, path), EDGE_DDL))
+    nodes = s.read("nodes", NODE_DDL)
+    end = lambda x: nodes.select(F.col("id").alias(f"{x}_id"), F.col("label").alias(f"{x}_label"))
+    through = derived.indirect(s).join(end("src"), "src_id").join(end("dst"), "dst_id")
+    through = conform(through, EDGE_DDL, id=F.concat(F.lit("c:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("COVERS"), coverage_type=F.lit("indirect"))
+    return Graph(nodes, conform(answers(spark, path), EDGE_DDL).unionByName(through))
 
 
 def apply_batch(spark, batch: DataFrame, number: int, read_files, path: str, buckets: int = 64) -> dict[str, int]:
@@ -127,8 +138,8 @@ def live_graph(changes: DataFrame, read_files, path: str, checkpoint: str, bucke
 
     read_files(paths) gives files(path, content). A batch that is done again
     overwrites its own update. on_update(counts, number) is called after each.
-    Names are resolved as resolve() does without imports' bindings, and derived
-    edges are kept by `derived`.
+    Names are resolved as resolve() does without imports' bindings; indirect
+    coverage is kept with them.
     """
 
     def each(batch: DataFrame, number: int):

@@ -16,7 +16,9 @@ RND = random.Random(5)
 PAIRS = "src_id string, dst_id string, n bigint"
 
 
-def a_file():
+def a_file(test=False):
+    if test:
+        return "".join(f"def test_t{i}():\n    assert f{RND.randint(0, 6)}() == 1\n\n" for i in range(2))
     lines = []
     for _ in range(RND.randint(1, 3)):
         lines += [f"def f{RND.randint(0, 6)}():", f"    return {RND.choice(['f', 'C0.m', 'g'])}{RND.randint(0, 6)}()", ""]
@@ -33,16 +35,16 @@ def rebuilt(spark, files):
 
 def test_live_graph_equals_a_rebuild(spark):
     path, files, done = shared_dir(spark, "live"), {}, []
-    names = [f"{d}/{x}.py" for d in ("a", "b") for x in "pqrs"]
+    names = [f"{d}/{x}.py" for d in ("a", "b") for x in "pqrs"] + ["tests/test_v.py", "tests/test_w.py"]
     read = lambda wanted: spark.createDataFrame([(p, files[p]) for p in files], "path string, content string").join(wanted.select("path"), "path", "left_semi")
     for number in range(5):
         changes = []
-        for p in RND.sample(names, 4 if number == 0 else 2):
+        for p in RND.sample(names, 7 if number == 0 else 3):
             if p in files and RND.random() < 0.3:
                 del files[p]
                 changes.append((p, "Deleted", number))
             else:
-                files[p] = a_file()
+                files[p] = a_file(p.startswith("tests/"))
                 changes.append((p, "Modified", number))
         batch = spark.createDataFrame(changes, "path string, change_type string, ts int")
         done.append(live_graph.apply_batch(spark, batch, number, read, path, buckets=8))
@@ -52,6 +54,9 @@ def test_live_graph_equals_a_rebuild(spark):
             want, lost = rebuilt(spark, files)
             shown = ["id", "type", "src_id", "dst_id", "src_label", "dst_label", "strategy", "cross_file_edge"]
             assert sorted(map(tuple, live_graph.answers(spark, path).select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
+            covered = derive.indirect_covers(want.where("type = 'TESTS'"), want.where("type = 'CALLS'"))
+            through = live_graph.read(spark, path).rel("COVERS").where("coverage_type = 'indirect'").select("src_id", "dst_id")
+            assert sorted(map(tuple, through.collect())) == sorted(map(tuple, covered.collect()))
             assert sorted(map(tuple, live_graph.rejected(spark, path).select("id", "reason").collect())) == sorted(map(tuple, lost.select("id", "reason").collect()))
     assert sum(d["elsewhere"] for d in done) > 0
     assert live_graph.read(spark, path).scan("File").count() == len(files)
