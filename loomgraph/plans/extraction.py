@@ -703,7 +703,8 @@ def listed_by_tasks(spark, d):
     ])
     root = shared_dir(spark, "tree")
     write_tree(files, root).write.format("noop").mode("overwrite").save()
-    return listing(spark, root).where("extension in ('.py', '.tsx', '.js') and length <= 4000").select("path", "extension", "length")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return listing(spark, root, pushdown=True).where("extension in ('.py', '.tsx', '.js') and length <= 4000").select("path", "extension", "length")
 
 
 @query("sf3_read_file", "select replace('src/web/card{n}.tsx', '{n}', '1') as path, 'aW1wb3J0' as head, null::varchar as error union all select 'src/none.go', null, 'no such file: src/none.go'")

@@ -31,10 +31,10 @@ def ignored(path, patterns: tuple = T.IGNORED):
 def scan(spark: SparkSession, root: str, patterns: tuple = T.IGNORED, most_bytes: int = T.MOST_BYTES) -> DataFrame:
     """files(path, content, language, length, modified) of the known extensions below root; content is null for what isn't UTF-8.
 
-    Tasks list the folders and enter no ignored one; extension and size are pushed to the listing, and a file's content is
+    Tasks list the folders and enter no ignored one; extension and size are asked of the listing, and a file's content is
     read only if it passes.
     """
-    files = listing(spark, root, patterns).where(F.col("extension").isin(*T.EXTENSIONS) & (F.col("length") <= most_bytes))
+    files = listing(spark, root, patterns, T.EXTENSIONS, most_bytes)
     read = with_content(files, root)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return read.select("path", text.alias("content"), language(F.col("path")).alias("language"), "length", "modified")

@@ -66,23 +66,8 @@ class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"].rstrip("/")
         self.patterns = tuple(x for x in options.get("ignored", "\n".join(T.IGNORED)).split("\n") if x)
-        self.extensions, self.least, self.most = None, None, None
-
-    def pushFilters(self, filters):
-        """Takes equality of the extension and bounds of the length; the rest stays with Spark."""
-        for f in filters:
-            column = f.attribute[0] if getattr(f, "attribute", None) else None
-            if column == "extension" and isinstance(f, (EqualTo, In)):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.extensions = wanted if self.extensions is None else self.extensions & wanted
-            elif column == "length" and isinstance(f, (LessThan, LessThanOrEqual)):
-                most = f.value - isinstance(f, LessThan)
-                self.most = most if self.most is None else min(self.most, most)
-            elif column == "length" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                least = f.value + isinstance(f, GreaterThan)
-                self.least = least if self.least is None else max(self.least, least)
-            else:
-                yield f
+        self.extensions = set(options["extensions"].split(",")) if options.get("extensions") else None
+        self.least, self.most = None, int(options["mostbytes"]) if options.get("mostbytes") else None
 
     def partitions(self):
         """Folders to walk, and those of which only the files are wanted, since their folders are walked by others."""
@@ -110,8 +95,31 @@ class TreeReader(DataSourceReader):
                 waiting += [(x, True) for x in folders]
 
 
+class PushedTreeReader(TreeReader):
+    """The same for sessions whose spark.sql.python.filterPushdown.enabled is true; in others Spark refuses a reader that takes filters."""
+
+    def pushFilters(self, filters):
+        """Takes equality of the extension and bounds of the length; the rest stays with Spark."""
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) else None
+            if column == "extension" and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.extensions = wanted if self.extensions is None else self.extensions & wanted
+            elif column == "length" and isinstance(f, (LessThan, LessThanOrEqual)):
+                most = f.value - isinstance(f, LessThan)
+                self.most = most if self.most is None else min(self.most, most)
+            elif column == "length" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                least = f.value + isinstance(f, GreaterThan)
+                self.least = least if self.least is None else max(self.least, least)
+            else:
+                yield f
+
+
 class SourceTree(DataSource):
-    """spark.dataSource.register(SourceTree); spark.read.format("source_tree").option("ignored", lines).load(root): SCHEMA, one row a file, by relative path."""
+    """spark.dataSource.register(SourceTree); spark.read.format("source_tree").load(root): SCHEMA, one row a file, by relative path.
+
+    Options: ignored, patterns by line; extensions, with commas; mostbytes; pushdown, true for filters of the query.
+    """
 
     @classmethod
     def name(cls):
@@ -121,14 +129,21 @@ class SourceTree(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return TreeReader(self.options)
+        return (PushedTreeReader if self.options.get("pushdown") == "true" else TreeReader)(self.options)
+
 
+def listing(spark: SparkSession, root: str, patterns: tuple = T.IGNORED, extensions: tuple = (), most_bytes: int | None = None, pushdown: bool = False) -> DataFrame:
+    """SCHEMA of the files below root that no pattern ignores, also empty ones and those whose names begin with _ or a dot.
 
-def listing(spark: SparkSession, root: str, patterns: tuple = T.IGNORED) -> DataFrame:
-    """SCHEMA of the files below root that no pattern ignores, also empty ones and those whose names begin with _ or a dot."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    extensions and most_bytes say what is wanted, in any session. With pushdown
+    the source takes such filters from the query: where the plan runs, the
+    setting spark.sql.python.filterPushdown.enabled must be true then.
+    """
     spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").option("ignored", "\n".join(patterns)).load(root)
+    read = spark.read.format("source_tree").option("ignored", "\n".join(patterns)).option("pushdown", str(pushdown).lower())
+    read = read.option("extensions", ",".join(extensions)) if extensions else read
+    read = read.option("mostbytes", str(most_bytes)) if most_bytes is not None else read
+    return read.load(root)
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:

@@ -33,12 +33,19 @@ def test_ignored_folders_are_not_entered(spark, tmp_path):
 
 def test_filters_are_taken_by_the_source(spark, tmp_path):
     put(tmp_path, {"a.py": "x" * 10, "b.ts": "y" * 20, "c.py": "z" * 30})
-    reader = tree.TreeReader({"path": str(tmp_path)})
+    reader = tree.PushedTreeReader({"path": str(tmp_path)})
     other = EqualTo(("path",), "a.py")
     left = list(reader.pushFilters([In(("extension",), (".py", ".go")), LessThanOrEqual(("length",), 30), LessThan(("length",), 30), GreaterThan(("length",), 5), other]))
     assert left == [other] and [x[0] for p in reader.partitions() for x in reader.read(p)] == ["a.py"]
-    files = tree.listing(spark, str(tmp_path)).where("extension = '.py' and length < 20")
-    assert [r.path for r in files.collect()] == ["a.py"]
+    key = "spark.sql.python.filterPushdown.enabled"
+    for pushdown in (False, True):
+        spark.conf.set(key, str(pushdown).lower())
+        try:
+            files = tree.listing(spark, str(tmp_path), pushdown=pushdown).where("extension = '.py' and length < 20")
+            assert [r.path for r in files.collect()] == ["a.py"]
+        finally:
+            spark.conf.unset(key)
+    assert [r.path for r in tree.listing(spark, str(tmp_path), extensions=(".py", ".go"), most_bytes=20).collect()] == ["a.py"]
 
 
 def test_trees_are_written_and_read_by_tasks(spark, tmp_path):
