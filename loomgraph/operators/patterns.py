@@ -113,40 +113,103 @@ def cycles(edges: DataFrame, most: int) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Distinct id of the nodes on closed walks of any number of edges: those on a loop or in a strong component of several nodes.
+    """Distinct id of the nodes on closed walks of any number of edges."""
+    return strong_components(edges).select("id")
 
-    Nodes without edges on both sides go first. Then each node takes the least
-    id that reaches it; edges between different labels are in no cycle, and what
-    reaches a label's own node under that label is that node's component. It
-    leaves, and the rest is done again. Rows stay linear in the edges; rounds
-    follow the longest path of a component.
+
+#: So many rounds of taking off ends pass before runs are contracted.
+ENDS_FIRST = 8
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes on closed walks: one row each, component is one of its nodes; nodes on no closed walk have no row.
+
+    Nodes without edges on both sides go first. Runs of nodes with one edge in
+    and one out become an edge by pointer doubling, so paths and rings of n nodes
+    take about log n rounds. In what is left each node takes the least id that
+    reaches it; edges between different labels are in no cycle, and what reaches
+    a label's own node under that label is that node's component. It leaves, and
+    the rest is done again. Runs are then laid out again: one is in a component
+    if both its ends are. Rows stay linear in the edges; rounds follow the
+    longest path among nodes of three or more edges. Repeated edges count once,
+    an edge with a null end is none, no edges give no rows.
     """
-    found = edges.where("src_id = dst_id").select(F.col("src_id").alias("id")).distinct()
     left = edges.where("src_id <> dst_id").select("src_id", "dst_id").distinct().checkpoint()
-    size = left.count()
-    while size:
-        less = left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
-        less = less.join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id").checkpoint()
-        before, left, size = size, less, less.count()
-        if size < before:
-            continue
-        labels = left.select(F.col("src_id").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
-        while True:
-            low = left.join(labels.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("label").alias("low"))
-            new = labels.join(low, "id", "left").select("id", F.least("label", "low").alias("label"), F.coalesce(F.col("low") < F.col("label"), F.lit(False)).alias("moved")).checkpoint()
-            labels = new.select("id", "label")
-            if new.where("moved").isEmpty():
-                break
-        ends = left.join(labels.toDF("src_id", "_s"), "src_id").join(labels.toDF("dst_id", "_d"), "dst_id")
-        left = ends.where("_s = _d").select("src_id", "dst_id").checkpoint()
-        back = left.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
-        component = closure(back, labels.where("id = label").select("id")).select("id")
-        part = component.join(labels, "id")
-        several = part.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-        found = found.unionByName(part.join(several, "label", "left_semi").select("id")).distinct().checkpoint()
-        left = left.join(component.toDF("src_id"), "src_id", "left_anti").join(component.toDF("dst_id"), "dst_id", "left_anti").select("src_id", "dst_id").checkpoint()
-        size = left.count()
-    return found
+    ends, levels, found = 0, [], []
+    while True:
+        both = left.select(F.col("src_id").alias("id"), F.col("dst_id").alias("at"), F.lit(1).alias("outs"))
+        nodes = both.unionByName(left.select(F.col("dst_id").alias("id"), F.lit(0).alias("outs")), allowMissingColumns=True)
+        nodes = nodes.groupBy("id").agg(F.max("at").alias("at"), F.sum("outs").alias("outs"), F.sum(1 - F.col("outs")).alias("ins"))
+        n = nodes.agg(F.count("*").alias("all"), F.count_if(F.expr("ins = 0 or outs = 0")).alias("ends"), F.count_if(F.expr("ins = 1 and outs = 1")).alias("inner")).first()
+        if not n["all"]:
+            break
+        inner = nodes.where("ins = 1 and outs = 1").select("id", "at")
+        due = n["inner"] and (ends >= ENDS_FIRST or not n["ends"])
+        if due and not inner.join(inner.select(F.col("id").alias("at")), "at", "left_semi").isEmpty():
+            rings, runs, links = _runs(left, inner.checkpoint())
+            found.append(rings)
+            levels.append((runs, links))
+            left, ends = links.where("src_id <> dst_id").select("src_id", "dst_id").distinct().checkpoint(), 0
+        elif n["ends"]:
+            left = left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
+            left = left.join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id").checkpoint()
+            ends += 1
+        else:
+            part, left = _least_labels(left)
+            found.append(part)
+    none = edges.select(F.col("src_id").alias("id"), F.col("src_id").alias("component")).limit(0)
+    out = reduce(DataFrame.unionByName, found, none)
+    for runs, links in reversed(levels):
+        out = out.checkpoint()
+        own = links.join(out.toDF("src_id", "_s"), "src_id", "left").join(out.toDF("dst_id", "_d"), "dst_id", "left")
+        own = own.where("run is not null and (src_id = dst_id or _s = _d)").select("run", "src_id", "_s", F.coalesce("_s", "src_id").alias("component")).checkpoint()
+        bent = own.where("_s is null").select(F.col("src_id").alias("id"), "component").distinct()
+        out = out.unionByName(bent).unionByName(runs.join(own.select("run", "component"), "run").select("id", "component"))
+    loops = edges.where("src_id = dst_id").select(F.col("src_id").alias("id"), F.col("src_id").alias("component")).distinct()
+    out = out.checkpoint()
+    return out.unionByName(loops.join(out, "id", "left_anti"))
+
+
+def _runs(left: DataFrame, inner: DataFrame):
+    """Rings (id, component), nodes of runs (id, run) and the edges (src_id, dst_id, run) between the others; run, by its last node, is null for an edge as it was.
+
+    inner: (id, at), the nodes with one edge in and one out, and where that leads.
+    A row's pointer goes twice as far each round; after rounds that end no more
+    runs, the rows whose pointers are still among inner nodes are on rings.
+    """
+    live = inner.select(F.col("id").alias("at"), F.lit(True).alias("live"))
+    at = inner.join(live, "at", "left").select("id", "at", F.col("id").alias("run"), F.col("id").alias("low"), F.coalesce("live", F.lit(False)).alias("live")).checkpoint()
+    before, n, covered = -1, at.where("live").count(), 1
+    while n and not (n == before and covered >= n):
+        onward = at.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("run").alias("_run"), F.col("low").alias("_low"), F.col("live").alias("_live"))
+        moved = at.where("live").join(onward, "at").select("id", F.col("_at").alias("at"), F.col("_run").alias("run"), F.least("low", "_low").alias("low"), F.col("_live").alias("live"))
+        at = at.where("not live").unionByName(moved).checkpoint()
+        before, n, covered = n, at.where("live").count(), covered * 2
+    rings = at.where("live").select("id", F.col("low").alias("component"))
+    runs = at.where("not live").select("id", "run")
+    outer = left.join(inner.select(F.col("id").alias("src_id")), "src_id", "left_anti")
+    links = outer.join(at.where("not live").select(F.col("id").alias("dst_id"), "at", "run"), "dst_id", "left")
+    return rings, runs, links.select("src_id", F.coalesce("at", "dst_id").alias("dst_id"), "run").checkpoint()
+
+
+def _least_labels(left: DataFrame):
+    """Components (id, component) of several nodes that hold the least id reaching them, and the edges that touch no settled node."""
+    labels = left.select(F.col("src_id").alias("id")).union(left.select("dst_id")).distinct().withColumn("label", F.col("id")).checkpoint()
+    while True:
+        low = left.join(labels.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("label").alias("low"))
+        new = labels.join(low, "id", "left").select("id", F.least("label", "low").alias("label"), F.coalesce(F.col("low") < F.col("label"), F.lit(False)).alias("moved")).checkpoint()
+        labels = new.select("id", "label")
+        if new.where("moved").isEmpty():
+            break
+    ends = left.join(labels.toDF("src_id", "_s"), "src_id").join(labels.toDF("dst_id", "_d"), "dst_id")
+    left = ends.where("_s = _d").select("src_id", "dst_id").checkpoint()
+    back = left.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
+    settled = closure(back, labels.where("id = label").select("id")).select("id")
+    part = settled.join(labels, "id")
+    several = part.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    part = part.join(several, "label", "left_semi").select("id", F.col("label").alias("component")).checkpoint()
+    left = left.join(settled.toDF("src_id"), "src_id", "left_anti").join(settled.toDF("dst_id"), "dst_id", "left_anti").select("src_id", "dst_id").checkpoint()
+    return part, left
 
 
 def count_of(df: DataFrame, pattern: DataFrame, key: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Patterns, resolution, rules, reports and streams on hand-made inputs."""
 
+import itertools
 import json
 import random
 
@@ -228,6 +229,60 @@ def test_cycles_of_any_length(spark, tmp_path):
     e = edges(spark, f"{ring} r3>a a>b b>c c>d d>a a>x x>y s>s t>r0 y>z z>s p>q q>p")
     assert sorted(r.id for r in patterns.on_cycles(e).collect()) == sorted([*(f"r{i}" for i in range(7)), *"abcdspq"])
     assert patterns.on_cycles(edges(spark, "a>b b>c")).count() == 0
+    assert patterns.on_cycles(edges(spark, "a>b").limit(0)).count() == 0
+
+
+def strong(rows):
+    """{frozenset of nodes} of the strong components on cycles, by what each node reaches."""
+    to = {}
+    for a, b in rows:
+        if a is not None and b is not None:
+            to.setdefault(a, set()).add(b)
+    reached = {}
+    for a in to:
+        seen, front = set(), list(to[a])
+        while front:
+            x = front.pop()
+            if x not in seen:
+                seen.add(x)
+                front += to.get(x, ())
+        reached[a] = seen
+    return {frozenset(b for b in reached[a] if a in reached.get(b, ())) for a in to if a in reached[a]}
+
+
+def test_strong_components_against_reachability(spark, tmp_path):
+    """Graphs of few edges a node, so that runs, rings, loops and ends all occur; repeated edges and null ends too."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    for seed in (0, 3, 5):
+        r = random.Random(seed)
+        n = 30
+        rows = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(int(n * (0.8 + 0.15 * seed)))]
+        # edges drawn out into runs, so that contraction has several levels
+        for k in range(6):
+            a, b = f"n{r.randrange(n)}", f"n{r.randrange(n)}"
+            rows += list(itertools.pairwise([a, *(f"s{seed}_{k}_{i}" for i in range(r.randrange(1, 9))), b]))
+        rows += [*rows[:3], (None, "n1"), ("n2", None), (None, None)]
+        got = {}
+        for row in patterns.strong_components(spark.createDataFrame(rows, "src_id string, dst_id string")).collect():
+            assert row.id not in {x for part in got.values() for x in part}
+            got.setdefault(row.component, set()).add(row.id)
+        assert {frozenset(x) for x in got.values()} == strong(rows)
+        assert all(c in x for c, x in got.items())
+
+
+def test_long_ring_and_path_take_few_rounds(spark, tmp_path, monkeypatch):
+    """A ring of 10,000 nodes with a path of 5,000 into it and one out of it: rounds grow with the logarithm."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    staged, frame = [], type(spark.range(1))
+    real = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a: staged.append(1) or real(df, *a))
+    ring = spark.range(10_000).selectExpr("concat('r', id) as src_id", "concat('r', (id + 1) % 10000) as dst_id")
+    into = spark.range(5_000).selectExpr("concat('p', id) as src_id", "if(id = 4999, 'r0', concat('p', id + 1)) as dst_id")
+    out = spark.range(5_000).selectExpr("if(id = 0, 'r5000', concat('q', id)) as src_id", "concat('q', id + 1) as dst_id")
+    got = patterns.strong_components(ring.union(into).union(out))
+    assert got.groupBy("component").count().collect()[0]["count"] == 10_000
+    assert got.count() == 10_000
+    assert 0 < len(staged) < 60
 
 
 def test_walks_and_closure_without_bound(spark, tmp_path, monkeypatch):
