@@ -506,6 +506,41 @@ def d37_handlers(spark, d):
     return calls.join(served, "e_id").select(F.col("t_name").alias("test_name"), F.col("e_name").alias("endpoint"), F.col("h_name").alias("handler"), F.col("h_language").alias("language"))
 
 
+@query("d36_files_of_class", "select distinct file_path from cls where name = 'C2_11'")
+def d36_class_files(spark, d, name: str = "C2_11"):
+    return graph(spark, d).scan(*CL).where(F.col("name") == name).select("file_path").distinct()
+
+
+@query("d36_cross_file_calls", """
+select a.name as caller, a.file_path as from_file, b.name as callee, b.file_path as to_file
+from calls join fn a on a.id = src join fn b on b.id = dst where a.file_path <> b.file_path""")
+def d36_calls_between_files(spark, d):
+    """All of them; the documented example shows any ten."""
+    x = hop(graph(spark, d), "a", "b", ("CALLS",)).where("a_file_path <> b_file_path")
+    return x.select(F.col("a_name").alias("caller"), F.col("a_file_path").alias("from_file"), F.col("b_name").alias("callee"), F.col("b_file_path").alias("to_file"))
+
+
+@query("d36_context_of_file", """
+select label, name, coalesce(signature, 'N/A') as signature, case label when 'Import' then 1 when 'Struct' then 2 when 'Interface' then 3 when 'Function' then 4 when 'Method' then 5 else 6 end as kind_rank
+from nodes where file_path = 'src/m2/f2.ts'""")
+def d36_context(spark, d, path: str = "src/m2/f2.ts"):
+    """What a file has, kind by kind, with signatures."""
+    x = graph(spark, d).nodes.where(F.col("file_path") == path)
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, CONTEXT_ORDER)), F.col("label")), F.lit(0))
+    rank = F.when(rank == 0, len(CONTEXT_ORDER) + 1).otherwise(rank).cast("int")
+    return x.select("label", "name", F.coalesce("signature", F.lit("N/A")).alias("signature"), rank.alias("kind_rank")).orderBy("kind_rank", "name")
+
+
+#: The order of kinds in a file's context; others come after these. Fixed values.
+CONTEXT_ORDER = ("Import", "Struct", "Interface", "Function", "Method")
+
+
+@query("d37_framework_statistics", "select test_framework as framework, count(*) as tests, avg(assertion_count) as avg_assertions from test where language = 'typescript' group by 1")
+def d37_frameworks(spark, d, lang: str = "typescript"):
+    x = graph(spark, d).scan(*TF).where(F.col("language") == lang).groupBy(F.col("test_framework").alias("framework"))
+    return x.agg(F.count("*").alias("tests"), F.avg("assertion_count").alias("avg_assertions")).orderBy(F.desc("tests"), "framework")
+
+
 @query("d38_label_histogram", "select label, count(*) as n from nodes group by 1")
 def d38(spark, d):
     return graph(spark, d).nodes.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.patterns import hop, pairs
 from ..sources import ingest
 from . import crosslang, introspect
 from .binding import load
@@ -194,6 +195,16 @@ describe('unit of {n}', () => {
     render(<Card{n}/>);
   });
 });
+'''),
+    "ts_shown": ("src/web/shown{n}.tsx", '''import { helper{c} } from './util{c}';
+
+export interface Shown{n}Props {
+  label: string;
+}
+
+export function Shown{n}(p: Shown{n}Props) {
+  return <b>{helper{c}(p.label)}</b>;
+}
 '''),
     "ts_deep": ("src/app/deep{n}.ts", '''function compute{n}() { return {n}; }
 export default function standard{n}() { return 0; }
@@ -524,6 +535,33 @@ def import_edges(spark, d):
     return g.rel("IMPORTS").select(F.col("src_id").alias("file_path"), F.col("dst_id").alias("target"))
 
 
+@query("d36_importing_files", f", one as (select 1) select distinct file_path from ({found('go', 'name', [('fmt',), ('example.com/lib{c}',)])}) x where name = 'example.com/lib2'")
+def importing_files(spark, d, module: str = "example.com/lib2"):
+    """The files that import a module."""
+    g, _, _ = built(spark, d, "go", "go_test", "py")
+    return g.scan("Import").where(F.col("name") == module).select("file_path").distinct().orderBy("file_path")
+
+
+@query("d36_methods_of_struct", f", one as (select 1) select name, signature, file_path from ({found('go', 'struct name signature', [('Disk{n}', 'Save', '(d *Disk{n}) Save(x int) error'), ('Disk{n}', 'Close', '(d *Disk{n}) Close() error')])}) x where struct = 'Disk1'")
+def methods_of_struct(spark, d, name: str = "Disk1"):
+    g, _, _ = built(spark, d, "go", "go_test")
+    x = hop(g, "s", "m", ("DEFINES",), ("Struct",), ("Method",), columns=("id", "name", "signature", "file_path")).where(F.col("s_name") == name)
+    return x.select(F.col("m_name").alias("name"), F.col("m_signature").alias("signature"), F.col("m_file_path").alias("file_path")).orderBy("name")
+
+
+@query("d37_component_props", f""", one as (select 1) select file_path, component, props, tests, case when tests > 0 then 'covered' else 'uncovered' end as status
+from ({found('ts', 'component props:bigint tests:bigint', [('Card{n}', '2', '1')])} union all {found('ts_shown', 'component props:bigint tests:bigint', [('Shown{n}', '1', '0')])}) x""")
+def component_props(spark, d):
+    """Components with their props and tests: a component's props are those of the interface in its file that has its name before Props."""
+    g, _, _ = built(spark, d, "ts", "ts_test", "ts_shown")
+    props = pairs(g, ("HAS_PROPS",), ("Interface",)).groupBy(F.col("src_id").alias("id")).agg(F.count("*").alias("props"))
+    stated = g.scan("Interface").where("name like '%Props'").select("id", "file_path", F.regexp_replace("name", "Props$", "").alias("component")).join(props, "id").drop("id")
+    parts = g.scan("Function", "Class").where("file_path like '%.tsx'").select(F.col("id").alias("dst_id"), "file_path", F.col("name").alias("component"))
+    tests = pairs(g, ("TESTS", "TESTS_COMPONENT"), ("TestFunction", "TestCase")).groupBy("dst_id").agg(F.count("*").alias("tests"))
+    x = parts.join(stated, ["file_path", "component"]).join(tests, "dst_id", "left").withColumn("tests", F.coalesce("tests", F.lit(0)))
+    return x.select("file_path", "component", "props", "tests", F.when(F.col("tests") > 0, "covered").otherwise("uncovered").alias("status"))
+
+
 @query("ex35_members_by_interval", f", one as (select 1) {found('py', 'class name', [('Base{n}', 'area'), ('Base{n}', 'scale')])} union all {found('py_test', 'class name', [('TestBase{n}', 'test_integration_area')])}")
 def members(spark, d):
     """Containment by spans alone: functions inside classes."""

@@ -84,7 +84,7 @@ ADDED_PAIRS = {
     "CONSUMES_SERVICE": (("Method",), ("Class",)),
 }
 #: Labels that a name may resolve to for these types, in order of preference, besides EXPECTED.
-ADDED_EXPECTED = {"RENDERS_JSX": ("Function", "Class"), "USES_MIDDLEWARE": ("Function", "Method"), "DECORATES": ("Function",), "INJECTS": ("Class", "Interface"), "CONSUMES_SERVICE": ("Class",), "DECORATED_BY": ("Function",), "EXPOSED_BY": ("Function", "Method")}
+ADDED_EXPECTED = {"RENDERS_JSX": ("Function", "Class"), "TESTS_COMPONENT": ("Function", "Class"), "USES_MIDDLEWARE": ("Function", "Method"), "DECORATES": ("Function",), "INJECTS": ("Class", "Interface"), "CONSUMES_SERVICE": ("Class",), "DECORATED_BY": ("Function",), "EXPOSED_BY": ("Function", "Method")}
 
 NODE_DDL = (
     "id string, label string, name string, file_path string, signature string, body string, doc_string string, start_byte bigint, end_byte bigint, line_number int, "
