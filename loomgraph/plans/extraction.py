@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.patterns import hop, pairs
@@ -281,16 +281,23 @@ LANGUAGES = {"py": "python", "go": "go", "ts": "typescript"}
 NUMBERS = {"{n}": lambda n: n, "{h}": lambda n: n % 7, "{r}": lambda n: n % 3, "{c}": lambda n: n % 4}
 
 
+def dealt(spark, d, table: str, key: str) -> DataFrame:
+    """n: a table's keys, dealt to as many tasks as a shuffle has. A table of keys is small and read by a task or two, and the tree made from it is large."""
+    return load(spark, d, table).select(F.col(key).alias("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "n")
+
+
+def filled(text: str) -> Column:
+    return reduce(lambda c, x: F.replace(c, F.lit(x[0]), x[1](F.col("n")).cast("string")), [x for x in NUMBERS.items() if x[0] in text], F.lit(text))
+
+
 def sources(spark, d, *kinds: str) -> DataFrame:
     """files(path, content, language) of the kinds."""
-    n = load(spark, d, "supplier").select(F.col("s_suppkey").alias("n"))
-    filled = lambda text: reduce(lambda c, x: F.replace(c, F.lit(x[0]), x[1](F.col("n")).cast("string")), NUMBERS.items(), F.lit(text))
-    parts = [n.select(filled(FILES[k][0]).alias("path"), filled(FILES[k][1]).alias("content"), F.lit(LANGUAGES[k.split("_")[0]]).alias("language")) for k in kinds]
-    return reduce(DataFrame.unionByName, parts)
+    made = [F.struct(filled(FILES[k][0]).alias("path"), filled(FILES[k][1]).alias("content"), F.lit(LANGUAGES[k.split("_")[0]]).alias("language")) for k in kinds]
+    return dealt(spark, d, "supplier", "s_suppkey").select(F.explode(F.array(*made)).alias("f")).select("f.*")
 
 
-def extracted(spark, d, *kinds: str) -> DataFrame:
-    return ingest.extract(sources(spark, d, *kinds))
+def extracted(spark, d, *kinds: str, labels: tuple | None = None, types: tuple | None = None) -> DataFrame:
+    return ingest.extract(sources(spark, d, *kinds), labels, types)
 
 
 def found(kind: str, columns: str, rows: list[tuple]) -> str:
@@ -310,24 +317,39 @@ def register(name: str, kinds: str, columns: str, pick, *expected: tuple[str, li
 
     @query(name, ", one as (select 1) " + sql)
     def run(spark, d):
-        rows = extracted(spark, d, *kinds.split())
+        rows = extracted(spark, d, *kinds.split(), labels=getattr(pick, "labels", None), types=getattr(pick, "types", None))
         return pick(rows).select("file_path", *[c.split(":")[0] for c in columns.split()])
 
 
+def of(pick, labels: tuple = (), types: tuple = ()):
+    """pick, with what it asks of the extraction: nodes of the labels, edges of the types with the nodes at their ends."""
+    pick.labels, pick.types = labels, types
+    return pick
+
+
 def nodes(*labels: str, **columns):
     """Nodes of the labels; columns that aren't the node's own come from its properties or an expression."""
-    return lambda rows: rows.where(F.col("tag") == "node").where(F.col("label").isin(*labels)).withColumns({k: F.expr(v) for k, v in columns.items()})
+    return of(lambda rows: rows.where(F.col("tag") == "node").where(F.col("label").isin(*labels)).withColumns({k: F.expr(v) for k, v in columns.items()}), labels)
+
+
+def with_ends(rows: DataFrame, **ends: str) -> DataFrame:
+    """rows with the name of each edge's ends in columns, null where no node of the file has the id. A file's rows meet in one task, so they are extracted once and nothing is broadcast."""
+    out = rows.repartition("file_path")
+    for name, end in ends.items():
+        at = Window.partitionBy("file_path", F.when(F.col("tag") == "edge", F.col(end)).otherwise(F.col("id")))
+        out = out.withColumn(name, F.max(F.when(F.col("tag") == "node", F.struct("name"))).over(at)["name"])
+    return out
 
 
-def edges(*types: str, where: str = "true", **columns):
-    """Edges of the types with their source's name."""
+def edges(*types: str, where: str = "true", target: bool = False, **columns):
+    """Edges of the types with their source's name, and with their target's where it is a node of the file, else the reference."""
 
     def pick(rows):
-        source = rows.where("tag = 'node'").select(F.col("id").alias("src_id"), F.col("name").alias("source"))
-        e = rows.where((F.col("tag") == "edge") & F.col("type").isin(*types)).where(where)
-        return e.join(source, "src_id").withColumns({k: F.expr(v) for k, v in columns.items()})
+        e = with_ends(rows, source="src_id", **({"target": "dst_ref"} if target else {}))
+        e = e.where((F.col("tag") == "edge") & F.col("type").isin(*types) & F.col("source").isNotNull()).where(where)
+        return e.withColumns({k: F.expr(v) for k, v in columns.items()} | ({"target": F.coalesce("target", "dst_ref")} if target else {}))
 
-    return pick
+    return of(pick, types=types)
 
 
 register("ex01_python_functions", "py", "label name signature receiver_type doc_string complexity:int line_number:int is_async returns",
@@ -344,11 +366,11 @@ register("ex05_python_calls", "py py_test", "source dst_ref", edges("CALLS"),
     ("py", [("area", "Base{n}.scale"), ("area", "h"), ("run_{n}", "compute_{c}"), ("put_{n}", "app.route"), ("put_{n}", "requests.get")]),
     ("py_test", [("test_run_{n}", "pytest.mark.parametrize"), ("test_run_{n}", "run_{n}"), ("test_run_{n}", "pytest.raises"), ("test_run_{n}", "compute_{c}"), ("test_integration_area", "TestBase{n}.assertEqual"), ("test_integration_area", "area")]))
 register("ex06_python_bases", "py py_test", "source dst_ref", edges("INHERITS"), ("py", [("Base{n}", "Root{r}")]))
-register("ex07_go_functions", "go", "label name signature doc_string complexity:int is_exported:boolean", lambda rows: nodes("Method", "Function")(rows).where("props['abstract'] is null"), ("go", [
+register("ex07_go_functions", "go", "label name signature doc_string complexity:int is_exported:boolean", of(lambda rows: nodes("Method", "Function")(rows).where("props['abstract'] is null"), ("Method", "Function")), ("go", [
     ("Method", "Save", "(d *Disk{n}) Save(x int) error", "Save stores.", 1, "true"), ("Method", "Close", "(d *Disk{n}) Close() error", "", 1, "true"), ("Function", "write{n}", "write{n}[T int | ~string](p string, x T) error", "", 3, "false"),
     ("Function", "worker{n}", "worker{n}(jobs <-chan int)", "", 4, "false"), ("Function", "Routes{n}", "Routes{n}(r Router)", "", 1, "true"),
 ]))
-register("ex08_go_types", "go", "label name type_definition is_exported:boolean", lambda rows: nodes("Struct", "Interface", "Property")(rows).withColumn("type_definition", F.regexp_replace("type_definition", r"\s+", " ")), ("go", [
+register("ex08_go_types", "go", "label name type_definition is_exported:boolean", of(lambda rows: nodes("Struct", "Interface", "Property")(rows).withColumn("type_definition", F.regexp_replace("type_definition", r"\s+", " ")), ("Struct", "Interface", "Property")), ("go", [
     ("Interface", "Saver{n}", "interface { Save(x int) error Close() error }", "true"), ("Struct", "Base{n}", "struct{ N int }", "true"), ("Property", "N", "int", "true"),
     ("Struct", "Disk{n}", "struct { Base{n} path, name string }", "true"), ("Property", "path", "string", "false"), ("Property", "name", "string", "false"),
 ]))
@@ -357,9 +379,9 @@ register("ex09_go_imports", "go go_test", "name alias signature", nodes("Import"
 register("ex10_go_calls", "go go_test", "source dst_ref", edges("CALLS"),
     ("go", [("Save", "write{n}"), ("write{n}", "make"), ("write{n}", "worker{n}"), ("write{n}", "fmt.Println"), ("write{n}", "u.Check"), ("Routes{n}", "r.GET"), ("Routes{n}", "http.Post")]),
     ("go_test", [("TestWrite{n}", "t.Parallel"), ("TestWrite{n}", "write{n}"), ("TestWrite{n}", "t.Fatal"), ("BenchmarkSave{n}", "work{c}")]))
-register("ex11_go_receivers", "go", "name receiver_type pointer", lambda rows: nodes("Method", pointer="props['pointer_receiver']")(rows).where("props['receiver'] is not null"), ("go", [("Save", "Disk{n}", "True"), ("Close", "Disk{n}", "True")]))
+register("ex11_go_receivers", "go", "name receiver_type pointer", of(lambda rows: nodes("Method", pointer="props['pointer_receiver']")(rows).where("props['receiver'] is not null"), ("Method",)), ("go", [("Save", "Disk{n}", "True"), ("Close", "Disk{n}", "True")]))
 register("ex12_go_embeds", "go", "source dst_ref", edges("EMBEDS"), ("go", [("Disk{n}", "Base{n}")]))
-register("ex14_go_channels", "go", "label name element buffer direction", lambda rows: nodes("Variable", "Type", element="props['element']", buffer="props['buffer']", direction="props['direction']")(rows).where("props['kind'] = 'channel'"),
+register("ex14_go_channels", "go", "label name element buffer direction", of(lambda rows: nodes("Variable", "Type", element="props['element']", buffer="props['buffer']", direction="props['direction']")(rows).where("props['kind'] = 'channel'"), ("Variable", "Type")),
     ("go", [("Variable", "jobs", "T", "{n}", None), ("Type", "chan int", "int", None, "receive")]))
 register("ex15_go_channel_operations", "go", "source dst_ref operation", edges("USES", where="props['usage'] in ('send', 'receive', 'select')", operation="props['usage']"),
     ("go", [("write{n}", "jobs", "send"), ("worker{n}", "jobs", "receive"), ("worker{n}", "select", "select")]))
@@ -369,16 +391,11 @@ register("ex17_go_instances", "go", "source dst_ref arguments", edges("USES", wh
 register("ex18_go_packages", "go go_test", "name package", nodes("File", package="props['package']"), ("go", [("disk{n}.go", "store{r}")]), ("go_test", [("disk{n}_test.go", "store{r}")]))
 
 
-register("ex19_concurrency_patterns", "go_pool", "name evidence", lambda rows: nodes("Type", evidence="props['evidence']")(rows).where("props['kind'] = 'concurrency_pattern'"),
+register("ex19_concurrency_patterns", "go_pool", "name evidence", of(lambda rows: nodes("Type", evidence="props['evidence']")(rows).where("props['kind'] = 'concurrency_pattern'"), ("Type",)),
     ("go_pool", [("worker_pool", "in"), ("pipeline", "in,out"), ("fan_out_fan_in", "2")]))
 
 
-def _defined(rows):
-    target = rows.where("tag = 'node'").select(F.col("id").alias("dst_ref"), F.col("name").alias("target"))
-    return edges("DEFINES")(rows).join(target, "dst_ref")
-
-
-register("ex20_go_defines", "go", "source target", _defined, ("go", [("Saver{n}", "Save"), ("Saver{n}", "Close"), ("Disk{n}", "Save"), ("Disk{n}", "Close")]))
+register("ex20_go_defines", "go", "source target", edges("DEFINES", target=True), ("go", [("Saver{n}", "Save"), ("Saver{n}", "Close"), ("Disk{n}", "Save"), ("Disk{n}", "Close")]))
 register("ex21_ts_declarations", "ts", "label name is_exported:boolean line_number:int", nodes("Class", "Method", "Function", "Interface", "Type", "Enum"), ("ts", [
     ("Interface", "Card{n}Props", "true", 5), ("Type", "Key{n}", "true", 10), ("Enum", "Mode{n}", "true", 11), ("Class", "User{n}Service", "true", 14), ("Method", "constructor", "false", 15), ("Method", "load", "false", 16),
     ("Method", "plain", "false", 19), ("Function", "Card{n}", "true", 22), ("Function", "useCard{n}", "true", 26), ("Function", "guard{n}", "false", 30), ("Function", "list{n}", "false", 31),
@@ -395,12 +412,7 @@ register("ex31_ts_jsx", "ts", "source dst_ref", edges("RENDERS_JSX"), ("ts", [("
 register("ex32_ts_api_calls", "ts", "source dst_ref method", edges("CALLS_API", method="props['http_method']"), ("ts", [("load", "/py/{n}", "PUT")]))
 
 
-def _routes(rows):
-    target = rows.where("tag = 'node'").select(F.col("id").alias("dst_ref"), F.col("name").alias("target"))
-    return edges("EXPOSES_ENDPOINT", "HANDLES_ROUTE", "USES_MIDDLEWARE")(rows).join(target, "dst_ref", "left").withColumn("target", F.coalesce("target", "dst_ref"))
-
-
-register("ex33_ts_routes", "ts", "type source target", _routes, ("ts", [("EXPOSES_ENDPOINT", "list{n}", "/ts/{n}"), ("HANDLES_ROUTE", "list{n}", "/ts/{n}"), ("USES_MIDDLEWARE", "/ts/{n}", "guard{n}")]))
+register("ex33_ts_routes", "ts", "type source target", edges("EXPOSES_ENDPOINT", "HANDLES_ROUTE", "USES_MIDDLEWARE", target=True), ("ts", [("EXPOSES_ENDPOINT", "list{n}", "/ts/{n}"), ("HANDLES_ROUTE", "list{n}", "/ts/{n}"), ("USES_MIDDLEWARE", "/ts/{n}", "guard{n}")]))
 register("ex34_ts_services", "ts", "name api_service api_methods", nodes("Service", api_service="props['api_service']", api_methods="props['api_methods']"), ("ts", [("User{n}Service", "True", "load")]))
 register("ex36_ts_uses", "ts", "type source dst_ref", edges("INJECTS", "CONSUMES_SERVICE", "HAS_PROPS", "USES"), ("ts", [
     ("INJECTS", "User{n}Service", "Api{c}Service"), ("CONSUMES_SERVICE", "User{n}Service", "Api{c}Service"), ("HAS_PROPS", "Card{n}Props", "title"), ("HAS_PROPS", "Card{n}Props", "size"), ("USES", "Card{n}", "Card{n}Props"),
@@ -420,12 +432,7 @@ register("td17_ts_assertions", "ts_test", "label name kind expected", nodes("Ass
 ]))
 
 
-def _tested(rows):
-    target = rows.where("tag = 'node'").select(F.col("id").alias("dst_ref"), F.col("name").alias("target"))
-    return edges("RUNS_TEST", "GROUPS_TESTS", "ASSERTS", "TESTS_COMPONENT", "TESTS")(rows).join(target, "dst_ref", "left").withColumn("target", F.coalesce("target", "dst_ref"))
-
-
-register("td19_ts_test_edges", "ts_test", "type source target", _tested, ("ts_test", [
+register("td19_ts_test_edges", "ts_test", "type source target", edges("RUNS_TEST", "GROUPS_TESTS", "ASSERTS", "TESTS_COMPONENT", "TESTS", target=True), ("ts_test", [
     ("RUNS_TEST", "unit of {n}", "should return {n}"), ("RUNS_TEST", "unit of {n}", "renders the flow {n}"), ("ASSERTS", "should return {n}", "toBe"), ("ASSERTS", "should return {n}", "toHaveBeenCalled"),
     ("TESTS", "should return {n}", "load{n}"), ("TESTS", "renders the flow {n}", "render"), ("TESTS_COMPONENT", "renders the flow {n}", "Card{n}"),
 ]))
@@ -565,8 +572,12 @@ def component_props(spark, d):
 @query("ex35_members_by_interval", f", one as (select 1) {found('py', 'class name', [('Base{n}', 'area'), ('Base{n}', 'scale')])} union all {found('py_test', 'class name', [('TestBase{n}', 'test_integration_area')])}")
 def members(spark, d):
     """Containment by spans alone: functions inside classes."""
-    rows = extracted(spark, d, "py", "py_test").where("tag = 'node'")
-    inside = ingest.contained(rows.where("label in ('Function', 'Method', 'TestFunction')"), rows.where("label = 'Class'"))
+    from ..sources.folders import staged
+
+    kinds = ("Function", "Method", "TestFunction", "Class")
+    rows = extracted(spark, d, "py", "py_test", labels=kinds).where("tag = 'node'").select("id", "label", "name", "file_path", "start_byte", "end_byte")
+    rows = staged(rows, "members")  # asked for four times
+    inside = ingest.contained(rows.where("label <> 'Class'"), rows.where("label = 'Class'"))
     name = lambda c, k: rows.select(F.col("id").alias(c), F.col("name").alias(k), *(["file_path"] if c == "child" else []))
     return inside.join(name("child", "name"), "child").join(name("parent", "class"), "parent").select("file_path", "class", "name")
 
@@ -643,12 +654,11 @@ VARIED = {
 _VARIED_LABELS = ("Import", "Function", "Class", "Method", "Struct", "Interface", "Type", "Module", "Namespace", "Enum", "Generic")
 
 
-def varied(spark, d) -> DataFrame:
-    """files(path, content) of VARIED for each part's number."""
-    n = load(spark, d, "part").select(F.col("p_partkey").alias("n"))
-    filled = lambda text: F.replace(F.lit(text), F.lit("{n}"), F.col("n").cast("string"))
-    one = lambda path, head, parts: n.select(filled(path).alias("path"), F.concat(F.lit(head), *[F.when(F.col("n").bitwiseAND(1 << k) > 0, filled(text)).otherwise("") for k, (text, _) in enumerate(parts)]).alias("content"))
-    return reduce(DataFrame.unionByName, [one(path, head, parts) for (path, head), parts in VARIED.values()])
+def varied(spark, d, *kinds: str) -> DataFrame:
+    """files(path, content) of VARIED, of the kinds or all, for each part's number."""
+    one = lambda path, head, parts: F.struct(filled(path).alias("path"), F.concat(F.lit(head), *[F.when(F.col("n").bitwiseAND(1 << k) > 0, filled(text)).otherwise("") for k, (text, _) in enumerate(parts)]).alias("content"))
+    made = [one(path, head, parts) for (path, head), parts in (VARIED[k] for k in kinds or VARIED)]
+    return dealt(spark, d, "part", "p_partkey").select(F.explode(F.array(*made)).alias("f")).select("f.*")
 
 
 _VARIED_SQL = " union all ".join(
@@ -663,7 +673,7 @@ _VARIED_SQL = " union all ".join(
 @query("ex_varied_constructs", f", one as (select 1) {_VARIED_SQL}")
 def varied_constructs(spark, d):
     """What each file's own set of statements declares, in three languages; text that only looks like a declaration declares nothing."""
-    return ingest.extract(varied(spark, d)).where(F.col("label").isin(*_VARIED_LABELS)).select("file_path", "label", "name")
+    return ingest.extract(varied(spark, d), _VARIED_LABELS).where(F.col("label").isin(*_VARIED_LABELS)).select("file_path", "label", "name")
 
 
 _BITS = "from part where p_partkey & {0} > 0"
@@ -673,7 +683,7 @@ _BITS = "from part where p_partkey & {0} > 0"
 select 'src/vary/t' || p_partkey || '.ts' as file_path, 'Module' as label, 'lib' || p_partkey as name, true as ambient, false as is_exported {_BITS.format(1)}
 union all select 'src/vary/t' || p_partkey || '.ts', 'Namespace', 'Space' || p_partkey, false, true {_BITS.format(2)}""")
 def ts_namespaces(spark, d):
-    rows = ingest.extract(varied(spark, d)).where("label in ('Module', 'Namespace')")
+    rows = ingest.extract(varied(spark, d, "ts"), ("Module", "Namespace")).where("label in ('Module', 'Namespace')")
     return rows.select("file_path", "label", "name", (F.coalesce(F.col("props")["ambient"], F.lit("")) == "True").alias("ambient"), "is_exported")
 
 
@@ -684,13 +694,11 @@ union all select 'src/vary/t' || p_partkey || '.ts', 'parameter', 'T', 'Item' {_
 union all select 'src/vary/t' || p_partkey || '.ts', 'constraint', 'Repo' || p_partkey, 'Item' {_BITS.format(16)}""")
 def ts_generics(spark, d):
     """Type parameters with their constraints, conditional and mapped types."""
-    rows = ingest.extract(varied(spark, d)).where("file_path like '%.ts'")
-    p = F.col("props")
-    types = rows.where("label = 'Type'").withColumn("what", F.when(p["conditional"] == "True", "conditional type").when(p["mapped"] == "True", "mapped type")).where("what is not null")
-    types = types.select("file_path", "what", "name", F.when(F.col("what") == "conditional type", F.regexp_extract("type_definition", r"(\w+)\s*$", 1)).alias("detail"))
-    parameters = rows.where("label = 'Generic'").select("file_path", F.lit("parameter").alias("what"), "name", F.col("type_definition").alias("detail"))
-    constraints = edges("CONSTRAINS")(rows).select("file_path", F.lit("constraint").alias("what"), F.col("source").alias("name"), F.col("dst_ref").alias("detail"))
-    return types.unionByName(parameters).unionByName(constraints)
+    rows = with_ends(ingest.extract(varied(spark, d, "ts"), ("Type", "Generic"), ("CONSTRAINS",)), source="src_id")
+    p, kind = F.col("props"), F.coalesce("label", "type")
+    what = F.when((kind == "Type") & (p["conditional"] == "True"), "conditional type").when((kind == "Type") & (p["mapped"] == "True"), "mapped type").when(kind == "Generic", "parameter").when((kind == "CONSTRAINS") & F.col("source").isNotNull(), "constraint")
+    detail = F.when(what == "conditional type", F.regexp_extract("type_definition", r"(\w+)\s*$", 1)).when(what == "parameter", F.col("type_definition")).when(what == "constraint", F.col("dst_ref"))
+    return rows.select("file_path", what.alias("what"), F.when(what == "constraint", F.col("source")).otherwise(F.col("name")).alias("name"), detail.alias("detail")).where("what is not null")
 
 
 def sections(path, content):

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import test_rules as T
 from ..functions.scalars import basename, dirname, language
@@ -42,7 +43,6 @@ def scan(spark: SparkSession, root: str, patterns: tuple = T.IGNORED, most_bytes
 
 ROW_DDL = _OUT = f"tag string, {NODE_DDL}, type string, src_id string, dst_ref string, confidence_score double, coverage_type string, error string"
 _NAMES = [x.strip().split(" ")[0] for x in re.sub(r"map<string,string>", "map", _OUT).split(",")]
-_INTS = {"start_byte", "end_byte", "line_number", "assertion_count", "test_count", "complexity"}
 
 
 def _extract_one(path: str, content: str | None, own=None) -> list[dict]:
@@ -58,26 +58,48 @@ def _extract_one(path: str, content: str | None, own=None) -> list[dict]:
         return [{"tag": "error", "id": path, "file_path": path, "error": f"{type(e).__name__}: {e}"[:500]}]
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Tagged rows (node, edge or error) of files(path, content). A file that can't be read gives one error row."""
+#: Rows that go back to the JVM together.
+ROWS_AT_ONCE = 2000
+
+
+def _asked(rows: list[dict], labels, types) -> list[dict]:
+    """The nodes of the labels, the edges of the types, the nodes at their ends, and errors."""
+    kept = [r for r in rows if r["tag"] == "edge" and r["type"] in types]
+    ends = {r[k] for r in kept for k in ("src_id", "dst_ref")}
+    return kept + [r for r in rows if r["tag"] == "error" or r["tag"] == "node" and (r["label"] in labels or r["id"] in ends)]
+
+
+def extract(files: DataFrame, labels: tuple | None = None, types: tuple | None = None) -> DataFrame:
+    """Tagged rows (node, edge or error) of files(path, content). A file that can't be read gives one error row.
+
+    With labels or types only the nodes and edges of these leave Python, and the nodes of its file at an edge's ends. A
+    task holds the rows of one file and of one slice that goes back, however many files come to it together.
+    """
 
     def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(kinds)
+
+        def made(rows):
+            values = {f.name: [r.get(f.name) for r in rows] for f in schema}
+            values["props"] = [list((x or {}).items()) for x in values["props"]]
+            return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) for f in schema], schema=schema)
+
         for b in batches:
-            rows = [r for path, content in zip(b["path"], b["content"]) for r in _extract_one(path, content)]
-            if not rows:
-                continue
-            out = {}
-            for n in _NAMES:
-                v = [r.get(n) for r in rows]
-                if n in _INTS:
-                    out[n] = pd.array(v, dtype="Int64")
-                elif n == "props":
-                    out[n] = pd.Series([x or {} for x in v], dtype=object)
-                else:
-                    out[n] = pd.Series(v, dtype=object)
-            yield pd.DataFrame(out)
-
-    return files.select("path", "content").mapInPandas(run, _OUT)
+            rows = []
+            for path, content in zip(b.column("path"), b.column("content")):
+                found = _extract_one(path.as_py(), content.as_py())
+                rows += found if labels is None and types is None else _asked(found, labels or (), types or ())
+                while len(rows) >= ROWS_AT_ONCE:
+                    yield made(rows[:ROWS_AT_ONCE])
+                    rows = rows[ROWS_AT_ONCE:]
+            if rows:
+                yield made(rows)
+
+    kinds = StructType.fromDDL(_OUT)
+    return files.select("path", "content").mapInArrow(run, _OUT)
 
 
 def imports_of(nodes: DataFrame) -> DataFrame:
