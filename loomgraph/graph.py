@@ -63,7 +63,11 @@ class Graph:
 
     @staticmethod
     def read(spark, path: str) -> Graph:
-        return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+        nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/satisfied")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return Graph(nodes, edges)
+        return BuiltGraph(nodes, edges, tuple(spark.read.parquet(f"{path}/satisfied/{k}") for k in BuiltGraph.PARTS))
 
     def add_nodes(self, nodes: DataFrame) -> Graph:
         """With more nodes; an id that is there keeps its node."""
@@ -98,6 +102,33 @@ class Graph:
         return run(self, query, params)
 
 
+class BuiltGraph(Graph):
+    """A graph whose structs' IMPLEMENTS are held, and stored, between classes of structs and of interfaces with their members.
+
+    Structs times interfaces may be as many edges as the square of the tree. They
+    are made where edges of that type, or all, are asked for; plans that ask for
+    other types don't have them.
+    """
+
+    PARTS = ("structs", "interfaces", "links")
+
+    def __init__(self, nodes: DataFrame, listed: DataFrame, classes: tuple):
+        from .sources.derive import expanded
+
+        met = expanded(*classes)
+        implements = conform(met, EDGE_DDL, id=F.concat(F.lit("i:"), "struct", F.lit(":"), "interface"), type=F.lit("IMPLEMENTS"), src_id=F.col("struct"), dst_id=F.col("interface"), src_label=F.lit("Struct"), dst_label=F.lit("Interface"))
+        if "call_sites" in listed.columns:  # stored edges were merged by write()
+            implements = implements.withColumn("call_sites", F.lit(1).cast("bigint"))
+        super().__init__(nodes, listed.unionByName(implements))
+        self.listed, self.classes = listed, classes
+
+    def write(self, path: str, mode: str = "overwrite") -> None:
+        """As Graph's, with the classes in a folder of their own in place of their edges."""
+        Graph(self.nodes, self.listed.drop("call_sites")).write(path, mode)
+        for name, part in zip(self.PARTS, self.classes):
+            part.write.mode(mode).parquet(f"{path}/satisfied/{name}")
+
+
 class PartedGraph(Graph):
     """A graph of which each label and each type is made when it is asked for, so a plan has the parts that it needs and no others.
 

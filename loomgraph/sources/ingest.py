@@ -12,11 +12,11 @@ from pyspark.sql.types import StructType
 
 from ..functions import test_rules as T
 from ..functions.scalars import basename, dirname, language
-from ..graph import Graph
+from ..graph import BuiltGraph, Graph
 from ..operators import resolve as R
 from ..schema import EDGE_DDL, NODE_DDL, RAW_EDGE_DDL, conform
 from . import linking as L
-from .derive import indirect_covers, satisfied
+from .derive import indirect_covers, satisfied_classes
 from .folders import shared_dir, staged
 from .tree import listing, with_content
 
@@ -146,7 +146,8 @@ def imports_of(nodes: DataFrame) -> DataFrame:
 def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     """(graph, rejected edges, errors) of extracted rows: names resolved, also through imports and re-exports; containment, imports, API calls to endpoints, interface satisfaction and indirect coverage derived.
 
-    Nodes and edges are written once, so what is asked of the graph doesn't resolve it again.
+    Nodes and edges are written once, so what is asked of the graph doesn't resolve it again. Interface satisfaction is
+    held by classes and expanded where it is asked for.
     """
     nodes = rows.where("tag = 'node'").select(*[x for x in _NAMES if x in {c.split(" ")[0] for c in re.sub(r"map<string,string>", "map", NODE_DDL).split(", ")}])
     nodes = staged(conform(nodes.dropDuplicates(["id"]), NODE_DDL), "nodes")
@@ -167,14 +168,13 @@ def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     own = nodes.where("label = 'Method' and receiver_type is not null and language = 'go'")
     structs = nodes.where("label = 'Struct'").select(F.col("name").alias("receiver_type"), F.col("id").alias("struct"))
     interfaces = nodes.where("label = 'Interface' and language = 'go'").select(F.col("id").alias("parent_id"), F.col("id").alias("interface"))
-    met = satisfied(own.where("parent_id is null").join(structs, "receiver_type").select("struct", F.col("name").alias("method")), own.join(interfaces, "parent_id").select("interface", F.col("name").alias("method")))
-    implements = conform(met, EDGE_DDL, id=F.concat(F.lit("i:"), "struct", F.lit(":"), "interface"), type=F.lit("IMPLEMENTS"), src_id=F.col("struct"), dst_id=F.col("interface"), src_label=F.lit("Struct"), dst_label=F.lit("Interface"))
+    classes = satisfied_classes(own.where("parent_id is null").join(structs, "receiver_type").select("struct", F.col("name").alias("method")), own.join(interfaces, "parent_id").select("interface", F.col("name").alias("method")))
     tests, calls = edges.where("type = 'TESTS'"), edges.where("type = 'CALLS'")
     labels = nodes.select(F.col("id").alias("dst_id"), F.col("label").alias("dst_label"))
     sources = nodes.select(F.col("id").alias("src_id"), F.col("label").alias("src_label"))
     through = indirect_covers(tests, calls).join(labels, "dst_id").join(sources, "src_id")
     through = conform(through, EDGE_DDL, id=F.concat(F.lit("c:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("COVERS"), coverage_type=F.lit("indirect"))
-    return Graph(nodes, staged(edges.unionByName(implements).unionByName(through).unionByName(asked), "edges")), rejected, rows.where("tag = 'error'").select("file_path", "error")
+    return BuiltGraph(nodes, edges.unionByName(staged(through.unionByName(asked), "edges")), classes), rejected, rows.where("tag = 'error'").select("file_path", "error")
 
 
 def build_graph(spark: SparkSession, root: str, to: str | None = None) -> tuple[Graph, DataFrame, DataFrame]:

@@ -49,3 +49,20 @@ def test_rows_leave_extraction_in_slices(spark, monkeypatch):
 
     ingest.extract(Files())
     assert max(b.num_rows for b in held) == 10 and sum(b.num_rows for b in held) == 62
+
+
+def test_satisfaction_is_held_by_classes(spark, tmp_path):
+    """n structs and n interfaces of equal methods are one link, not n * n edges, also at rest; read edges are all there."""
+    from loomgraph.graph import Graph
+    from loomgraph.sources.folders import staged
+
+    one = "package p\ntype S{0} struct {{}}\nfunc (s S{0}) Save() {{}}\nfunc (s S{0}) Close() {{}}\ntype I{0} interface {{\n\tSave()\n\tClose()\n}}\ntype J{0} interface {{\n\tSave()\n\tOther()\n}}\n"
+    files = spark.createDataFrame([(f"a/f{n}.go", one.format(n)) for n in range(12)], "path string, content string")
+    g, _, _ = ingest.graph_of(staged(ingest.extract(files), "rows"))
+    assert g.classes[2].count() == 1 and g.listed.where("type = 'IMPLEMENTS'").isEmpty()
+    assert g.rel("IMPLEMENTS").select("src_id", "dst_id").distinct().count() == g.rel("IMPLEMENTS").count() == 144
+    assert "Join" not in plan_of(g.rel("CALLS", "TESTS"))
+    g.write(str(tmp_path / "g"))
+    back = Graph.read(spark, str(tmp_path / "g"))
+    key = lambda x: sorted(map(tuple, x.edges.select("type", "src_id", "dst_id", "src_label", "dst_label").distinct().collect()))
+    assert key(back) == key(g) and not (tmp_path / "g/edges/type=IMPLEMENTS").exists()
