@@ -1,8 +1,11 @@
 """Search over a stored tree by trigrams: files that can't match aren't read.
 
-Files are stored by a bucket of their path, postings (trigram, path) by a bucket
-of the trigram; both are kept up by change. A pattern gives a Boolean query over
-trigrams that every match must hold; a pattern without any reads all files.
+Files are stored by a bucket of their path. Their postings lie in the same
+bucket: segments of lists, sorted by trigram, each of the files that a task of
+the bucket indexed, so an index is written without a row for each trigram of
+each file being moved. A change rewrites its files' buckets. A pattern gives a
+Boolean query over trigrams that every match must hold, and of the postings only
+the lists of these are read; a pattern without any reads all files.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from ..sources.folders import staged
 from ..streaming.store import BucketStore, latest
 from .search import search_lines
 
-FILES, POSTINGS = "path string, content string", "gram string, path string"
+FILES, POSTINGS = "path string, content string", "gram string, paths array<string>"
+#: Segments of a bucket, which are as many tasks.
+SEGMENTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -104,12 +109,12 @@ def _matching(postings: DataFrame, query) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "path", "left_semi"), parts)
 
 
-def postings_of(files: DataFrame) -> DataFrame:
-    """(gram, path): the distinct trigrams of each file's lines, A to Z in lower case."""
+def postings_of(files: DataFrame, *carry: str) -> DataFrame:
+    """(gram, path): the distinct trigrams of each file's lines, A to Z in lower case; columns of the file may come with them."""
     # an array of characters, since a place in a text is found from its beginning
-    chars = files.select("path", F.split(F.translate("content", UPPER, LOWER), "").alias("c"))
+    chars = files.select("path", *carry, F.split(F.translate("content", UPPER, LOWER), "").alias("c"))
     runs = F.when(F.size("c") >= 3, F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).otherwise(F.array().cast("array<string>"))
-    return chars.select("path", F.explode(F.array_distinct(runs)).alias("gram")).select("gram", "path")
+    return chars.select("path", *carry, F.explode(F.array_distinct(runs)).alias("gram")).select("gram", "path", *carry)
 
 
 def update_index(spark, path: str, number: int, changed: DataFrame, files: DataFrame, buckets: int = 64) -> BucketStore:
@@ -118,14 +123,13 @@ def update_index(spark, path: str, number: int, changed: DataFrame, files: DataF
     changed = staged(changed.select("path").distinct(), "changed")
     at = store.touched(changed, "path")
     new = staged(files.select("path", "content").where("content is not null").join(changed, "path", "left_semi").dropDuplicates(["path"]), "files")
-    old = store.read("files", FILES, at)
-    delta = lambda rows, n: postings_of(rows).withColumn("n", F.lit(n))
-    before = delta(old.join(changed, "path", "left_semi"), -1)
-    differ = staged(before.unionByName(delta(new, 1)).groupBy("gram", "path").agg(F.sum("n").alias("n")).where("n <> 0"), "postings")
-    touched = store.touched(differ, "gram")
-    kept = store.read("postings", POSTINGS, touched).join(differ.where("n < 0").select("gram", "path"), ["gram", "path"], "left_anti")
-    store.put("postings", kept.select("gram", "path").unionByName(differ.where("n > 0").select("gram", "path")), touched, "gram")
-    store.put("files", old.join(changed, "path", "left_anti").select("path", "content").unionByName(new.select("path", "content")), at, "path")
+    old = store.read("files", FILES, at).join(changed, "path", "left_anti").select("path", "content")
+    store.put("files", old.unionByName(new), at, "path")
+    # a segment's files meet in one task, so its lists are made there
+    segment = F.pmod(F.xxhash64("path", F.lit(SEGMENTS)), F.lit(SEGMENTS))
+    parted = store.read("files", FILES, at).withColumns({"bucket": store.bucket("path"), "segment": segment}).repartition("bucket", "segment")
+    lists = postings_of(parted, "bucket", "segment").groupBy("bucket", "segment", "gram").agg(F.collect_list("path").alias("paths"))
+    store.put("postings", lists.select("gram", "paths", "bucket").sortWithinPartitions("bucket", "gram"), at)
     store.commit()
     return store
 
@@ -136,7 +140,7 @@ def search(spark, path: str, pattern: str, regex: bool = False, glob: str | None
     query = query_of(pattern, regex)
     if query is None:
         return search_lines(store.read("files", FILES), pattern, regex=regex, glob=glob, most=most)
-    asked = spark.createDataFrame([(g,) for g in grams_in(query)], "gram string")
-    found = staged(_matching(store.read("postings", POSTINGS, store.touched(asked, "gram")), query), "found")
+    asked = store.read("postings", POSTINGS).where(F.col("gram").isin(*grams_in(query))).select("gram", F.explode("paths").alias("path"))
+    found = staged(_matching(asked, query).distinct(), "found")
     files = store.read("files", FILES, store.touched(found, "path")).join(found, "path", "left_semi")
     return search_lines(files, pattern, regex=regex, glob=glob, most=most)

@@ -62,11 +62,12 @@ class BucketStore:
         return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
 
     def put(self, table: str, rows: DataFrame, touched: list[int], *key: str) -> None:
-        """rows stand for the touched buckets of a table from now on."""
+        """rows stand for the touched buckets of a table from now on. Without key columns rows have the column bucket and are dealt by it already."""
         if not touched:
             return
         at = f"{self.path}/v{self.number}/{table}"
-        rows.withColumn("bucket", self.bucket(*key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        dealt = rows.withColumn("bucket", self.bucket(*key)).repartition("bucket") if key else rows
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(at)
         fs, p = _file(self.spark, at)
         left = {x.getPath().getName()[7:] for x in fs.listStatus(p) if x.getPath().getName().startswith("bucket=")}
         self.now.setdefault(table, {}).update({str(b): self.number if str(b) in left else -1 for b in touched})

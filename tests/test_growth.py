@@ -66,3 +66,17 @@ def test_satisfaction_is_held_by_classes(spark, tmp_path):
     back = Graph.read(spark, str(tmp_path / "g"))
     key = lambda x: sorted(map(tuple, x.edges.select("type", "src_id", "dst_id", "src_label", "dst_label").distinct().collect()))
     assert key(back) == key(g) and not (tmp_path / "g/edges/type=IMPLEMENTS").exists()
+
+
+def test_postings_are_lists_beside_their_files(spark, tmp_path):
+    """One row for each trigram of a segment, not one for each trigram of a file, and only changed files' buckets are written again."""
+    from loomgraph.plans import text_index
+
+    frame = lambda text: spark.createDataFrame([(f"f{i}", text) for i in range(200)], "path string, content string")
+    store = text_index.update_index(spark, str(tmp_path), 0, frame("abcdef"), frame("abcdef"), 2)
+    lists = store.read("postings", text_index.POSTINGS)
+    assert lists.count() <= 4 * 2 * text_index.SEGMENTS
+    assert lists.selectExpr("explode(paths) as p").count() == 800
+    store = text_index.update_index(spark, str(tmp_path), 1, frame("").limit(1), frame("xyz").limit(1), 2)
+    assert sorted(store.now["postings"].values()) == [0, 1] and sorted(store.now["files"].values()) == [0, 1]
+    assert text_index.search(spark, str(tmp_path), "xyz", most=None).count() == 1 and text_index.search(spark, str(tmp_path), "cde", most=None).count() == 199
