@@ -98,23 +98,24 @@ def chosen(asked: DataFrame, best: DataFrame, cross_file: bool = True) -> DataFr
     return found.groupBy("edge").agg(F.min(F.struct("rank", "label_rank", "best.file_path", "best.start_byte", "best.id", "label", "strategy")).alias("c"))
 
 
-def slim(nodes: DataFrame) -> DataFrame:
-    """What resolution needs of nodes, ids once."""
-    return nodes.where("id is not null").dropDuplicates(["id"]).select("id", "label", "name", "file_path", "start_byte", "receiver_type", "parent_id", dirname(F.col("file_path")).alias("package"))
+def slim(nodes: DataFrame, unique: bool = False) -> DataFrame:
+    """What resolution needs of nodes, ids once; unique: they are already."""
+    there = nodes.where("id is not null")
+    return (there if unique else there.dropDuplicates(["id"])).select("id", "label", "name", "file_path", "start_byte", "receiver_type", "parent_id", dirname(F.col("file_path")).alias("package"))
 
 
-def resolve(raw: DataFrame, nodes: DataFrame, cross_file: bool = True, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(raw: DataFrame, nodes: DataFrame, cross_file: bool = True, bound: DataFrame | None = None, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """(resolved, rejected) for raw(id, type, src_id, dst_ref, ...); id names an edge and is unique.
 
     resolved has raw's columns with dst_id, src_label, dst_label, strategy and
     cross_file_edge; rejected has raw's columns with reason. A null or unknown
     reference is rejected, never lost. Each edge is looked up under its scopes,
     nine at most, in one join with one table of candidates. bound(file_path,
-    ref, id) says what a name that a file imports stands for.
+    ref, id) says what a name that a file imports stands for. unique: the nodes' ids are known to be there once.
     """
     spark = raw.sparkSession
     columns = raw.columns
-    n = staged(slim(nodes), "nodes")
+    n = staged(slim(nodes, unique), "nodes")
     src = n.select(F.col("id").alias("src_id"), F.col("label").alias("src_label"), F.col("file_path").alias("src_file"), F.col("package").alias("src_package"))
     edges = staged(raw.join(src, "src_id", "left").select(*columns, "src_label", "src_file", "src_package"), "edges")
     keys = keys_of(n, nodes)

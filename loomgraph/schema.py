@@ -130,7 +130,9 @@ def edge_schema(spark: SparkSession) -> DataFrame:
 def allowed_pairs(spark: SparkSession) -> DataFrame:
     """(type, src_label, dst_label): the fixed pairs and the added ones; bounded by the tables above."""
     added = {(t, s, d) for t, (sources, targets) in ADDED_PAIRS.items() for s in sources for d in targets}
-    return spark.createDataFrame(sorted(added | {(t, s, d) for t in EDGE_TYPES for s, d in connections(t)}), "type string, src_label string, dst_label string")
+    pairs = sorted(added | {(t, s, d) for t in EDGE_TYPES for s, d in connections(t)})
+    # as values in SQL: rows of Python objects would start a Python worker beside each task's own
+    return spark.sql("select * from values " + ", ".join(map(str, pairs)) + " as v(type, src_label, dst_label)")
 
 
 def label_ranks(spark: SparkSession) -> DataFrame:

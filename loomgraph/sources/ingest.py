@@ -143,15 +143,27 @@ def imports_of(nodes: DataFrame) -> DataFrame:
     return first(py).unionByName(ts).unionByName(go).where("src_id <> dst_id").distinct()
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows with each node's and each edge's id once. Only ids are counted; whole rows are sorted only where some id is repeated."""
+    rows = rows.where("tag in ('node', 'edge')")
+    repeated = staged(rows.groupBy("tag", "id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    same = repeated.select(F.col("tag").alias("_tag"), F.col("id").alias("_id"))
+    on = (F.col("tag") == F.col("_tag")) & F.col("id").eqNullSafe(F.col("_id"))
+    return rows.join(same, on, "left_anti").unionByName(rows.join(same, on, "left_semi").dropDuplicates(["tag", "id"]))
+
+
 def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     """(graph, rejected edges, errors) of extracted rows: names resolved, also through imports and re-exports; containment, imports, API calls to endpoints, interface satisfaction and indirect coverage derived.
 
     Nodes and edges are written once, so what is asked of the graph doesn't resolve it again. Interface satisfaction is
     held by classes and expanded where it is asked for.
     """
-    nodes = rows.where("tag = 'node'").select(*[x for x in _NAMES if x in {c.split(" ")[0] for c in re.sub(r"map<string,string>", "map", NODE_DDL).split(", ")}])
-    nodes = staged(conform(nodes.dropDuplicates(["id"]), NODE_DDL), "nodes")
-    raw = conform(rows.where("tag = 'edge'"), RAW_EDGE_DDL).dropDuplicates(["id"])
+    given = once(rows)
+    nodes = given.where("tag = 'node'").select(*[x for x in _NAMES if x in {c.split(" ")[0] for c in re.sub(r"map<string,string>", "map", NODE_DDL).split(", ")}])
+    nodes = staged(conform(nodes, NODE_DDL), "nodes")
+    raw = conform(given.where("tag = 'edge'"), RAW_EDGE_DDL)
     held = nodes.where("label <> 'File'").select("id", "label", "file_path")
     in_file = conform(held, EDGE_DDL, id=F.concat(F.lit("f:"), "id"), type=F.lit("Contains"), src_id=F.col("file_path"), dst_id=F.col("id"), src_label=F.lit("File"), dst_label=F.col("label"))
     parents = nodes.select(F.col("id").alias("parent_id"), F.col("label").alias("src_label"))
@@ -159,7 +171,7 @@ def graph_of(rows: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     in_parent = conform(in_parent, EDGE_DDL, id=F.concat(F.lit("p:"), "id"), type=F.lit("Contains"), src_id=F.col("parent_id"), dst_id=F.col("id"), src_label=F.col("src_label"), dst_label=F.col("label"))
     linked = staged(L.placed(L.re_exports(raw, nodes), nodes), "references")
     importing = nodes.where("label = 'Import' and language in ('typescript', 'javascript') and name like '.%'")
-    resolved, rejected = R.resolve(linked, nodes, bound=None if importing.isEmpty() else L.bindings(nodes, raw))
+    resolved, rejected = R.resolve(linked, nodes, bound=None if importing.isEmpty() else L.bindings(nodes, raw), unique=True)
     resolved, rejected = L.turned(resolved), rejected.where("not optional").drop("optional")
     imported = conform(imports_of(nodes), EDGE_DDL, id=F.concat(F.lit("m:"), "src_id", F.lit(":"), "dst_id"), type=F.lit("IMPORTS"), src_label=F.lit("File"), dst_label=F.lit("File"), file_path=F.col("src_id"))
     edges = staged(conform(resolved, EDGE_DDL).unionByName(in_file).unionByName(in_parent).unionByName(imported), "edges")

@@ -37,14 +37,16 @@ def placed(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     found = raw.where(F.col("type").isin(*AT_PLACE)).join(there, ["file_path", "start_byte"]).where(F.try_element_at(label, F.concat("type", F.lit(" "), "_label")))
     # a call's element is named by its function; the others by the reference, an element perhaps with what is before its dot
     found = found.where((F.col("type") == "CALLS_API") | (F.col("_name") == F.col("dst_ref")) | F.endswith("_name", F.concat(F.lit("."), "dst_ref")))
-    joined = raw.join(found.groupBy("id").agg(F.min("_at").alias("_at")), "id", "left")
+    sought = F.coalesce(F.col("type").isin(*AT_PLACE), F.lit(False))
+    joined = raw.where(sought).join(found.groupBy("id").agg(F.min("_at").alias("_at")), "id", "left")
     turned = (F.col("type") == "DECORATES") & F.col("_at").isNotNull()
     out = joined.withColumns({"dst_ref": F.when(turned, F.col("src_id")).otherwise(F.coalesce("_at", "dst_ref")), "src_id": F.when(turned, F.col("_at")).otherwise(F.col("src_id"))})
     more = lambda df, kind, **columns: df.withColumns({"id": F.concat(F.lit(f"{kind}:"), "id"), **columns}).select(*raw.columns, F.lit(True).alias("optional"))
     definitions = more(joined.where(F.col("type").isin(*DEFINED) & F.col("_at").isNotNull()), "d")
     decorators = more(raw.where("type = 'DECORATES'"), "d", type=F.lit("DECORATED_BY"))
     handlers = more(raw.where("type = 'EXPOSES_ENDPOINT' and props['handler'] is not null"), "h", type=F.lit("EXPOSED_BY"), src_id=F.col("dst_ref"), dst_ref=F.col("props")["handler"])
-    return out.select(*raw.columns, F.lit(False).alias("optional")).unionByName(definitions).unionByName(decorators).unionByName(handlers)
+    out = out.select(*raw.columns).unionByName(raw.where(~sought)).withColumn("optional", F.lit(False))
+    return out.unionByName(definitions).unionByName(decorators).unionByName(handlers)
 
 
 def turned(resolved: DataFrame) -> DataFrame:
@@ -141,8 +143,9 @@ def bindings(nodes: DataFrame, raw: DataFrame, exports: DataFrame | None = None)
 def re_exports(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """raw with the modules of RE_EXPORTS as the files that they name; a module outside of the tree stays as it is."""
     files = nodes.where("label = 'File'").select("file_path")
-    found = modules(raw.where("type = 'RE_EXPORTS'").select("file_path", F.col("dst_ref").alias("module")), files).withColumnRenamed("module", "dst_ref").withColumn("type", F.lit("RE_EXPORTS"))
-    return raw.join(found, ["type", "file_path", "dst_ref"], "left").withColumn("dst_ref", F.coalesce("to", "dst_ref")).select(*raw.columns)
+    found = modules(raw.where("type = 'RE_EXPORTS'").select("file_path", F.col("dst_ref").alias("module")), files).withColumnRenamed("module", "dst_ref")
+    own = F.col("type").eqNullSafe(F.lit("RE_EXPORTS"))
+    return raw.where(own).join(found, ["file_path", "dst_ref"], "left").withColumn("dst_ref", F.coalesce("to", "dst_ref")).select(*raw.columns).unionByName(raw.where(~own))
 
 
 def endpoint_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:

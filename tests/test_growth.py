@@ -6,6 +6,7 @@ import pytest
 
 from loomgraph.plans import extraction, queries
 from loomgraph.sources import ingest
+from loomgraph.sources.folders import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,31 @@ def test_postings_are_lists_beside_their_files(spark, tmp_path):
     store = text_index.update_index(spark, str(tmp_path), 1, frame("").limit(1), frame("xyz").limit(1), 2)
     assert sorted(store.now["postings"].values()) == [0, 1] and sorted(store.now["files"].values()) == [0, 1]
     assert text_index.search(spark, str(tmp_path), "xyz", most=None).count() == 1 and text_index.search(spark, str(tmp_path), "cde", most=None).count() == 199
+
+
+def test_rows_that_are_there_once_are_not_sorted(spark):
+    """Whole rows are sorted for their ids only where one is repeated; then each is there once, as before."""
+    files = spark.createDataFrame([("a.ts", "export function f() { return g(); }\nfunction g() {}\n"), ("b.ts", "export { f } from './a';\n")], "path string, content string")
+    rows = staged(ingest.extract(files), "rows")
+    assert not any(x in plan_of(ingest.once(rows)) for x in ("Join", "Aggregate"))
+    again = staged(rows.unionByName(rows), "rows")
+    key = lambda df: sorted((r.tag, r.id) for r in df.collect())
+    assert key(ingest.once(again)) == key(ingest.once(rows)) == sorted({(r.tag, r.id) for r in rows.collect()})
+    one, two = ingest.graph_of(rows)[0], ingest.graph_of(again)[0]
+    pairs = lambda g: sorted(map(tuple, g.edges.select("type", "src_id", "dst_id").collect()))
+    assert pairs(one) == pairs(two) and one.nodes.count() == two.nodes.count()
+
+
+def test_references_join_only_what_is_sought(spark):
+    """Edges of types without a node at their place pass by the joins, and the schema's pairs start no Python worker."""
+    from loomgraph.schema import allowed_pairs
+    from loomgraph.sources import linking
+
+    files = spark.createDataFrame([("a.tsx", "export function P(p) { return <div/>; }\n"), ("b.tsx", "export * from './a';\nfunction q() { return <P x='1'/>; }\nq();\n")], "path string, content string")
+    rows = staged(ingest.extract(files), "rows")
+    nodes, raw = rows.where("tag = 'node'"), rows.where("tag = 'edge'").select("id", "type", "src_id", "dst_ref", "file_path", "start_byte", "props")
+    out, count = linking.placed(raw, nodes), lambda df: sorted((r.id, r.type) for r in df.collect())
+    assert count(out.where("not optional")) == count(raw) == count(linking.re_exports(raw, nodes))
+    left = plan_of(out).split("Join LeftOuter")[1]
+    assert "RENDERS_JSX" in left.split("Relation")[0]
+    assert "ExistingRDD" not in plan_of(allowed_pairs(spark)) and "LogicalRDD" not in plan_of(allowed_pairs(spark))
