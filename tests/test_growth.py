@@ -109,3 +109,20 @@ def test_references_join_only_what_is_sought(spark):
     left = plan_of(out).split("Join LeftOuter")[1]
     assert "RENDERS_JSX" in left.split("Relation")[0]
     assert "ExistingRDD" not in plan_of(allowed_pairs(spark)) and "LogicalRDD" not in plan_of(allowed_pairs(spark))
+
+
+def test_pairs_of_few_values_are_dealt_to_many_tasks(spark):
+    """Where one name is shared by all rows its pairs are many tasks' work; each is there as often as in a join, null meets nothing."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.patterns import every_pair
+
+    a = spark.createDataFrame([(i % 97, "x" if i < 100 else None if i < 110 else "y") for i in range(120)], "a long, name string")
+    b = spark.createDataFrame([(i, "x" if i < 50 else None if i < 60 else "z") for i in range(70)], "b long, name string")
+    got = every_pair(a, b, "name", 8, 16)
+    key = lambda df: sorted((r.name, r.a, r.b) for r in df.collect())
+    assert got.columns == ["name", "a", "b"] and key(got) == key(a.join(b, "name"))
+    rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 5000 and len(rows) > 8 and max(rows) < 2500
+    for name in ("j21_tests_by_target_name",):
+        assert plan_of(queries()[name](spark, SF)).count("RepartitionByExpression [") == 2
