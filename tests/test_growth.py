@@ -124,5 +124,5 @@ def test_pairs_of_few_values_are_dealt_to_many_tasks(spark):
     assert got.columns == ["name", "a", "b"] and key(got) == key(a.join(b, "name"))
     rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == 5000 and len(rows) > 8 and max(rows) < 2500
-    for name in ("j21_tests_by_target_name",):
+    for name in ("j21_tests_by_target_name", "j22_tests_api"):
         assert plan_of(queries()[name](spark, SF)).count("RepartitionByExpression [") == 2
