@@ -126,3 +126,20 @@ def test_pairs_of_few_values_are_dealt_to_many_tasks(spark):
     assert sum(rows) == 5000 and len(rows) > 8 and max(rows) < 2500
     for name in ("j21_tests_by_target_name", "j22_tests_api"):
         assert plan_of(queries()[name](spark, SF)).count("RepartitionByExpression [") == 2
+
+
+def test_pairs_come_by_lists_and_are_small_in_files(spark, tmp_path):
+    """Equal rows and nulls keep their number, a condition is asked of lists, no task has most pairs, and a file of them takes few bits for each."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.patterns import every_pair
+
+    a = spark.range(4000).select(F.concat(F.lit("x"), F.col("id") % 2).alias("name"), F.concat(F.lit("test:"), F.col("id") % 3997).alias("a"), (F.col("id") % 3).alias("la"))
+    b = spark.range(4000).select(F.concat(F.lit("x"), F.col("id") % 2).alias("name"), F.when(F.col("id") != 7, F.concat(F.lit("fn:"), "id")).alias("b"), (F.col("id") % 3).alias("lb"))
+    got = every_pair(a, b, "name", 4, 4, alike=("la", "lb"), where="la <> lb")
+    sums = lambda df: df.agg(F.count("*"), F.count("b"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first()
+    assert got.columns == ["name", "a", "la", "b", "lb"] and sums(got) == sums(a.join(b, "name").where("la <> lb"))
+    got.select("a", "b").write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * got.count()
+    dealt = [r["count"] for r in every_pair(a, b, "name", 4, 4).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(dealt) == 8_000_000 and max(dealt) < 2_000_000
