@@ -1,9 +1,9 @@
 """Search over a stored tree by trigrams: files that can't match aren't read.
 
 Files are stored by a bucket of their path. Their postings lie in the same
-bucket: segments of lists, sorted by trigram, each of the files that a task of
-the bucket indexed, so an index is written without a row for each trigram of
-each file being moved. A change rewrites its files' buckets. A pattern gives a
+bucket: segments of lists, sorted by trigram, each of the files that a task
+read, so an index is written without a row for each trigram of each file, and
+without moving files again. A change rewrites its files' buckets. A pattern gives a
 Boolean query over trigrams that every match must hold, and of the postings only
 the lists of these are read; a pattern without any reads all files.
 """
@@ -11,8 +11,11 @@ the lists of these are read; a pattern without any reads all files.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,10 @@ from ..streaming.store import BucketStore, latest
 from .search import search_lines
 
 FILES, POSTINGS = "path string, content string", "gram string, paths array<string>"
-#: Segments of a bucket, which are as many tasks.
+#: Parts of a bucket, which are written by as many tasks.
 SEGMENTS = 16
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters indexed at once; postings that a task holds before it lists them; postings in a batch of lists.
+CHARS_AT_ONCE, MOST_POSTINGS, POSTINGS_AT_ONCE = 1 << 21, 1 << 22, 1 << 16
 
 
 def _and(parts: list):
@@ -109,12 +113,87 @@ def _matching(postings: DataFrame, query) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "path", "left_semi"), parts)
 
 
-def postings_of(files: DataFrame, *carry: str) -> DataFrame:
-    """(gram, path): the distinct trigrams of each file's lines, A to Z in lower case; columns of the file may come with them."""
-    # an array of characters, since a place in a text is found from its beginning
-    chars = files.select("path", *carry, F.split(F.translate("content", UPPER, LOWER), "").alias("c"))
-    runs = F.when(F.size("c") >= 3, F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).otherwise(F.array().cast("array<string>"))
-    return chars.select("path", *carry, F.explode(F.array_distinct(runs)).alias("gram")).select("gram", "path", *carry)
+def _postings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram as three code points of 21 bits, text's number) for the distinct trigrams of each text, A to Z in lower case."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
+    there = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    there[codes] = True
+    alphabet = np.flatnonzero(there).astype(np.uint64)
+    n = len(alphabet)
+    if len(texts) > 1 and n**3 * len(texts) >= 1 << 63:  # more letters than a number holds for so many texts
+        middle = len(texts) // 2
+        (a, x), (b, y) = _postings(texts[:middle]), _postings(texts[middle:])
+        return np.concatenate([a, b]), np.concatenate([x, y + middle])
+    letters = (np.cumsum(there) - 1)[codes]
+    text = np.repeat(np.arange(len(texts)), lengths)
+    inside = text[2:] == text[:-2]
+    pairs = (((text[:-2] * n + letters[:-2]) * n + letters[1:-1]) * n + letters[2:])[inside]
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    text, gram = np.divmod(pairs, max(n, 1) ** 3)
+    part = lambda k: alphabet[gram // n**k % n]
+    return (part(2) << np.uint64(42)) | (part(1) << np.uint64(21)) | part(0), text
+
+
+def _lists(paths: list[str], buckets: np.ndarray, grams: np.ndarray, files: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket and trigram, in this order, with its files' paths."""
+    order = np.lexsort((grams, buckets[files]))
+    grams, files = grams[order], files[order]
+    of = buckets[files]
+    starts = np.flatnonzero(np.append(True, (np.diff(grams) != 0) | (np.diff(of) != 0)))
+    ends, names = np.append(starts[1:], len(grams)), pa.array(paths, pa.string())
+    k = 0
+    while k < len(starts):
+        until = max(k + 1, int(np.searchsorted(ends, starts[k] + POSTINGS_AT_ONCE, "right")))
+        first, last = starts[k], ends[until - 1]
+        g = grams[starts[k:until]]
+        text = np.stack([g >> np.uint64(42), g >> np.uint64(21), g], 1).astype(np.uint64) & np.uint64((1 << 21) - 1)
+        text = text.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        offsets = np.append(starts[k:until], last) - first
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(files[first:last])))
+        yield pa.record_batch({"bucket": pa.array(of[starts[k:until]], pa.int32()), "gram": pa.array([text[x : x + 3] for x in range(0, len(text), 3)], pa.string()), "paths": lists})
+        k = until
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of the files of a task, of at most about MOST_POSTINGS each time. Batches have path, content, bucket."""
+    paths, buckets, held, n = [], [], [], 0
+    texts, size, first = [], 0, 0
+
+    def indexed():
+        nonlocal texts, size, first, n
+        if texts:
+            grams, text = _postings(texts)
+            held.append((grams, text + first))
+            n += len(grams)
+        texts, size, first = [], 0, len(paths)
+
+    def listed():
+        nonlocal paths, buckets, held, n, first
+        if n:
+            yield from _lists(paths, np.array(buckets, np.int32), *(np.concatenate(x) for x in zip(*held)))
+        paths, buckets, held, n, first = [], [], [], 0, 0
+
+    for batch in batches:
+        for path, content, bucket in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("bucket").to_pylist()):
+            text = content.as_py() or ""
+            paths.append(path)
+            buckets.append(bucket)
+            texts.append(text)
+            size += len(text)
+            if size >= CHARS_AT_ONCE:
+                indexed()
+                if n >= MOST_POSTINGS:
+                    yield from listed()
+    indexed()
+    yield from listed()
+
+
+def postings_of(files: DataFrame) -> DataFrame:
+    """(bucket, gram, paths): the files(path, content, bucket) of a task that hold a trigram, A to Z in lower case; a trigram has a row for each task and bucket at least."""
+    return files.select("path", "content", "bucket").mapInArrow(_index, f"bucket int, {POSTINGS}")
 
 
 def update_index(spark, path: str, number: int, changed: DataFrame, files: DataFrame, buckets: int = 64) -> BucketStore:
@@ -122,14 +201,13 @@ def update_index(spark, path: str, number: int, changed: DataFrame, files: DataF
     store = BucketStore(spark, path, number, buckets)
     changed = staged(changed.select("path").distinct(), "changed")
     at = store.touched(changed, "path")
-    new = staged(files.select("path", "content").where("content is not null").join(changed, "path", "left_semi").dropDuplicates(["path"]), "files")
+    new = files.select("path", "content").where("content is not null").join(changed, "path", "left_semi").dropDuplicates(["path"])
     old = store.read("files", FILES, at).join(changed, "path", "left_anti").select("path", "content")
-    store.put("files", old.unionByName(new), at, "path")
-    # a segment's files meet in one task, so its lists are made there
     segment = F.pmod(F.xxhash64("path", F.lit(SEGMENTS)), F.lit(SEGMENTS))
-    parted = store.read("files", FILES, at).withColumns({"bucket": store.bucket("path"), "segment": segment}).repartition("bucket", "segment")
-    lists = postings_of(parted, "bucket", "segment").groupBy("bucket", "segment", "gram").agg(F.collect_list("path").alias("paths"))
-    store.put("postings", lists.select("gram", "paths", "bucket").sortWithinPartitions("bucket", "gram"), at)
+    store.put("files", old.unionByName(new).withColumn("bucket", store.bucket("path")).repartition("bucket", segment), at)
+    # lists are made where files are read
+    lists = postings_of(store.read("files", FILES, at).withColumn("bucket", store.bucket("path")))
+    store.put("postings", lists.sortWithinPartitions("bucket", "gram"), at)
     store.commit()
     return store
 

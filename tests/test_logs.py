@@ -91,3 +91,21 @@ def test_runs_and_restarts_of_keyed_state(spark, tmp_path):
     assert first == {("a", "Modified", 2, 0, 5, 8)} and stats == (2, 17, 1, 1)
     second, stats = run(2, [("b", "Deleted", "2024-01-01T00:10:00Z", 0), ("c", "Added", "2024-01-01T01:00:00Z", 1)])
     assert second - first == {("b", "Added", 1, 3, 0, 0), ("b", "Deleted", 1, 0, 3, 0)} and stats == (2, 17, 1, 1)
+
+
+def test_lists_are_made_where_files_are_read(spark, monkeypatch):
+    """Each distinct trigram of each text is in one list, whatever the letters and however the texts are cut up; no row is moved for it."""
+    texts = ["abCDef", "", None, "ab", "ÄBc\U0001f600x\nabc", "abcabc", "İK!"]
+    files = spark.createDataFrame([(f"p{i}", t, i % 2) for i, t in enumerate(texts)], "path string, content string, bucket int")
+    lists = text_index.postings_of(files)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if c.isascii() else c for c in t or "")
+        want |= {(i % 2, low[k : k + 3], f"p{i}") for k in range(len(low) - 2)}
+    key = lambda rows: sorted((r["bucket"], r["gram"], p) for r in rows for p in r["paths"])
+    assert key(lists.collect()) == sorted(want)
+    batches = files.toArrow().to_batches()
+    for name in ("CHARS_AT_ONCE", "MOST_POSTINGS", "POSTINGS_AT_ONCE"):
+        monkeypatch.setattr(text_index, name, 1)
+        assert key(r for b in text_index._index(batches) for r in b.to_pylist()) == sorted(want)
