@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..sources.folders import staged
+from ..sources.folders import dropped, replaced, staged
 
 
 def named(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
@@ -95,16 +95,18 @@ def closure(edges: DataFrame, start: DataFrame, most: int | None = None) -> Data
 
     It goes on until a level has no new node; if there still is one after most levels, it raises OverflowError.
     """
-    step = edges.select(F.col("src_id").alias("_from"), F.col("dst_id").alias("id")).distinct()
-    seen = start.toDF("id").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    step = staged(edges.select(F.col("src_id").alias("_from"), F.col("dst_id").alias("id")).distinct(), "step")
+    seen = staged(start.toDF("id").distinct().withColumn("depth", F.lit(0)), "seen")
+    front = staged(seen, "front")
     for d in count(1):
-        new = front.select(F.col("id").alias("_from")).join(step, "_from").select("id").distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
-        if new.isEmpty():
+        new = front.select(F.col("id").alias("_from")).join(step.hint("merge"), "_from").select("id").distinct().join(seen.hint("merge"), "id", "left_anti").withColumn("depth", F.lit(d))
+        front = replaced(new, "front", front)
+        if front.isEmpty():
             break
         if most is not None and d > most:
             raise OverflowError(f"nodes are more than {most} edges away")
-        seen, front = seen.unionByName(new).checkpoint(), new
+        seen = replaced(seen.unionByName(front), "seen", seen)
+    dropped(step, front)
     return seen
 
 
@@ -147,13 +149,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
         inner = nodes.where("ins = 1 and outs = 1").select("id", "at")
         due = n["inner"] and (ends >= ENDS_FIRST or not n["ends"])
         if due and not inner.join(inner.select(F.col("id").alias("at")), "at", "left_semi").isEmpty():
-            rings, runs, links = _runs(left, inner.checkpoint())
+            rings, runs, links = _runs(left, inner)
             found.append(rings)
             levels.append((runs, links))
-            left, ends = links.where("src_id <> dst_id").select("src_id", "dst_id").distinct().checkpoint(), 0
+            left, ends = replaced(links.where("src_id <> dst_id").select("src_id", "dst_id").distinct(), "left", left), 0
         elif n["ends"]:
-            left = left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
-            left = left.join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id").checkpoint()
+            on = left.join(left.select(F.col("dst_id").alias("src_id")).distinct().hint("merge"), "src_id", "left_semi")
+            left = replaced(on.join(on.select(F.col("src_id").alias("dst_id")).distinct().hint("merge"), "dst_id", "left_semi").select("src_id", "dst_id"), "left", left)
             ends += 1
         else:
             part, left = _least_labels(left)
@@ -161,14 +163,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
     none = edges.select(F.col("src_id").alias("id"), F.col("src_id").alias("component")).limit(0)
     out = reduce(DataFrame.unionByName, found, none)
     for runs, links in reversed(levels):
-        out = out.checkpoint()
-        own = links.join(out.toDF("src_id", "_s"), "src_id", "left").join(out.toDF("dst_id", "_d"), "dst_id", "left")
-        own = own.where("run is not null and (src_id = dst_id or _s = _d)").select("run", "src_id", "_s", F.coalesce("_s", "src_id").alias("component")).checkpoint()
+        out = staged(out, "found")
+        own = links.join(out.toDF("src_id", "_s").hint("merge"), "src_id", "left").join(out.toDF("dst_id", "_d").hint("merge"), "dst_id", "left")
+        own = staged(own.where("run is not null and (src_id = dst_id or _s = _d)").select("run", "src_id", "_s", F.coalesce("_s", "src_id").alias("component")), "own")
         bent = own.where("_s is null").select(F.col("src_id").alias("id"), "component").distinct()
-        out = out.unionByName(bent).unionByName(runs.join(own.select("run", "component"), "run").select("id", "component"))
+        out = out.unionByName(bent).unionByName(runs.join(own.select("run", "component").hint("merge"), "run").select("id", "component"))
     loops = edges.where("src_id = dst_id").select(F.col("src_id").alias("id"), F.col("src_id").alias("component")).distinct()
-    out = out.checkpoint()
-    return out.unionByName(loops.join(out, "id", "left_anti"))
+    out = staged(out, "found")
+    return out.unionByName(loops.join(out.hint("merge"), "id", "left_anti"))
 
 
 def _runs(left: DataFrame, inner: DataFrame):
@@ -178,39 +180,39 @@ def _runs(left: DataFrame, inner: DataFrame):
     A row's pointer goes twice as far each round; after rounds that end no more
     runs, the rows whose pointers are still among inner nodes are on rings.
     """
+    inner = staged(inner, "inner")
     live = inner.select(F.col("id").alias("at"), F.lit(True).alias("live"))
-    at = inner.join(live, "at", "left").select("id", "at", F.col("id").alias("run"), F.col("id").alias("low"), F.coalesce("live", F.lit(False)).alias("live")).checkpoint()
+    at = staged(inner.join(live.hint("merge"), "at", "left").select("id", "at", F.col("id").alias("run"), F.col("id").alias("low"), F.coalesce("live", F.lit(False)).alias("live")), "at")
     before, n, covered = -1, at.where("live").count(), 1
     while n and not (n == before and covered >= n):
         onward = at.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("run").alias("_run"), F.col("low").alias("_low"), F.col("live").alias("_live"))
-        moved = at.where("live").join(onward, "at").select("id", F.col("_at").alias("at"), F.col("_run").alias("run"), F.least("low", "_low").alias("low"), F.col("_live").alias("live"))
-        at = at.where("not live").unionByName(moved).checkpoint()
+        moved = at.where("live").join(onward.hint("merge"), "at").select("id", F.col("_at").alias("at"), F.col("_run").alias("run"), F.least("low", "_low").alias("low"), F.col("_live").alias("live"))
+        at = replaced(at.where("not live").unionByName(moved), "at", at)
         before, n, covered = n, at.where("live").count(), covered * 2
     rings = at.where("live").select("id", F.col("low").alias("component"))
     runs = at.where("not live").select("id", "run")
-    outer = left.join(inner.select(F.col("id").alias("src_id")), "src_id", "left_anti")
-    links = outer.join(at.where("not live").select(F.col("id").alias("dst_id"), "at", "run"), "dst_id", "left")
-    return rings, runs, links.select("src_id", F.coalesce("at", "dst_id").alias("dst_id"), "run").checkpoint()
+    outer = left.join(inner.select(F.col("id").alias("src_id")).hint("merge"), "src_id", "left_anti")
+    links = outer.join(at.where("not live").select(F.col("id").alias("dst_id"), "at", "run").hint("merge"), "dst_id", "left")
+    return rings, runs, replaced(links.select("src_id", F.coalesce("at", "dst_id").alias("dst_id"), "run"), "links", inner)
 
 
 def _least_labels(left: DataFrame):
     """Components (id, component) of several nodes that hold the least id reaching them, and the edges that touch no settled node."""
-    labels = left.select(F.col("src_id").alias("id")).union(left.select("dst_id")).distinct().withColumn("label", F.col("id")).checkpoint()
-    while True:
-        low = left.join(labels.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("label").alias("low"))
-        new = labels.join(low, "id", "left").select("id", F.least("label", "low").alias("label"), F.coalesce(F.col("low") < F.col("label"), F.lit(False)).alias("moved")).checkpoint()
-        labels = new.select("id", "label")
-        if new.where("moved").isEmpty():
-            break
-    ends = left.join(labels.toDF("src_id", "_s"), "src_id").join(labels.toDF("dst_id", "_d"), "dst_id")
-    left = ends.where("_s = _d").select("src_id", "dst_id").checkpoint()
+    labels = staged(left.select(F.col("src_id").alias("id")).union(left.select("dst_id")).distinct().select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), "labels")
+    while not labels.where("moved").isEmpty():
+        low = left.join(labels.where("moved").select(F.col("id").alias("src_id"), "label").hint("merge"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("label").alias("low"))
+        new = labels.join(low.hint("merge"), "id", "left").select("id", F.least("label", "low").alias("label"), F.coalesce(F.col("low") < F.col("label"), F.lit(False)).alias("moved"))
+        labels = replaced(new, "labels", labels)
+    labels = labels.select("id", "label")
+    ends = left.join(labels.toDF("src_id", "_s").hint("merge"), "src_id").join(labels.toDF("dst_id", "_d").hint("merge"), "dst_id")
+    left = replaced(ends.where("_s = _d").select("src_id", "dst_id"), "left", left)
     back = left.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
     settled = closure(back, labels.where("id = label").select("id")).select("id")
-    part = settled.join(labels, "id")
+    part = settled.join(labels.hint("merge"), "id")
     several = part.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-    part = part.join(several, "label", "left_semi").select("id", F.col("label").alias("component")).checkpoint()
-    left = left.join(settled.toDF("src_id"), "src_id", "left_anti").join(settled.toDF("dst_id"), "dst_id", "left_anti").select("src_id", "dst_id").checkpoint()
-    return part, left
+    part = staged(part.join(several.hint("merge"), "label", "left_semi").select("id", F.col("label").alias("component")), "part")
+    rest = left.join(settled.toDF("src_id").hint("merge"), "src_id", "left_anti").join(settled.toDF("dst_id").hint("merge"), "dst_id", "left_anti").select("src_id", "dst_id")
+    return part, replaced(rest, "left", left, labels, settled)
 
 
 def count_of(df: DataFrame, pattern: DataFrame, key: str, name: str) -> DataFrame:

@@ -33,3 +33,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the folders of staged frames that nothing will read again."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replaced(df: DataFrame, tag: str, *old: DataFrame) -> DataFrame:
+    """df staged, whereupon old, which it was made of, is deleted.
+
+    Rounds that build on each other use it in place of checkpoint(), which keeps the estimate of a frame's size: joins
+    multiply estimates, so over many rounds these become numbers of millions of digits in the driver. A staged
+    frame's size is that of its files.
+    """
+    new = staged(df, tag)
+    dropped(*old)
+    return new

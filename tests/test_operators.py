@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -285,6 +286,23 @@ def test_long_ring_and_path_take_few_rounds(spark, tmp_path, monkeypatch):
     assert 0 < len(staged) < 60
 
 
+def test_rounds_keep_no_estimates_of_their_joins(spark, tmp_path, monkeypatch):
+    """A frame of a round has the size of its files and not the product of all joins before it, which the driver would hold; rounds' files go."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    seen, real = [], patterns.replaced
+    monkeypatch.setattr(patterns, "replaced", lambda df, *a: seen.append(real(df, *a)) or seen[-1])
+    ring = spark.range(600).selectExpr("concat('r', id) as src_id", "concat('r', (id + 1) % 600) as dst_id")
+    more = spark.createDataFrame([("r0", "a"), ("a", "r300"), ("r9", "b"), ("b", "r200"), ("b", "c"), ("c", "b")], "src_id string, dst_id string")
+    got = patterns.strong_components(ring.union(more))
+    assert got.count() == 603 and got.select("component").distinct().count() == 1
+    assert 5 < len(seen) < 60
+    estimate = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert estimate(got) < 1 << 200  # the given edges are of unknown size
+    assert all(estimate(df) < 1 << 20 for df in seen if df.inputFiles() and os.path.exists(df.inputFiles()[0].removeprefix("file://")))
+    there = [df for df in seen if all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())]
+    assert len(there) <= len(seen) // 2
+
+
 def test_walks_and_closure_without_bound(spark, tmp_path, monkeypatch):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     e = edges(spark, " ".join(f"n{i}>n{i + 1}" for i in range(35)))
